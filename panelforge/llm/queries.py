@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact
+from . import bpe, exact, mixing, syncmers
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -30,6 +30,40 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes of each document."""
+    mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP3_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k
+  FROM documents),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w,
+         source_size * 2.0::DOUBLE AS cap
+  FROM totals),
+levels AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE
+             - coalesce(sum(cap) OVER (ORDER BY cap / w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(w) OVER (ORDER BY cap / w, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+targets AS (
+  SELECT source, source_size, least(cap, (SELECT max(level) FROM levels WHERE level * w <= cap) * w) AS target FROM levels),
+placed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS epochs
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (epochs * size + greatest(0, least(size, floor(target)::BIGINT - epochs * source_size - before)))::BIGINT AS taken
+FROM placed
+"""
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one that stays of its group of equal texts."""
     rows = exact.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -50,11 +84,21 @@ FROM bare
 WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)
 """
 
+def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint beside those of its edited text and of the next document."""
+    rows = syncmers.compare_with_edits(table(spark, sf_dir, "documents"))
+    shown = {n: syncmers.as_string(F.col(c)).alias(n) for n, c in (("fingerprint", "found"), ("edited_fingerprint", "edited_found"))}
+    return rows.select("doc_id", "n_chars", "edited_sha256", *shown.values(), "near_edited", "near_next")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_mix": op3_mix,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_syncmers": op8_syncmers,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_mix": OP3_SQL,
     "op5_exact_dedup": OP5_SQL,
 }
