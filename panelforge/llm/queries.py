@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, mixing, syncmers
+from . import bpe, exact, langid, mixing, syncmers
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out() -> Column:
+    """Whether a document is held out of what is learned."""
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded again; digests of both."""
     path = public_tokenizers.path(RANKS)
@@ -91,11 +96,20 @@ def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", "edited_sha256", *shown.values(), "near_edited", "near_next")
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the rows that aren't held out."""
+    documents = table(spark, sf_dir, "documents")
+    model = langid.train(documents.filter(~held_out()))
+    rows = documents.select("doc_id", "text", held_out().alias("held_out"))
+    return langid.predict(rows, model, keep=["doc_id", "held_out"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_mix": op3_mix,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_syncmers": op8_syncmers,
+    "op9_langid": op9_langid,
 }
 
 ORACLES: dict[str, str] = {
