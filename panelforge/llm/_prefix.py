@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Hash keys are whole numbers from 0 to under KEYS.
 KEYS = 1 << 60
 #: Rows of a bucket, on average: what one task sorts for one window at most, give or take the spread of the hash.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 
 def hash_key(seed: str, *columns: Column) -> Column:
