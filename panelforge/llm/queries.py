@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, mixing, syncmers
+from . import bpe, exact, langid, mixing, secrets, syncmers
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -104,12 +104,23 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(rows, model, keep=["doc_id", "held_out"])
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text."""
+    rows = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select(
+        "doc_id", *map(count, secrets.KINDS), F.sha2(secrets.as_string(base), 256).alias("base_sha256"), secrets.as_string(F.col("spans")).alias("spans")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_mix": op3_mix,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_syncmers": op8_syncmers,
     "op9_langid": op9_langid,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {

@@ -1,0 +1,64 @@
+import hashlib
+import random
+
+import regex
+
+from panelforge.llm import queries, secrets
+
+KEY = "q7RkZ0vB2nXw9LtY4sHd8MfC1pGa6JeU3iOo5Qb"
+
+
+def brute(text):
+    """The base spans by another library, straight from the contract."""
+    found = [("assign", m.start(), m.end()) for m in regex.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, flags=regex.ASCII) if len(m[2]) >= 6]
+    found += [("access", m.start(), m.end()) for m in regex.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [("hex", m.start(), m.end()) for m in regex.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
+
+
+def base(text):
+    return [s[:3] for s in secrets.scan(text) if s[0] != "novel"]
+
+
+def test_base_spans_against_another_library():
+    rng = random.Random(4)
+    parts = ["password", "Secret", "TOKEN", "apikey", "api_key", "=", ":", " ", '"', "'", "abc", "abcdef", "AKIA", "AKIA" + "Z9" * 8, "0123456789abcdef", "deadbeef" * 3, "é", "🙂", "\n", "x=", "F0", "ſecret", "toKen"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randrange(1, 16)))
+        assert base(text) == brute(text), text
+
+
+def test_matches_are_consumed_before_they_are_dropped():
+    assert base("token=a token=abcdef") == [("assign", 8, 20)]
+    assert base("token=token=abcdef") == [("assign", 0, 18)]
+
+
+def test_novel_spans():
+    prose = "the quick brown fox jumps over the lazy dog again and again " * 8
+    kinds = lambda t: [s[0] for s in secrets.scan(t)]
+    assert kinds(prose + f"Authorization Bearer {KEY} " + prose) == ["novel"]
+    assert kinds(prose + KEY + prose) == []  # no sensitive word
+    assert kinds(prose + "bearer authorization_configuration_value1 " + prose) == []  # made of known words
+    assert kinds(KEY + " " + prose + f"the cookie {KEY} " + prose) in ([], ["novel"])
+    assert kinds(prose + "cookie thisIsMyOwnVariableName9 SomeLongIdentifierName1 " + prose) == []
+    assert kinds(KEY + f" bearer {KEY}") == []  # repeats what stands before it
+    assert [s[:3] for s in secrets.scan(f"token = {KEY}")] == [("assign", 0, 8 + len(KEY))]
+
+
+def test_edges(spark):
+    rows = [(1, None, "s"), (2, "", "s"), (3, "é token = abcdef", "s"), (3, "é token = abcdef", "s"), (4, "a" * 300000 + " password:  'x9x9x9'", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Spans string")
+    got = {r.doc_id: r.spans for r in secrets.find(df, keep=["doc_id", "Spans"]).collect()}
+    assert got[1] == got[2] == [] and [tuple(s)[:3] for s in got[3]] == [("assign", 2, 16)]
+    assert [s["kind"] for s in got[4]] == ["hex", "assign"]
+    assert secrets.find(df.limit(0)).count() == 0
+
+
+def test_query_against_brute_force(spark, sf):
+    texts = {r.doc_id: r.text for r in queries.table(spark, sf, "documents").collect()}
+    for r in queries.op10_secrets(spark, sf).collect():
+        want = brute(texts[r.doc_id])
+        shown = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r.base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in want) for k in ("assign", "access", "hex"))
+        assert set(shown.split(",")) - {""} <= set(r.spans.split(","))
