@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, mixing, secrets, syncmers
+from . import bpe, exact, langid, mixing, quality, secrets, syncmers
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -69,6 +69,14 @@ FROM placed
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every whole text, learned from the labelled rows that aren't held out."""
+    fold = (F.crc32(F.col("doc_id").cast("string")) % 5).cast("int").alias("fold")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", fold)
+    rows = quality.classify(documents, table(spark, sf_dir, "labels"), "fold")
+    return rows.select("doc_id", (F.col("fold") == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one that stays of its group of equal texts."""
     rows = exact.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -117,6 +125,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_mix": op3_mix,
+    "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_syncmers": op8_syncmers,
     "op9_langid": op9_langid,
