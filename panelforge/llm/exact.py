@@ -155,17 +155,25 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
 
 def kept_rows(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``df`` that stay, with all of its columns."""
-    key = "__row_hash__"
-    marked = df.withColumn(key, F.xxhash64(text))
-    decided = exact_dedup(marked.select(doc_id, text, key), text, doc_id)
-    stay = decided.filter("kept").select(F.col(doc_id).alias("__id__"), F.col(key).alias("__key__"))
-    twins = decided.groupBy(F.col(doc_id).alias("__id__"), F.col(key).alias("__key__")).count().filter("count > 1").drop("count")
-    same = [F.col(doc_id).eqNullSafe(F.col("__id__")), F.col(key) == F.col("__key__")]
-    stay = durable(stay.join(twins.withColumn("__twin__", F.lit(True)), ["__id__", "__key__"], "left"), "stay")
-    rows = marked.join(stay, same).drop("__id__", "__key__")
-    alone = rows.filter("__twin__ is null").drop("__twin__", key)
-    if stay.filter("__twin__").isEmpty():
+    marked = df.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    decided = exact_dedup(marked, "t", "id")
+    return stay_rows(df, decided.select("id", "h", "kept"), text, doc_id)
+
+
+def stay_rows(df: DataFrame, decided: DataFrame, text: str, doc_id: str, null_text: str | None = None) -> DataFrame:
+    """The rows of ``df`` for which ``decided`` (id, h: xxhash64 of the text, kept) says so.
+
+    Of rows that share both id and hash, equal texts that is, as many stay as are kept, the first by all columns.
+    ``null_text``: what a null text counted as when it was hashed.
+    """
+    hashed = F.xxhash64(text) if null_text is None else F.xxhash64(F.coalesce(F.col(text), F.lit(null_text)))
+    counts = decided.groupBy("id", "h").agg(F.sum(F.col("kept").cast("int")).alias("__stay__"), F.count("*").alias("__rows__"))
+    counts = durable(counts.filter("__stay__ > 0").withColumnsRenamed({"id": "__id__", "h": "__h__"}), "stay")
+    rows = df.withColumn("__key__", hashed).join(counts, F.col(doc_id).eqNullSafe(F.col("__id__")) & (F.col("__key__") == F.col("__h__")))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    alone = rows.filter("__rows__ = __stay__").select(*own)
+    if counts.filter("__rows__ > __stay__").isEmpty():
         return alone
-    order = Window.partitionBy(doc_id, key).orderBy(*[F.col(f"`{c}`") for c in df.columns])
-    repeated = rows.filter("__twin__").withColumn("__n__", F.row_number().over(order)).filter("__n__ = 1")
-    return alone.unionByName(repeated.drop("__twin__", "__n__", key))
+    order = Window.partitionBy(doc_id, "__key__").orderBy(*own)
+    repeated = rows.filter("__rows__ > __stay__").withColumn("__n__", F.row_number().over(order)).filter("__n__ <= __stay__")
+    return alone.unionByName(repeated.select(*own))

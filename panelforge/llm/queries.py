@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, mixing, quality, secrets, syncmers
+from . import bpe, exact, langid, minhash, mixing, quality, secrets, syncmers
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -35,6 +35,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of near-duplicates."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row_hash", "n_links")
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes of each document."""
     mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
@@ -124,6 +129,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_minhash": op2_minhash,
     "op3_mix": op3_mix,
     "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
