@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import durable
 from ._text import filled, flat, lists, pieces_of
 
 WINDOW = 24
@@ -26,6 +27,8 @@ HIDDEN = 20
 SAMPLE_DOCUMENTS, SAMPLE_POINTS = 300, 20_000
 STEPS, BATCH, RATE = 700, 256, 0.01
 RUN_BYTES = 4 << 20
+#: Languages up to which their shares of the rows are broadcast, so that texts are sampled before any shuffle.
+BROADCAST_LANGUAGES = 10_000
 #: Windows whose outputs a worker keeps; at the bound it starts over.
 CACHE_WINDOWS = 250_000
 UNKNOWN = "und"
@@ -187,7 +190,8 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.col(doc_id).alias("i"))
     rows = rows.filter(F.char_length("t") <= SAMPLE_POINTS)
     draw = F.pmod(F.xxhash64(F.col("i"), F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    shares = rows.groupBy("l").agg((F.lit(2.0 * SAMPLE_DOCUMENTS + 60) / F.count("*")).alias("share")).withColumnRenamed("l", "l2")
+    shares = durable(rows.groupBy("l").agg((F.lit(2.0 * SAMPLE_DOCUMENTS + 60) / F.count("*")).alias("share")).withColumnRenamed("l", "l2"), "shares")
+    shares = F.broadcast(shares) if shares.count() <= BROADCAST_LANGUAGES else shares
     rows = rows.withColumn("draw", draw).join(shares, F.col("l") == F.col("l2")).filter("draw < share")
     order = Window.partitionBy("l").orderBy("draw", F.xxhash64("t"))
     found = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCUMENTS).select("t", "l").collect()
