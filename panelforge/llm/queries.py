@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, minhash, mixing, quality, secrets, syncmers
+from . import bpe, exact, langid, minhash, mixing, quality, secrets, sharding, syncmers
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -102,6 +102,12 @@ FROM bare
 WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)
 """
 
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards whose row counts differ by one at most, equal texts together."""
+    rows = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return rows.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint beside those of its edited text and of the next document."""
     rows = syncmers.compare_with_edits(table(spark, sf_dir, "documents"))
@@ -133,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix": op3_mix,
     "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_shards": op7_shards,
     "op8_syncmers": op8_syncmers,
     "op9_langid": op9_langid,
     "op10_secrets": op10_secrets,
