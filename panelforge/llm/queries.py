@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, minhash, mixing, quality, secrets, sharding, syncmers
+from . import bpe, exact, langid, minhash, mixing, quality, secrets, sharding, syncmers, warc
+from ._store import durable
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -102,6 +103,76 @@ FROM bare
 WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)
 """
 
+def page_captures(pages: DataFrame) -> DataFrame:
+    """A crawl of ``pages``: page n is fetched in full in second 2n, and asked for again, with a 304 for an answer, at
+    an odd second: one later, or after 1,000 or 2,000 other pages, or, for one in 25, before it was fetched.  Some
+    answers have an old ETag, some only a Last-Modified, some nothing to check by."""
+    n = F.col("page_id")
+    second = lambda s: F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + s), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16), F.lit('"'))
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    pairs = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k.replace("_", "-")), v if isinstance(v, Column) else F.lit(v))])
+    full = pairs(content_type="text/html", content_length=F.octet_length(payload).cast("string"), etag=tag, last_modified=second(n), cache_control="max-age=60", server="s1")
+    again = F.when(n % 10 == 7, pairs(etag='"old"', cache_control="max-age=120", content_length="0"))
+    again = again.when(n % 10 == 3, pairs(last_modified=second(n), cache_control="max-age=120", content_length="0"))
+    again = again.when(n % 10 == 9, pairs(cache_control="max-age=120", content_length="0"))
+    again = again.otherwise(pairs(etag=F.concat(F.lit("W/"), tag), cache_control="max-age=120", content_length="0", content_type="text/plain"))
+    later = F.when(n % 25 == 4, 2 * n - 1).otherwise(2 * n + 1 + 2000 * (n % 3))
+    of = lambda kind, k, date, status, headers, body, url: pages.select(F.lit(kind).alias("kind"), (2 * n + k).cast("string").alias("record_id"), url.alias("url"), second(date).alias("date"), F.lit(status).alias("status"), headers.alias("headers"), body.alias("payload"))
+    return of("response", 0, 2 * n, 200, full, payload, F.col("url")).unionByName(of("revisit", 1, later, 304, again, F.lit(b""), F.concat("url", F.lit("#again"))))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl of all pages written as WARC records, read back, and its not-modified revisits resolved."""
+    written = warc.render(page_captures(table(spark, sf_dir, "pages")))
+    read = warc.parse(written).withColumn("payload_sha256", F.sha2("payload", 256)).drop("payload")
+    found = warc.resolve(durable(read, "captures"))
+    number = F.col("record_id").cast("long")
+    whole = found.select(F.col("record_id").alias("full_id"), F.col("payload_sha256").alias("full_sha256")).filter("full_id % 2 = 0")
+    found = found.join(whole, F.col("refers_to") == F.col("full_id"), "left")
+    return found.select(
+        number.alias("record_id"), F.expr("record_id div 2").cast("long").alias("page_id"), "url_key", "outcome", F.col("refers_to").cast("long").alias("refers_to"),
+        *[F.col("headers")[k].alias(k.replace("-", "_")) for k in ("etag", "cache-control", "content-type", "content-length", "server")],
+        F.coalesce("full_sha256", "payload_sha256").alias("payload_sha256"),
+    )
+
+
+OP6_SQL = r"""
+WITH parts AS (
+  SELECT page_id AS n, coalesce(html, '') AS html,
+         regexp_replace(regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)\??([^#]*)', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
+         regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)\??([^#]*)', 2), '/+$', '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)\??([^#]*)', 3), '&'),
+                               lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid)='))) AS q
+  FROM pages),
+base AS (
+  SELECT n, html, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_key,
+         '"' || substr(md5(html), 1, 16) || '"' AS tag FROM parts),
+full_ AS (SELECT 2 * n AS id, n, url_key, 2 * n AS t, tag, html FROM base),
+again AS (
+  SELECT 2 * n + 1 AS id, n, url_key, CASE WHEN n % 25 = 4 THEN 2 * n - 1 ELSE 2 * n + 1 + 2000 * (n % 3) END AS t,
+         CASE WHEN n % 10 = 7 THEN '"old"' WHEN n % 10 IN (3, 9) THEN NULL ELSE tag END AS tag,
+         CASE WHEN n % 10 = 3 THEN 2 * n END AS modified,
+         CASE WHEN n % 10 IN (3, 7, 9) THEN NULL ELSE 'text/plain' END AS kind
+  FROM base),
+found AS (
+  SELECT a.*, f.id AS fid, f.tag AS ftag, f.t AS ft, f.html AS fhtml,
+         CASE WHEN f.id IS NULL THEN 'no_earlier' WHEN a.tag IS NULL AND a.modified IS NULL THEN 'no_validator'
+              WHEN CASE WHEN a.tag IS NOT NULL THEN a.tag = f.tag ELSE a.modified = f.t END THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM again a ASOF LEFT JOIN full_ f ON a.url_key = f.url_key AND a.t > f.t)
+SELECT id::BIGINT AS record_id, n::BIGINT AS page_id, url_key, 'full' AS outcome, NULL::BIGINT AS refers_to, tag AS etag, 'max-age=60' AS cache_control,
+       'text/html' AS content_type, strlen(html)::VARCHAR AS content_length, 's1' AS server, sha256(html) AS payload_sha256
+FROM full_
+UNION ALL
+SELECT id, n, url_key, outcome, CASE WHEN outcome = 'resolved' THEN fid END,
+       CASE WHEN outcome = 'resolved' AND tag IS NULL THEN ftag WHEN tag = '"old"' THEN tag ELSE 'W/' || tag END, 'max-age=120',
+       CASE WHEN outcome = 'resolved' THEN 'text/html' ELSE kind END,
+       CASE WHEN outcome = 'resolved' THEN strlen(fhtml)::VARCHAR ELSE '0' END, CASE WHEN outcome = 'resolved' THEN 's1' END,
+       CASE WHEN outcome = 'resolved' THEN sha256(fhtml) ELSE sha256('') END
+FROM found
+"""
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards whose row counts differ by one at most, equal texts together."""
     rows = sharding.shard_documents(table(spark, sf_dir, "documents"))
@@ -139,6 +210,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix": op3_mix,
     "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_warc": op6_warc,
     "op7_shards": op7_shards,
     "op8_syncmers": op8_syncmers,
     "op9_langid": op9_langid,
@@ -148,4 +220,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_mix": OP3_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op6_warc": OP6_SQL,
 }
