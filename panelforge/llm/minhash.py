@@ -7,7 +7,7 @@ agree in a place with the probability Jaccard similarity of their weighted shing
 itself where all weights are one, as in ``near_duplicates``.
 
 Places are joined into bands; texts that agree in a band are in one bucket.  Buckets are compared by stars: a central
-member with the others, at most one star a round and part of a bucket, until each bucket's members are either in one
+member with the others, until each bucket's members are either in one
 component or have been compared, so no link between members of a bucket is lost and a bucket of copies costs as many
 comparisons as it has members.  A link counts when the shingle sets of the whole texts have at least the similarity.
 """
@@ -32,8 +32,10 @@ from ._text import filled, pieces_of
 SHINGLE, SIMILARITY = 5, 0.8
 #: Places, and bands of rows: at a similarity of 0.8 all bands miss a pair once in 20,000 times, at 0.85 in 2 million.
 PLACES, BANDS, ROWS = 128, 25, 5
-#: Agreeing places below which a pair isn't verified: under 0.8 of 128 by more than five standard deviations.
-LEAST_PLACES = 78
+#: Agreeing places below which a pair isn't verified: under 0.8 of 128 by four standard deviations.
+LEAST_PLACES = 84
+#: Texts up to which a shingle is scarce.
+SCARCE = 8
 RUN_BYTES = 2 << 20
 CACHE_WORDS = 400_000
 #: Rows of 16 bytes up to which ids are broadcast to pick texts.
@@ -241,40 +243,90 @@ def _repeated(signed: DataFrame) -> bool:
     return not signed.groupBy("doc_id", "row_hash").count().filter("count > 1").isEmpty()
 
 
-def _linked(members: DataFrame, signatures_: DataFrame, texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """All links (a, b) that stars find, and the components' labels.
+def _shingles(texts: DataFrame) -> DataFrame:
+    """(uid, shingle): a hash of each distinct shingle of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                sets = [[xxhash.xxh3_64_intdigest(x) for x in s] for s in shingle_sets([words(t) for t in part.column("text").to_pylist()])]
+                uids = np.repeat(part.column("uid").to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array(np.array([x for s in sets for x in s], np.uint64).view(np.int64))], ["uid", "shingle"])
+
+    return texts.select("uid", "text").mapInArrow(run, "uid long, shingle long")
+
+
+def _frequencies(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (uid, shingle): (uid, n, common), the shingles of each text and how many of them more than SCARCE texts
+    have; and the rows of those that 2 to SCARCE texts have.  No more than SCARCE rows of a shingle come together."""
+    counts = durable(every.groupBy("shingle").agg(F.count("*").alias("k"), F.min("uid").alias("of")).filter(F.col("k") <= SCARCE), "scarce")
+    few = durable(every.join(counts.filter("k > 1").select("shingle"), "shingle"), "few")
+    scarce = counts.filter("k = 1").select(F.col("of").alias("u")).union(few.select("uid")).groupBy("u").agg(F.count("*").alias("scarce"))
+    sizes = every.groupBy("uid").agg(F.count("*").alias("n"))
+    return sizes.join(scarce, F.col("uid") == F.col("u"), "left").select("uid", "n", (F.col("n") - F.coalesce("scarce", F.lit(0))).alias("common")), few
+
 
-    In the first round each bucket's most central member meets the others.  What then isn't in the component of that
-    member is left over; in round k every bucket's left-over members are dealt into 2 ** k parts by a hash, the most
-    central of each part meets all members of the bucket outside its component, and is done.
+def _linked(members: DataFrame, signatures_: DataFrame, texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """All links (a, b) that were verified, and the components' labels, which no link inside a bucket crosses.
+
+    First each bucket's most central member meets the others.  Where that leaves members of a bucket in different
+    components, the shingles of those buckets' texts are counted.  Texts that share a shingle that few have are
+    compared (a copy with many edits of its own shares some of them with a closer copy of itself).  Texts that don't
+    can share no more than the less of what they have in common shingles, which for most is too little for a link
+    with any text of the bucket; such members are done.  The others go on by stars: in round k a bucket's left-over
+    members are dealt into 16 ** k parts by a hash, the most central of each part meets those members of the bucket
+    outside its component that the same bound admits, and is done.
     """
     spark = members.sparkSession
+    edges = seen = spark.createDataFrame([], "a long, b long")
+    labels = components(edges)
+
+    def meet(pairs: DataFrame) -> None:
+        nonlocal seen, edges, labels
+        fresh = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
+        fresh = durable(fresh.join(seen, ["a", "b"], "left_anti"), "pairs")
+        linked = durable(_verified(durable(_close(fresh, signatures_), "close"), texts, least), "links")
+        seen = seen.union(fresh)
+        if not linked.isEmpty():
+            edges = edges.union(linked)
+            labels = components(linked, labels)
+
+    def labelled(rows: DataFrame, node: str, out: str) -> DataFrame:
+        of = labels.select(F.col("node").alias("n_"), F.col("label").alias("l_"))
+        return rows.join(of, F.col(node) == F.col("n_"), "left").withColumn(out, F.coalesce("l_", node)).drop("n_", "l_")
+
     pick = F.max(F.struct("score", (-F.col("uid")).alias("u"))).alias("c")
     heads = durable(members.groupBy("bucket").agg(pick).select("bucket", (-F.col("c.u")).alias("head")), "heads")
-    stars = members.join(heads, "bucket").filter("uid <> head").select(F.col("head").alias("a"), F.col("uid").alias("b"))
-    seen = spark.createDataFrame([], "a long, b long")
-    edges = seen
-    labels = None
-    done = spark.createDataFrame([], "bucket long, uid long")
-    step = 0
+    meet(members.join(heads, "bucket").filter("uid <> head").select(F.col("head").alias("a"), F.col("uid").alias("b")))
+    apart = durable(labelled(members, "uid", "label").groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("bucket"), "apart")
+    if apart.isEmpty():
+        return edges, labels
+    open_ = durable(members.join(apart, "bucket"), "open")
+    every = durable(_shingles(texts.join(_small(open_.select("uid").distinct()), "uid")), "shingles")
+    frequencies, few = _frequencies(every)
+    few = durable(labelled(few, "uid", "label"), "few")
+    across = few.groupBy("shingle").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p <> q").select("shingle")
+    few = durable(few.join(across, "shingle"), "across")
+    other = few.select("shingle", F.col("uid").alias("b"), F.col("label").alias("m"))
+    meet(few.join(other, "shingle").filter("uid < b and label <> m").select(F.col("uid").alias("a"), "b"))
+    open_ = open_.join(durable(frequencies, "frequencies"), "uid")
+    open_ = durable(open_.join(open_.groupBy("bucket").agg(F.min("n").alias("low")), "bucket"), "open")
+    done, step = spark.createDataFrame([], "bucket long, uid long"), 0
     while True:
-        fresh = stars.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
-        fresh = durable(fresh.join(seen, ["a", "b"], "left_anti"), "pairs")
-        linked = durable(_verified(durable(_close(fresh, signatures_), "close"), texts, least), "links")
-        seen, edges = seen.union(fresh), edges.union(linked)
-        labels = components(edges if labels is None else linked, labels)
-        of = labels.select(F.col("node").alias("n"), F.col("label").alias("l"))
-        live = members.join(done, ["bucket", "uid"], "left_anti").join(of, F.col("uid") == F.col("n"), "left")
-        live = live.select("bucket", "uid", "score", F.coalesce("l", "uid").alias("label"))
-        main = heads.join(of, F.col("head") == F.col("n"), "left").select("bucket", F.coalesce("l", "head").alias("main"))
-        left = durable(live.join(main, "bucket").filter("label <> main"), "left")
+        live = labelled(open_.join(done, ["bucket", "uid"], "left_anti"), "uid", "label")
+        live = live.join(labelled(heads, "head", "main").drop("head"), "bucket")
+        hopeful = F.col("common") >= (F.col("low") + F.col("n") - F.col("common")) * (least - 1e-9)
+        left = durable(live.filter(hopeful & (F.col("label") != F.col("main"))), "left")
         if left.isEmpty():
             return edges, labels
-        parts = left.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(step)), F.lit(1 << step)))
-        stars_of = parts.groupBy("bucket", "part").agg(F.max(F.struct("score", (-F.col("uid")).alias("u"), "label")).alias("c"))
-        stars_of = durable(stars_of.select("bucket", (-F.col("c.u")).alias("a"), F.col("c.label").alias("own")), "stars")
-        stars = live.join(stars_of, "bucket").filter("label <> own").select("a", F.col("uid").alias("b"))
-        done = done.union(stars_of.select("bucket", F.col("a").alias("uid")))
+        parts = left.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(step)), F.lit(1 << (4 * step))))
+        centre = parts.groupBy("bucket", "part").agg(F.max(F.struct("score", (-F.col("uid")).alias("u"), "label", "n", "common")).alias("c"))
+        centre = durable(centre.select(F.col("bucket").alias("of"), (-F.col("c.u")).alias("a"), F.col("c.label").alias("own"), F.col("c.n").alias("m"), F.col("c.common").alias("t")), "centres")
+        both = F.least("common", "t")
+        stars = live.join(centre, [F.col("bucket") == F.col("of"), F.col("label") != F.col("own"), both >= (F.col("n") + F.col("m") - both) * (least - 1e-9)])
+        meet(stars.select("a", F.col("uid").alias("b")))
+        done = durable(done.union(centre.select("of", "a")), "done")
         step += 1
 
 

@@ -139,3 +139,10 @@ def test_documents_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in queries.table(spark, sf, "documents").collect()]
     assert {r.doc_id: r.class_id for r in queries.op2_minhash(spark, sf).collect()} == brute(rows)
+
+
+def test_frequencies_of_shingles(spark):
+    every = [(u, "abcdefg".index(x)) for u, xs in ((1, "abc"), (2, "ab"), (3, "ad")) for x in xs] + [(u, 0) for u in range(10, 17)]
+    got, few = minhash._frequencies(spark.createDataFrame(every, "uid long, shingle long"))
+    assert {r.uid: (r.n, r.common) for r in got.collect()} == {1: (3, 1), 2: (2, 1), 3: (2, 1), **{u: (1, 1) for u in range(10, 17)}}
+    assert sorted(map(tuple, few.select("uid", "shingle").collect())) == [(1, 1), (2, 1)]
