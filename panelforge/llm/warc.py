@@ -185,16 +185,21 @@ def resolve(captures: DataFrame) -> DataFrame:
     rows = rows.withColumn("outcome", outcome).withColumn("refers_to", F.when(F.col("outcome") == "resolved", F.col("__found__.id")))
     rows = rows.drop("__t__", "__bucket__", "__carried__", "__found__")
     stored = captures.filter("status = 200").select(F.col("record_id").alias("__id__"), F.col("headers").alias("__stored__")).dropDuplicates(["__id__"])
-    rows = rows.join(stored, F.col("refers_to") == F.col("__id__"), "left").drop("__id__")
+    rows = rows.join(stored, _reference() == F.col("__id__"), "left").drop("__id__")
     fresh = F.map_filter("headers", lambda k, v: ~k.isin(*NOT_MERGED))
     kept = F.map_filter("__stored__", lambda k, v: ~F.array_contains(F.map_keys(fresh), k))
     return rows.withColumn("headers", F.when(F.col("__stored__").isNull(), F.col("headers")).otherwise(F.map_concat(kept, fresh))).drop("__stored__")
 
 
+def _reference() -> Column:
+    """refers_to as a join key; rows without one get keys of their own, which match nothing and spread out."""
+    return F.coalesce("refers_to", F.concat(F.lit("none of "), F.xxhash64("record_id").cast("string")))
+
+
 def restore(resolved: DataFrame) -> DataFrame:
     """Resolved captures with payload: a resolved revisit gets that of its response (and its status), the others keep
     theirs."""
     full = resolved.filter("outcome = 'full'").select(F.col("record_id").alias("__id__"), F.col("payload").alias("__payload__")).dropDuplicates(["__id__"])
-    rows = resolved.join(full, F.col("refers_to") == F.col("__id__"), "left")
+    rows = resolved.join(full, _reference() == F.col("__id__"), "left")
     rows = rows.withColumn("payload", F.coalesce("__payload__", "payload")).withColumn("status", F.when(F.col("outcome") == "resolved", 200).otherwise(F.col("status")))
     return rows.drop("__id__", "__payload__")
