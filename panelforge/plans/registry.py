@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import cleaning
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**cleaning.QUERIES}
+ORACLES: dict[str, str] = {**cleaning.ORACLES}
