@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cleaning
+from . import cleaning, panels, portfolio
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**cleaning.QUERIES}
-ORACLES: dict[str, str] = {**cleaning.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = cleaning.QUERIES | panels.QUERIES | portfolio.QUERIES
+ORACLES: dict[str, str] = cleaning.ORACLES | panels.ORACLES | portfolio.ORACLES
