@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,3 +32,16 @@ def forget(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/panelforge-{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: The most that one Arrow batch between the JVM and a Python worker holds.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps the session's Arrow batches at BATCH_BYTES or less from now on: both sides hold several at once, so with
+    the default of 64 MB a task of long rows takes hundreds of MB outside the heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))

@@ -24,12 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import small_batches
 from ._text import codepoints, filled, flat, lists, pieces_of
 
 #: Texts are handled in runs of about so many bytes, which bounds a worker's memory.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 #: Merged pieces that a worker keeps; at the bound it starts over.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 #: Longer pieces merge by a heap and aren't kept.
 LONG_PIECE = 96
 BLOCK = 128
@@ -277,6 +278,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
     of ``df`` called ids or offsets gives way if it is kept.  Rows are handled one by one, in runs of bounded size:
     equal rows, ties and empty tables need nothing special, and there is no shuffle.
     """
+    small_batches(df.sparkSession)
     shipped = _ship(df, path)
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("ids", "offsets") and (keep is not None or c != text)]
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text__"))
@@ -298,6 +300,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str | None = "of
     Where ``offsets`` is given, each id's bytes must start there; a row for which they don't raises an error, as an id
     outside the vocabulary does.  A column of ``df`` called decoded gives way.
     """
+    small_batches(df.sparkSession)
     shipped = _ship(df, path)
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() != "decoded" and (keep is not None or c != offsets)]
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{ids}`").alias("__ids__"), *([F.col(f"`{offsets}`").alias("__offsets__")] if offsets else []))
@@ -306,8 +309,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str | None = "of
         vocabulary = _vocabulary(path, shipped.value)
         words = vocabulary.words
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
                 column = part.column("__ids__")
                 values = column.flatten().to_numpy(zero_copy_only=False)
                 counts = np.array([0 if x is None else x for x in column.value_lengths().to_pylist()], np.int64)

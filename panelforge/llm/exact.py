@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import durable
+from ._store import durable, small_batches
 from ._text import BLANKS, filled, flat, lists, pieces_of
 
 BLOCK_BYTES = 4096
@@ -101,6 +101,7 @@ def identities(df: DataFrame, text: str = "text", keep: list[str] | None = None)
     Null texts count as empty, empty texts are equal to each other, repeated rows are rows, an empty table gives an
     empty one.  A column of ``df`` with one of the new names gives way.
     """
+    small_batches(df.sparkSession)
     new = {"n_points", "text_sha256", "row_uid", "level", "name"}
     keep = [c for c in (df.columns if keep is None else keep) if c != text and c.lower() not in new]
     source = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], F.col(f"`{text}`").alias("t"))

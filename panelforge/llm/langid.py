@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import durable
+from ._store import durable, small_batches
 from ._text import filled, flat, lists, pieces_of
 
 WINDOW = 24
@@ -209,6 +209,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep: list[s
     A null text, an empty one and one without a letter give ``und`` and 0, as any text does without a model.  Each row
     stands for itself: repeated rows agree, an empty table gives an empty one.  Columns with the new names give way.
     """
+    small_batches(df.sparkSession)
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text__"))
     shipped = df.sparkSession.sparkContext.broadcast(model)

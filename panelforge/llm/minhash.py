@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._graph import components
-from ._store import durable
+from ._store import durable, small_batches
 from ._text import filled, pieces_of
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -129,6 +129,7 @@ def sign(df: DataFrame, text: str, keep: list[str], weigh: str = "presence") ->
     """``keep`` of every row with uid (a number of the row), wordkey (a digest of the words), signature (a byte a
     place) and buckets (none for a text without words).  ``weigh``: "presence" gives each distinct shingle the weight
     one, "count" as many as its occurrences.  Null texts count as empty."""
+    small_batches(df.sparkSession)
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text__"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import durable
+from ._store import durable, small_batches
 from ._text import codepoints, filled, flat, lists, pieces_of
 
 STATISTICS = (
@@ -102,6 +102,7 @@ def statistics(column: pa.Array) -> np.ndarray:
 
 def with_statistics(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` of every row with ``statistics``, an array in the order of STATISTICS; null texts count as empty."""
+    small_batches(df.sparkSession)
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text__"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

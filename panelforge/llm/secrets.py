@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import small_batches
 from ._text import filled, pieces_of
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -95,6 +96,7 @@ def find(df: DataFrame, text: str = "text", keep: list[str] | None = None, out:
     Null and empty texts have none.  Rows stand for themselves: repeated rows agree, an empty table gives an empty
     one, and there is no shuffle.  A column of ``df`` called ``out`` gives way.
     """
+    small_batches(df.sparkSession)
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() != out.lower()]
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text__"))
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import small_batches
+
 #: Fixed list: fields of a 304 that don't replace those of the stored response, being of its own message or content.
 NOT_MERGED = (
     "connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive",
@@ -117,6 +119,7 @@ def parse(df: DataFrame, content: str = "content") -> DataFrame:
 
         yield from _batches(every())
 
+    small_batches(df.sparkSession)
     return df.select(content).mapInArrow(run, _ROW)
 
 
