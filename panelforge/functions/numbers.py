@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,23 +32,33 @@ def _horner(coefficients: tuple[float, ...], x: Column) -> Column:
     return reduce(lambda acc, c: acc * x + c, coefficients[1:], F.lit(coefficients[0]))
 
 
+def _bound(x: Column, formula: Callable[[Column], Column]) -> Column:
+    """The formula of x with x computed once, however often it stands in it."""
+    return F.get(F.transform(F.array(x), formula), 0)
+
+
 def normal_cdf(x: Column) -> Column:
-    a = F.abs(x)
-    near = F.exp(-a * a / 2) * _horner(TAIL_NUMERATOR, a) / _horner(TAIL_DENOMINATOR, a)
-    far = F.exp(-a * a / 2) / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / 2.506628274631
-    tail = F.when(a > 37, 0.0).when(a < 7.07106781186547, near).otherwise(far)
-    return F.when(x > 0, 1 - tail).otherwise(tail)
+    def formula(v: Column) -> Column:
+        a = F.abs(v)
+        near = F.exp(-a * a / 2) * _horner(TAIL_NUMERATOR, a) / _horner(TAIL_DENOMINATOR, a)
+        far = F.exp(-a * a / 2) / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / 2.506628274631
+        tail = F.when(a > 37, 0.0).when(a < 7.07106781186547, near).otherwise(far)
+        return F.when(v > 0, 1 - tail).otherwise(tail)
+
+    return _bound(x, formula)
 
 
 def normal_inverse(p: Column) -> Column:
     """Null outside (0, 1)."""
-    low = F.sqrt(-2 * F.log(p))
-    high = F.sqrt(-2 * F.log(1 - p))
-    q = p - 0.5
-    r = q * q
-    middle = _horner(INVERSE_A, r) * q / _horner(INVERSE_B, r)
-    tail = lambda z: _horner(INVERSE_C, z) / _horner(INVERSE_D, z)
-    return F.when((p > 0) & (p < 1), F.when(p < INVERSE_EDGE, tail(low)).when(p > 1 - INVERSE_EDGE, -tail(high)).otherwise(middle))
+    tail = lambda z: _bound(z, lambda v: _horner(INVERSE_C, v) / _horner(INVERSE_D, v))
+
+    def formula(v: Column) -> Column:
+        q = v - 0.5
+        middle = _bound(q * q, lambda r: _horner(INVERSE_A, r) / _horner(INVERSE_B, r)) * q
+        edges = F.when(v < INVERSE_EDGE, tail(F.sqrt(-2 * F.log(v)))).when(v > 1 - INVERSE_EDGE, -tail(F.sqrt(-2 * F.log(1 - v))))
+        return F.when((v > 0) & (v < 1), edges.otherwise(middle))
+
+    return _bound(p, formula)
 
 
 def two_sided_p(z: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import guards, lattice, sorts, views
@@ -96,7 +96,9 @@ def composite_factor(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sorts.composite([one, two], "date", "strategy_ret", complete=False), "strategy_ret", digits=8)
 
 
-SCREENS = [F.col("qty") >= 10, F.col("price") <= 1800, F.col("l_discount") > 0.02]
+def choices(least: float = 10) -> list[Column]:
+    return [F.col("qty") >= least, F.col("price") <= 1800, F.col("l_discount") > 0.02]
+
 
 CELLS = f"""{TRADES}, cells AS (
   SELECT m.mask::INT AS mask, sum(price * qty) / sum(qty) AS value, count(*) AS n FROM trades, generate_series(0, 7) m(mask)
@@ -104,7 +106,7 @@ CELLS = f"""{TRADES}, cells AS (
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
-    rows = lattice.cells(trades(spark, sf, "l_discount"), SCREENS, [], {"pv": F.sum(F.col("price") * F.col("qty")), "v": F.sum("qty"), "n": F.count("*")})
+    rows = lattice.cells(trades(spark, sf, "l_discount"), choices(), [], {"pv": F.sum(F.col("price") * F.col("qty")), "v": F.sum("qty"), "n": F.count("*")})
     return rows.select("mask", (F.col("pv") / F.col("v")).alias("value"), "n")
 
 
@@ -155,7 +157,7 @@ CELL_MONTHS = f"""{TRADES}, months AS (SELECT DISTINCT m.mask::INT AS mask, last
 
 def cell_months(spark: SparkSession, sf: str) -> DataFrame:
     rows = trades(spark, sf, "l_discount").filter("l_suppkey <= 12").withColumn("date", F.last_day("day"))
-    return lattice.cells(rows, [F.col("qty") >= 45, *SCREENS[1:]], ["date"], {"n": F.count("*")}).select("mask", "date")
+    return lattice.cells(rows, choices(45), ["date"], {"n": F.count("*")}).select("mask", "date")
 
 
 @query(f"""WITH {CELL_MONTHS}, c AS (SELECT date FROM months GROUP BY 1 HAVING count(*) = 8)
