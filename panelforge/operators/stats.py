@@ -29,15 +29,15 @@ def summary(series: DataFrame, by: Sequence[str], date: str, value: str, lags: i
     rows = series.filter(F.col(value).isNotNull()).withColumn("__n__", F.row_number().over(Window.partitionBy(*by).orderBy(date)))
     stats = rows.groupBy(*by).agg(F.count("*").alias("n_months"), F.avg(value).alias("average"), F.stddev_samp(value).alias("deviation"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
     stats = stats.withColumn("lags", auto_lags(F.col("n_months")) if lags is None else F.greatest(F.lit(0), F.least(F.lit(lags), F.col("n_months") - 1)).cast("int"))
-    on = lambda df: [F.col(c).eqNullSafe(F.col(f"__{c}__")) for c in by]
-    means = stats.select(*[F.col(c).alias(f"__{c}__") for c in by], "average", F.col("lags").alias("__lags__"))
+    on = lambda df: [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
+    means = stats.select(*[F.col(c).alias(f"__by_{c}") for c in by], "average", F.col("lags").alias("__lags__"))
     centred = rows.join(means, on(means)) if by else rows.join(F.broadcast(means), F.lit(True))
-    centred = centred.select(*by, "__n__", "__lags__", (F.col(value) - F.col("average")).alias("u"))
+    centred = centred.select(*by, "__n__", "__lags__", (F.col(value) - F.col("average")).alias("__u__"))
     now = centred.withColumn("__l__", F.explode(F.sequence(F.lit(0), F.col("__lags__"))))
-    then = centred.select(*[F.col(c).alias(f"__{c}__") for c in by], F.col("__n__").alias("__m__"), F.col("u").alias("v"))
+    then = centred.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__n__").alias("__m__"), F.col("__u__").alias("__v__"))
     pairs = now.join(then, [*on(then), F.col("__m__") == F.col("__n__") - F.col("__l__")])
     weight = F.when(F.col("__l__") == 0, 1.0).otherwise(2 * (1 - F.col("__l__") / (F.col("__lags__") + 1)))
-    hac = pairs.groupBy(*[F.col(c).alias(f"__{c}__") for c in by]).agg(F.sum(weight * F.col("u") * F.col("v")).alias("s"))
+    hac = pairs.groupBy(*[F.col(c).alias(f"__by_{c}") for c in by]).agg(F.sum(weight * F.col("__u__") * F.col("__v__")).alias("__s__"))
     out = stats.join(hac, on(hac), "left") if by else stats.join(F.broadcast(hac), F.lit(True), "left")
     many = (F.col("n_months") >= 2) & (F.col("deviation") > 0)
     return out.select(
@@ -49,7 +49,7 @@ def summary(series: DataFrame, by: Sequence[str], date: str, value: str, lags: i
         (F.col("average") * per_year).alias("annualised"),
         F.when(F.col("n_months") >= 2, F.col("deviation")).alias("deviation"),
         F.when(many, F.col("average") / F.col("deviation") * math.sqrt(per_year)).alias("sharpe"),
-        F.when(many & (F.col("s") > 0), F.col("average") / (F.sqrt("s") / F.col("n_months"))).alias("t_stat"),
+        F.when(many & (F.col("__s__") > 0), F.col("average") / (F.sqrt("__s__") / F.col("n_months"))).alias("t_stat"),
         "lags",
     )
 

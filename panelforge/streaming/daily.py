@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 def streaming_daily(events: DataFrame, entity: str, time: str, value: str, weight: str | None = None, late: str = "2 days") -> DataFrame:
     """By entity and day: weighted mean, rows, least and greatest value, as days close behind the watermark."""
     w = F.col(weight) if weight else F.lit(1.0)
-    rows = events.withWatermark(time, late).groupBy(F.window(time, "1 day").alias("day"), entity)
+    rows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, "1 day").alias("day"), entity)
     out = rows.agg(F.try_divide(F.sum(F.col(value) * w), F.sum(w)).alias("vwap"), F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
     return out.select(F.to_date("day.start").alias("day"), entity, "vwap", "n", "least", "most")
 

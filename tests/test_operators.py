@@ -1,0 +1,445 @@
+import datetime as dt
+import itertools
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from panelforge.functions import dates
+from panelforge.operators import factors, guards, lattice, match, outliers, ranks, resample, rollup, scoring, screens, signals, sorts, stats, vectors, views
+
+D = dt.date
+
+
+def month(k):
+    y, m = divmod(2010 * 12 + k, 12)
+    return (D(y + (m == 11), (m + 1) % 12 + 1, 1)) - dt.timedelta(1)
+
+
+def rows_of(df, *columns):
+    return sorted(map(tuple, df.select(*columns).collect()), key=str)
+
+
+# guards ----------------------------------------------------------------------------------------------------------
+
+
+def test_guards(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k long, v string")
+    with pytest.raises(guards.GuardError):
+        guards.require_unique(df, ["k"])
+    with pytest.raises(guards.GuardError):
+        guards.join_one(df, df, ["k"])
+    with pytest.raises(guards.GuardError):
+        guards.require_range(df, "k", high=1)
+    with pytest.raises(guards.GuardError):
+        guards.require_additive({"all": 3, "a": 1, "b": 1}, "all", ["a", "b"])
+    panel = spark.createDataFrame([(1, month(0), 1.0)], "entity long, date date, x double")
+    assert guards.require_panel(panel, "entity", "date", ["x"]).count() == 1
+    for bad in (panel.withColumn("date", F.lit(D(2010, 1, 5))), panel.union(panel), panel.withColumn("next_ret", F.lit(0))):
+        with pytest.raises(guards.GuardError):
+            guards.require_panel(bad, "entity", "date", ["x"], ["next_ret"])
+    assert guards.seam(df.filter("k = 1"), df.filter("k = 2"), "k", 2).count() == 3
+    with pytest.raises(guards.GuardError):
+        guards.seam(df, df.filter("k = 2"), "k", 2)
+    same = [x.agg(guards.row_set_hash(x)).first()[0] for x in (df, df.orderBy(F.desc("v")), df.limit(2))]
+    assert same[0] == same[1] != same[2]
+
+
+# screens ---------------------------------------------------------------------------------------------------------
+
+
+def test_screens_and_nulls(spark):
+    df = spark.createDataFrame([(5.0, "Y", "T", "2012-01-01"), (None, None, "C", "2012-01-01"), (1000.0, "N", "C", "2012-03-01"), (2000.0, "", None, None)], "p double, w string, s string, d string")
+    flags = df.select(screens.between("p", 5, 1000), screens.not_code("w"), screens.at_most_or_null("p", 10), screens.status_keep("s", "d", "T", "C", "2012-02-06"), screens.code_in("w", ["Y"])).collect()
+    assert [tuple(r) for r in flags] == [(True, False, True, True, True), (False, True, True, True, True), (True, True, False, False, False), (False, True, False, False, False)]
+    named = {"a": screens.positive("p"), "b": screens.not_code("w")}
+    assert screens.apply_screens(df, named, ["b", "a"]).count() == screens.apply_screens(df, named).count() == 2
+    assert screens.one_flip(named, ["a"]) == {"base": ["a"], "flip_a": [], "flip_b": ["a", "b"]}
+
+
+def test_decimal_shift(spark):
+    df = spark.createDataFrame([(30001.0,), (100.0,), (985.0,), (9850.0,), (5.0,), (0.5,), (None,)], "p double")
+    value, kind = screens.decimal_shift(F.col("p"), 5, 300, 30000)
+    got = [(r.v, r.k) for r in df.select(value.alias("v"), kind.alias("k")).collect()]
+    assert got == [(None, "dropped"), (100.0, "kept"), (98.5, "tenth"), (98.5, "hundredth"), (5.0, "outside"), (0.5, "outside"), (None, "outside")]
+
+
+def test_winsor_ex_ante_sees_only_the_past(spark):
+    rng = random.Random(0)
+    rows = [(k // 4, rng.gauss(0, 1)) for k in range(40)]
+    got = screens.winsor_ex_ante(spark.createDataFrame(rows, "k int, v double"), "v", "k", 0.1, 0.9, "c").collect()
+    for r in got:
+        past = [v for k, v in rows if k < r.k]
+        want = r.v if not past else min(max(r.v, np.percentile(past, 10)), np.percentile(past, 90))
+        assert abs(r.c - want) < 1e-12
+
+
+# ranks -----------------------------------------------------------------------------------------------------------
+
+
+def test_quantile_groups_are_not_ntile(spark):
+    df = spark.createDataFrame([(k, float(k)) for k in range(12)], "e int, v double").withColumn("g", F.lit(1))
+    got = df.select(ranks.quantile_group("v", "e", 5, ["g"]).alias("q")).groupBy("q").count().orderBy("q").collect()
+    assert [r["count"] for r in got] == [3, 2, 3, 2, 2]
+
+
+def test_average_ranks_and_map(spark):
+    df = spark.createDataFrame([(1, 5.0), (1, 5.0), (1, 7.0), (1, None), (2, 3.0)], "g int, v double")
+    got = rows_of(ranks.rank_map(ranks.average_rank(df, "v", ["g"], "r"), "v", ["g"], "m"), "g", "v", "r", "m")
+    assert got == sorted([(1, 5.0, 1.5, 0.5 / 2 - 0.5), (1, 5.0, 1.5, 0.5 / 2 - 0.5), (1, 7.0, 3.0, 0.5), (1, None, None, None), (2, 3.0, 1.0, 0.0)], key=str)
+
+
+# matching --------------------------------------------------------------------------------------------------------
+
+
+def test_cancellation_is_scoped(spark):
+    rows = spark.createDataFrame([(1, "b", "d1", "7"), (2, "b", "d2", "7"), (3, None, "d1", "8"), (4, "b", "d1", "9")], "id int, b string, d string, seq string")
+    cancels = spark.createDataFrame([("b", "d1", "7"), (None, "d1", "8"), ("b", "d1", " "), ("b", "d1", None)], "b string, d string, ref string")
+    assert rows_of(match.cancel(rows, cancels, ["b", "d"], "seq", "ref"), "id") == [(2,), (4,)]
+
+
+def test_net_out_consumes_in_order(spark):
+    nan = float("nan")
+    rows = spark.createDataFrame([(1, "k", 1.0), (2, "k", 1.0), (3, "k", 2.0), (4, "k", nan), (5, "k", None)], "id int, k string, p double")
+    consumers = spark.createDataFrame([("k", 1.0), ("k", nan), ("k", None), ("z", 1.0)], "k string, p double")
+    assert rows_of(match.net_out(rows, consumers, ["k", "p"], ["id"], ["p"]), "id") == [(2,), (3,), (4,), (5,)]
+    two = spark.createDataFrame([(1, "S", 5.0), (2, "B", 5.0), (3, "B", 5.0), (4, "B", 6.0)], "id int, side string, p double")
+    assert rows_of(match.dedupe_sides(two, "side", "S", ["p"], ["id"]), "id") == [(1,), (3,), (4,)]
+
+
+def test_asof_withdrawal_wins(spark):
+    events = spark.createDataFrame([("a", D(2010, 1, 5), 3), ("a", D(2010, 2, 5), None), ("a", D(2010, 4, 30), 5)], "k string, d date, v int")
+    grid = spark.createDataFrame([("a", month(k)) for k in range(5)] + [("b", month(1))], "k string, m date")
+    got = match.asof(grid, events, "k", "m", "d", ["v"]).collect()
+    assert sorted(((r.k, r.m, r.v) for r in got), key=str) == sorted([("a", month(0), 3), ("a", month(1), None), ("a", month(2), None), ("a", month(3), 5), ("a", month(4), 5), ("b", month(1), None)], key=str)
+
+
+# roll-ups --------------------------------------------------------------------------------------------------------
+
+
+def test_serial_covariance_golden(spark):
+    days = [D(2010, 1, 4) + dt.timedelta(k) for k in range(12) if (D(2010, 1, 4) + dt.timedelta(k)).weekday() < 5][:8]
+    df = spark.createDataFrame([("a", d, math.exp(0.1 * (k % 2))) for k, d in enumerate(days)], "e string, d date, p double")
+    got = rollup.serial_covariance(df, "e", "d", "p").first()
+    assert abs(got.gamma - 0.012) < 1e-12 and (got.n_pairs, got.days_traded, got.business_days) == (6, 8, 21)
+
+
+def test_daily_rules(spark):
+    df = spark.createDataFrame([("a", D(2010, 1, 4), 100.0, 5.0), ("a", D(2010, 1, 4), 110.0, 15.0), ("a", D(2010, 1, 5), None, 5.0), ("a", D(2010, 1, 6), 90.0, 0.0)], "e string, d date, p double, v double")
+    got = {r.d: r for r in rollup.daily_vwap(df, "e", "d", "p", "v").collect()}
+    assert got[D(2010, 1, 4)].vwap == 107.5 and got[D(2010, 1, 5)].vwap is None and got[D(2010, 1, 6)].vwap is None
+    assert rollup.daily_vwap(df, "e", "d", "p", "v", min_volume=100).count() == 0
+    assert rollup.daily_vwap(df, "e", "d", "p", "v", strict=True).count() == 1
+
+
+# signals ---------------------------------------------------------------------------------------------------------
+
+
+def test_returns_are_not_bridged(spark):
+    df = spark.createDataFrame([("a", month(0), 100.0), ("a", month(1), 110.0), ("a", month(3), 121.0), ("a", month(4), None), ("a", month(5), 99.0)], "e string, m date, p double")
+    got = signals.adjacent_return(df, "e", "m", "p").orderBy("m").collect()
+    assert [None if r.ret is None else round(r.ret, 10) for r in got] == [None, 0.1, None, None, None]
+
+
+def test_rolling_signals_against_brute_force(spark):
+    rng = random.Random(4)
+    months_ = sorted(rng.sample(range(90), 70))
+    rows = [("a", month(k), None if rng.random() < 0.08 else rng.gauss(0, 0.1)) for k in months_]
+    df = spark.createDataFrame(rows, "e string, m date, r double")
+    out = signals.rolling_kth_lowest(df, "e", "m", "r")
+    out = signals.rolling_std(signals.rolling_compound(out, "e", "m", "r", 3), "e", "m", "r")
+    got = {r.m: r for r in out.collect()}
+    values = {month(k): r[2] for k, r in zip(months_, rows)}
+    for i, (_, m, _) in enumerate(rows):
+        last = [r[2] for r in rows[max(0, i - 35) : i + 1] if r[2] is not None]
+        want = -sorted(last)[1] if len(last) >= 24 else None
+        assert got[m].kth == want
+        k = months_[i]
+        run = [values.get(month(j)) for j in range(k - 2, k + 1)]
+        want = np.prod([1 + v for v in run]) - 1 if None not in run else None
+        assert (got[m].momentum is None) == (want is None) and (want is None or abs(got[m].momentum - want) < 1e-12)
+        last = [r[2] for r in rows[max(0, i - 23) : i + 1] if r[2] is not None]
+        assert (got[m].vol is None) == (len(last) < 18) and (len(last) < 18 or abs(got[m].vol - np.std(last, ddof=1)) < 1e-12)
+
+
+def test_stale_prices_reach_the_next_month_only(spark):
+    rows = [("a", month(0), D(2010, 1, 5), 1.0, 0.1), ("a", month(1), month(1), 1.0, 0.2), ("a", month(3), D(2010, 4, 2), 1.0, 0.3), ("a", month(5), month(5), 1.0, 0.4), ("a", month(6), None, 1.0, 0.5)]
+    got = signals.stale_mask(spark.createDataFrame(rows, "e string, m date, t date, p double, r double"), "e", "m", "t", 14, "p", ["r"]).orderBy("m").collect()
+    assert [(r.p, r.r) for r in got] == [(None, None), (1.0, None), (None, None), (1.0, 0.4), (1.0, 0.5)]
+
+
+def test_turnover_counts_exits(spark):
+    rows = [("a", month(0), 0.5), ("b", month(0), 0.5), ("a", month(1), 1.0)]
+    got = signals.turnover(spark.createDataFrame(rows, "e string, m date, w double"), "e", "m", "w").orderBy("m").collect()
+    assert [r.turnover for r in got] == [1.0, 1.0]
+
+
+# views -----------------------------------------------------------------------------------------------------------
+
+
+def test_views(spark):
+    df = spark.createDataFrame([("a", month(0), 1.0, 2.0, "default"), ("b", month(0), 3.0, 4.0, None)], "cusip string, date date, ret_raw double, ret_corr double, exit_reason string")
+    assert views.select_family(df, "corr", ["raw", "corr"]).columns == ["cusip", "date", "ret", "exit_reason"]
+    assert rows_of(views.drop_exits(df, "exit_reason", ["default"]), "cusip") == [("b",)]
+    with pytest.raises(guards.GuardError):
+        views.signal_column(["x_corr"], "x", "raw", ["raw", "corr"])
+    twice = spark.createDataFrame([("a", month(0), 1.0)] * 2, "cusip string, date date, s_raw double")
+    with pytest.raises(guards.GuardError):
+        views.view(df, "raw", ["raw", "corr"], ["cusip", "date"], signals=twice, names=["s"])
+    with pytest.raises(guards.GuardError):
+        views.month_cut(df, "date", "2010-01-31", "2012-01-31", wall="2011-12-31")
+
+
+# outliers --------------------------------------------------------------------------------------------------------
+
+
+def flags_of(spark, prices, flag):
+    df = spark.createDataFrame([("a", D(2010, 1, 1) + dt.timedelta(k), *[float(p)] * 3) for k, p in enumerate(prices)], "e string, d date, p double, lo double, hi double")
+    got = outliers.distress_flags(df, "e", "d", "p", "lo", "hi").orderBy("d").collect()
+    return {k for k, r in enumerate(got) if r[flag]}
+
+
+def test_distress_vectors(spark):
+    assert flags_of(spark, [10, 10.5, 9.5, 10.2, 0.05, 10.1, 10.3, 9.8, 10, 10.2], "flagged_anomaly") == {4}
+    assert flags_of(spark, [2.0, 2, 2, 2, 2, 10, 2, 2], "flagged_spike") == {5}
+    assert flags_of(spark, [1.2, 1.3, 1.1, 0.5, 0.5, 0.5, 1.3, 1.2], "flagged_plateau") == {3, 4, 5}
+
+
+def test_bounce_vectors(spark):
+    gone = lambda ps: {k for k, b in enumerate(outliers.bounces(ps)) if b}
+    assert gone([100, 100.5, 99.5, 100, 100.5, 1.87, 100, 100]) == {5}
+    assert gone([99, 101, 98, 102, 100, 200, 100, 100]) == {5}
+    assert gone([100, 100.5, 101, 100, 100, 50, 49, 51, 50, 50]) == set()
+    rows = [(s, k, float(p)) for s in ("x", "y") for k, p in enumerate([100, 100.5, 99.5, 100, 100.5, 1.87, 100, 100])]
+    df = spark.createDataFrame(rows, "s string, k int, p double").repartition(5)
+    assert rows_of(outliers.bounce_back(df, "s", "p", ["k"]).filter("bounced"), "s", "k") == [("x", 5), ("y", 5)]
+
+
+# sorts -----------------------------------------------------------------------------------------------------------
+
+
+def synthetic(spark, seed=1, entities=40, months_=18):
+    rng = random.Random(seed)
+    rows = [(f"e{e:02}", month(m), rng.gauss(0, 0.05), rng.uniform(1, 9), rng.gauss(0, 1), rng.gauss(0, 1)) for e in range(entities) for m in range(months_) if rng.random() < 0.9]
+    return rows, spark.createDataFrame(rows, "entity string, date date, ret double, size double, score double, other double")
+
+
+def brute_sort(rows, lag, groups, long, short, by_size, control=None, control_groups=1, least=10):
+    at = {(r[0], r[1]): r for r in rows}
+    all_months = sorted({r[1] for r in rows})
+    out = {}
+    for k, m in enumerate(all_months):
+        pool = []
+        for e in sorted({r[0] for r in rows}):
+            now = at.get((e, m))
+            before = at.get((e, all_months[k - lag])) if k >= lag else None
+            after = at.get((e, all_months[k + 1])) if k + 1 < len(all_months) else None
+            if now and before and after:
+                pool.append((before[4], e, now, after[2]))
+        if len(pool) < least:
+            continue
+        score = {e: i * groups // len(pool) for i, (_, e, _, _) in enumerate(sorted(pool, key=lambda x: x[:2]))}
+        ctrl = {e: i * control_groups // len(pool) for i, (_, e, _, _) in enumerate(sorted(pool, key=lambda x: (x[2][5], x[1])))} if control else {x[1]: 0 for x in pool}
+        spreads = []
+        for c in range(control_groups if control else 1):
+            legs = []
+            for g in (long, short):
+                own = [(x[2][3] if by_size else 1.0, x[3]) for x in pool if score[x[1]] == g and ctrl[x[1]] == c]
+                legs.append(sum(w * v for w, v in own) / sum(w for w, _ in own) if own else None)
+            if None not in legs:
+                spreads.append(legs[0] - legs[1])
+        if spreads:
+            out[all_months[k + 1]] = sum(spreads) / len(spreads)
+    return out
+
+
+@pytest.mark.parametrize("lag,by_size,control", [(0, False, None), (1, True, None), (0, False, "other")])
+def test_sorts_against_brute_force(spark, lag, by_size, control):
+    rows, df = synthetic(spark)
+    book = sorts.Rulebook(score="score", lag=lag, by_size=by_size, control=control, control_groups=3)
+    got = {r.date: r.strategy_ret for r in sorts.characteristic_sort(df, book).collect()}
+    want = brute_sort(rows, lag, 5, 4, 0, by_size, control, 3)
+    assert got.keys() == want.keys() and all(abs(got[m] - want[m]) < 1e-12 for m in want)
+
+
+def test_sort_invariants(spark):
+    _, df = synthetic(spark, 2)
+    book = sorts.Rulebook(score="score")
+    base = {r.date: r.strategy_ret for r in sorts.characteristic_sort(df, book).collect()}
+    flipped = sorts.Rulebook(score="score", long_group=0, short_group=4)
+    assert all(abs(base[r.date] + r.strategy_ret) < 1e-12 for r in sorts.characteristic_sort(df, flipped).collect())
+    moved = df.withColumn("score", F.exp("score") * 3)
+    assert all(abs(base[r.date] - r.strategy_ret) < 1e-12 for r in sorts.characteristic_sort(moved, book).collect())
+    one = sorts.overlapping_sort(df, book, 1).collect()
+    assert {r.date for r in one} == set(base) and all(abs(base[r.date] - r.strategy_ret) < 1e-12 for r in one)
+    assert max(r.n_cohorts for r in sorts.overlapping_sort(df, book, 3).collect()) == 3
+    with pytest.raises(guards.GuardError):
+        sorts.Rulebook(score="score", long_group=9)
+    with pytest.raises(guards.GuardError):
+        sorts.overlapping_sort(df, sorts.Rulebook(score="score", control="other"), 2)
+    with pytest.raises(guards.GuardError):
+        sorts.factor_book("nothing")
+
+
+def test_trim_is_resolved_once(spark):
+    _, df = synthetic(spark, 3)
+    book = sorts.Rulebook(score="score", trim="winsorise", trim_low=0.05, trim_high=0.95, trim_percentile=True)
+    fixed = sorts.resolve_trim(signals.lagged_panel(df, "entity", "date", "ret", "score", 0), book)
+    eligible = [r.next_ret for r in signals.lagged_panel(df, "entity", "date", "ret", "score", 0).filter("next_ret is not null").collect()]
+    assert np.allclose([fixed.trim_low, fixed.trim_high], np.percentile(eligible, [5, 95]))
+    got = sorts.grouped(df, book).agg(F.min("next_ret"), F.max("next_ret")).first()
+    assert got[0] >= fixed.trim_low and got[1] <= fixed.trim_high
+
+
+# lattice ---------------------------------------------------------------------------------------------------------
+
+
+def test_four_cells(spark):
+    t = spark.createDataFrame([(0, 1.0), (1, 4.0), (2, 2.0), (3, 6.0)], "mask int, value double")
+    assert rows_of(lattice.dividends(t), "mask", "dividend") == [(0, 1.0), (1, 3.0), (2, 1.0), (3, 1.0)]
+    assert rows_of(lattice.shapley(t, 2), "bit", "share") == [(0, 3.5), (1, 1.5)]
+    assert {r.mask: r.effect for r in lattice.walsh(t).collect()}[1] == 3.5
+    assert rows_of(lattice.marginals(t, 2), "bit", "base", "marginal") == [(0, 0, 3.0), (0, 2, 4.0), (1, 0, 1.0), (1, 1, 2.0)]
+    got = lattice.partition_gap(t, 2).first()
+    assert tuple(got) == (3.0, 1.0, 1.0, 5.0)
+    assert lattice.partition_gap(t, 0).first()["second"] is None
+    assert lattice.compression(lattice.walsh(t)).first()[0] == 0.0
+    flat = spark.createDataFrame([(k, 1.0) for k in range(4)], "mask int, value double")
+    assert lattice.compression(lattice.walsh(flat)).first()[0] is None
+
+
+def test_cells_match_one_filter_each(spark):
+    df = spark.range(500).select((F.col("id") % 7).alias("a"), (F.col("id") % 5).alias("b"), "id")
+    conditions = [F.col("a") > 2, F.col("b") < 3, F.col("id") % 2 == 0]
+    got = {r.mask: r.n for r in lattice.cells(df, conditions, [], {"n": F.count("*")}).collect()}
+    for mask in range(8):
+        rows = df
+        for b, c in enumerate(conditions):
+            rows = rows.filter(c) if mask >> b & 1 else rows
+        assert got[mask] == rows.count()
+
+
+# statistics ------------------------------------------------------------------------------------------------------
+
+
+def test_summary_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, month(k), float(v)) for s, n in (("a", 71), ("b", 5), ("c", 1)) for k, v in enumerate(rng.normal(0.01, 0.02, n))]
+    got = {r.s: r for r in stats.summary(spark.createDataFrame(rows, "s string, d date, v double"), ["s"], "d", "v").collect()}
+    for s in "ab":
+        y = np.array([r[2] for r in rows if r[0] == s])
+        n = len(y)
+        lags = min(math.floor(4 * (n / 100) ** (2 / 9)), n - 1)
+        u = y - y.mean()
+        v = (u @ u + sum(2 * (1 - k / (lags + 1)) * (u[k:] @ u[:-k]) for k in range(1, lags + 1))) / n**2
+        assert got[s].lags == lags and abs(got[s].t_stat - y.mean() / math.sqrt(v)) < 1e-9
+        assert abs(got[s].sharpe - y.mean() / y.std(ddof=1) * math.sqrt(12)) < 1e-9
+        beta, error = stats.hac_regression(y, np.zeros((n, 0)), lags)
+        assert abs(beta[0] / error[0] - got[s].t_stat) < 1e-9
+    assert (got["c"].n_months, got["c"].sharpe, got["c"].t_stat, got["c"].deviation, got["c"].lags) == (1, None, None, None, 0)
+
+
+def test_benjamini_hochberg(spark):
+    ps = [0.01, 0.04, 0.03, None, float("nan"), 0.04]
+    got = stats.benjamini_hochberg(spark.createDataFrame(list(enumerate(ps)), "k int, p double"), "p", ["k"], 0.1).orderBy("k").collect()
+    assert [round(r.adjusted_p, 10) for r in got] == [0.06, 0.06, 0.06, 1.0, 1.0, 0.06]
+    assert [r.rejected for r in got] == [True, True, True, False, False, True]
+
+
+@pytest.mark.parametrize("purge,embargo", [(0, 0), (2, 3)])
+def test_folds_against_brute_force(spark, purge, embargo):
+    n, groups = 23, 5
+    sizes = [n // groups + (g < n % groups) for g in range(groups)]
+    blocks = np.split(np.arange(n), np.cumsum(sizes)[:-1])
+    got = {(r.fold, r.pos): r.role for r in stats.fold_table(spark, n, groups, 2, purge, embargo).collect()}
+    for f, combo in enumerate(itertools.combinations(range(groups), 2)):
+        test = sorted(np.concatenate([blocks[g] for g in combo]))
+        ends = [t for t in test if t + 1 not in test]
+        for pos in range(n):
+            near = min(abs(pos - t) for t in test) <= purge or any(0 < pos - e <= embargo for e in ends)
+            assert got[f, pos] == ("test" if pos in test else "dropped" if near else "train")
+
+
+def test_tails_and_bands():
+    assert abs(stats.student_tail(2.0, 10) - 0.036694) < 1e-6 and abs(stats.student_tail(-2.0, 10) - 0.963306) < 1e-6
+    assert stats.equivalence(0.0, 1.0, 30, 3.0) < 0.01 < stats.equivalence(2.5, 1.0, 30, 3.0)
+    low, high = stats.binomial_band(50, 0.05)
+    assert (low, high) == (0, 6)
+
+
+def test_break_even_refusals(spark):
+    g = spark.createDataFrame([(month(0), -0.1), (month(1), 0.05)], "d date, v double")
+    t = spark.createDataFrame([(month(0), 0.5), (month(1), 0.5)], "d date, turnover double")
+    assert stats.break_even(g, t, "d", "v").first().status == "non_positive_gross"
+    assert stats.break_even(g, t.withColumn("turnover", F.lit(0.0)), "d", "v").first().status == "zero_turnover"
+
+
+def test_kappa_degenerate(spark):
+    df = spark.createDataFrame([("a", "a")] * 3, "x string, y string")
+    assert scoring.cohen_kappa(df, "x", "y").first().kappa is None
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("b", "b")], "x string, y string")
+    assert abs(scoring.cohen_kappa(df, "x", "y").first().kappa - 0.5) < 1e-12
+
+
+# resampling and factors -----------------------------------------------------------------------------------------
+
+
+def test_bootstrap_is_reproducible_and_synchronised(spark):
+    rows = [(s, month(k), float(k % 7) + add) for k in range(80) for s, add in (("a", 0.0), ("b", 5.0))]
+    df = spark.createDataFrame(rows, "s string, d date, v double")
+    for scheme in ("circular", "stationary"):
+        draws = [rows_of(resample.block_bootstrap(x, "s", "d", "v", 50, 4, scheme=scheme), "replicate", "series", "value") for x in (df, df.repartition(3))]
+        assert draws[0] == draws[1] and len(draws[0]) == 100
+        by = {(r, s): v for r, s, v in draws[0]}
+        assert all(abs(by[r, "b"] - by[r, "a"] - 5) < 1e-9 for r in range(50))
+    got = {r.series: r for r in resample.intervals(resample.block_bootstrap(df, "s", "d", "v", 400, 4)).collect()}
+    assert got["a"].low < np.mean([r[2] for r in rows if r[0] == "a"]) < got["a"].high
+    with pytest.raises(guards.GuardError):
+        resample.block_bootstrap(df, "s", "d", "v", 10, 40)
+
+
+def test_positions():
+    rng = np.random.default_rng(0)
+    p = resample.circular_positions(20, 6, rng)
+    assert len(p) == 20 and all((b - a) % 20 == 1 for a, b in zip(p[:6], p[1:6]))
+    lengths = np.diff(np.flatnonzero(np.append(np.diff(resample.stationary_positions(20000, 5, rng)) % 20000 != 1, True)))
+    assert 4.6 < lengths.mean() < 5.4
+
+
+def test_factor_model_recovers_its_own_data(spark):
+    rng = np.random.default_rng(5)
+    gamma, _ = np.linalg.qr(rng.normal(size=(4, 2)))
+    rows = []
+    for t in range(40):
+        f = rng.normal(0.3, [1.0, 0.4])
+        for _ in range(30):
+            z = rng.normal(size=4)
+            rows.append((t, *map(float, z), float(z @ gamma @ f)))
+    df = spark.createDataFrame(rows, "t int, a double, b double, c double, d double, r double")
+    m = factors.collect_moments(df, "t", list("abcd"), "r")
+    fitted = factors.fit(m, 2)
+    assert fitted.converged and factors.managed_r2(m, fitted) > 1 - 1e-8
+    assert np.allclose(fitted.gamma @ fitted.gamma.T, gamma @ gamma.T, atol=1e-5)
+    assert np.allclose(fitted.gamma.T @ fitted.gamma, np.eye(2)) and (fitted.factors.mean(0) >= 0).all()
+    months_, out = factors.out_of_sample(m, 2, 30)
+    assert months_ == list(range(30, 40)) and out.shape == (10, 2)
+    w = factors.tangency(fitted.factors)
+    assert abs(np.std(fitted.factors @ w, ddof=1) - 1) < 1e-9
+    with pytest.raises(guards.GuardError):
+        factors.collect_moments(df.limit(0), "t", ["a"], "r")
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(60, 5))
+    df = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(v)], "id long, v array<float>")
+    got = vectors.nearest(df.filter("id % 20 = 0"), df, "id", "id", "v", 3)
+    unit = v.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for q in (0, 20, 40):
+        want = [int(k) for k in np.argsort(-(unit @ unit[q]), kind="stable") if k != q][:3]
+        assert [r.neighbour for r in got.filter(F.col("query") == q).orderBy(F.desc("similarity")).collect()] == want
+    with pytest.raises(guards.GuardError):
+        vectors.nearest(df, df, "id", "id", "v", 3, most_queries=10)
