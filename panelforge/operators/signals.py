@@ -48,14 +48,14 @@ def stale_mask(panel: DataFrame, entity: str, date: str, last_trade: str, days:
 
 
 def lagged_panel(panel: DataFrame, entity: str, date: str, ret: str, score: str, lag: int) -> DataFrame:
-    """next_ret, the return at the next month end, and ranking_score, the score ``lag`` month ends before; null where
-    that month has no row.  Calendar joins on (entity, month)."""
-    following = panel.select(F.col(entity).alias("__e1__"), dates.shift_month_end(F.col(date), -1).alias("__d1__"), F.col(ret).alias("next_ret"))
-    rows = panel.join(following, (F.col(entity) == F.col("__e1__")) & (F.col(date) == F.col("__d1__")), "left").drop("__e1__", "__d1__")
-    if lag == 0:
-        return rows.withColumn("ranking_score", F.col(score))
-    earlier = panel.select(F.col(entity).alias("__e2__"), dates.shift_month_end(F.col(date), lag).alias("__d2__"), F.col(score).alias("ranking_score"))
-    return rows.join(earlier, (F.col(entity) == F.col("__e2__")) & (F.col(date) == F.col("__d2__")), "left").drop("__e2__", "__d2__")
+    """next_ret, the return of the month after, and ranking_score, the score of ``lag`` months before; null where that
+    month has no row.
+
+    Frames over month numbers find exactly that month, gaps or not, so the panel is read and shuffled once; a join of
+    the panel with itself would do both once more for each column.  (entity, date) has to be unique.
+    """
+    months = Window.partitionBy(entity).orderBy(dates.month_index(F.col(date)))
+    return panel.withColumns({"next_ret": F.first(ret).over(months.rangeBetween(1, 1)), "ranking_score": F.first(score).over(months.rangeBetween(-lag, -lag)) if lag else F.col(score)})
 
 
 def rolling_kth_lowest(panel: DataFrame, entity: str, date: str, ret: str, k: int = 2, rows: int = 36, least: int = 24, out: str = "kth") -> DataFrame:
