@@ -110,3 +110,24 @@ def multiple_testing_flag(t: Column, trials: Column, required: Column) -> Column
 def sweep(base: DataFrame, grid: DataFrame, value: Column) -> DataFrame:
     """An aggregate at every row of a small grid of parameters."""
     return base.join(F.broadcast(grid), F.lit(True)).groupBy(*grid.columns).agg(value.alias("value"))
+
+
+def monthly_effects(series: DataFrame, date: str, value: str, k: int) -> DataFrame:
+    """(mask, date, value): the effects of each month's cells, in months that all 2 ** k cells have."""
+    s = series.filter(F.col(value).isNotNull()).select(F.col("mask").alias("s"), date, F.col(value).alias("__v__"))
+    t = F.explode(F.sequence(F.lit(0), F.lit((1 << k) - 1))).alias("mask")
+    sign = F.when(F.bit_count(F.col("mask").bitwiseAND(F.bitwise_not("s"))) % 2 == 0, 1.0).otherwise(-1.0)
+    out = s.select("s", date, "__v__", t).groupBy("mask", date).agg(F.count("*").alias("__n__"), (2 * F.avg(sign * F.col("__v__"))).alias("value"))
+    return out.filter(F.col("__n__") == (1 << k)).drop("__n__")
+
+
+def infer_effects(effects: DataFrame, date: str, inert_below: float = 1e-12) -> DataFrame:
+    """By coordinate: months, mean effect, t and p of its monthly series; an effect that is nothing in every month isn't
+    tested (t 0, p 1)."""
+    from .stats import mean_p_value, summary
+
+    out = summary(effects, ["mask"], date, "value")
+    size = effects.groupBy(F.col("mask").alias("__m__")).agg(F.max(F.abs("value")).alias("__size__"))
+    out = out.join(size, F.col("mask") == F.col("__m__")).withColumn("inert", F.col("__size__") <= inert_below)
+    t = F.when(F.col("inert"), 0.0).otherwise(F.col("t_stat"))
+    return out.select("mask", "n_months", F.col("average").alias("effect"), t.alias("t_stat"), F.when(F.col("inert"), 1.0).otherwise(mean_p_value(F.col("t_stat"))).alias("p_value"), "inert")

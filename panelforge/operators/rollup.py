@@ -116,3 +116,24 @@ def spread(a: DataFrame, b: DataFrame, on: str, value: str, until: str | None =
     both = a.select(on, F.col(value).alias("__a__")).join(b.select(on, F.col(value).alias("__b__")), on)
     both = both.select(on, (F.col("__a__") - F.col("__b__")).alias("spread")).filter("spread is not null")
     return both.filter(F.col(on) <= until) if until is not None else both
+
+
+def variant_impact(base: DataFrame, variant: DataFrame, entity: str, date: str, ret: str, share_of: float = 0.1, moved: float = 1e-4) -> DataFrame:
+    """What another cleaning does to monthly returns: rows, affected rows, share moved by ``moved`` or more, greatest
+    move, and how much likelier affected rows are to be in an extreme decile of two sorts on past returns.
+
+    A row that the variant doesn't have is affected.  Deciles are exact and over the whole base.
+    """
+    w = Window.partitionBy(entity).orderBy(date)
+    rows = base.filter(F.col(ret).isNotNull()).select(entity, date, F.col(ret).alias("__r__")).withColumn("__one__", F.lag("__r__").over(w))
+    six = w.rowsBetween(-5, 0)
+    rows = rows.withColumn("__six__", F.when(F.count("__one__").over(six) == 6, F.sum(F.log1p("__one__")).over(six)))
+    cuts = rows.agg(*[F.percentile(c, p).alias(f"{c}{k}") for c in ("__one__", "__six__") for k, p in enumerate((share_of, 1 - share_of))])
+    rows = rows.join(F.broadcast(cuts), F.lit(True))
+    far = lambda c: F.coalesce((F.col(c) <= F.col(f"{c}0")) | (F.col(c) >= F.col(f"{c}1")), F.lit(False))
+    rows = rows.withColumn("__far__", (far("__one__") | far("__six__")).cast("double"))
+    both = rows.join(variant.select(entity, date, F.col(ret).alias("__v__")), [entity, date], "left")
+    d = F.abs(F.col("__v__") - F.col("__r__"))
+    hit = F.col("__v__").isNull() | (d > 0)
+    out = both.agg(F.count("*").alias("n"), F.count_if(hit).alias("n_affected"), (F.count_if(d >= moved) / F.count("*")).alias("share_moved"), F.max(d).alias("max_move"), F.avg(F.when(hit, F.col("__far__"))).alias("a"), F.avg(F.when(~hit, F.col("__far__"))).alias("b"))
+    return out.select("n", "n_affected", "share_moved", "max_move", F.when(F.col("b") > 0, F.coalesce("a", F.lit(0.0)) / F.col("b")).alias("lift"))

@@ -124,18 +124,39 @@ def winsor_ex_post(df: DataFrame, column: str, low: float, high: float, out: str
     return df.withColumn(out, clip(F.col(column), *bounds))
 
 
-def winsor_ex_ante(df: DataFrame, column: str, period: str, low: float, high: float, out: str) -> DataFrame:
-    """Values clipped at percentiles of all strictly earlier periods' values; without any they stay.
+def past_percentiles(df: DataFrame, column: str, period: str, levels: Sequence[float], bins: int = 64) -> DataFrame:
+    """(later, p0, p1, ...): for each period the exact percentiles, linear between two values, of all values of
+    strictly earlier periods; null without any.
 
-    ``period`` is an integer column.  The bounds are one row a period: each period's values meet its earlier ones by
-    the number of the later period, so no single task holds the whole column in a running frame.
+    Values fall into ``bins`` by cuts near their quantiles.  Counts by period and bin say which bin holds the wanted
+    ranks of each period, and only the values in those bins meet the period.
     """
+    rows = df.filter(F.col(column).isNotNull()).select(F.col(period).alias("k"), F.col(column).alias("v"))
+    cuts = sorted(set(rows.agg(F.percentile_approx("v", [i / bins for i in range(1, bins)], 1000)).first()[0] or []))
+    bin_ = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("v"))) if cuts else F.lit(0)
+    counts = rows.groupBy("k", bin_.alias("bin"), "v").agg(F.count("*").alias("n"))
     periods = df.select(F.col(period).alias("later")).distinct()
-    earlier = df.filter(F.col(column).isNotNull()).select(F.col(period).alias("earlier"), F.col(column).alias("v"))
-    counts = earlier.groupBy("earlier", "v").agg(F.count("*").alias("n"))
-    bounds = periods.join(counts, F.col("earlier") < F.col("later")).groupBy("later").agg(F.percentile("v", low, F.col("n")).alias("lo"), F.percentile("v", high, F.col("n")).alias("hi"))
+    small = counts.groupBy("k", "bin").agg(F.sum("n").alias("n"))
+    held = periods.join(small, F.col("k") < F.col("later")).groupBy("later", "bin").agg(F.sum("n").alias("n"))
+    by_bin = Window.partitionBy("later").orderBy("bin")
+    held = held.withColumns({"upto": F.sum("n").over(by_bin), "total": F.sum("n").over(Window.partitionBy("later"))}).withColumn("before", F.col("upto") - F.col("n"))
+    ranks = [F.struct(F.lit(2 * i + j).alias("which"), F.least(F.floor((F.col("total") - 1) * p) + j, F.col("total") - 1).alias("rank")) for i, p in enumerate(levels) for j in (0, 1)]
+    wanted = held.select("later", "bin", "before", "upto", "total", F.inline(F.array(*ranks))).filter("rank >= before and rank < upto")
+    near = wanted.select("later", "which", "total", F.col("bin").alias("b"), (F.col("rank") - F.col("before")).alias("place"))
+    met = near.join(counts, (F.col("b") == F.col("bin")) & (F.col("k") < F.col("later"))).groupBy("later", "which", "total", "place", "v").agg(F.sum("n").alias("n"))
+    met = met.withColumn("upto", F.sum("n").over(Window.partitionBy("later", "which").orderBy("v"))).filter("upto > place")
+    found = met.groupBy("later", "total").pivot("which", list(range(2 * len(levels)))).agg(F.min("v"))
+    share = lambda p: (F.col("total") - 1) * p - F.floor((F.col("total") - 1) * p)
+    mixed = [(F.col(f"{2 * i}") + (F.col(f"{2 * i + 1}") - F.col(f"{2 * i}")) * share(p)).alias(f"p{i}") for i, p in enumerate(levels)]
+    return periods.join(found.select(F.col("later"), *mixed), "later", "left")
+
+
+def winsor_ex_ante(df: DataFrame, column: str, period: str, low: float, high: float, out: str) -> DataFrame:
+    """Values clipped at percentiles of all strictly earlier periods' values; without any they stay.  ``period`` is a
+    number."""
+    bounds = past_percentiles(df, column, period, [low, high])
     rows = df.join(bounds, F.col(period) == F.col("later"), "left")
-    return rows.withColumn(out, clip(F.col(column), F.col("lo"), F.col("hi"))).drop("later", "lo", "hi")
+    return rows.withColumn(out, clip(F.col(column), F.col("p0"), F.col("p1"))).drop("later", "p0", "p1")
 
 
 def tercile(df: DataFrame, column: str, group: str, top: bool) -> DataFrame:

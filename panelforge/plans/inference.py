@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import factors, resample, scoring, stats
-from .base import SERIES, months, months_sql, r, rounded, series, stable, table
+from ..operators import bayes, factors, lattice, resample, rollup, scoring, signals, stats
+from .base import SERIES, daily, months, months_sql, r, rounded, series, stable, table, trades
 
 QUERIES = {}
 ORACLES = {}
@@ -306,3 +307,88 @@ def ipca_fit(spark: SparkSession, sf: str) -> DataFrame:
     fitted = factors.fit(moments, 2, 1e-5, 500)
     rows = [(n, k, float(fitted.gamma[i, k]), float(factors.managed_r2(moments, fitted))) for i, n in enumerate(names) for k in range(2)]
     return spark.createDataFrame(rows, "instrument string, factor int, loading double, managed_r2 double")
+
+
+_EFFECT_CELLS = """trades AS (SELECT l_suppkey, l_shipdate::DATE AS day, l_extendedprice / l_quantity AS price, l_quantity AS qty, l_discount FROM lineitem),
+prices AS (SELECT m.mask::INT AS mask, last_day(day) AS date, sum(price * qty) / sum(qty) AS p FROM trades, generate_series(0, 3) m(mask) WHERE (m.mask & 1 = 0 OR qty >= 10) AND (m.mask & 2 = 0 OR l_discount > 0.02) GROUP BY ALL),
+rets AS (SELECT mask, date, round(p / lag(p) OVER (PARTITION BY mask ORDER BY date) - 1, 8) AS v FROM prices),
+effects AS (SELECT t.mask::INT AS mask, s.date, round(2 * avg((CASE WHEN bit_count((t.mask & ~s.mask)::INT) % 2 = 0 THEN 1 ELSE -1 END) * s.v), 8) AS value FROM rets s, generate_series(0, 3) t(mask) WHERE s.v IS NOT NULL GROUP BY ALL HAVING count(*) = 4)"""
+
+
+@query(f"""WITH {_EFFECT_CELLS}, {summary_sql("mask", "effects", "date", "value")}, e AS (SELECT mask, n, m, m / (sqrt(s) / n) AS t FROM s1 JOIN h USING (mask))
+SELECT mask, n AS n_months, round(m, 8) AS effect, round(t, 6) AS t_stat, round(2 * (1 - {cdf_sql("abs(t)")}), 8) AS p_value, false AS inert FROM e""")
+def doe_inference(spark: SparkSession, sf: str) -> DataFrame:
+    rows = trades(spark, sf, "l_discount").withColumn("date", F.last_day("day"))
+    cells = lattice.cells(rows, [F.col("qty") >= 10, F.col("l_discount") > 0.02], ["date"], {"pv": F.sum(F.col("price") * F.col("qty")), "v": F.sum("qty")})
+    before = F.lag(F.col("pv") / F.col("v")).over(Window.partitionBy("mask").orderBy("date"))
+    rets = cells.select("mask", "date", r(F.col("pv") / F.col("v") / before - 1, 8).alias("v"))
+    out = lattice.infer_effects(rounded(lattice.monthly_effects(rets, "date", "v", 2), "value", digits=8), "date")
+    return rounded(rounded(out, "effect", "p_value", digits=8), "t_stat")
+
+
+@query("""WITH trades AS (SELECT l_suppkey, last_day(l_shipdate::DATE) AS month, l_shipdate::DATE AS day, l_extendedprice / l_quantity AS price, l_quantity AS qty FROM lineitem),
+d AS (SELECT l_suppkey, month, day, sum(price * qty) / sum(qty) AS b, sum(price * qty) FILTER (qty >= 8) / sum(qty) FILTER (qty >= 8) AS v FROM trades GROUP BY ALL),
+p AS (SELECT l_suppkey, month, round(arg_max(b, day), 6) AS b FROM d GROUP BY ALL), q AS (SELECT l_suppkey, month, round(arg_max(v, day), 6) AS v FROM d WHERE v IS NOT NULL GROUP BY ALL),
+rb AS (SELECT l_suppkey, month, CASE WHEN lag(month) OVER w = last_day(month - INTERVAL 1 MONTH) THEN b / lag(b) OVER w - 1 END AS r FROM p WINDOW w AS (PARTITION BY l_suppkey ORDER BY month)),
+rv AS (SELECT l_suppkey, month, CASE WHEN lag(month) OVER w = last_day(month - INTERVAL 1 MONTH) THEN v / lag(v) OVER w - 1 END AS r FROM q WINDOW w AS (PARTITION BY l_suppkey ORDER BY month)),
+x AS (SELECT l_suppkey, month, r, lag(r) OVER (PARTITION BY l_suppkey ORDER BY month) AS one FROM rb WHERE r IS NOT NULL),
+y AS (SELECT *, CASE WHEN count(one) OVER w = 6 THEN sum(ln(1 + one)) OVER w END AS six FROM x WINDOW w AS (PARTITION BY l_suppkey ORDER BY month ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
+c AS (SELECT quantile_cont(one, 0.1) AS a0, quantile_cont(one, 0.9) AS a1, quantile_cont(six, 0.1) AS b0, quantile_cont(six, 0.9) AS b1 FROM y),
+z AS (SELECT y.*, (coalesce(one <= a0 OR one >= a1, false) OR coalesce(six <= b0 OR six >= b1, false))::INT AS far, rv.r AS v FROM y CROSS JOIN c LEFT JOIN rv USING (l_suppkey, month))
+SELECT count(*) AS n, count(*) FILTER (v IS NULL OR abs(v - r) > 0) AS n_affected, round(count(*) FILTER (abs(v - r) >= 1e-4) / count(*), 8) AS share_moved, round(max(abs(v - r)), 8) AS max_move,
+  round(avg(far) FILTER (v IS NULL OR abs(v - r) > 0) / avg(far) FILTER (v IS NOT NULL AND NOT abs(v - r) > 0), 8) AS lift FROM z""")
+def variant_impact(spark: SparkSession, sf: str) -> DataFrame:
+    def returns(least: float | None) -> DataFrame:
+        rows = rounded(rollup.month_last_price(daily(spark, sf, "l_suppkey", least), "l_suppkey", "day"), "price")
+        return signals.adjacent_return(rows, "l_suppkey", "month", "price")
+
+    return rounded(rollup.variant_impact(returns(None), returns(8), "l_suppkey", "month", "ret"), "share_moved", "max_move", "lift", digits=8)
+
+
+@query("""WITH s AS (SELECT s_suppkey, s_acctbal, s_nationkey, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE round(s_acctbal / 100, 2) END AS m FROM supplier)
+SELECT s_suppkey, (row_number() OVER (ORDER BY m DESC NULLS LAST, s_nationkey, s_suppkey))::INT AS place FROM s QUALIFY place <= 10""")
+def selected_survivors(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten with the highest score, of equals the fewest changes, then the least id; missing scores last."""
+    rows = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", F.when(F.col("s_suppkey") % 7 != 0, r(F.col("s_acctbal") / 100, 2)).alias("m"))
+    order = [F.col("m").desc_nulls_last(), F.col("s_nationkey"), F.col("s_suppkey")]
+    return rows.orderBy(*order).limit(10).select("s_suppkey", F.row_number().over(Window.orderBy(*order)).alias("place"))
+
+
+@query(f"""WITH {SERIES}, d AS (SELECT row_number() OVER (ORDER BY date) AS k, value FROM series WHERE name = 'ew'), g AS (SELECT q, avg(value * (CASE WHEN (k * 2654435761 + q * 40503) % 1000003 % 2 = 0 THEN 1 ELSE -1 END)) AS v FROM d, generate_series(1, 199) t(q) GROUP BY 1),
+o AS (SELECT avg(value) AS obs FROM d) SELECT round((count(*) FILTER (abs(round(v, 10)) >= abs(round(obs, 10))) + 1) / (count(v) + 1), 8) AS p_value FROM g, o""")
+def sign_permutation(spark: SparkSession, sf: str) -> DataFrame:
+    """A mean against 199 stated patterns of signs."""
+    rows = series(spark, sf).filter("name = 'ew'").withColumn("k", F.row_number().over(Window.orderBy("date")))
+    observed = rows.agg(r(F.avg("value"), 10)).first()[0]
+    signs = rows.withColumn("q", F.explode(F.sequence(F.lit(1), F.lit(199))))
+    sign = F.when((F.col("k").cast("long") * 2654435761 + F.col("q").cast("long") * 40503) % 1000003 % 2 == 0, 1).otherwise(-1)
+    draws = signs.groupBy("q").agg(r(F.avg(F.col("value") * sign), 10).alias("v"))
+    return rounded(stats.permutation_p(observed, draws, "v"), "p_value", digits=8)
+
+
+@query()
+def effect_posterior(spark: SparkSession, sf: str) -> DataFrame:
+    """Posteriors of the mean returns of both series, their covariance from the bootstrap."""
+    wide = resample.block_bootstrap(series(spark, sf), "name", "date", "value", 300, 6).groupBy("replicate").pivot("series", ["ew", "vw"]).agg(F.first("value")).orderBy("replicate").toPandas()
+    draws = wide[["ew", "vw"]].to_numpy()
+    found = bayes.normal_posterior(draws.mean(0), np.cov(draws.T), 0.02, 1e-10)
+    return spark.createDataFrame(found.table(["ew", "vw"], 0.005), "name string, mean double, sd double, low double, high double, p_positive double, p_material double")
+
+
+@query()
+def effect_prevalence(spark: SparkSession, sf: str) -> DataFrame:
+    """How common mean returns beyond half a per cent are among suppliers, by group of suppliers."""
+    by = stats.summary(months(spark, sf, "l_suppkey"), ["l_suppkey"], "month", "ret")
+    half = 1.959963984540054 * F.col("deviation") / F.sqrt("n_months")
+    rows = by.select((F.col("l_suppkey") % 4).alias("coordinate"), F.col("average").alias("estimate"), (F.col("average") - half).alias("low"), (F.col("average") + half).alias("high"), (F.col("l_suppkey") % 10 == 0).alias("inert"))
+    return bayes.populations(rows, "coordinate", "estimate", "low", "high", "inert", 0.005, 500)
+
+
+@query()
+def calibration_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of planted means of each size that a t test of 72 months finds."""
+    def trial(size: float, rng) -> tuple[float, bool]:
+        draw = rng.normal(size, 0.02, 72)
+        return draw.mean(), abs(draw.mean() / (draw.std(ddof=1) / 72**0.5)) > 1.993
+
+    return bayes.least_detected(bayes.calibrate(spark, [0.0, 0.0025, 0.005, 0.0075, 0.01], 40, trial))

@@ -443,3 +443,42 @@ def test_nearest(spark):
         assert [r.neighbour for r in got.filter(F.col("query") == q).orderBy(F.desc("similarity")).collect()] == want
     with pytest.raises(guards.GuardError):
         vectors.nearest(df, df, "id", "id", "v", 3, most_queries=10)
+
+
+# posteriors ------------------------------------------------------------------------------------------------------
+
+
+def test_normal_posterior_of_one_is_shrinkage():
+    from panelforge.operators import bayes
+
+    found = bayes.normal_posterior(np.array([0.02]), np.array([[0.0004]]), 0.02, 1e-12)
+    assert abs(found.mean[0] - 0.01) < 1e-12 and abs(found.covariance[0, 0] - 0.0002) < 1e-12 and found.shift_if_diagonal == 0
+    assert bayes.normal_posterior(np.zeros(2), np.ones((2, 2)), 1.0, 1e-6).raised == 1
+    assert bayes.beyond(0.0, 1.0, 1.959963984540054) == pytest.approx(0.05) and bayes.beyond(2.0, 0.0, 1.0) == 1.0
+    with pytest.raises(guards.GuardError):
+        bayes.normal_posterior(np.zeros(0), np.zeros((0, 0)), 1.0, 1e-6)
+
+
+def test_population_of_effects():
+    from panelforge.operators import bayes
+
+    rng = np.random.default_rng(1)
+    truth = rng.normal(0.5, 0.3, 200)
+    found = bayes.population(truth + rng.normal(0, 0.1, 200), [0.01] * 200, [False] * 200, seed=3)
+    assert abs(found.mean.mean() - 0.5) < 0.06 and abs(found.deviation.mean() - 0.3) < 0.05
+    assert abs(found.prevalence(0.5) - (np.abs(truth) > 0.5).mean()) < 0.06
+    half = bayes.population([1.0, 5.0], [1e-6, 1e-6], [False, True], seed=1)
+    assert half.prevalence(0.5) == 0.5 and bayes.population([1.0], [1.0], [True]).prevalence(0.1) == 0
+    assert abs(bayes.variance_of_interval(-1.959963984540054, 1.959963984540054) - 1) < 1e-12
+
+
+def test_monthly_effects_average_to_the_effects(spark):
+    rng = random.Random(8)
+    rows = [(m, month(t), rng.gauss(0, 1)) for m in range(4) for t in range(30)] + [(0, month(50), 9.0)]
+    df = spark.createDataFrame(rows, "mask int, date date, v double")
+    whole = lattice.walsh(df.filter(F.col("date") < month(40)).groupBy("mask").agg(F.avg("v").alias("value")))
+    want = {r.mask: r.effect for r in whole.collect()}
+    got = lattice.infer_effects(lattice.monthly_effects(df, "date", "v", 2), "date").collect()
+    assert all(r.n_months == 30 and abs(r.effect - want[r.mask]) < 1e-12 and 0 <= r.p_value <= 1 for r in got)
+    flat = spark.createDataFrame([(m, month(t), 1.0) for m in range(4) for t in range(9)], "mask int, date date, v double")
+    assert [r.p_value for r in lattice.infer_effects(lattice.monthly_effects(flat, "date", "v", 2), "date").filter("mask > 0").collect()] == [1.0] * 3
