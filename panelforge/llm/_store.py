@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -18,20 +17,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _application_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the driver's JVM ends."""
+    folder = f"{shared_folder(spark)}/panelforge-{spark.sparkContext.applicationId}"
+    if folder not in _KNOWN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _KNOWN.add(folder)
+    return folder
+
+
+_KNOWN: set[str] = set()
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back, so that its lineage ends there and
     every later reader sees the same rows, whatever executors are lost."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/panelforge-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(spark: SparkSession) -> None:
     """Deletes the tables that this application wrote; their readers must be done."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/panelforge-{spark.sparkContext.applicationId}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _KNOWN.discard(str(path))
 
 
 #: The most that one Arrow batch between the JVM and a Python worker holds.
@@ -42,6 +56,6 @@ def small_batches(spark: SparkSession) -> None:
     """Keeps the session's Arrow batches at BATCH_BYTES or less from now on: both sides hold several at once, so with
     the default of 64 MB a task of long rows takes hundreds of MB outside the heap."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    size = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
     if not 0 < size <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))

@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import small_batches
-from ._text import codepoints, filled, flat, lists, pieces_of
+from ._text import codepoints, filled, flat, lists, pieces_of, tidied
 
 #: Texts are handled in runs of about so many bytes, which bounds a worker's memory.
 RUN_BYTES = 1 << 19
-#: Merged pieces that a worker keeps; at the bound it starts over.
-CACHE_PIECES = 200_000
+#: Merged pieces from which a worker's cache is set aside for a new one, which takes over what is still met.
+CACHE_PIECES = 250_000
 #: Longer pieces merge by a heap and aren't kept.
 LONG_PIECE = 96
 BLOCK = 128
@@ -166,6 +166,7 @@ class Vocabulary:
             self.words[rank] = word
         self.lengths = np.array([len(w) for w in self.words], np.int32)
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one slice: again and again the pair of lowest rank, the leftmost of equals, becomes one."""
@@ -174,17 +175,18 @@ class Vocabulary:
         return self._merge_long(piece) if len(piece) > LONG_PIECE else self._merge_short(piece)
 
     def _merge_short(self, piece: bytes) -> list[int]:
-        ranks, none = self.ranks, len(self.words)
-        cuts = list(range(len(piece) + 1))
-        pairs = [ranks.get(piece[k : k + 2], none) for k in range(len(piece) - 1)]
+        get, none = self.ranks.get, len(self.words)
+        parts = [piece[k : k + 1] for k in range(len(piece))]
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
         while pairs and (low := min(pairs)) < none:
             k = pairs.index(low)
-            del cuts[k + 1], pairs[k]
+            parts[k : k + 2] = [self.words[low]]
+            del pairs[k]
             if k < len(pairs):
-                pairs[k] = ranks.get(piece[cuts[k] : cuts[k + 2]], none)
+                pairs[k] = get(parts[k] + parts[k + 1], none)
             if k:
-                pairs[k - 1] = ranks.get(piece[cuts[k - 1] : cuts[k + 1]], none)
-        return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+                pairs[k - 1] = get(parts[k - 1] + parts[k], none)
+        return [self.ranks[p] for p in parts]
 
     def _merge_long(self, piece: bytes) -> list[int]:
         """The same in n log n: parts are a linked list, pairs a heap whose outdated entries are passed over."""
@@ -214,16 +216,18 @@ class Vocabulary:
 
     def packed(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each slice as little-endian int32 bytes."""
-        cache = self.cache
+        if len(self.cache) >= CACHE_PIECES:
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
         found = list(map(cache.get, pieces))
         if None in found:
-            for k, piece in enumerate(pieces):
-                if found[k] is None:
+            for k, ids in enumerate(found):
+                if ids is None:
+                    piece = pieces[k]
                     if (ids := cache.get(piece)) is None:
-                        ids = np.array(self.merge(piece), "<i4").tobytes()
+                        if (ids := older.get(piece)) is None:
+                            ids = np.array(self.merge(piece), "<i4").tobytes()
                         if len(piece) <= LONG_PIECE:
-                            if len(cache) >= CACHE_PIECES:
-                                cache.clear()
                             cache[piece] = ids
                     found[k] = ids
         return found
@@ -289,9 +293,10 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
             for part in pieces_of(batch, "__text__", RUN_BYTES):
                 ids, offsets, at = vocabulary.encode(filled(part.column("__text__")))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], lists(ids, at), lists(offsets, at)], [*keep, "ids", "offsets"])
+        vocabulary.older = {}  # the worker stays for other tasks
 
     ints = T.ArrayType(T.IntegerType(), False)
-    return source.mapInArrow(run, T.StructType([*[source.schema[c] for c in keep], T.StructField("ids", ints), T.StructField("offsets", ints)]))
+    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], T.StructField("ids", ints), T.StructField("offsets", ints)]))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str | None = "offsets", keep: list[str] | None = None) -> DataFrame:
@@ -327,7 +332,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str | None = "of
                 decoded = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(rows.astype(np.int32).tobytes()), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], decoded], [*keep, "decoded"])
 
-    return source.mapInArrow(run, T.StructType([*[source.schema[c] for c in keep], T.StructField("decoded", T.BinaryType())]))
+    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], T.StructField("decoded", T.BinaryType())]))
 
 
 def joined(ids: Column) -> Column:

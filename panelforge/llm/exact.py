@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import durable, small_batches
-from ._text import BLANKS, filled, flat, lists, pieces_of
+from ._text import BLANKS, filled, flat, lists, pieces_of, tidied
 
 BLOCK_BYTES = 4096
 #: Texts of one chunk, and its rows.
-CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 4096
+CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 4096
 
 _OWN = [("chunk", T.LongType()), ("uid", T.LongType())]
 
@@ -84,7 +84,7 @@ def _named(parts: DataFrame, carried: list[T.StructField], level: int) -> tuple[
                     names.append(None if item is None else name)
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in fields.fields[:-1]], pa.array(names, pa.int64())], fields.names)
 
-    table = durable(parts.repartition("route").sortWithinPartitions("route", "item").mapInArrow(run, fields), f"names{level}")
+    table = durable(parts.repartition("route").sortWithinPartitions("route", "item").mapInArrow(tidied(run), fields), f"names{level}")
     rows, names = table.filter("uid is not null").drop("place", "name"), table.filter("uid is null").select("chunk", "place", "name")
     own = [f.name for f in carried] + ["uid"]
     one = rows.filter(F.size("refs") == 1).withColumn("place", F.col("refs")[0]).join(names, ["chunk", "place"]).select(*own, F.lit(level).alias("level"), "name")
@@ -125,14 +125,14 @@ def identities(df: DataFrame, text: str = "text", keep: list[str] | None = None)
             raw = [x.astype("<i8").tobytes() for x in rows]
             yield _emit(part, own, [], chunk, [[x[k : k + 16] for k in range(0, len(x), 16)] for x in raw])
 
-    done, left = _named(source.mapInArrow(blocks, made), carried, 0)
+    done, left = _named(source.mapInArrow(tidied(blocks), made), carried, 0)
     found, level = [done], 0
     while True:
         left = durable(left, f"left{level}")
         if left.isEmpty():
             break
         level += 1
-        done, left = _named(left.mapInArrow(pairs, made), carried, level)
+        done, left = _named(left.mapInArrow(tidied(pairs), made), carried, level)
         found.append(done)
     every = found[0]
     for more in found[1:]:

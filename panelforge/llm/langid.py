@@ -19,18 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import durable, small_batches
-from ._text import filled, flat, lists, pieces_of
+from ._text import filled, flat, lists, pieces_of, tidied
 
 WINDOW = 24
 HIDDEN = 20
 #: The bound of the sample: documents of a language, and characters of such a document.
 SAMPLE_DOCUMENTS, SAMPLE_POINTS = 300, 20_000
 STEPS, BATCH, RATE = 700, 256, 0.01
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 #: Languages up to which their shares of the rows are broadcast, so that texts are sampled before any shuffle.
 BROADCAST_LANGUAGES = 10_000
 #: Windows whose outputs a worker keeps; at the bound it starts over.
-CACHE_WINDOWS = 250_000
+CACHE_WINDOWS = 120_000
 UNKNOWN = "und"
 
 #: Capitals to small letters, other ASCII characters than letters to blanks.
@@ -246,7 +246,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep: list[s
                         names[k], scores[k] = net.languages[best], min(1.0, float(mean[best]))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(names, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
 
-    return source.mapInArrow(run, T.StructType([*[source.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def label_positions(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -273,4 +273,4 @@ def label_positions(df: DataFrame, model: Model, text: str = "text", keep: list[
                         start += len(w)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], lists(out, at)], [*keep, "labels"])
 
-    return source.mapInArrow(run, T.StructType([*[source.schema[c] for c in keep], T.StructField("labels", T.ArrayType(T.IntegerType()))]))
+    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], T.StructField("labels", T.ArrayType(T.IntegerType()))]))

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from ._graph import components
 from ._store import durable, small_batches
-from ._text import filled, pieces_of
+from ._text import filled, pieces_of, tidied
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Places, and bands of rows: at a similarity of 0.8 all bands miss a pair once in 20,000 times, at 0.85 in 2 million.
@@ -36,8 +36,8 @@ PLACES, BANDS, ROWS = 128, 25, 5
 LEAST_PLACES = 84
 #: Texts up to which a shingle is scarce.
 SCARCE = 8
-RUN_BYTES = 2 << 20
-CACHE_WORDS = 400_000
+RUN_BYTES = 1 << 20
+CACHE_WORDS = 150_000
 #: Rows of 16 bytes up to which ids are broadcast to pick texts.
 BROADCAST_ROWS = 2_000_000
 
@@ -164,7 +164,7 @@ def sign(df: DataFrame, text: str, keep: list[str], weigh: str = "presence") ->
                 uid += n
 
     more = [T.StructField("uid", T.LongType()), T.StructField("wordkey", T.BinaryType()), T.StructField("signature", T.BinaryType()), T.StructField("buckets", T.ArrayType(T.LongType()))]
-    return source.mapInArrow(run, T.StructType([*[source.schema[c] for c in keep], *more]))
+    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], *more]))
 
 
 def _close(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def _close(pairs: DataFrame, signed: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= LEAST_PLACES))
 
     of = lambda side: signed.select(F.col("uid").alias(side), F.col("signature").alias(f"s{side}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(tidied(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -195,7 +195,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda side: texts.select(F.col("uid").alias(side), F.col("text").alias(f"t{side}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(tidied(run), "a long, b long")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def _shingles(texts: DataFrame) -> DataFrame:
                 uids = np.repeat(part.column("uid").to_numpy(), [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array(np.array([x for s in sets for x in s], np.uint64).view(np.int64))], ["uid", "shingle"])
 
-    return texts.select("uid", "text").mapInArrow(run, "uid long, shingle long")
+    return texts.select("uid", "text").mapInArrow(tidied(run), "uid long, shingle long")
 
 
 def _frequencies(every: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import durable, small_batches
-from ._text import codepoints, filled, flat, lists, pieces_of
+from ._text import codepoints, filled, flat, lists, pieces_of, tidied
 
 STATISTICS = (
     "log_points", "log_words", "word_length", "letters", "capitals", "digits", "stops", "marks", "symbols", "bangs",
@@ -33,7 +33,7 @@ FEATURES = 256
 WIDTH, RIDGE = 6.0, 1e-4
 #: Bins of the calibration's histogram, and groups whose normal equations the driver adds up.
 BINS, GROUPS = 2048, 16
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 _BLANK, _SMALL, _CAPITAL, _DIGIT, _STOP, _MARK, _SYMBOL, _BANG, _BAR, _LINE, _OTHER = range(11)
 
@@ -111,7 +111,7 @@ def with_statistics(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
                 found = statistics(filled(part.column("__text__")))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], lists(found.ravel(), np.arange(part.num_rows + 1) * len(STATISTICS))], [*keep, "statistics"])
 
-    return source.mapInArrow(run, T.StructType([*[source.schema[c] for c in keep], T.StructField("statistics", T.ArrayType(T.DoubleType()))]))
+    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], T.StructField("statistics", T.ArrayType(T.DoubleType()))]))
 
 
 @dataclass
@@ -193,7 +193,7 @@ def train(rows: DataFrame, label: str = "label", calibrate: str = "calibrate", s
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"sums": [np.sum(np.stack(frame["sums"].to_numpy()), 0)]})
 
-    parts = fitted.select("statistics", "y").mapInArrow(part_sums, "g int, sums array<double>")
+    parts = fitted.select("statistics", "y").mapInArrow(tidied(part_sums), "g int, sums array<double>")
     sums = sum(np.array(r.sums) for r in parts.groupBy("g").applyInPandas(add, "sums array<double>").collect()).reshape(d, d + 1)
     gram, right = sums[:, :d], sums[:, d]
     model.weights = np.linalg.solve(gram + RIDGE * gram.trace() / d * np.eye(d), right)
@@ -202,7 +202,7 @@ def train(rows: DataFrame, label: str = "label", calibrate: str = "calibrate", s
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(model.bins(_matrix(batch))), batch.column("y")], ["bin", "y"])
 
-    binned = rows.filter("c").select("statistics", "y").mapInArrow(outputs, "bin int, y double")
+    binned = rows.filter("c").select("statistics", "y").mapInArrow(tidied(outputs), "bin int, y double")
     counts, ones = np.zeros(BINS), np.zeros(BINS)
     for r in binned.groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("s")).collect():  # BINS rows at most
         counts[r.bin], ones[r.bin] = r.n, r.s
@@ -222,7 +222,7 @@ def score(rows: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
             out = np.full(len(x), 0.5) if shipped.value is None else shipped.value.probability(x)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out)], [*keep, "score"])
 
-    return source.mapInArrow(run, T.StructType([*[source.schema[c] for c in keep], T.StructField("score", T.DoubleType())]))
+    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], T.StructField("score", T.DoubleType())]))
 
 
 def classify(df: DataFrame, labels: DataFrame, fold: str, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> DataFrame:

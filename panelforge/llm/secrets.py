@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import small_batches
-from ._text import filled, pieces_of
+from ._text import filled, pieces_of, tidied
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Fixed patterns; letters of the first words are in either case.
@@ -52,7 +52,7 @@ _WORDS = (
     "task template test text that this time type unit valid value variable vector view window with word write"
 )
 IDENTIFIERS = " ".join((_WORDS.title(), _WORDS))
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 
 
 def novelty(text: str, start: int, end: int) -> float:
@@ -106,7 +106,7 @@ def find(df: DataFrame, text: str = "text", keep: list[str] | None = None, out:
                 rows = [[dict(zip(("kind", "start", "end", "novelty"), s, strict=True)) for s in scan(t)] for t in filled(part.column("__text__")).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(rows, _ARROW)], [*keep, out])
 
-    return source.mapInArrow(run, T.StructType([*[source.schema[c] for c in keep], T.StructField(out, SPANS)]))
+    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], T.StructField(out, SPANS)]))
 
 
 def as_string(spans: Column) -> Column:

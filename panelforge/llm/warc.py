@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import small_batches
+from ._text import tidied
 
 #: Fixed list: fields of a 304 that don't replace those of the stored response, being of its own message or content.
 NOT_MERGED = (
@@ -120,7 +121,7 @@ def parse(df: DataFrame, content: str = "content") -> DataFrame:
         yield from _batches(every())
 
     small_batches(df.sparkSession)
-    return df.select(content).mapInArrow(run, _ROW)
+    return df.select(content).mapInArrow(tidied(run), _ROW)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -138,7 +139,7 @@ def render(df: DataFrame, out: str = "content") -> DataFrame:
                 made = [record(r["kind"], r["record_id"], r["url"] or "", r["date"], r["status"], dict(r["headers"]), r["payload"] or b"") for r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], [out])
 
-    return df.select(*_ROW.names).mapInArrow(run, T.StructType([T.StructField(out, T.BinaryType())]))
+    return df.select(*_ROW.names).mapInArrow(tidied(run), T.StructType([T.StructField(out, T.BinaryType())]))
 
 
 def resolve(captures: DataFrame) -> DataFrame:
