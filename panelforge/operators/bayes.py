@@ -101,6 +101,43 @@ def population(estimates: Sequence[float], variances: Sequence[float], inert: Se
     return Population(mu, tau, effects, len(live))
 
 
+def joint_population(estimates: np.ndarray, covariances: Sequence[np.ndarray], present: np.ndarray, mean_sd: float = 1.0, deviation_scale: float = 1.0, draws: int = 1500, burn: int = 300, floor: float = 1e-10, seed: int = 0) -> dict[str, np.ndarray]:
+    """Populations of all coordinates at once: strategies x coordinates of estimates, a full measurement covariance for
+    each strategy over its present coordinates, independent populations.
+
+    Each sweep draws every strategy's effects from their joint normal, then each coordinate's mean, and its deviation
+    from its conditional on a grid.  Returns draws of means and deviations (draws x coordinates) and of effects
+    (draws x strategies x coordinates, NaN where absent).
+    """
+    rng = np.random.default_rng(seed)
+    count, coordinates = estimates.shape
+    precisions = [np.linalg.inv(floored_covariance(np.atleast_2d(v), floor)[0]) if own.any() else None for v, own in zip(covariances, present, strict=True)]
+    effects = np.where(present, np.nan_to_num(estimates), np.nan)
+    mean = np.nan_to_num(np.nanmean(effects, 0)) if count else np.zeros(coordinates)
+    deviation = np.full(coordinates, deviation_scale)
+    grid = np.exp(np.linspace(math.log(1e-4 * deviation_scale), math.log(20 * deviation_scale), 400))
+    out = {"mean": np.zeros((draws, coordinates)), "deviation": np.zeros((draws, coordinates)), "effects": np.full((draws, count, coordinates), np.nan)}
+    for sweep in range(-burn, draws):
+        for s in range(count):
+            own = present[s]
+            if precisions[s] is None:
+                continue
+            ridge = np.diag(1 / deviation[own] ** 2)
+            spread = np.linalg.inv(precisions[s] + ridge)
+            centre = spread @ (precisions[s] @ estimates[s, own] + ridge @ mean[own])
+            effects[s, own] = centre + np.linalg.cholesky((spread + spread.T) / 2) @ rng.standard_normal(int(own.sum()))
+        for c in range(coordinates):
+            e = effects[present[:, c], c]
+            precision = len(e) / deviation[c] ** 2 + 1 / mean_sd**2
+            mean[c] = e.sum() / deviation[c] ** 2 / precision + rng.standard_normal() / math.sqrt(precision)
+            log = -len(e) * np.log(grid) - ((e - mean[c]) ** 2).sum() / (2 * grid**2) - grid**2 / (2 * deviation_scale**2) + np.log(grid)
+            p = np.exp(log - log.max())
+            deviation[c] = grid[np.searchsorted(np.cumsum(p), rng.random() * p.sum())]
+        if sweep >= 0:
+            out["mean"][sweep], out["deviation"][sweep], out["effects"][sweep] = mean, deviation, effects
+    return out
+
+
 def variance_of_interval(low: float, high: float, level: float = 0.95) -> float:
     if high < low:
         raise GuardError("the interval is inverted")
