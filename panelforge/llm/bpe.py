@@ -250,18 +250,21 @@ class Vocabulary:
         return ids, (byte_of - np.repeat(rows[:-1], np.diff(at))).astype(np.int32), at
 
 
+def parse(content: bytes) -> Vocabulary:
+    """A vocabulary from lines of a base64 byte string and its rank."""
+    return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())})
+
+
 @lru_cache(2)
 def load(path: str) -> Vocabulary:
-    """A vocabulary from a file with a base64 byte string and its rank in each line."""
-    with open(path, "rb") as lines:
-        return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
+    with open(path, "rb") as file:
+        return parse(file.read())
 
 
-def _vocabulary(path: str, content: bytes | None) -> Vocabulary:
+def _vocabulary(path: str, content: bytes) -> Vocabulary:
     """The worker's vocabulary, parsed once per process from the broadcast file content."""
     if path not in _LOADED:
-        rows = map(bytes.split, content.splitlines()) if content is not None else []
-        _LOADED[path] = Vocabulary({base64.b64decode(a): int(b) for a, b in rows})
+        _LOADED[path] = parse(content)
     return _LOADED[path]
 
 

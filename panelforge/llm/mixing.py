@@ -79,9 +79,10 @@ def mixed_rows(df: DataFrame, text: str = "text", source: str = "source", doc_id
     key = "__row_hash__"
     marked = df.withColumn(key, F.xxhash64(text))
     sized = durable(marked.select(F.col(doc_id).alias("id"), F.col(source).alias("of"), F.col(key).alias("h"), word_count(F.col(text)).alias("size")), "sizes")
-    rows = mix(sized, "size", "of", "id", **options).filter("taken > 0")
-    copies = rows.groupBy("id", "of", "h").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("__copies__"), F.count("*").alias("__rows__"))
-    copies = durable(copies, "copies").select(F.col("id").alias("__id__"), F.col("of").alias("__of__"), F.col("h").alias("__h__"), "__copies__", "__rows__")
+    times = F.when(F.col("taken") > 0, F.ceil(F.try_divide("taken", "size"))).otherwise(0)
+    rows = mix(sized, "size", "of", "id", **options)
+    copies = rows.groupBy("id", "of", "h").agg(F.sum(times).alias("__copies__"), F.count("*").alias("__rows__"))
+    copies = durable(copies.filter("__copies__ > 0"), "copies").select(F.col("id").alias("__id__"), F.col("of").alias("__of__"), F.col("h").alias("__h__"), "__copies__", "__rows__")
     same = [F.col(doc_id).eqNullSafe(F.col("__id__")), F.col(source).eqNullSafe(F.col("__of__")), F.col(key) == F.col("__h__")]
     # of r equal rows that are taken n times together, each stands for n / r, the rest spread by a counter
     found = marked.join(copies, same)

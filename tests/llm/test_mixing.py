@@ -64,3 +64,12 @@ def test_buckets_join_up(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.mix_documents(df).count() == 0 and mixing.mixed_rows(df).count() == 0
+
+
+def test_equal_rows_of_which_some_are_taken(spark):
+    rows = [(1, "s", "a b c d")] * 5 + [(k, "t", "w " * 50) for k in range(2, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    options = {"weights": (0.2, 5.0), "share": 0.5}
+    taken = sum(-(-r.taken // r.size) for r in mixing.mix_documents(df, **options).collect() if r.taken and r.source == "s")
+    assert 0 < taken < 5
+    assert mixing.mixed_rows(df, **options).filter("source = 's'").count() == taken
