@@ -40,6 +40,8 @@ RUN_BYTES = 1 << 20
 CACHE_WORDS = 150_000
 #: Rows of 16 bytes up to which ids are broadcast to pick texts.
 BROADCAST_ROWS = 2_000_000
+#: Pairs up to which they, with one signature each, are broadcast.
+CLOSE_ROWS = 200_000
 
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -176,7 +178,8 @@ def _close(pairs: DataFrame, signed: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= LEAST_PLACES))
 
     of = lambda side: signed.select(F.col("uid").alias(side), F.col("signature").alias(f"s{side}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(tidied(run), "a long, b long")
+    found = of("b").join(F.broadcast(of("a").join(F.broadcast(pairs), "a")), "b") if pairs.count() <= CLOSE_ROWS else pairs.join(of("a"), "a").join(of("b"), "b")
+    return found.select("a", "b", "sa", "sb").mapInArrow(tidied(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -195,7 +198,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda side: texts.select(F.col("uid").alias(side), F.col("text").alias(f"t{side}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(tidied(run), "a long, b long")
+    return of("b").join(_small(pairs), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(tidied(run), "a long, b long")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -276,7 +279,7 @@ def _linked(members: DataFrame, signatures_: DataFrame, texts: DataFrame, least:
     compared (a copy with many edits of its own shares some of them with a closer copy of itself).  Texts that don't
     can share no more than the less of what they have in common shingles, which for most is too little for a link
     with any text of the bucket; such members are done.  The others go on by stars: in round k a bucket's left-over
-    members are dealt into 16 ** k parts by a hash, the most central of each part meets those members of the bucket
+    members are dealt into 8 * 32 ** k parts by a hash, the most central of each part meets those members of the bucket
     outside its component that the same bound admits, and is done.
     """
     spark = members.sparkSession
@@ -321,7 +324,7 @@ def _linked(members: DataFrame, signatures_: DataFrame, texts: DataFrame, least:
         left = durable(live.filter(hopeful & (F.col("label") != F.col("main"))), "left")
         if left.isEmpty():
             return edges, labels
-        parts = left.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(step)), F.lit(1 << (4 * step))))
+        parts = left.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(step)), F.lit(1 << (3 + 5 * step))))
         centre = parts.groupBy("bucket", "part").agg(F.max(F.struct("score", (-F.col("uid")).alias("u"), "label", "n", "common")).alias("c"))
         centre = durable(centre.select(F.col("bucket").alias("of"), (-F.col("c.u")).alias("a"), F.col("c.label").alias("own"), F.col("c.n").alias("m"), F.col("c.common").alias("t")), "centres")
         both = F.least("common", "t")

@@ -146,3 +146,15 @@ def test_frequencies_of_shingles(spark):
     got, few = minhash._frequencies(spark.createDataFrame(every, "uid long, shingle long"))
     assert {r.uid: (r.n, r.common) for r in got.collect()} == {1: (3, 1), 2: (2, 1), 3: (2, 1), **{u: (1, 1) for u in range(10, 17)}}
     assert sorted(map(tuple, few.select("uid", "shingle").collect())) == [(1, 1), (2, 1)]
+
+
+def test_both_ways_to_components_agree(spark, monkeypatch):
+    rng = random.Random(2)
+    first = [(rng.randrange(80), rng.randrange(80)) for _ in range(40)]
+    second = [(rng.randrange(80), rng.randrange(80)) for _ in range(15)]
+    found = []
+    for most in (10**6, 0):
+        monkeypatch.setattr(_graph, "ONE_TASK_EDGES", most)
+        labels = _graph.components(spark.createDataFrame(second, "a long, b long"), _graph.components(spark.createDataFrame(first, "a long, b long")))
+        found.append({(r.node, r.label) for r in labels.collect() if r.node != r.label})
+    assert found[0] == found[1] and found[0]
