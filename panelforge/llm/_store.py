@@ -12,11 +12,14 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a local folder is made only where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = tempfile.mkdtemp(prefix="panelforge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="panelforge-")
+        _OWN[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
 
 
+_OWN: dict[str, str] = {}
+
+
 def _application_folder(spark: SparkSession) -> str:
     """This application's part of the shared folder; it goes when the driver's JVM ends."""
     folder = f"{shared_folder(spark)}/panelforge-{spark.sparkContext.applicationId}"

@@ -24,3 +24,11 @@ def test_batches_are_kept_small(spark):
     _store.small_batches(spark)
     assert spark.conf.get(key) == "1048576"
     spark.conf.set(key, before)
+
+
+def test_an_unset_folder_is_made_once():
+    from types import SimpleNamespace
+
+    none = SimpleNamespace(get=lambda *a: None)
+    bare = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(getConf=lambda: none, applicationId="unset"))
+    assert _store.shared_folder(bare) == _store.shared_folder(bare) and Path(_store.shared_folder(bare)).is_dir()
