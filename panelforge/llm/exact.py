@@ -145,9 +145,11 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
     """Every row of ``identities`` with keep_id, group_size and kept.
 
     Of rows with equal texts, that with the most code points stays, then that with the smallest ``doc_id`` (null
-    last), then, of repeated rows, any one: exactly one row of each group has kept = true.
+    last), then, of repeated rows, any one: exactly one row of each group has kept = true.  A column of ``df`` with one
+    of these names gives way.
     """
-    rows = durable(identities(df, text, keep if keep is None or doc_id in keep else [doc_id, *keep]), "identities")
+    keep = [c for c in (df.columns if keep is None else [doc_id, *keep]) if c != text and c.lower() not in ("keep_id", "group_size", "kept", "best")]
+    rows = durable(identities(df, text, list(dict.fromkeys(keep))), "identities")
     best = F.min(F.struct((-F.col("n_points")).alias("n"), F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("row_uid").alias("uid"))).alias("best")
     groups = durable(rows.groupBy("level", "name").agg(best, F.count("*").alias("group_size")), "groups")
     out = rows.join(groups, ["level", "name"])

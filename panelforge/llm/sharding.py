@@ -76,7 +76,9 @@ def balanced_shards(df: DataFrame, link: Column, doc_id: str = "doc_id", size: s
     Columns of ``df`` with the new names give way.
     """
     weight = F.lit(1).cast("long") if law == "rows" else F.col(size).cast("long")
-    rows = df.drop("law", "shard", "slot").select("*", F.monotonically_increasing_id().alias("uid"), link.alias("link"), hash_key("shard", F.col(doc_id)).alias("key"), weight.alias("weight"))
+    names = [c for c in df.columns if c.lower() not in ("law", "shard", "slot")]
+    own = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]
+    rows = df.select(*own, F.monotonically_increasing_id().alias("uid"), link.alias("link"), hash_key("shard", F.col(doc_id)).alias("key"), weight.alias("weight"))
     rows = durable(rows, "rows")
     groups = rows.groupBy("link").agg(F.count("*").alias("n"), F.sum("weight").alias("group_weight"))
     groups = durable(groups.filter("n > 1").withColumn("one", F.lit(1)).withColumn("place", hash_key("group", F.col("link"))), "groups")
@@ -100,7 +102,7 @@ def balanced_shards(df: DataFrame, link: Column, doc_id: str = "doc_id", size: s
     rest = rest.select("uid", _stretch(F.col("before"), gaps).cast("int").alias("shard"))
     placed = durable(rows.drop("weight", "link").join(stays.select("uid", "shard").unionByName(rest), "uid").withColumn("one", F.lit(1)), "placed")
     slots = prefix_sums(placed, ["shard"], [F.col("key"), F.col("uid")], "key", "one", "slot")
-    return slots.withColumn("law", F.lit(law)).withColumn("slot", F.col("slot").cast("long")).drop("uid", "key", "one")
+    return slots.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], F.lit(law).alias("law"), "shard", F.col("slot").cast("long").alias("slot"))
 
 
 def text_link(text: Column) -> Column:

@@ -52,3 +52,10 @@ def test_names_do_not_trust_hashes(spark, monkeypatch):
     parts = exact._emit.__globals__
     monkeypatch.setitem(parts, "xxhash", Same)
     assert {r.group_size for r in exact.exact_dedup(df).collect()} == {10}
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", 9, 9, True, 9, "n"), (2, "a ", 9, 9, True, 9, "n")], "doc_id long, text string, keep_id int, group_size int, kept boolean, best int, name string")
+    got = exact.exact_dedup(df).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(1, 2, 2, False), (2, 2, 2, True)]
+    assert [tuple(r) for r in exact.kept_rows(df).collect()] == [(2, "a ", 9, 9, True, 9, "n")]

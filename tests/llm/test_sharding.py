@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge.llm import sharding
 
@@ -71,3 +72,9 @@ def test_edges(spark):
     assert sorted(r.shard for r in got) == [0, 1, 2, 3]
     all_linked = spark.createDataFrame([(k, "t", "s") for k in range(90)], SCHEMA)
     assert sorted(Counter(r.shard for r in sharding.shard_documents(all_linked).collect()).values()) == [2] * 30 + [3] * 10
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(k, 1, "w", 5, 6, 7, k) for k in range(20)], "doc_id long, size long, weight string, uid int, key int, one int, link long")
+    got = sharding.balanced_shards(df, F.col("link") % 3, shards=4)
+    assert got.columns == [*df.columns, "law", "shard", "slot"] and {(r.weight, r.uid, r.key, r.one) for r in got.collect()} == {("w", 5, 6, 7)}
