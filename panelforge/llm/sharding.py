@@ -2,22 +2,23 @@
 
 Documents with equal texts are linked; a link is cut if its ends are in different shards.  Labels start from a line on
 which linked documents stand group by group, cut into equal stretches.  In each round, by joins, every linked document
-sees how much of its group each shard holds and asks to move to the shard that holds most; a shard admits as many as
-its quota has room for, in the order of their hashes, so no shard outgrows its quota and every admitted move leaves
-fewer links cut.  Documents without links then fill all shards up to their quotas exactly.
+sees how much of its group each shard holds and, unless it is there, asks to move to the shards that hold most, as many
+as have room for the group; a shard admits as many as its quota has room for, in the order of their hashes, so no shard
+outgrows its quota and every admitted move leaves fewer links cut.  Rounds go on until no document moves.  Documents
+without links then fill all shards up to their quotas exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._prefix import hash_key, prefix_sums
 from ._store import durable
 
-SHARDS, ROUNDS = 40, 4
+SHARDS = 40
 #: Bytes that a row has besides its text.
 ROW_BYTES = 16
 
@@ -46,18 +47,29 @@ def _loads(state: DataFrame, shards: int) -> list[int]:
     return [found.get(k) or 0 for k in range(shards)]
 
 
-def propagate(state: DataFrame, quotas: Sequence[int], rounds: int) -> DataFrame:
-    """Linked rows (uid, link, key, weight, shard) after label propagation under quotas of weight."""
-    shards = len(quotas)
-    for _ in range(rounds):
+def propagate(state: DataFrame, quotas: Sequence[int], rounds: int | None = None) -> DataFrame:
+    """Linked rows (uid, link, key, weight, shard) after label propagation under quotas of weight, until no row moves
+    or for ``rounds`` at most.  Rows move only to shards that hold more of their group, so it comes to an end."""
+    shards, done = len(quotas), 0
+    group = Window.partitionBy("link")
+    while rounds is None or done < rounds:
+        done += 1
         room = [max(0, q - n) for q, n in zip(quotas, _loads(state, shards), strict=True)]
-        votes = state.groupBy("link", "shard").agg(F.sum("weight").alias("votes"))
-        votes = votes.withColumn("score", F.struct("votes", F.pmod(F.xxhash64("link", "shard"), F.lit(1 << 30)).alias("tie")))
-        votes = durable(votes.select("link", "shard", "score"), "votes")
-        open_ = _pick(room, F.col("shard")) > 0
-        best = votes.filter(open_).groupBy("link").agg(F.max(F.struct("score", "shard")).alias("best"))
-        wish = votes.join(best, "link").filter(F.col("best.score") > F.col("score")).select("link", "shard", F.col("best.shard").alias("to"))
+        votes = state.groupBy("link", "shard").agg(F.sum("weight").alias("votes"), F.max("weight").alias("most"))
+        votes = votes.withColumn("total", F.sum("votes").over(group)).withColumn("most", F.greatest(F.max("most").over(group), F.lit(1))).filter(F.col("votes") < F.col("total"))
+        # a group keeps the shards that hold most of it, as many as have room for all of it, in whole rows
+        by_votes = group.orderBy(F.desc("votes"), F.pmod(F.xxhash64("link", "shard"), F.lit(1 << 30)), "shard")
+        before = by_votes.rowsBetween(Window.unboundedPreceding, -1)
+        free = _pick(room, F.col("shard"))
+        votes = votes.withColumn("free", free - free % F.col("most"))
+        votes = votes.withColumn("stays", F.coalesce(F.sum(F.col("votes") + F.col("free")).over(before), F.lit(0)) < F.col("total"))
+        votes = votes.withColumn("end", F.sum("free").over(by_votes.rowsBetween(Window.unboundedPreceding, 0)))
+        kept = F.collect_list(F.when(F.col("stays") & (F.col("free") > 0), F.struct("end", "shard"))).over(group)
+        wish = votes.withColumn("ends", F.array_sort(kept)).filter(~F.col("stays")).select("link", "shard", "ends")
         movers = state.join(durable(wish, "wishes"), ["link", "shard"])
+        movers = prefix_sums(movers, ["link"], [F.col("key"), F.col("uid")], "key", "weight", "at")
+        movers = movers.withColumn("to", F.get(F.filter("ends", lambda e: e["end"] > F.col("at")), F.lit(0))["shard"]).filter("to is not null").drop("ends", "at")
+        movers = durable(movers, "movers")
         movers = prefix_sums(movers, ["to"], [F.col("key"), F.col("uid")], "key", "weight", "before")
         movers = durable(movers.filter(F.col("before") + F.col("weight") <= _pick(room, F.col("to"))).select("uid", "to"), "moves")
         if movers.isEmpty():
@@ -66,7 +78,7 @@ def propagate(state: DataFrame, quotas: Sequence[int], rounds: int) -> DataFrame
     return state
 
 
-def balanced_shards(df: DataFrame, link: Column, doc_id: str = "doc_id", size: str = "size", shards: int = SHARDS, law: str = "rows", rounds: int = ROUNDS) -> DataFrame:
+def balanced_shards(df: DataFrame, link: Column, doc_id: str = "doc_id", size: str = "size", shards: int = SHARDS, law: str = "rows", rounds: int | None = None) -> DataFrame:
     """``df`` with law, shard (from 0) and slot (from 0 in each shard, without gaps).
 
     Rows with equal ``link`` are linked.  ``law``: "rows" makes the shards' row counts differ by one at most, "bytes"

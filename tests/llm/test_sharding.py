@@ -78,3 +78,19 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(k, 1, "w", 5, 6, 7, k) for k in range(20)], "doc_id long, size long, weight string, uid int, key int, one int, link long")
     got = sharding.balanced_shards(df, F.col("link") % 3, shards=4)
     assert got.columns == [*df.columns, "law", "shard", "slot"] and {(r.weight, r.uid, r.key, r.one) for r in got.collect()} == {("w", 5, 6, 7)}
+
+
+@pytest.mark.parametrize("law", ["rows", "bytes"])
+def test_a_group_over_ten_shards_comes_together(spark, law):
+    rows = ["hot"] * 2700 + [f"pair {k // 2}" for k in range(600)] + [f"five {k // 5}" for k in range(200)] + [f"single {k}" for k in range(4500)]
+    random.Random(5).shuffle(rows)
+    df = spark.createDataFrame([(k, t, "s") for k, t in enumerate(rows)], SCHEMA)
+    got = sharding.shard_documents(df, law=law).collect()
+    load, held = Counter(), defaultdict(Counter)
+    for r in got:
+        load[r.shard] += 1 if law == "rows" else r["size"]
+        held[rows[r.doc_id]][r.shard] += 1
+    assert max(load.values()) - min(load.values()) <= (1 if law == "rows" else 2 * max(r["size"] for r in got))
+    least = -(-2700 * (1 if law == "rows" else 19) // max(load.values()))
+    assert least > 10 and len(held["hot"]) <= least + 1
+    assert sum(len(g) > 1 for t, g in held.items() if t != "hot") <= 2
