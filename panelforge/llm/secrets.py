@@ -3,12 +3,16 @@
 The patterns give spans of the kinds assign, access and hex.  Beyond them, a run of token characters that follows a
 sensitive word is a candidate; its novelty is the number of bytes that it adds to the zstandard size of its
 surroundings, with a dictionary of common identifiers and of the text around it.  Words, names and repeated strings
-add few bytes, keys and tokens nearly all of their entropy; the latter are spans of the kind novel.
+add few bytes, keys and tokens about as many as random strings of their alphabet and length; the latter are spans of
+the kind novel.
 """
 
 from __future__ import annotations
 
+import functools
+import random
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,12 +31,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE = 6
 
-#: What stands before a candidate, at most REACH characters earlier, and the candidate.
-SENSITIVE = re.compile(r"(?:passphrase|password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|authorization|bearer|signature|session[_-]?id|cookie)", re.IGNORECASE | re.ASCII)
+#: What stands before a candidate, at most REACH characters earlier (a PEM head: up to its foot), and the candidate.
+SENSITIVE = re.compile(r"(?:(?P<pem>-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----)|passphrase|password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|authorization|bearer|signature|session[_-]?id|cookie)", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 REACH = 40
-#: Characters on either side that prime the compressor; added bytes for each character from which a string is novel.
-AROUND, NOVEL = 1024, 0.8
+#: Characters on either side that prime the compressor; the share of a random string's added bytes that makes one novel.
+AROUND, NOVEL = 1024, 0.85
+#: Random strings that are measured for an alphabet and a length, and the greatest length.
+DRAWS, LONGEST = 8, 4096
+_CLASSES = (string.digits, "abcdef", "ABCDEF", string.ascii_lowercase, string.ascii_uppercase, "+/_=-")
 #: Fixed list: identifiers and words of code that aren't secrets.
 _WORDS = (
     "access_key access_token account admin api_key apikey args async auth authorization await base64 bearer body "
@@ -66,23 +73,47 @@ def novelty(text: str, start: int, end: int) -> float:
     return added / max(1, len(value))
 
 
+def alphabet(value: str) -> str:
+    """The characters of the classes that ``value`` has characters of; letters up to f alone count as hexadecimal."""
+    own, found = set(value), set()
+    for few, whole in ((1, 3), (2, 4)):
+        letters = own & set(_CLASSES[whole])
+        if letters:
+            found |= set(_CLASSES[few if letters <= set(_CLASSES[few]) else whole])
+    for k in (0, 5):
+        if own & set(_CLASSES[k]):
+            found |= set(_CLASSES[k])
+    return "".join(sorted(found))
+
+
+@functools.lru_cache(100_000)
+def random_novelty(characters: str, length: int) -> float:
+    """The mean novelty of random strings of these characters and this length (beyond 64 the multiple of 32 below, beyond 1,024 the power of two)."""
+    if length > 64:
+        length = length // 32 * 32 if length <= 1024 else min(LONGEST, 1 << (length.bit_length() - 1))
+    rng = random.Random(f"{characters}:{length}")
+    return sum(novelty(" " + "".join(rng.choices(characters, k=length)), 1, length + 1) for _ in range(DRAWS)) / DRAWS
+
+
 def scan(text: str) -> list[tuple[str, int, int, float | None]]:
     """The spans of a text: kind, start and end in code points, and novelty (of novel ones); by start, then kind."""
     found = [("assign", *m.span(), None) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_VALUE]
     found += [("access", *m.span(), None) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span(), None) for m in HEX.finditer(text)]
     base = sorted((a, b) for _, a, b, _ in found)
-    seen = set()
+    seen, ends = set(), set()
     for word in SENSITIVE.finditer(text):
         stop = word.end() + REACH
+        if word["pem"]:
+            stop = max(stop, text.find("-----END", word.end()))
         for m in CANDIDATE.finditer(text, word.end()):
             if m.start() > stop:
                 break
-            if m.span() not in seen and not any(a < m.end() and m.start() < b for a, b in base):
+            if m.span() not in seen and m.end() not in ends and not any(a < m.end() and m.start() < b for a, b in base):
                 seen.add(m.span())
-                kinds = sum(map(bool, (re.search("[a-z]", m[0]), re.search("[A-Z]", m[0]), re.search("[0-9]", m[0]))))
-                if kinds >= 2 and (new := novelty(text, *m.span())) >= NOVEL:
+                if (new := novelty(text, *m.span())) >= NOVEL * random_novelty(alphabet(m[0]), len(m[0])):
                     found.append(("novel", *m.span(), round(new, 6)))
+                    ends.add(m.end())  # a sensitive word inside a key doesn't make its rest another
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
