@@ -62,6 +62,8 @@ class Model:
     languages: list[str]
     symbols: np.ndarray
     p: dict[str, np.ndarray]
+    #: The score from which a text counts as one of the languages.
+    least: float = 0.0
 
     def _run(self, x: np.ndarray, side: str, trace: list | None = None) -> np.ndarray:
         """States of one direction: steps x rows x HIDDEN."""
@@ -87,7 +89,7 @@ class Model:
         return _softmax(states @ self.p["o"] + self.p["c"])
 
     def sums(self, found: list[bytes]) -> np.ndarray:
-        """Probabilities summed over each window's bytes."""
+        """Probabilities summed over each window's bytes; bytes that weren't learned have none."""
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         out = np.empty((len(found), len(self.languages)), np.float32)
         for length in np.unique(lengths):
@@ -95,9 +97,14 @@ class Model:
             for start in range(0, len(rows), 8192):
                 part = rows[start : start + 8192]
                 x = self.symbols[np.frombuffer(b"".join([found[k] for k in part]), np.uint8).reshape(-1, length).T]
-                out[part] = self.positions(x).sum(0)
+                out[part] = (self.positions(x) * (x > 0)[:, :, None]).sum(0)
         return out
 
+    def score(self, text: str) -> float | None:
+        """The greatest mean probability over the bytes of a text's windows."""
+        found = windows(text.encode())
+        return float(self.sums(found).sum(0).max()) / sum(map(len, found)) if found else None
+
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """The mean loss over all bytes of the windows ``x`` (steps x rows) in languages ``y``, and its gradients."""
         traces = {"f": [], "b": []}
@@ -180,22 +187,43 @@ def fit(texts: list[tuple[str, str]], steps: int = STEPS, seed: int = 0) -> Mode
     return model
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model | None:
+def least_score(texts: list[tuple[str, str]]) -> float:
+    """Halfway from chance to the median score of texts held out of a network for the others (a fifth of each
+    language); with one language, or too few texts to hold any out, halfway to that of the learned texts."""
+    seen: dict[str, int] = {}
+    folds = []
+    for text, lang in sorted(texts):
+        seen[lang] = seen.get(lang, 0) + 1
+        folds.append((text, lang, seen[lang] % 5 == 0))
+    held = [t for t, _, out in folds if out]
+    model = fit([(t, lang) for t, lang, out in folds if not out])
+    scores = [x for t in held or [t for t, _ in texts] if (x := model.score(t)) is not None]
+    chance = 1 / len(model.languages) if len(model.languages) > 1 else 0.0
+    return chance + (float(np.median(scores)) - chance) / 2 if scores else 0.0
+
+
+def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", limit: bool = False) -> Model | None:
     """A network from the rows of ``df`` whose ``lang`` isn't null, None if there are none.
 
     The sample is bounded: of each language at most SAMPLE_DOCUMENTS texts of at most SAMPLE_POINTS characters, those
     with the least hashes of ``doc_id`` and text.  A language's share of the rows is counted first, so that only about
-    twice that many rows are sorted for it.
+    twice that many rows are sorted for it.  With ``limit`` the network has the score that ``least_score`` gives.
     """
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.col(doc_id).alias("i"))
     rows = rows.filter(F.char_length("t") <= SAMPLE_POINTS)
-    draw = F.pmod(F.xxhash64(F.col("i"), F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    draw = F.pmod(F.xxhash64(F.col("i"), F.col("t"), F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     shares = durable(rows.groupBy("l").agg((F.lit(2.0 * SAMPLE_DOCUMENTS + 60) / F.count("*")).alias("share")).withColumnRenamed("l", "l2"), "shares")
     shares = F.broadcast(shares) if shares.count() <= BROADCAST_LANGUAGES else shares
     rows = rows.withColumn("draw", draw).join(shares, F.col("l") == F.col("l2")).filter("draw < share")
     order = Window.partitionBy("l").orderBy("draw", F.xxhash64("t"))
     found = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCUMENTS).select("t", "l").collect()
-    return fit([(r.t, r.l) for r in found]) if found else None
+    if not found:
+        return None
+    texts = [(r.t, r.l) for r in found]
+    model = fit(texts)
+    if limit:
+        model.least = least_score(texts)
+    return model
 
 
 def _has_letter(raw: bytes) -> bool:
