@@ -1,6 +1,7 @@
 """Document fingerprints by closed syncmers, in DataFrame operations alone.
 
-A text is a sequence of tokens: its words, and those longer than TOKEN_POINTS cut.  Of the K tokens from any place on,
+A text is a sequence of tokens: its words, and the code points of runs without blanks longer than TOKEN_POINTS, so that
+no cut depends on where a run begins.  Of the K tokens from any place on,
 every run of S tokens has a hash; the K tokens are an anchor if the least of these hashes is that of the first or of
 the last run.  Whether they are depends on those K tokens alone, so two texts that share a passage share its anchors,
 wherever it stands.
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 #: Tokens of an anchor and of its inner runs: of K - S + 1 = 5 runs two are at an edge, so 2 of 5 places are anchors.
 K, S = 6, 2
 TOKEN_POINTS = 24
-TOKENS = r"[^\x20\x09-\x0D]{1,%d}" % TOKEN_POINTS
+_SOLID = r"[^\x20\x09-\x0D]"
+TOKENS = r"(?<!%s)%s{1,%d}(?!%s)|%s" % (_SOLID, _SOLID, TOKEN_POINTS, _SOLID, _SOLID)
 #: Documents of a window when the next document of each is looked up.
 WINDOW_ROWS = 2_000
 QUANTILES = 64

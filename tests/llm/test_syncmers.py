@@ -72,3 +72,14 @@ def test_windows_are_cut(spark, monkeypatch):
         after = rows[k - 1][1]
         half = len(text) // 2
         assert got[doc] == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
+
+
+def test_unspaced_passages_at_other_places(spark):
+    rng = random.Random(6)
+    passages = ["".join(rng.choices(letters, k=3000)) for letters in ("".join(map(chr, range(0x4E00, 0x5200))), "ABCDEFGHabcdefgh01234567+/")]
+    rows = [(10 * p + k, "x" * k + passage) for p, passage in enumerate(passages) for k in (0, 1, 5, 7)]
+    got = {r.doc_id: {a.hash for a in r.found} for r in syncmers.anchors(spark.createDataFrame(rows, "doc_id long, text string"), "text", "found").collect()}
+    for p in range(2):
+        for k in (1, 5, 7):
+            a, b = got[10 * p], got[10 * p + k]
+            assert len(a) > 1000 and len(a - b) == 0 and len(b - a) <= 12
