@@ -279,18 +279,18 @@ def unique_proposals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def block_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return resample.intervals(resample.block_bootstrap(series(spark, sf), "name", "date", "value", 500, 6))
+    return resample.intervals(resample.block_bootstrap(series(spark, sf), "name", "date", "value", 1000, 6))
 
 
 @query()
 def paired_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return resample.intervals(resample.paired_bootstrap(*pair(spark, sf), "date", "value", replicates=300, block=4, scheme="stationary"))
+    return resample.intervals(resample.paired_bootstrap(*pair(spark, sf), "date", "value", replicates=1000, block=4, scheme="stationary"))
 
 
 @query()
 def alpha_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     a, b = pair(spark, sf)
-    return resample.intervals(resample.alpha_bootstrap(a, "date", "value", b.withColumnRenamed("value", "f"), ["f"], replicates=300, block=4))
+    return resample.intervals(resample.alpha_bootstrap(a, "date", "value", b.withColumnRenamed("value", "f"), ["f"], replicates=1000, block=4))
 
 
 def instruments(spark: SparkSession, sf: str) -> DataFrame:

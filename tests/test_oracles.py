@@ -49,3 +49,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["block_bootstrap_ci", "paired_bootstrap_ci", "alpha_bootstrap_ci"])
+def test_bootstraps_run_all_replicates(spark, sf, name):
+    from __spark_entry__ import queries
+
+    assert {r.n for r in queries()[name](spark, sf).collect()} == {1000}
