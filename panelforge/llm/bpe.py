@@ -30,7 +30,7 @@ from ._text import codepoints, filled, flat, lists, pieces_of, tidied
 #: Texts are handled in runs of about so many bytes, which bounds a worker's memory.
 RUN_BYTES = 1 << 19
 #: Merged pieces from which a worker's cache is set aside for a new one, which takes over what is still met.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 100_000
 #: Longer pieces merge by a heap and aren't kept.
 LONG_PIECE = 96
 BLOCK = 128
@@ -250,6 +250,22 @@ class Vocabulary:
         return ids, (byte_of - np.repeat(rows[:-1], np.diff(at))).astype(np.int32), at
 
 
+    def decode(self, values: np.ndarray, at: np.ndarray, offsets: np.ndarray | None = None) -> tuple[bytes, np.ndarray]:
+        """The bytes of rows of ids one after another, and each row's first byte; ``offsets`` must be those of the ids."""
+        if len(values) and (values.min() < 0 or values.max() >= len(self.words)):
+            raise ValueError("an id is outside the vocabulary")
+        byte_at = np.concatenate(([0], np.cumsum(self.lengths[values], dtype=np.int64)))
+        rows = byte_at[at]
+        if offsets is not None and (len(offsets) != len(values) or not np.array_equal(offsets, byte_at[:-1] - np.repeat(rows[:-1], np.diff(at)))):
+            raise ValueError("ids and offsets disagree")
+        words = self.words
+        return b"".join([words[k] for k in values.tolist()]), rows
+
+
+def _binaries(data: bytes, rows: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(rows) - 1, [None, pa.py_buffer(rows.astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
 def parse(content: bytes) -> Vocabulary:
     """A vocabulary from lines of a base64 byte string and its rank."""
     return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())})
@@ -277,17 +293,19 @@ def _ship(df: DataFrame, path: str) -> pyspark.Broadcast:
         return df.sparkSession.sparkContext.broadcast(file.read())
 
 
-def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
     """The columns of ``keep`` (default: all but ``text``) with ``ids`` and ``offsets`` of each whole text.
 
     ``ids`` are what the tokenizer library gives for the ranks in the file at ``path`` without special tokens;
-    ``offsets`` have the UTF-8 byte of the text at which each id starts.  A null or empty text has no ids.  A column
-    of ``df`` called ids or offsets gives way if it is kept.  Rows are handled one by one, in runs of bounded size:
-    equal rows, ties and empty tables need nothing special, and there is no shuffle.
+    ``offsets`` have the UTF-8 byte of the text at which each id starts.  A null or empty text has no ids.  With
+    ``decoded``, a column of that name has the bytes that the ids decode to, as ``decode`` would give, from the same
+    worker.  A column of ``df`` with a new name gives way if it is kept.  Rows are handled one by one, in runs of
+    bounded size: equal rows, ties and empty tables need nothing special, and there is no shuffle.
     """
     small_batches(df.sparkSession)
     shipped = _ship(df, path)
-    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("ids", "offsets") and (keep is not None or c != text)]
+    new = ["ids", "offsets", *([decoded] if decoded else [])]
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in {n.lower() for n in new} and (keep is not None or c != text)]
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text__"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,11 +313,13 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
         for batch in batches:
             for part in pieces_of(batch, "__text__", RUN_BYTES):
                 ids, offsets, at = vocabulary.encode(filled(part.column("__text__")))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], lists(ids, at), lists(offsets, at)], [*keep, "ids", "offsets"])
+                back = [_binaries(*vocabulary.decode(ids, at, offsets))] if decoded else []
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], lists(ids, at), lists(offsets, at), *back], [*keep, *new])
         vocabulary.older = {}  # the worker stays for other tasks
 
     ints = T.ArrayType(T.IntegerType(), False)
-    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], T.StructField("ids", ints), T.StructField("offsets", ints)]))
+    more = [T.StructField("ids", ints), T.StructField("offsets", ints), *([T.StructField(decoded, T.BinaryType())] if decoded else [])]
+    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], *more]))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str | None = "offsets", keep: list[str] | None = None) -> DataFrame:
@@ -315,25 +335,15 @@ def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str | None = "of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(path, shipped.value)
-        words = vocabulary.words
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
                 column = part.column("__ids__")
-                values = column.flatten().to_numpy(zero_copy_only=False)
                 counts = np.array([0 if x is None else x for x in column.value_lengths().to_pylist()], np.int64)
-                if len(values) and (values.min() < 0 or values.max() >= len(words)):
-                    raise ValueError("an id is outside the vocabulary")
                 at = np.concatenate(([0], np.cumsum(counts)))
-                byte_at = np.concatenate(([0], np.cumsum(vocabulary.lengths[values], dtype=np.int64)))
-                rows = byte_at[at]
-                if offsets:
-                    told = part.column("__offsets__").flatten().to_numpy(zero_copy_only=False)
-                    if len(told) != len(values) or not np.array_equal(told, byte_at[:-1] - np.repeat(rows[:-1], counts)):
-                        raise ValueError("ids and offsets disagree")
-                data = b"".join([words[k] for k in values.tolist()])
-                decoded = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(rows.astype(np.int32).tobytes()), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], decoded], [*keep, "decoded"])
+                told = part.column("__offsets__").flatten().to_numpy(zero_copy_only=False) if offsets else None
+                found = vocabulary.decode(column.flatten().to_numpy(zero_copy_only=False), at, told)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], _binaries(*found)], [*keep, "decoded"])
 
     return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], T.StructField("decoded", T.BinaryType())]))
 

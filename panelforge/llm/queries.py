@@ -26,9 +26,8 @@ def held_out() -> Column:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded again; digests of both."""
     path = public_tokenizers.path(RANKS)
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    decoded = bpe.decode(encoded, path)
-    return decoded.select(
+    rows = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="decoded")
+    return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(bpe.joined(F.col("ids")), 256).alias("ids_sha256"),

@@ -1,4 +1,5 @@
 import base64
+import hashlib
 import random
 
 import public_tokenizers
@@ -6,7 +7,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from panelforge.llm import bpe
+from panelforge.llm import bpe, queries
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
@@ -58,6 +59,25 @@ def test_round_trip_in_spark(spark):
     assert bpe.decode(bpe.encode(df.limit(0), PATH), PATH).count() == 0
 
 
+def test_decoding_in_the_same_worker_agrees(spark):
+    df = spark.createDataFrame([(k, t, 1) for k, t in enumerate([*HARD, None])], "doc_id long, text string, Back int")
+    one = bpe.encode(df, PATH, decoded="back")
+    assert one.columns == ["doc_id", "ids", "offsets", "back"]
+    two = bpe.decode(one.drop("back"), PATH)
+    assert sorted((r.doc_id, r.ids, bytes(r.back)) for r in one.collect()) == sorted((r.doc_id, r.ids, bytes(r.decoded)) for r in two.collect())
+
+
+def test_query_against_the_library(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in queries.table(spark, sf, "documents").collect()}
+    got = queries.op1_bpe(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = LIBRARY.encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
 def test_unknown_ids_raise(spark):
     df = spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>")
     with pytest.raises(Exception, match="outside the vocabulary"):
