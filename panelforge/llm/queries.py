@@ -194,13 +194,16 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every whole text."""
+    """Secrets in every whole text; n_measured has the values and candidates whose novelty was measured, most_novel the
+    greatest share of random strings' novelty among them (null if there are none)."""
     rows = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    spans = F.filter("spans", lambda s: s["kind"].isNotNull())
     base = F.filter("spans", lambda s: s["kind"] != "novel")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return rows.select(
-        "doc_id", *map(count, secrets.KINDS), F.sha2(secrets.as_string(base), 256).alias("base_sha256"), secrets.as_string(F.col("spans")).alias("spans")
-    )
+        "doc_id", *map(count, secrets.KINDS), F.sha2(secrets.as_string(base), 256).alias("base_sha256"), secrets.as_string(spans).alias("spans"),
+        F.size("spans").cast("long").alias("n_measured"), F.round(F.array_max(F.col("spans")["share"]), 6).alias("most_novel"),
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
