@@ -1,11 +1,11 @@
 """Sharding by balanced label propagation, in DataFrame operations alone.
 
-Documents with equal texts are linked; a link is cut if its ends are in different shards.  Labels start from a line on
-which linked documents stand group by group, cut into equal stretches.  In each round, by joins, every linked document
-sees how much of its group each shard holds and, unless it is there, asks to move to the shards that hold most, as many
-as have room for the group; a shard admits as many as its quota has room for, in the order of their hashes, so no shard
-outgrows its quota and every admitted move leaves fewer links cut.  Rounds go on until no document moves.  Documents
-without links then fill all shards up to their quotas exactly.
+Documents with equal texts are linked; a link is cut if its ends are in different shards.  Labels start from the order
+of the documents' hashes cut into equal stretches, which knows nothing of links.  In each round, by joins, every linked
+document sees how much of its group each shard holds and, unless it is there, asks to move to the shards that hold most,
+as many as have room for the group; a shard admits as many as its quota has room for, in the order of their hashes, so
+no shard outgrows its quota and every admitted move leaves fewer links cut.  Rounds go on until no document moves.
+Documents without links then fill all shards up to their quotas exactly.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._prefix import hash_key, prefix_sums
+from ._prefix import attach, hash_key, prefix_sums
 from ._store import durable
 
 SHARDS = 40
@@ -47,74 +47,112 @@ def _loads(state: DataFrame, shards: int) -> list[int]:
     return [found.get(k) or 0 for k in range(shards)]
 
 
+def _moved(state: DataFrame, quotas: Sequence[int], whole: bool) -> DataFrame | None:
+    """``state`` after one round, None if no row moves.  With ``whole`` a group prefers shards that have room for all of
+    it to those that hold more of it."""
+    group = Window.partitionBy("link")
+    room = [max(0, q - n) for q, n in zip(quotas, _loads(state, len(quotas)), strict=True)]
+    votes = state.groupBy("link", "shard").agg(F.sum("weight").alias("votes"), F.max("weight").alias("most"))
+    votes = votes.withColumn("total", F.sum("votes").over(group)).withColumn("most", F.greatest(F.max("most").over(group), F.lit(1))).filter(F.col("votes") < F.col("total"))
+    # a group keeps the shards that hold most of it, as many as have room for all of it, in whole rows
+    free = _pick(room, F.col("shard"))
+    votes = votes.withColumn("free", free - free % F.col("most"))
+    fits = F.when(F.lit(whole) & (F.col("votes") + F.col("free") >= F.col("total")), 0).otherwise(1)
+    by_votes = group.orderBy(fits, F.desc("votes"), F.pmod(F.xxhash64("link", "shard"), F.lit(1 << 30)), "shard")
+    before = by_votes.rowsBetween(Window.unboundedPreceding, -1)
+    votes = votes.withColumn("stays", F.coalesce(F.sum(F.col("votes") + F.col("free")).over(before), F.lit(0)) < F.col("total"))
+    votes = votes.withColumn("end", F.sum("free").over(by_votes.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = F.collect_list(F.when(F.col("stays") & (F.col("free") > 0), F.struct("end", "shard"))).over(group)
+    wish = durable(votes.withColumn("ends", F.array_sort(kept)).filter(~F.col("stays")).select("link", "shard", "ends"), "wishes")
+    if wish.isEmpty():
+        return None
+    movers = attach(state, wish, ["link", "shard"], "uid")
+    movers = prefix_sums(movers, ["link"], [F.col("key"), F.col("uid")], "key", "weight", "at")
+    movers = movers.withColumn("to", F.get(F.filter("ends", lambda e: e["end"] > F.col("at")), F.lit(0))["shard"]).filter("to is not null").drop("ends", "at")
+    movers = durable(movers, "movers")
+    movers = prefix_sums(movers, ["to"], [F.col("key"), F.col("uid")], "key", "weight", "before")
+    movers = durable(movers.filter(F.col("before") + F.col("weight") <= _pick(room, F.col("to"))).select("uid", "to"), "moves")
+    if movers.isEmpty():
+        return None
+    return durable(state.join(movers, "uid", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to"), "state")
+
+
+def _together(state: DataFrame) -> int:
+    """How much of each group is together: the squares of what each shard holds of it."""
+    held = state.groupBy("link", "shard").agg(F.sum("weight").cast("decimal(38,0)").alias("n"))
+    return held.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+
+
 def propagate(state: DataFrame, quotas: Sequence[int], rounds: int | None = None) -> DataFrame:
     """Linked rows (uid, link, key, weight, shard) after label propagation under quotas of weight, until no row moves
-    or for ``rounds`` at most.  Rows move only to shards that hold more of their group, so it comes to an end."""
-    shards, done = len(quotas), 0
-    group = Window.partitionBy("link")
+    or for ``rounds`` at most.
+
+    Rows move to shards that hold more of their group, so that comes to an end.  Groups that are apart then because the
+    shards that hold most of them are full go on to those that have room for them, as long as each round brings more
+    together."""
+    done = 0
     while rounds is None or done < rounds:
-        done += 1
-        room = [max(0, q - n) for q, n in zip(quotas, _loads(state, shards), strict=True)]
-        votes = state.groupBy("link", "shard").agg(F.sum("weight").alias("votes"), F.max("weight").alias("most"))
-        votes = votes.withColumn("total", F.sum("votes").over(group)).withColumn("most", F.greatest(F.max("most").over(group), F.lit(1))).filter(F.col("votes") < F.col("total"))
-        # a group keeps the shards that hold most of it, as many as have room for all of it, in whole rows
-        by_votes = group.orderBy(F.desc("votes"), F.pmod(F.xxhash64("link", "shard"), F.lit(1 << 30)), "shard")
-        before = by_votes.rowsBetween(Window.unboundedPreceding, -1)
-        free = _pick(room, F.col("shard"))
-        votes = votes.withColumn("free", free - free % F.col("most"))
-        votes = votes.withColumn("stays", F.coalesce(F.sum(F.col("votes") + F.col("free")).over(before), F.lit(0)) < F.col("total"))
-        votes = votes.withColumn("end", F.sum("free").over(by_votes.rowsBetween(Window.unboundedPreceding, 0)))
-        kept = F.collect_list(F.when(F.col("stays") & (F.col("free") > 0), F.struct("end", "shard"))).over(group)
-        wish = votes.withColumn("ends", F.array_sort(kept)).filter(~F.col("stays")).select("link", "shard", "ends")
-        movers = state.join(durable(wish, "wishes"), ["link", "shard"])
-        movers = prefix_sums(movers, ["link"], [F.col("key"), F.col("uid")], "key", "weight", "at")
-        movers = movers.withColumn("to", F.get(F.filter("ends", lambda e: e["end"] > F.col("at")), F.lit(0))["shard"]).filter("to is not null").drop("ends", "at")
-        movers = durable(movers, "movers")
-        movers = prefix_sums(movers, ["to"], [F.col("key"), F.col("uid")], "key", "weight", "before")
-        movers = durable(movers.filter(F.col("before") + F.col("weight") <= _pick(room, F.col("to"))).select("uid", "to"), "moves")
-        if movers.isEmpty():
+        moved = _moved(state, quotas, False)
+        if moved is None:
             break
-        state = durable(state.join(movers, "uid", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to"), "state")
+        state, done = moved, done + 1
+    best = _together(state)
+    while rounds is None or done < rounds:
+        moved = _moved(state, quotas, True)
+        if moved is None or (now := _together(moved)) <= best:
+            break
+        state, best, done = moved, now, done + 1
     return state
 
 
+def cut_links(df: DataFrame, link: str, shard: str) -> DataFrame:
+    """One row: ``links``, the pairs of rows with equal ``link`` (not null), and ``cut``, those of them in different
+    shards.  Counted from the groups' sizes, without a pair."""
+    pairs = lambda n: F.coalesce(F.sum(F.col(n) * (F.col(n) - 1) / 2), F.lit(0)).cast("long")
+    held = df.filter(F.col(f"`{link}`").isNotNull()).groupBy(F.col(f"`{link}`").alias("l"), F.col(f"`{shard}`").alias("s")).agg(F.count("*").alias("n"))
+    groups = held.groupBy("l").agg(F.sum("n").alias("m"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("whole"))
+    return groups.agg(pairs("m").alias("links"), (pairs("m") - F.coalesce(F.sum("whole"), F.lit(0)).cast("long")).alias("cut"))
+
+
 def balanced_shards(df: DataFrame, link: Column, doc_id: str = "doc_id", size: str = "size", shards: int = SHARDS, law: str = "rows", rounds: int | None = None) -> DataFrame:
-    """``df`` with law, shard (from 0) and slot (from 0 in each shard, without gaps).
+    """``df`` with law, shard (from 0), slot (from 0 in each shard, without gaps) and start_shard (where label
+    propagation found the row; null for a row without links).
 
-    Rows with equal ``link`` are linked.  ``law``: "rows" makes the shards' row counts differ by one at most, "bytes"
-    their sums of ``size`` by about one row's size.  The order of rows is that of hashes of ``doc_id``, so reruns
-    agree; null ids hash like empty strings, and rows that repeat an id are told apart by a number.  A group larger
-    than a shard is cut into as few shards as the quotas allow, or nearly.  An empty table gives an empty one.
+    Rows with equal ``link`` (null is one value) are linked.  ``law``: "rows" makes the shards' row counts differ by one
+    at most, "bytes" their sums of ``size`` by about one row's size.  The order of rows is that of hashes of ``doc_id``,
+    so reruns agree; null ids hash like empty strings, and rows that repeat an id are told apart by a number.  A group
+    larger than a shard is cut into as few shards as the quotas allow, or nearly.  An empty table gives an empty one.
     Columns of ``df`` with the new names give way.
     """
     weight = F.lit(1).cast("long") if law == "rows" else F.col(size).cast("long")
-    names = [c for c in df.columns if c.lower() not in ("law", "shard", "slot")]
+    names = [c for c in df.columns if c.lower() not in ("law", "shard", "slot", "start_shard")]
     own = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]
-    rows = df.select(*own, F.monotonically_increasing_id().alias("uid"), link.alias("link"), hash_key("shard", F.col(doc_id)).alias("key"), weight.alias("weight"))
+    linked = F.coalesce(link.cast("long"), F.lit(-1).cast("long"))
+    rows = df.select(*own, F.monotonically_increasing_id().alias("uid"), linked.alias("link"), hash_key("shard", F.col(doc_id)).alias("key"), weight.alias("weight"))
     rows = durable(rows, "rows")
-    groups = rows.groupBy("link").agg(F.count("*").alias("n"), F.sum("weight").alias("group_weight"))
-    groups = durable(groups.filter("n > 1").withColumn("one", F.lit(1)).withColumn("place", hash_key("group", F.col("link"))), "groups")
+    groups = durable(rows.groupBy("link").agg(F.count("*").alias("n")).filter("n > 1"), "groups").select("link")
     total = rows.agg(F.sum("weight")).first()[0] or 0
     quotas = [total // shards + (k < total % shards) for k in range(shards)]
 
-    groups = prefix_sums(groups, ["one"], [F.col("place"), F.col("link")], "place", "group_weight", "start")
-    linked = durable(rows.select("uid", "link", "key", "weight").join(groups.select("link", "start"), "link"), "linked")
-    linked = prefix_sums(linked, ["link"], [F.col("key"), F.col("uid")], "key", "weight", "within")
+    linked = durable(attach(rows.select("uid", "link", "key", "weight"), groups, ["link"], "uid"), "linked")
     held = linked.agg(F.sum("weight")).first()[0] or 0
     widths = [q * held / total if total else 0.0 for q in quotas]
-    state = durable(linked.select("uid", "link", "key", "weight", _stretch(F.col("start") + F.col("within"), widths).cast("int").alias("shard")), "state")
+    state = prefix_sums(linked, [], [F.col("key"), F.col("uid")], "key", "weight", "at")
+    state = durable(state.select("uid", "link", "key", "weight", _stretch(F.col("at"), widths).cast("int").alias("shard")), "state")
+    start = state.select("uid", F.col("shard").alias("start_shard"))
     state = propagate(state, quotas, rounds)
 
     # what stands past a shard's quota leaves it, and fills gaps with the rows without links
     state = durable(prefix_sums(state, ["shard"], [F.col("key"), F.col("uid")], "key", "weight", "before"), "state")
     stays = state.filter(F.col("before") + F.col("weight") <= _pick(quotas, F.col("shard"))).select("uid", "shard", "weight")
     gaps = [max(0, q - n) for q, n in zip(quotas, _loads(stays, shards), strict=True)]
-    rest = rows.join(stays.select("uid"), "uid", "left_anti").select("uid", "key", "weight", F.lit(1).alias("one"))
-    rest = prefix_sums(rest, ["one"], [F.col("key"), F.col("uid")], "key", "weight", "before")
+    rest = durable(rows.join(stays.select("uid"), "uid", "left_anti").select("uid", "key", "weight"), "rest")
+    rest = prefix_sums(rest, [], [F.col("key"), F.col("uid")], "key", "weight", "before")
     rest = rest.select("uid", _stretch(F.col("before"), gaps).cast("int").alias("shard"))
-    placed = durable(rows.drop("weight", "link").join(stays.select("uid", "shard").unionByName(rest), "uid").withColumn("one", F.lit(1)), "placed")
+    placed = rows.drop("weight", "link").join(stays.select("uid", "shard").unionByName(rest), "uid").join(start, "uid", "left")
+    placed = durable(placed.withColumn("one", F.lit(1)), "placed")
     slots = prefix_sums(placed, ["shard"], [F.col("key"), F.col("uid")], "key", "one", "slot")
-    return slots.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], F.lit(law).alias("law"), "shard", F.col("slot").cast("long").alias("slot"))
+    return slots.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], F.lit(law).alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "start_shard")
 
 
 def text_link(text: Column) -> Column:
@@ -123,6 +161,7 @@ def text_link(text: Column) -> Column:
 
 
 def shard_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options: object) -> DataFrame:
-    """doc_id, size, text_crc32 (0 for a null text), law, shard and slot of every row; equal texts are linked."""
+    """doc_id, size, text_crc32 (0 for a null text), law, shard, slot and start_shard of every row; equal texts, null and
+    empty alike, are linked."""
     rows = df.select(F.col(doc_id), text_size(F.col(text)).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("text_crc32"), text_link(F.col(text)).alias("__link__"))
     return balanced_shards(rows, F.col("__link__"), doc_id, **options).drop("__link__")

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.llm import sharding
+from panelforge.llm import _prefix, queries, sharding
 
 SCHEMA = "doc_id long, text string, shard string"
 
@@ -42,6 +42,54 @@ def test_quotas_and_cuts(spark, law):
         assert len(groups["hot"]) <= 6  # 400 of 1,500 rows: over two quotas
 
 
+def brute_cut(rows):
+    """Links and cut links of (group, shard) rows, pair by pair."""
+    by = defaultdict(list)
+    for g, s in rows:
+        by[g].append(s)
+    pairs = [(a, b) for ss in by.values() for k, a in enumerate(ss) for b in ss[:k]]
+    return len(pairs), sum(a != b for a, b in pairs)
+
+
+def test_query_unites_equal_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    documents = {r.doc_id: r.text for r in queries.table(spark, sf, "documents").collect()}
+    got = queries.op7_shards(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(documents)
+    count, slots = Counter(r.shard for r in got), defaultdict(list)
+    assert set(count) == set(range(40)) and max(count.values()) - min(count.values()) <= 1
+    for r in got:
+        data = (documents[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(data) + 16, zlib.crc32(data), "rows", None)
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    copies = Counter(documents.values())
+    assert all((r.start_shard is None) == (copies[documents[r.doc_id]] == 1) for r in got)
+    linked = [r for r in got if r.start_shard is not None]
+    links, before = brute_cut([(documents[r.doc_id], r.start_shard) for r in linked])
+    _, after = brute_cut([(documents[r.doc_id], r.shard) for r in linked])
+    assert before > 0.9 * links and after <= 0.05 * links  # the start knows nothing of links
+    frame = spark.createDataFrame([(documents[r.doc_id] and zlib.crc32(documents[r.doc_id].encode()), r.start_shard, r.shard) for r in linked], "link long, a int, b int")
+    for shard, cut in (("a", before), ("b", after)):
+        assert tuple(sharding.cut_links(frame, "link", shard).first()) == (links, cut)
+
+
+def test_prefix_sums_in_two_levels(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(k, rng.randrange(2**60), rng.randrange(5), rng.choice(["a", "b", None]), 7) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, key long, v long, g string, n int")
+    for level in (4096, 4):
+        monkeypatch.setattr(_prefix, "BUCKET_ROWS", 20)
+        monkeypatch.setattr(_prefix, "LEVEL_ROWS", level)
+        for group in ([], ["g"]):
+            got = {r.id: r.out for r in _prefix.prefix_sums(df, group, [F.col("key"), F.col("id")], "key", "v", "out").collect()}
+            sums, want = Counter(), {}
+            for k, _, v, g, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+                want[k] = sums[g if group else 0]
+                sums[g if group else 0] += v
+            assert got == want
+
+
 def test_reruns_agree(spark):
     df = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts()[:300])], SCHEMA)
     first, second = ({r.doc_id: (r.shard, r.slot) for r in sharding.shard_documents(x).collect()} for x in (df, df.repartition(7)))
@@ -77,7 +125,7 @@ def test_edges(spark):
 def test_clashing_names(spark):
     df = spark.createDataFrame([(k, 1, "w", 5, 6, 7, k) for k in range(20)], "doc_id long, size long, weight string, uid int, key int, one int, link long")
     got = sharding.balanced_shards(df, F.col("link") % 3, shards=4)
-    assert got.columns == [*df.columns, "law", "shard", "slot"] and {(r.weight, r.uid, r.key, r.one) for r in got.collect()} == {("w", 5, 6, 7)}
+    assert got.columns == [*df.columns, "law", "shard", "slot", "start_shard"] and {(r.weight, r.uid, r.key, r.one) for r in got.collect()} == {("w", 5, 6, 7)}
 
 
 @pytest.mark.parametrize("law", ["rows", "bytes"])
