@@ -1,47 +1,49 @@
 """Near-duplicates by ProbMinHash signatures, banding and verification.
 
-A text is the set of its runs of SHINGLE words.  Each distinct shingle with weight w is a Poisson process of rate w:
-its arrivals visit the signature's places one after another, in an order of its own, after exponential waits.  A place
-keeps the shingle that arrives first; a shingle stops as soon as it comes later than every place's first.  Two texts
-agree in a place with the probability Jaccard similarity of their weighted shingles, which is the Jaccard similarity
-itself where all weights are one, as in ``near_duplicates``.
+A text is a weighted set of its runs of SHINGLE words: a shingle weighs as often as it occurs.  Each shingle with weight
+w is a Poisson process of rate w: its arrivals visit the signature's places one after another, in a random order of its
+own, after exponential waits.  A place keeps the shingle that arrives first; a shingle stops as soon as it comes later
+than every place's first.  Two texts agree in a place with the probability Jaccard similarity of their weighted
+shingles (``similarity``), which is the Jaccard similarity itself where all weights are one.
 
 Places are joined into bands; texts that agree in a band are in one bucket.  Buckets are compared by stars: a central
-member with the others, until each bucket's members are either in one
-component or have been compared, so no link between members of a bucket is lost and a bucket of copies costs as many
-comparisons as it has members.  A link counts when the shingle sets of the whole texts have at least the similarity.
+member with the others, until each bucket's members are either in one component or have been compared, so no link
+between members of a bucket is lost and a bucket of copies costs as many comparisons as it has members.  A link counts
+when the weighted shingles of the whole texts have at least the similarity.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._graph import components
+from ._prefix import SALTS, attach, dealt_totals
 from ._store import durable, small_batches
-from ._text import filled, pieces_of, tidied
+from ._text import filled, flat, lists, pieces_of, tidied
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Places, and bands of rows: at a similarity of 0.8 all bands miss a pair once in 20,000 times, at 0.85 in 2 million.
-PLACES, BANDS, ROWS = 128, 25, 5
-#: Agreeing places below which a pair isn't verified: under 0.8 of 128 by four standard deviations.
-LEAST_PLACES = 84
+#: Places of a signature at first, and how often all bands may miss a pair of the least similarity.
+PLACES, MISSED = 128, 1 / 20_000
+#: A pair isn't verified if its signatures agree in fewer places than expected by so many standard deviations.
+DEVIATIONS = 4
 #: Texts up to which a shingle is scarce.
 SCARCE = 8
-RUN_BYTES = 1 << 20
-CACHE_WORDS = 150_000
-#: Rows of 16 bytes up to which ids are broadcast to pick texts.
-BROADCAST_ROWS = 2_000_000
-#: Pairs up to which they, with one signature each, are broadcast.
-CLOSE_ROWS = 200_000
+RUN_BYTES = 1 << 19
+CACHE_WORDS = 100_000
+#: Rows of ids up to which they are broadcast to pick texts (some 16 MB), and pairs with a signature each (some 10 MB).
+BROADCAST_ROWS, CLOSE_ROWS = 250_000, 50_000
 
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -58,15 +60,49 @@ def words(text: str) -> list[bytes]:
     return text.lower().encode().split()
 
 
-def shingle_sets(texts: list[bytes | list[bytes]]) -> list[set[bytes]]:
-    """Distinct shingles of lists of words; fewer words than SHINGLE are one shingle, no word is none."""
-    return [{b" ".join(w[k : k + SHINGLE]) for k in range(max(1, len(w) - SHINGLE + 1))} if w else set() for w in texts]
+def weighted_shingles(texts: list[list[bytes]], weigh: str = "count") -> list[dict[bytes, int]]:
+    """Shingles of lists of words with their weights; fewer words than SHINGLE are one shingle, no word is none."""
+    made = ([b" ".join(w[k : k + SHINGLE]) for k in range(max(1, len(w) - SHINGLE + 1))] if w else [] for w in texts)
+    return [Counter(x) if weigh == "count" else dict.fromkeys(x, 1) for x in made]
 
 
-def similarity(a: set[bytes], b: set[bytes]) -> float:
-    """Jaccard similarity; of two empty sets 1."""
-    both = len(a & b)
-    return both / (len(a) + len(b) - both) if a or b else 1.0
+def similarity(a: dict[bytes, int], b: dict[bytes, int]) -> float:
+    """Probability Jaccard similarity of weighted sets: the sum over what both have of 1 / sum of max(a[j] / a[i],
+    b[j] / b[i]) over all j, which is the Jaccard similarity if all weights are equal; of two empty sets 1."""
+    if not a or not b:
+        return float(not a and not b)
+    both = a.keys() & b.keys()
+    if len(a) == sum(a.values()) and len(b) == sum(b.values()):
+        return len(both) / (len(a) + len(b) - len(both))
+    kinds = Counter((a[x], b[x]) for x in both)
+    kinds.update((n, 0) for x, n in a.items() if x not in both)
+    kinds.update((0, n) for x, n in b.items() if x not in both)
+    x, y, n = np.array([(*k, n) for k, n in kinds.items()], float).T
+    return float(sum(n[k] / (n * np.maximum(x / x[k], y / y[k])).sum() for k in np.flatnonzero((x > 0) & (y > 0))))
+
+
+class Bands(NamedTuple):
+    """How signatures are cut for a least similarity: places, bands, places of a band, and the agreeing places from
+    which a pair is verified."""
+
+    places: int
+    bands: int
+    rows: int
+    agree: int
+
+
+def bands_for(least: float) -> Bands:
+    """The longest bands that fit into the places and miss a pair of similarity ``least`` no oftener than MISSED."""
+    if not 0.02 <= least <= 1:
+        raise ValueError("the least similarity has to be from 0.02 to 1")
+    places = PLACES
+    while True:
+        for rows in range(32, 0, -1):
+            caught = least**rows
+            bands = 1 if caught >= 1 else math.ceil(math.log(MISSED) / math.log1p(-caught))
+            if bands * rows <= places:
+                return Bands(places, bands, rows, max(1, math.floor(least * places - DEVIATIONS * math.sqrt(places * least * (1 - least)))))
+        places *= 2
 
 
 def shingles(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,9 +133,8 @@ def signatures(n: int, owner: np.ndarray, element: np.ndarray, weight: np.ndarra
     first = np.full(n * places, np.inf)
     who = np.zeros(n * places, np.uint64)
     seed = _mixed(element + _GOLDEN)
-    at = (seed & np.uint64(places - 1)).astype(np.int64)
-    stride = ((seed >> np.uint64(20)) & np.uint64(places - 1)).astype(np.int64) | 1
     time = np.zeros(len(element))
+    order = _mixed(seed ^ _M1)  # of an element's places
     for k in range(places):
         seed = _mixed(seed + _GOLDEN)
         wait = -np.log(((seed >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
@@ -107,60 +142,75 @@ def signatures(n: int, owner: np.ndarray, element: np.ndarray, weight: np.ndarra
         if k:
             open_ = time < first.reshape(n, places).max(1)[owner]
             if not open_.all():
-                owner, element, weight, seed, at, stride, time = (x[open_] for x in (owner, element, weight, seed, at, stride, time))
+                owner, element, weight, seed, order, time = (x[open_] for x in (owner, element, weight, seed, order, time))
             if not len(owner):
                 break
-        place = owner * places + at
+        place = owner * places + _place(order, k, places)
         np.minimum.at(first, place, time)
         won = first[place] == time
         who[place[won]] = element[won]
-        at = (at + stride) & (places - 1)
     return who.reshape(n, places)
 
 
-def buckets(signature: np.ndarray) -> np.ndarray:
+def _place(order: np.ndarray, k: int, places: int) -> np.ndarray:
+    """The k-th place that each element visits: odd factors, sums and shifts drawn from ``order`` are bijections of the
+    numbers below ``places``, so that all of them come in an order that differs from element to element."""
+    bits = places.bit_length() - 1
+    x, mask = np.full(len(order), k, np.uint64), np.uint64(places - 1)
+    for turn in range(3):
+        own = _mixed(order + np.uint64(turn))
+        x = (x * (own | np.uint64(1)) + (own >> np.uint64(32))) & mask
+        x ^= x >> np.uint64((bits + 1) // 2)
+    return x.astype(np.int64)
+
+
+def buckets(signature: np.ndarray, cut: Bands) -> np.ndarray:
     """A 64-bit name for each band of each signature; bands don't share names."""
-    value = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(signature), 1))
-    grid = signature[:, : BANDS * ROWS].reshape(len(signature), BANDS, ROWS)
-    for k in range(ROWS):
+    value = np.tile(np.arange(1, cut.bands + 1, dtype=np.uint64), (len(signature), 1))
+    grid = signature[:, : cut.bands * cut.rows].reshape(len(signature), cut.bands, cut.rows)
+    for k in range(cut.rows):
         value = _mixed(value * _GOLDEN + grid[:, :, k])
     return value.view(np.int64)
 
 
-def sign(df: DataFrame, text: str, keep: list[str], weigh: str = "presence") -> DataFrame:
+def _digests(rows: np.ndarray) -> pa.Array:
+    """A binary column of the rows of a matrix of bytes."""
+    at = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+def sign(df: DataFrame, text: str, keep: list[str], weigh: str = "count", least: float = SIMILARITY) -> DataFrame:
     """``keep`` of every row with uid (a number of the row), wordkey (a digest of the words), signature (a byte a
-    place) and buckets (none for a text without words).  ``weigh``: "presence" gives each distinct shingle the weight
-    one, "count" as many as its occurrences.  Null texts count as empty."""
+    place) and buckets (none for a text without words), cut for the similarity ``least``.  ``weigh``: "count" gives each
+    distinct shingle as much weight as it has occurrences, "presence" one.  Null texts count as empty."""
     small_batches(df.sparkSession)
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text__"))
+    cut = bands_for(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in pieces_of(batch, "__text__", RUN_BYTES):
-                lists = [words(t) for t in filled(part.column("__text__")).to_pylist()]
                 if len(known) > CACHE_WORDS:
                     known.clear()
-                rows = []
-                for own in lists:
+                rows, keys = [], []
+                for t in filled(part.column("__text__")):
+                    own = words(t.as_py())
+                    keys.append(hashlib.blake2b(b" ".join(own), digest_size=16).digest())
                     for w in own:
                         if w not in known:
                             known[w] = xxhash.xxh3_64_intdigest(w)
-                    rows.append(np.array([known[w] for w in own], np.uint64))
+                    rows.append(np.fromiter((known[w] for w in own), np.uint64, len(own)))
                 n = part.num_rows
                 owner, element, count = shingles(rows)
                 weight = np.ones(len(owner)) if weigh == "presence" else count.astype(float)
-                signature = signatures(n, owner, element, weight)
-                names = buckets(signature).tolist()
+                signature = signatures(n, owner, element, weight, cut.places)
+                full = np.array([len(own) > 0 for own in rows], bool)
+                names = buckets(signature[full], cut)
+                at = np.concatenate(([0], np.cumsum(full * cut.bands)))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *[part.column(c) for c in keep],
-                        pa.array(uid + np.arange(n)),
-                        pa.array([hashlib.blake2b(b" ".join(own), digest_size=16).digest() for own in lists], pa.binary()),
-                        pa.array([x.tobytes() for x in signature.astype(np.uint8)], pa.binary()),
-                        pa.array([x if own else [] for x, own in zip(names, lists, strict=True)], pa.list_(pa.int64())),
-                    ],
+                    [*[part.column(c) for c in keep], pa.array(uid + np.arange(n)), pa.array(keys, pa.binary()), _digests(signature.astype(np.uint8)), lists(names.ravel(), at)],
                     [*keep, "uid", "wordkey", "signature", "buckets"],
                 )
                 uid += n
@@ -169,32 +219,34 @@ def sign(df: DataFrame, text: str, keep: list[str], weigh: str = "presence") ->
     return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], *more]))
 
 
-def _close(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+def _close(pairs: DataFrame, signed: DataFrame, cut: Bands) -> DataFrame:
     """The pairs (a, b) of which enough places of the signatures agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PLACES) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= LEAST_PLACES))
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                x, y = (np.frombuffer(flat(part.column(c))[0], np.uint8).reshape(-1, cut.places) for c in ("sa", "sb"))
+                yield part.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= cut.agree))
 
     of = lambda side: signed.select(F.col("uid").alias(side), F.col("signature").alias(f"s{side}"))
     found = of("b").join(F.broadcast(of("a").join(F.broadcast(pairs), "a")), "b") if pairs.count() <= CLOSE_ROWS else pairs.join(of("a"), "a").join(of("b"), "b")
     return found.select("a", "b", "sa", "sb").mapInArrow(tidied(run), "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, least: float, weigh: str) -> DataFrame:
     """The pairs (a, b) whose whole texts are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[object, set[bytes]] = (None, set())
+        last: tuple[object, dict[bytes, int]] = (None, {})
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 keep = []
-                for a, x, y in zip(part.column("a").to_pylist(), part.column("ta").to_pylist(), part.column("tb").to_pylist(), strict=True):
+                for a, x, y in zip(part.column("a").to_pylist(), part.column("ta"), part.column("tb"), strict=True):
                     if a != last[0]:
-                        last = (a, shingle_sets([words(x)])[0])
-                    keep.append(similarity(last[1], shingle_sets([words(y)])[0]) >= least)
+                        last = (a, weighted_shingles([words(x.as_py())], weigh)[0])
+                    keep.append(similarity(last[1], weighted_shingles([words(y.as_py())], weigh)[0]) >= least - 1e-12)
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda side: texts.select(F.col("uid").alias(side), F.col("text").alias(f"t{side}"))
@@ -206,81 +258,89 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = SIMILARITY, weigh: str = "count") -> DataFrame:
     """Every row's ``doc_id`` with class_id (the least doc_id of its group of near-duplicates), copy_id (the least
     doc_id of the rows with the same words), group_size, n_links (the links that were verified of its distinct words), kept
     (exactly one row of each group, one with the least doc_id) and row_hash (xxhash64 of the text).
 
-    Rows are in one group if a chain of links joins them, a link being a similarity of ``least`` or more.  Rows with
+    Rows are in one group if a chain of links joins them, a link being a ``similarity`` of ``least`` or more of their
+    shingles weighed as ``weigh`` says (see ``sign``); bands follow from ``least``.  Rows with
     the same words are one text, so copies aren't compared; texts without words, null ones included, are one group.
     Null ids are last; repeated rows are copies; an empty table gives an empty one.
+
+    Rows of one text, and texts of one bucket or group, meet what is known of them in parts (``attach``), so a text, a
+    bucket or a group that a third of all rows belong to is no task's burden.
     """
+    cut = bands_for(least)
     source = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("row_hash", F.xxhash64("text"))
-    signed = durable(sign(source, "text", ["doc_id", "row_hash"]), "signed")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
-    copies = durable(signed.groupBy("wordkey").agg(F.min(order).alias("of")).select("wordkey", F.col("of.uid").alias("rep"), F.col("of.doc_id").alias("copy_id")), "copies")
-    texts_of = durable(signed.join(copies, (signed.wordkey == copies.wordkey) & (F.col("uid") == F.col("rep"))).select("uid", "doc_id", "row_hash", "signature", "buckets"), "reps")
+    signed = durable(sign(source, "text", ["doc_id", "row_hash"], weigh, least), "signed")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
+    rows = signed.select("doc_id", "row_hash", "uid", "wordkey")
+    rows = durable(dealt_totals(rows, ["wordkey"], "uid", {"of": F.min(order), "n": F.count("*")}, {"of": F.min("of"), "copies": F.sum("n")}).drop("wordkey"), "rows")
+    reps = rows.filter(F.col("uid") == F.col("of.uid")).select("uid", "doc_id", "row_hash", "copies")
+    texts_of = durable(signed.select("uid", "signature", "buckets").join(reps, "uid"), "reps")
 
     members = texts_of.select("uid", F.explode("buckets").alias("bucket"))
-    sizes = durable(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-    members = durable(members.join(sizes, "bucket"), "members")
     # those that share most buckets with others are the most central
-    central = members.groupBy("uid").agg(F.sum("n").alias("score"))
-    members = durable(members.select("uid", "bucket").join(central, "uid"), "members")
+    members = durable(dealt_totals(members, ["bucket"], "uid", {"k": F.count("*")}, {"n": F.sum("k")}).filter("n > 1"), "members")
+    members = members.join(members.groupBy("uid").agg(F.sum("n").alias("score")), "uid").drop("n")
+    head = F.max(F.struct("score", (-F.col("uid")).alias("u")))
+    members = dealt_totals(members, ["bucket"], "uid", {"top": head}, {"top": F.max("top")})
+    members = durable(members.withColumn("head", -F.col("top.u")).drop("top"), "members")
 
     picked = _small(members.select("uid").distinct().join(texts_of.select("uid", F.col("doc_id").alias("d"), F.col("row_hash").alias("h")), "uid"))
     texts = source.join(picked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_hash") == F.col("h"))).select("uid", "text")
-    texts = durable(texts.dropDuplicates(["uid"]) if _repeated(signed) else texts, "texts")
+    texts = durable(texts.dropDuplicates(["uid"]) if _repeated(rows) else texts, "texts")
 
-    found = _linked(members, texts_of.select("uid", "signature"), texts, least)
-    edges, labels = found
-    links = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    rows = signed.select("doc_id", "row_hash", "uid", "wordkey").join(copies, "wordkey").drop("wordkey")
-    rows = rows.join(links, "rep", "left").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    rows = durable(rows.withColumn("group", F.coalesce("label", "rep")).drop("label"), "rows")
-    groups = rows.groupBy("group").agg(F.min(order).alias("of"), F.count("*").alias("group_size"))
-    rows = rows.join(durable(groups, "groups"), "group")
-    return rows.select("doc_id", F.col("of.doc_id").alias("class_id"), "copy_id", "group_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("of.uid") == F.col("uid")).alias("kept"), "row_hash")
+    edges, labels = _linked(members, texts_of.select("uid", "signature"), texts, least, weigh, cut)
+    links = edges.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("n_links"))
+    of_texts = texts_of.select("uid", "doc_id", "copies").join(links, "uid", "left").join(labels.select(F.col("node").alias("uid"), "label"), "uid", "left")
+    of_texts = of_texts.withColumn("group", F.coalesce("label", "uid")).drop("label")
+    of_texts = dealt_totals(of_texts, ["group"], "uid", {"first": F.min(order), "n": F.sum("copies")}, {"first": F.min("first"), "group_size": F.sum("n")})
+    of_texts = durable(of_texts.select(F.col("uid").alias("rep"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "first", "group_size"), "groups")
+    found = attach(rows.withColumn("rep", F.col("of.uid")), of_texts, ["rep"], "uid")
+    return found.select("doc_id", F.col("first.doc_id").alias("class_id"), F.col("of.doc_id").alias("copy_id"), "group_size", "n_links", (F.col("first.uid") == F.col("uid")).alias("kept"), "row_hash")
 
 
-def _repeated(signed: DataFrame) -> bool:
-    return not signed.groupBy("doc_id", "row_hash").count().filter("count > 1").isEmpty()
+def _repeated(rows: DataFrame) -> bool:
+    return not rows.groupBy("doc_id", "row_hash").count().filter("count > 1").isEmpty()
 
 
-def _shingles(texts: DataFrame) -> DataFrame:
-    """(uid, shingle): a hash of each distinct shingle of each text."""
+def _shingles(texts: DataFrame, weigh: str) -> DataFrame:
+    """(uid, shingle, weight): a hash of each distinct shingle of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                sets = [[xxhash.xxh3_64_intdigest(x) for x in s] for s in shingle_sets([words(t) for t in part.column("text").to_pylist()])]
+            for part in pieces_of(batch, "text", RUN_BYTES):
+                sets = [weighted_shingles([words(t.as_py())], weigh)[0] for t in part.column("text")]
                 uids = np.repeat(part.column("uid").to_numpy(), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array(np.array([x for s in sets for x in s], np.uint64).view(np.int64))], ["uid", "shingle"])
+                names = np.fromiter((xxhash.xxh3_64_intdigest(x) for s in sets for x in s), np.uint64, len(uids)).view(np.int64)
+                weights = np.fromiter((n for s in sets for n in s.values()), np.int64, len(uids))
+                yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array(names), pa.array(weights)], ["uid", "shingle", "weight"])
 
-    return texts.select("uid", "text").mapInArrow(tidied(run), "uid long, shingle long")
+    return texts.select("uid", "text").mapInArrow(tidied(run), "uid long, shingle long, weight long")
 
 
 def _frequencies(every: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (uid, shingle): (uid, n, common), the shingles of each text and how many of them more than SCARCE texts
+    """From (uid, shingle, weight): (uid, common), the part of each text's weight in shingles that more than SCARCE texts
     have; and the rows of those that 2 to SCARCE texts have.  No more than SCARCE rows of a shingle come together."""
-    counts = durable(every.groupBy("shingle").agg(F.count("*").alias("k"), F.min("uid").alias("of")).filter(F.col("k") <= SCARCE), "scarce")
+    counts = durable(every.groupBy("shingle").agg(F.count("*").alias("k"), F.min(F.struct("uid", "weight")).alias("of")).filter(F.col("k") <= SCARCE), "scarce")
     few = durable(every.join(counts.filter("k > 1").select("shingle"), "shingle"), "few")
-    scarce = counts.filter("k = 1").select(F.col("of").alias("u")).union(few.select("uid")).groupBy("u").agg(F.count("*").alias("scarce"))
-    sizes = every.groupBy("uid").agg(F.count("*").alias("n"))
-    return sizes.join(scarce, F.col("uid") == F.col("u"), "left").select("uid", "n", (F.col("n") - F.coalesce("scarce", F.lit(0))).alias("common")), few
+    scarce = counts.filter("k = 1").select(F.col("of.uid").alias("u"), F.col("of.weight").alias("weight")).union(few.select("uid", "weight")).groupBy("u").agg(F.sum("weight").alias("scarce"))
+    sizes = every.groupBy("uid").agg(F.sum("weight").alias("n"))
+    return sizes.join(scarce, F.col("uid") == F.col("u"), "left").select("uid", ((F.col("n") - F.coalesce("scarce", F.lit(0))) / F.col("n")).alias("common")), few
 
 
-def _linked(members: DataFrame, signatures_: DataFrame, texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+def _linked(members: DataFrame, signatures_: DataFrame, texts: DataFrame, least: float, weigh: str, cut: Bands) -> tuple[DataFrame, DataFrame]:
     """All links (a, b) that were verified, and the components' labels, which no link inside a bucket crosses.
 
     First each bucket's most central member meets the others.  Where that leaves members of a bucket in different
     components, the shingles of those buckets' texts are counted.  Texts that share a shingle that few have are
-    compared (a copy with many edits of its own shares some of them with a closer copy of itself).  Texts that don't
-    can share no more than the less of what they have in common shingles, which for most is too little for a link
-    with any text of the bucket; such members are done.  The others go on by stars: in round k a bucket's left-over
-    members are dealt into 8 * 32 ** k parts by a hash, the most central of each part meets those members of the bucket
-    outside its component that the same bound admits, and is done.
+    compared (a copy with many edits of its own shares some of them with a closer copy of itself).  Of texts that don't,
+    with the parts p and q of their weights in common shingles, the similarity is at most pq / (p + q - pq), which for
+    most is too little for a link with any text of the bucket; such members are done.  The others go on by stars: in
+    round k a bucket's left-over members are dealt into 8 * 32 ** k parts by a hash, the most central of each part meets
+    those members of the bucket outside its component that the same bound admits, and is done.
     """
     spark = members.sparkSession
     edges = seen = spark.createDataFrame([], "a long, b long")
@@ -290,53 +350,57 @@ def _linked(members: DataFrame, signatures_: DataFrame, texts: DataFrame, least:
         nonlocal seen, edges, labels
         fresh = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
         fresh = durable(fresh.join(seen, ["a", "b"], "left_anti"), "pairs")
-        linked = durable(_verified(durable(_close(fresh, signatures_), "close"), texts, least), "links")
-        seen = seen.union(fresh)
+        linked = durable(_verified(durable(_close(fresh, signatures_, cut), "close"), texts, least, weigh), "links")
+        seen = durable(seen.union(fresh), "seen")
         if not linked.isEmpty():
-            edges = edges.union(linked)
+            edges = durable(edges.union(linked), "edges")
             labels = components(linked, labels)
 
     def labelled(rows: DataFrame, node: str, out: str) -> DataFrame:
         of = labels.select(F.col("node").alias("n_"), F.col("label").alias("l_"))
         return rows.join(of, F.col(node) == F.col("n_"), "left").withColumn(out, F.coalesce("l_", node)).drop("n_", "l_")
 
-    pick = F.max(F.struct("score", (-F.col("uid")).alias("u"))).alias("c")
-    heads = durable(members.groupBy("bucket").agg(pick).select("bucket", (-F.col("c.u")).alias("head")), "heads")
-    meet(members.join(heads, "bucket").filter("uid <> head").select(F.col("head").alias("a"), F.col("uid").alias("b")))
-    apart = durable(labelled(members, "uid", "label").groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("bucket"), "apart")
-    if apart.isEmpty():
+    def admits(p: Column, q: Column) -> Column:
+        return p * q >= (p + q - p * q) * (least - 1e-9)
+
+    meet(members.filter("uid <> head").select(F.col("head").alias("a"), F.col("uid").alias("b")))
+    low, high = F.min("label"), F.max("label")
+    open_ = dealt_totals(labelled(members, "uid", "label"), ["bucket"], "uid", {"l": low, "h": high}, {"l": F.min("l"), "h": F.max("h")})
+    open_ = durable(open_.filter("l <> h").drop("l", "h", "label"), "open")
+    if open_.isEmpty():
         return edges, labels
-    open_ = durable(members.join(apart, "bucket"), "open")
-    every = durable(_shingles(texts.join(_small(open_.select("uid").distinct()), "uid")), "shingles")
+    every = durable(_shingles(texts.join(_small(open_.select("uid").distinct()), "uid"), weigh), "shingles")
     frequencies, few = _frequencies(every)
     few = durable(labelled(few, "uid", "label"), "few")
-    across = few.groupBy("shingle").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p <> q").select("shingle")
+    across = few.groupBy("shingle").agg(low.alias("p"), high.alias("q")).filter("p <> q").select("shingle")
     few = durable(few.join(across, "shingle"), "across")
     other = few.select("shingle", F.col("uid").alias("b"), F.col("label").alias("m"))
     meet(few.join(other, "shingle").filter("uid < b and label <> m").select(F.col("uid").alias("a"), "b"))
     open_ = open_.join(durable(frequencies, "frequencies"), "uid")
-    open_ = durable(open_.join(open_.groupBy("bucket").agg(F.min("n").alias("low")), "bucket"), "open")
+    open_ = durable(dealt_totals(open_, ["bucket"], "uid", {"best": F.max("common")}, {"best": F.max("best")}), "open")
     done, step = spark.createDataFrame([], "bucket long, uid long"), 0
     while True:
         live = labelled(open_.join(done, ["bucket", "uid"], "left_anti"), "uid", "label")
-        live = live.join(labelled(heads, "head", "main").drop("head"), "bucket")
-        hopeful = F.col("common") >= (F.col("low") + F.col("n") - F.col("common")) * (least - 1e-9)
-        left = durable(live.filter(hopeful & (F.col("label") != F.col("main"))), "left")
+        heads = labelled(open_.select("bucket", "head").distinct(), "head", "main").drop("head")
+        live = durable(attach(live, heads, ["bucket"], "uid"), "live")
+        left = live.filter(admits(F.col("common"), F.col("best")) & (F.col("label") != F.col("main")))
         if left.isEmpty():
             return edges, labels
         parts = left.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(step)), F.lit(1 << (3 + 5 * step))))
-        centre = parts.groupBy("bucket", "part").agg(F.max(F.struct("score", (-F.col("uid")).alias("u"), "label", "n", "common")).alias("c"))
-        centre = durable(centre.select(F.col("bucket").alias("of"), (-F.col("c.u")).alias("a"), F.col("c.label").alias("own"), F.col("c.n").alias("m"), F.col("c.common").alias("t")), "centres")
-        both = F.least("common", "t")
-        stars = live.join(centre, [F.col("bucket") == F.col("of"), F.col("label") != F.col("own"), both >= (F.col("n") + F.col("m") - both) * (least - 1e-9)])
+        centre = parts.groupBy("bucket", "part").agg(F.max(F.struct("score", (-F.col("uid")).alias("u"), "label", "common")).alias("c"))
+        centre = durable(centre.select(F.col("bucket").alias("of"), (-F.col("c.u")).alias("a"), F.col("c.label").alias("own"), F.col("c.common").alias("t")), "centres")
+        # a bucket's members are dealt to parts, each of which meets a copy of the bucket's centres
+        dealt = live.withColumn("deal", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
+        places = dealt.select(F.col("bucket").alias("of"), F.col("deal").alias("at")).distinct().join(centre, "of")
+        stars = dealt.join(places, [F.col("bucket") == F.col("of"), F.col("deal") == F.col("at"), F.col("label") != F.col("own"), admits(F.col("common"), F.col("t"))])
         meet(stars.select("a", F.col("uid").alias("b")))
         done = durable(done.union(centre.select("of", "a")), "done")
         step += 1
 
 
-def kept_rows(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
+def kept_rows(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = SIMILARITY, weigh: str = "count") -> DataFrame:
     """The rows of ``df``, with all columns, less all but one of each group of near-duplicates."""
     from .exact import stay_rows
 
-    decided = near_duplicates(df, text, doc_id, least)
+    decided = near_duplicates(df, text, doc_id, least, weigh)
     return stay_rows(df, decided.select(F.col("doc_id").alias("id"), F.col("row_hash").alias("h"), "kept"), text, doc_id, null_text="")
