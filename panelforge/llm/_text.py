@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Deleting these from UTF-8 bytes deletes the characters [\x20\x09-\x0D]; no other character's bytes are below 0x80.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -31,6 +33,13 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return wrapped
 
 
+def numbered(df: DataFrame, keep: list[str], *more: Column) -> tuple[DataFrame, list[str], list[str]]:
+    """``keep`` and ``more`` of ``df`` with the former's names and new ones, c0 on: columns may have any names, which
+    Arrow functions don't take all."""
+    new = [f"c{k}" for k in range(len(keep))]
+    return df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, new, strict=True)], *more), list(keep), new
+
+
 def filled(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One string array with empty texts in the place of nulls."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,10 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads windows of bytes: the runs between ASCII characters that are no letters, and those longer than
-WINDOW bytes cut.  It gives every byte of a window probabilities of the languages from what stands before and after
-it, and a document's probabilities are the mean over all its bytes.  Equal windows have equal outputs, so each is
-computed once for a run of texts and counted as often as it occurs.  numpy trains it by backpropagation through time
-on a bounded sample of the labelled rows.
+A text's letters (ASCII ones as small letters, all bytes of other characters) and single blanks for what stands between
+them are cut into windows of at most WINDOW bytes, at blanks where there are any and never inside a character.  Over
+each window one network runs forwards and one backwards, across its words, so every byte gets probabilities of the
+languages from what stands before and after it; a document's probabilities are the mean over all its letters' bytes.
+numpy trains the network by backpropagation through time on a bounded sample of the labelled rows.
 """
 
 from __future__ import annotations
@@ -14,50 +14,76 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import durable, small_batches
-from ._text import filled, flat, lists, pieces_of, tidied
-
-WINDOW = 24
-HIDDEN = 20
-#: The bound of the sample: documents of a language, and characters of such a document.
-SAMPLE_DOCUMENTS, SAMPLE_POINTS = 300, 20_000
-STEPS, BATCH, RATE = 700, 256, 0.01
-RUN_BYTES = 1 << 20
+from ._text import filled, flat, lists, numbered, pieces_of, tidied
+
+WINDOW = 64
+HIDDEN = 16
+#: The bound of the sample: documents of a language, characters of such a document, and characters of all languages.
+#: Of a longer text as many are taken in PIECES spread over all of it; with many languages each has less.
+SAMPLE_DOCUMENTS, SAMPLE_POINTS, SAMPLE_TOTAL, PIECES = 300, 20_000, 24_000_000, 20
+STEPS, BATCH, RATE = 400, 96, 0.02
+RUN_BYTES = 1 << 19
+#: Windows that go through the network together, and the most probabilities that they have.
+ROWS, OUTPUTS = 2048, 8 << 20
 #: Languages up to which their shares of the rows are broadcast, so that texts are sampled before any shuffle.
 BROADCAST_LANGUAGES = 10_000
-#: Windows whose outputs a worker keeps; at the bound it starts over.
-CACHE_WINDOWS = 120_000
 UNKNOWN = "und"
 
+BLANK = 32
 #: Capitals to small letters, other ASCII characters than letters to blanks.
-_SPACED = bytes(b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
+_FOLD = np.array([b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalpha() else BLANK for b in range(256)], np.uint8)
 _NO_LETTER = bytes(b for b in range(256) if b >= 0x80 or not chr(b).isalpha())
 
 
-def windows(raw: bytes) -> list[bytes]:
-    """The windows of a text's UTF-8 bytes, ASCII capitals as small letters."""
-    found = raw.translate(_SPACED).split()
-    if found and max(map(len, found)) > WINDOW:
-        found = [w[k : k + WINDOW] for w in found for k in range(0, len(w), WINDOW)]
-    return found
+def folded(raw: bytes) -> tuple[bytes, np.ndarray]:
+    """What the network reads of UTF-8 bytes, and where each byte of it stands in them."""
+    data = _FOLD[np.frombuffer(raw, np.uint8)]
+    solid = data != BLANK
+    keep = solid.copy()
+    keep[1:] |= solid[:-1]  # a blank stays after a letter
+    at = np.flatnonzero(keep)
+    return data[at].tobytes(), at
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+def cuts(data: bytes) -> list[int]:
+    """Where the windows of folded bytes begin, and their end."""
+    found, start, n = [0], 0, len(data)
+    while n - start > WINDOW:
+        stop = data.rfind(b" ", start + 1, start + WINDOW) + 1
+        if not stop:
+            stop = start + WINDOW
+            while stop > start + WINDOW - 4 and data[stop] & 0xC0 == 0x80:
+                stop -= 1
+        found.append(stop)
+        start = stop
+    return [*found, n] if n else [0]
+
+
+def windows(raw: bytes) -> np.ndarray:
+    """The windows of a text as a matrix of bytes, blanks after the shorter ones."""
+    data, _ = folded(raw)
+    at = cuts(data)
+    return _padded([data[a:b] for a, b in zip(at, at[1:], strict=False)])
+
+
+def _padded(found: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(x.ljust(WINDOW) for x in found), np.uint8).reshape(-1, WINDOW)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
     x = np.exp(x - x.max(-1, keepdims=True))
-    return x / x.sum(-1, keepdims=True)
+    x /= x.sum(-1, keepdims=True)
+    return x
 
 
 @dataclass
 class Model:
-    """Parameters by name; ``symbols`` has the network's input for each byte."""
+    """Parameters by name; ``symbols`` has the network's input for each byte, 0 for those that weren't learned."""
 
     languages: list[str]
     symbols: np.ndarray
@@ -66,89 +92,100 @@ class Model:
     least: float = 0.0
 
     def _run(self, x: np.ndarray, side: str, trace: list | None = None) -> np.ndarray:
-        """States of one direction: steps x rows x HIDDEN."""
-        w, u, b = self.p[f"w{side}"], self.p[f"u{side}"], self.p[f"b{side}"]
-        n, hidden = x.shape[1], u.shape[0]
-        h = np.zeros((n, hidden), np.float32)
-        out = np.empty((len(x), n, hidden), np.float32)
-        order = range(len(x)) if side == "f" else range(len(x) - 1, -1, -1)
-        for t in order:
-            a, g = w[x[t]] + b, h @ u
-            zr = _sigmoid(a[:, : 2 * hidden] + g[:, : 2 * hidden])
-            z, r = zr[:, :hidden], zr[:, hidden:]
-            c = np.tanh(a[:, 2 * hidden :] + r * g[:, 2 * hidden :])
+        """States of one direction: steps x HIDDEN x rows.  The gates are logistic, as half of 1 + tanh of half."""
+        u = self.p[f"u{side}"].T.copy()
+        hidden = u.shape[1]
+        gates = np.where(np.arange(3 * hidden) < 2 * hidden, 0.5, 1).astype(u.dtype)
+        w, u = (self.p[f"w{side}"] + self.p[f"b{side}"]) * gates, u * gates[:, None]
+        h = np.zeros((hidden, x.shape[1]), u.dtype)
+        out = np.empty((len(x), hidden, x.shape[1]), u.dtype)
+        for t in range(len(x)) if side == "f" else range(len(x) - 1, -1, -1):
+            a, g = w[x[t]].T, u @ h
+            zr = np.tanh(a[: 2 * hidden] + g[: 2 * hidden])
+            zr += 1
+            zr *= 0.5
+            z, r = zr[:hidden], zr[hidden:]
+            c = np.tanh(a[2 * hidden :] + r * g[2 * hidden :])
             if trace is not None:
-                trace.append((t, h, z, r, c, g[:, 2 * hidden :]))
+                trace.append((t, h, z, r, c, g[2 * hidden :]))
             h = c + z * (h - c)
             out[t] = h
         return out
 
     def positions(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities of the languages at each byte of windows of one length: steps x rows x languages."""
-        states = np.concatenate([self._run(x, "f"), self._run(x, "b")], -1)
-        return _softmax(states @ self.p["o"] + self.p["c"])
+        """Probabilities of the languages at each byte of windows (steps x rows of symbols): steps x rows x languages."""
+        states = np.concatenate([self._run(x, "f"), self._run(x, "b")], 1)
+        return _softmax(states.transpose(0, 2, 1) @ self.p["o"] + self.p["c"])
 
-    def sums(self, found: list[bytes]) -> np.ndarray:
-        """Probabilities summed over each window's bytes; bytes that weren't learned have none."""
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
+    def sums(self, found: np.ndarray) -> np.ndarray:
+        """Probabilities summed over the letters' bytes of each window; bytes that weren't learned have none."""
         out = np.empty((len(found), len(self.languages)), np.float32)
-        for length in np.unique(lengths):
-            rows = np.flatnonzero(lengths == length)
-            for start in range(0, len(rows), 8192):
-                part = rows[start : start + 8192]
-                x = self.symbols[np.frombuffer(b"".join([found[k] for k in part]), np.uint8).reshape(-1, length).T]
-                out[part] = (self.positions(x) * (x > 0)[:, :, None]).sum(0)
+        for start in range(0, len(found), self.rows):
+            part = found[start : start + self.rows]
+            x = self.symbols[part.T]
+            counted = ((x > 0) & (part.T != BLANK)).astype(np.float32)
+            out[start : start + self.rows] = np.einsum("srl,sr->rl", self.positions(x), counted)
         return out
 
+    @property
+    def rows(self) -> int:
+        """Windows at once: fewer with many languages."""
+        return max(8, min(ROWS, OUTPUTS // (WINDOW * max(1, len(self.languages)))))
+
     def score(self, text: str) -> float | None:
-        """The greatest mean probability over the bytes of a text's windows."""
+        """The greatest mean probability over the bytes of a text's letters."""
         found = windows(text.encode())
-        return float(self.sums(found).sum(0).max()) / sum(map(len, found)) if found else None
+        n = int((found != BLANK).sum())
+        return float(self.sums(found).sum(0).max()) / n if n else None
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """The mean loss over all bytes of the windows ``x`` (steps x rows) in languages ``y``, and its gradients."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, counted: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """The mean loss over the ``counted`` bytes of the windows ``x`` (steps x rows of symbols) in languages ``y``,
+        and its gradients."""
         traces = {"f": [], "b": []}
-        states = np.concatenate([self._run(x, s, traces[s]) for s in "fb"], -1)
+        states = np.concatenate([self._run(x, s, traces[s]) for s in "fb"], 1).transpose(0, 2, 1)
         probs = _softmax(states @ self.p["o"] + self.p["c"])
-        steps, n, _ = probs.shape
-        loss = -float(np.log(probs[:, np.arange(n), y] + 1e-9).mean())
-        probs[:, np.arange(n), y] -= 1
-        probs /= steps * n
+        share = (counted / max(1, counted.sum())).astype(probs.dtype)
+        rows = np.arange(x.shape[1])
+        loss = -float((np.log(probs[:, rows, y] + 1e-9) * share).sum())
+        probs[:, rows, y] -= 1
+        probs *= share[:, :, None]
         hidden = self.p["uf"].shape[0]
         grads = {"o": states.reshape(-1, 2 * hidden).T @ probs.reshape(-1, probs.shape[-1]), "c": probs.sum((0, 1))}
-        back = probs @ self.p["o"].T
+        back = (probs @ self.p["o"].T).transpose(0, 2, 1)
         for k, side in enumerate("fb"):
-            u, gu = self.p[f"u{side}"], np.zeros_like(self.p[f"u{side}"])
-            gw = np.zeros_like(self.p[f"w{side}"])
-            gb = np.zeros_like(self.p[f"b{side}"])
-            dh = np.zeros((n, hidden), np.float32)
-            eye = np.eye(len(gw), dtype=np.float32)
+            u = self.p[f"u{side}"]
+            dh = np.zeros((hidden, x.shape[1]), u.dtype)
+            inputs = np.empty((len(x), 3 * hidden, x.shape[1]), u.dtype)
+            gu = np.zeros_like(u)
             for t, h, z, r, c, gn in reversed(traces[side]):
-                dh = dh + back[t][:, k * hidden : (k + 1) * hidden]
+                dh = dh + back[t][k * hidden : (k + 1) * hidden]
                 dc = dh * (1 - z) * (1 - c * c)
                 dz = dh * (h - c) * z * (1 - z)
                 dr = dc * gn * r * (1 - r)
-                da = np.concatenate([dz, dr, dc], 1)
-                dg = np.concatenate([dz, dr, dc * r], 1)
-                gw += eye[x[t]].T @ da
-                gb += da.sum(0)
-                gu += h.T @ dg
-                dh = dh * z + dg @ u.T
-            grads |= {f"w{side}": gw, f"u{side}": gu, f"b{side}": gb}
+                inputs[t] = np.concatenate([dz, dr, dc])
+                dg = np.concatenate([dz, dr, dc * r])
+                gu += h @ dg.T
+                dh = dh * z + u @ dg
+            into = inputs.transpose(0, 2, 1).reshape(-1, 3 * hidden)
+            gw = np.zeros_like(self.p[f"w{side}"])
+            order = np.argsort(x.ravel(), kind="stable")
+            first = np.flatnonzero(np.diff(x.ravel()[order], prepend=-1))
+            gw[x.ravel()[order][first]] = np.add.reduceat(into[order], first)
+            grads |= {f"w{side}": gw, f"u{side}": gu, f"b{side}": into.sum(0)}
         return loss, grads
 
 
 def fit(texts: list[tuple[str, str]], steps: int = STEPS, seed: int = 0) -> Model:
-    """A network for texts and their languages: each step takes windows of one length, drawn alike from all languages
-    and within one by how often they occur."""
+    """A network for texts and their languages: each step takes windows drawn alike from all languages, half of them
+    cut short, since short texts fill no window."""
     languages = sorted({lang for _, lang in texts})
-    counts: list[dict[bytes, int]] = [{} for _ in languages]
+    place = {lang: k for k, lang in enumerate(languages)}
+    found: list[list[np.ndarray]] = [[] for _ in languages]
     for text, lang in sorted(texts):
-        count = counts[languages.index(lang)]
-        for w in windows(text.encode()):
-            count[w] = count.get(w, 0) + 1
+        found[place[lang]].append(windows(text.encode()))
+    pools = [np.concatenate(x) for x in found]
     rng = np.random.default_rng(seed)
-    used = sorted({b for count in counts for w in count for b in w})
+    used = sorted({BLANK} | {int(b) for x in pools for b in np.unique(x)})
     symbols = np.zeros(256, np.int64)
     symbols[used] = 1 + np.arange(len(used))
     scale = lambda a, *shape: (rng.standard_normal(shape) * a).astype(np.float32)
@@ -156,27 +193,16 @@ def fit(texts: list[tuple[str, str]], steps: int = STEPS, seed: int = 0) -> Mode
     for side in "fb":
         p |= {f"w{side}": scale(0.3, len(used) + 1, 3 * HIDDEN), f"u{side}": scale(HIDDEN**-0.5, HIDDEN, 3 * HIDDEN), f"b{side}": scale(0, 3 * HIDDEN)}
     model = Model(languages, symbols, p)
-    pools: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = {}
-    for k, count in enumerate(counts):
-        total = sum(n * len(w) for w, n in count.items())
-        by_length: dict[int, list[tuple[bytes, int]]] = {}
-        for w, n in count.items():
-            by_length.setdefault(len(w), []).append((w, n))
-        for length, found in by_length.items():
-            x = symbols[np.frombuffer(b"".join(w for w, _ in found), np.uint8).reshape(-1, length)]
-            pools.setdefault(length, []).append((x, np.array([n for _, n in found], np.float64) / total, k))
-    if not pools:
+    taught = np.array([k for k, x in enumerate(pools) if len(x)])
+    if not len(taught):
         return model
-    lengths = sorted(pools)
-    flat_pools = {n: (np.concatenate([x for x, _, _ in v]), np.concatenate([w for _, w, _ in v]), np.concatenate([np.full(len(x), k) for x, _, k in v])) for n, v in pools.items()}
-    mass = np.array([flat_pools[n][1].sum() * n for n in lengths])
-    sums = {n: np.cumsum(flat_pools[n][1]) for n in lengths}
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     for step in range(steps):
-        length = lengths[rng.choice(len(lengths), p=mass / mass.sum())]
-        x, _, y = flat_pools[length]
-        rows = np.minimum(np.searchsorted(sums[length], rng.random(BATCH) * sums[length][-1], side="right"), len(x) - 1)
-        _, grads = model.gradients(x[rows].T, y[rows])
+        y = taught[rng.integers(0, len(taught), BATCH)]
+        x = np.stack([pools[k][rng.integers(0, len(pools[k]))] for k in y])
+        lengths = np.where(rng.random(BATCH) < 0.5, WINDOW, rng.integers(3, WINDOW + 1, BATCH))
+        x = np.where(np.arange(WINDOW) < lengths[:, None], x, BLANK).T
+        _, grads = model.gradients(symbols[x], y, x != BLANK)
         size = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         rate = RATE * min(1, 2 * (1 - step / steps))
         for k, g in grads.items():
@@ -202,21 +228,38 @@ def least_score(texts: list[tuple[str, str]]) -> float:
     return chance + (float(np.median(scores)) - chance) / 2 if scores else 0.0
 
 
+def accepted(model: Model, score: Column, letters: Column) -> Column:
+    """Whether a text with this score and so many bytes of letters counts as one of the languages: the limit is the
+    model's for long texts and falls to chance for short ones, which tell less."""
+    chance = 1 / len(model.languages) if len(model.languages) > 1 else 0.0
+    return score >= F.lit(chance) + F.lit(max(0.0, model.least - chance)) * letters / (letters + WINDOW // 2)
+
+
 def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", limit: bool = False) -> Model | None:
     """A network from the rows of ``df`` whose ``lang`` isn't null, None if there are none.
 
-    The sample is bounded: of each language at most SAMPLE_DOCUMENTS texts of at most SAMPLE_POINTS characters, those
-    with the least hashes of ``doc_id`` and text.  A language's share of the rows is counted first, so that only about
-    twice that many rows are sorted for it.  With ``limit`` the network has the score that ``least_score`` gives.
+    The sample is bounded: of each language at most SAMPLE_DOCUMENTS texts, those with the least hashes of ``doc_id``
+    and text, of each at most SAMPLE_POINTS characters, spread over the whole text, and of all languages together about
+    SAMPLE_TOTAL, which many languages share alike.  So texts of any length and rows without an id are drawn like all
+    others; rows that repeat both id and text are drawn together, null texts never.  A language's share of the rows is
+    counted first, so that only about twice that many rows are sorted for it.  With ``limit`` the network has the score
+    that ``least_score`` gives.
     """
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.col(doc_id).alias("i"))
-    rows = rows.filter(F.char_length("t") <= SAMPLE_POINTS)
+    counts = durable(rows.groupBy("l").agg(F.count("*").alias("n")), "languages")
+    each = SAMPLE_TOTAL // max(1, counts.count())
+    documents = min(SAMPLE_DOCUMENTS, max(1, each // 200))
+    points = min(SAMPLE_POINTS, max(200, each // documents))
+    shares = counts.select(F.col("l").alias("l2"), (F.lit(2.0 * documents + 60) / F.col("n")).alias("share"))
+    shares = F.broadcast(shares) if counts.count() <= BROADCAST_LANGUAGES else shares
     draw = F.pmod(F.xxhash64(F.col("i"), F.col("t"), F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    shares = durable(rows.groupBy("l").agg((F.lit(2.0 * SAMPLE_DOCUMENTS + 60) / F.count("*")).alias("share")).withColumnRenamed("l", "l2"), "shares")
-    shares = F.broadcast(shares) if shares.count() <= BROADCAST_LANGUAGES else shares
     rows = rows.withColumn("draw", draw).join(shares, F.col("l") == F.col("l2")).filter("draw < share")
-    order = Window.partitionBy("l").orderBy("draw", F.xxhash64("t"))
-    found = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCUMENTS).select("t", "l").collect()
+    size = max(1, points // PIECES)
+    start = lambda k: F.floor(F.char_length("t") * F.lit(k / PIECES)).cast("int") + 1
+    pieces = F.concat_ws(" ", *[F.substring(F.col("t"), start(k), F.lit(size)) for k in range(PIECES)])
+    rows = rows.select("l", "draw", F.xxhash64("t").alias("h"), F.when(F.char_length("t") <= points, F.col("t")).otherwise(pieces).alias("t"))
+    order = Window.partitionBy("l").orderBy("draw", "h", "t")
+    found = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= documents).select("t", "l").collect()
     if not found:
         return None
     texts = [(r.t, r.l) for r in found]
@@ -230,75 +273,80 @@ def _has_letter(raw: bytes) -> bool:
     return any(map(str.isalpha, raw.decode("utf-8")))
 
 
-def predict(df: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def _cut_rows(column: pa.Array) -> tuple[bytes, np.ndarray, bytes, np.ndarray, np.ndarray, list[int], list[int]]:
+    """Of a text column: its bytes and each row's first one; the folded bytes and where they stand; and for each window
+    its row, its first folded byte and its end."""
+    data, at = flat(column)
+    raw = bytes(data)
+    owner, begins, ends, parts, places, total = [], [], [], [], [], 0
+    for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        own, where = folded(raw[a:b])
+        found = cuts(own)
+        owner += [k] * (len(found) - 1)
+        begins += [total + x for x in found[:-1]]
+        ends += [total + x for x in found[1:]]
+        parts.append(own)
+        places.append(where + a)
+        total += len(own)
+    return raw, at, b"".join(parts), np.concatenate([*places, np.zeros(0, np.int64)]), np.array(owner, np.int64), begins, ends
+
+
+def predict(df: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None, letters: str | None = None) -> DataFrame:
     """``keep`` (default: all columns) of every row with lang_pred and score, the mean probability of that language
-    over all bytes of the whole text's windows.
+    over all bytes of the whole text's letters, whose number is the column ``letters``, if it has a name.
 
     A null text, an empty one and one without a letter give ``und`` and 0, as any text does without a model.  Each row
     stands for itself: repeated rows agree, an empty table gives an empty one.  Columns with the new names give way.
     """
     small_batches(df.sparkSession)
-    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text__"))
+    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField(letters, T.LongType())] if letters else [])]
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in {f.name.lower() for f in new}]
+    source, names, keep = numbered(df, keep, F.col(f"`{text}`").alias("__text__"))
     shipped = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shipped.value
-        place: dict[bytes, int] = {}
-        table = np.zeros((0, 0), np.float32)
-        lengths = np.zeros(0, np.int64)
         for batch in batches:
             for part in pieces_of(batch, "__text__", RUN_BYTES):
-                data, at = flat(filled(part.column("__text__")))
-                raw = bytes(data)
-                names, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
+                told, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
+                count = np.zeros(part.num_rows, np.int64)
                 if net is not None:
-                    rows = [windows(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                    if len(place) > CACHE_WINDOWS:
-                        place.clear()
-                        table = table[:0]
-                        lengths = lengths[:0]
-                    known = len(place)
-                    ids = np.fromiter((place.setdefault(w, len(place)) for row in rows for w in row), np.int64)
-                    if len(place) > known:
-                        fresh = list(place)[known:]
-                        table = np.concatenate([table.reshape(-1, len(net.languages)), net.sums(fresh)])
-                        lengths = np.concatenate([lengths, np.fromiter(map(len, fresh), np.int64, len(fresh))])
-                    ends = np.cumsum([len(row) for row in rows])
-                    for k, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
-                        if a == b or not (raw[at[k] : at[k + 1]].translate(None, _NO_LETTER) or _has_letter(raw[at[k] : at[k + 1]])):
-                            continue
-                        own = ids[a:b]
-                        mean = table[own].sum(0, dtype=np.float64) / lengths[own].sum()
-                        best = int(mean.argmax())
-                        names[k], scores[k] = net.languages[best], min(1.0, float(mean[best]))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(names, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
-
-    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+                    raw, at, data, _, owner, begins, ends = _cut_rows(filled(part.column("__text__")))
+                    total = np.zeros((part.num_rows, len(net.languages)))
+                    for start in range(0, len(owner), ROWS):
+                        found = _padded([data[a:b] for a, b in zip(begins[start : start + ROWS], ends[start : start + ROWS], strict=True)])
+                        own = owner[start : start + ROWS]
+                        np.add.at(total, own, net.sums(found))
+                        np.add.at(count, own, (found != BLANK).sum(1))
+                    for k in np.flatnonzero(count).tolist():
+                        own = raw[at[k] : at[k + 1]]
+                        if own.translate(None, _NO_LETTER) or _has_letter(own):
+                            best = int(total[k].argmax())
+                            told[k], scores[k] = net.languages[best], min(1.0, total[k, best] / count[k])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(told, pa.string()), pa.array(scores), *([pa.array(count)] if letters else [])], [*keep, *[f.name for f in new]])
+
+    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], *new])).toDF(*names, *[f.name for f in new])
 
 
 def label_positions(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` of every row with ``labels``: for each UTF-8 byte of the text the place of its likeliest language in
-    ``model.languages``, -1 for bytes outside all windows."""
+    ``model.languages``, -1 for ASCII bytes that are no letters."""
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() != "labels"]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text__"))
+    source, names, keep = numbered(df, keep, F.col(f"`{text}`").alias("__text__"))
     shipped = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shipped.value
         for batch in batches:
-            for part in pieces_of(batch, "__text__", RUN_BYTES // 8):
-                data, at = flat(filled(part.column("__text__")))
-                raw = bytes(data).translate(_SPACED)
+            for part in pieces_of(batch, "__text__", RUN_BYTES):
+                raw, at, data, where, owner, begins, ends = _cut_rows(filled(part.column("__text__")))
                 out = np.full(len(raw), -1, np.int32)
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    start = a
-                    for w in raw[a:b].split():
-                        start = raw.index(w, start)
-                        for k in range(0, len(w), WINDOW):
-                            x = net.symbols[np.frombuffer(w[k : k + WINDOW], np.uint8)][:, None]
-                            out[start + k : start + k + len(x)] = net.positions(x).argmax(-1)[:, 0]
-                        start += len(w)
+                for start in range(0, len(owner), net.rows):
+                    spans = list(zip(begins[start : start + net.rows], ends[start : start + net.rows], strict=True))
+                    found = _padded([data[a:b] for a, b in spans])
+                    best = net.positions(net.symbols[found.T]).argmax(-1).T
+                    for k, (a, b) in enumerate(spans):
+                        out[where[a:b]] = np.where(found[k, : b - a] != BLANK, best[k, : b - a], -1)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], lists(out, at)], [*keep, "labels"])
 
-    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], T.StructField("labels", T.ArrayType(T.IntegerType()))]))
+    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], T.StructField("labels", T.ArrayType(T.IntegerType()))])).toDF(*names, "labels")

@@ -15,22 +15,35 @@ def test_gradients_match_differences(small):
     rng = np.random.default_rng(0)
     model = langid.Model(small.languages, small.symbols, {k: v.astype(np.float64) for k, v in small.p.items()})
     x, y = rng.integers(0, 8, (5, 6)), rng.integers(0, 2, 6)
-    _, grads = model.gradients(x, y)
+    counted = rng.random((5, 6)) < 0.8
+    _, grads = model.gradients(x, y, counted)
     for name, value in model.p.items():
         for _ in range(4):
             at = tuple(rng.integers(0, n) for n in value.shape)
             loss = []
-            for step in (1e-2, -2e-2):
+            for step in (1e-4, -2e-4):
                 value[at] += step
-                loss.append(model.gradients(x, y)[0])
-            value[at] += 1e-2
-            assert abs((loss[0] - loss[1]) / 2e-2 - grads[name][at]) < 2e-3
+                loss.append(model.gradients(x, y, counted)[0])
+            value[at] += 1e-4
+            assert abs((loss[0] - loss[1]) / 2e-4 - grads[name][at]) < 1e-5
 
 
 def test_windows():
-    assert langid.windows("Ab c1D, é-x".encode()) == [b"ab", b"c", b"d", "é".encode(), b"x"]
-    assert [len(w) for w in langid.windows(b"a" * 60)] == [24, 24, 12]
-    assert langid.windows(b" 12 ") == []
+    read = lambda t: [bytes(w).rstrip() for w in langid.windows(t.encode())]
+    assert read("Ab c1D, é-x") == [b"ab c d \xc3\xa9 x"]
+    assert [len(w) for w in read("a" * 150)] == [64, 64, 22]
+    assert read(" 12 ") == [] and read("") == []
+    words = [w for w in read("several words in one window, " * 40)]
+    assert all(len(w) > 40 and w.split()[0] in (b"several", b"words", b"in", b"one", b"window") for w in words[:-1])
+    for shift in range(4):  # no character is cut
+        found = [bytes(w).rstrip().decode() for w in langid.windows(("x" * shift + "日本語🙂é" * 60).encode())]
+        assert "".join(found) == "x" * shift + "日本語🙂é" * 60
+
+
+def test_states_cross_words(small):
+    x = lambda t: small.symbols[langid.windows(t.encode()).T]
+    a, b = small.positions(x("the mat is on"))[4:7, 0], small.positions(x("der mat is on"))[4:7, 0]
+    assert np.abs(a - b).max() > 1e-3
 
 
 def test_edges(spark, small):
@@ -48,8 +61,11 @@ def test_edges(spark, small):
 def test_documents_pool_their_positions(spark, small):
     text = "The mat, und 7 der"
     row = langid.label_positions(spark.createDataFrame([(text,)], "text string"), small).first()
-    assert len(row.labels) == len(text) and [row.labels[k] for k in (3, 7, 12, 13, 14)] == [-1, -1, -1, -1, -1]
-    whole = np.concatenate([small.positions(small.symbols[np.frombuffer(w, np.uint8)][:, None])[:, 0] for w in langid.windows(text.encode())]).mean(0)
+    assert len(row.labels) == len(text) and [row.labels[k] for k in (3, 7, 8, 12, 13, 14)] == [-1] * 6
+    found = langid.windows(text.encode())
+    whole = small.positions(small.symbols[found.T])[:, 0][found[0] != langid.BLANK].mean(0)
+    letters = [k for k, c in enumerate(text) if c.isalpha()]
+    assert [row.labels[k] for k in letters] == small.positions(small.symbols[found.T])[:, 0][found[0] != langid.BLANK].argmax(-1).tolist()
     got = langid.predict(spark.createDataFrame([(text,)], "text string"), small).first()
     assert abs(got.score - whole.max()) < 1e-5
 
@@ -60,3 +76,43 @@ def test_held_out_accuracy(spark):
     held = [r for r in got if r.held_out]
     assert len(got) == 1000 and 120 < len(held) < 280
     assert np.mean([r.lang_pred == r.lang for r in held]) > 0.97
+
+
+def sentences(rng, words, n):
+    return " ".join(rng.choice(words, n))
+
+
+def test_learns_from_long_texts_and_rows_without_ids(spark):
+    rng = np.random.default_rng(3)
+    words = {"en": "the and that this with from have which there".split(), "de": "und der nicht ist auch werden eine sich auf".split()}
+    rows = [(None if k % 2 else k, sentences(rng, words[lang], 6000 if lang == "en" else 30), lang) for lang in words for k in range(30)]
+    rows += [(None, sentences(rng, words["de"], 30), "de") for _ in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert max(len(r[1]) for r in rows) > langid.SAMPLE_POINTS
+    model = langid.train(df)
+    assert model.languages == ["de", "en"]
+    got = langid.predict(df, model, keep=["lang"]).collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.99
+    only = langid.train(df.filter("doc_id is null"))
+    assert only.languages == ["de", "en"]
+
+
+def test_many_languages_share_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_TOTAL", 1_000_000)
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda texts, **_: seen.extend(texts))
+    rows = [(k, f"text {k} " + "x" * 30_000, f"l{k % 1000}") for k in range(3000)]
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len({lang for _, lang in seen}) == 1000 and sum(len(t) for t, _ in seen) < 1_500_000
+
+
+def test_long_texts_are_sampled_all_over(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda texts, **_: seen.extend(texts))
+    langid.train(spark.createDataFrame([(1, "".join(chr(97 + k) * 10_000 for k in range(20)), "x")], "doc_id long, text string, lang string"))
+    assert set(seen[0][0]) >= set("abcdefghijklmnopqrst") and len(seen[0][0]) <= langid.SAMPLE_POINTS + langid.PIECES
+
+
+def test_clashing_names_and_empty_labels(spark, small):
+    df = spark.createDataFrame([(1, "der hund", "a", 0.5, "x")], "doc_id long, text string, Lang_Pred string, SCORE double, `a.b` string")
+    assert langid.predict(df, small).columns == ["doc_id", "text", "a.b", "lang_pred", "score"]
