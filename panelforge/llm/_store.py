@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder is made only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session.  Where it is unset, a local session (tests) gets a folder of its own; on
+    a cluster that is an error, since its machines don't see each other's folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="panelforge-")
         _OWN[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
@@ -33,6 +38,7 @@ def _application_folder(spark: SparkSession) -> str:
 
 
 _KNOWN: set[str] = set()
+_WRITTEN = threading.local()
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
@@ -41,14 +47,37 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (paths := getattr(_WRITTEN, "paths", None)) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """``durable(make(), name)``, less the tables that ``make`` wrote on the way; nothing else may read those."""
+    before = getattr(_WRITTEN, "paths", None)
+    _WRITTEN.paths = []
+    try:
+        out = durable(make(), name)
+        *passing, last = _WRITTEN.paths
+    finally:
+        _WRITTEN.paths = before
+    for path in passing:
+        _delete(spark, path)
+    if before is not None:
+        before.append(last)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def forget(spark: SparkSession) -> None:
     """Deletes the tables that this application wrote; their readers must be done."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    _KNOWN.discard(str(path))
+    folder = _application_folder(spark)
+    _delete(spark, folder)
+    _KNOWN.discard(folder)
 
 
 #: The most that one Arrow batch between the JVM and a Python worker holds.

@@ -1,5 +1,7 @@
 from pathlib import Path
 
+import pytest
+
 from panelforge.llm import _store
 
 
@@ -14,6 +16,18 @@ def test_written_tables_stay_and_go(spark):
     assert _store.durable(df, "again").count() == 10
 
 
+def test_tables_on_the_way_go(spark):
+    passing = []
+
+    def make():
+        passing.append(_store.durable(spark.range(5), "passing"))
+        return _store.settled(lambda: passing[0].selectExpr("id + 1 id"), spark, "inner")
+
+    out = _store.settled(make, spark, "out")
+    assert sorted(r.id for r in out.collect()) == [1, 2, 3, 4, 5]
+    assert not Path(passing[0].inputFiles()[0].removeprefix("file:")).exists()
+
+
 def test_batches_are_kept_small(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
@@ -30,5 +44,9 @@ def test_an_unset_folder_is_made_once():
     from types import SimpleNamespace
 
     none = SimpleNamespace(get=lambda *a: None)
-    bare = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(getConf=lambda: none, applicationId="unset"))
+    on = lambda master: SimpleNamespace(conf=none, sparkContext=SimpleNamespace(getConf=lambda: none, applicationId="unset", master=master))
+    for master in ("local-cluster[3,2,1000]", "spark://host:7077", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            _store.shared_folder(on(master))
+    bare = on("local[4]")
     assert _store.shared_folder(bare) == _store.shared_folder(bare) and Path(_store.shared_folder(bare)).is_dir()
