@@ -6,7 +6,8 @@ adjacent pairs of a document's names are named in the same way, level by level,
 documents that end at the same level with the same name have equal texts.  No step trusts a hash.
 
 Each run of rows (a bounded chunk of a task's input) first merges its own equal items, so an item reaches the
-naming task once per chunk, however many rows hold it: a text that a third of all rows share is no hot key.
+naming task once per chunk, however many rows hold it.  Items that very many chunks hold are merged by map-side
+aggregation instead, named apart, and meet their names in parts.
 """
 
 from __future__ import annotations
@@ -23,12 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._prefix import KEYS, attach, dealt_totals, prefix_sums
 from ._store import durable, small_batches
 from ._text import BLANKS, filled, flat, lists, pieces_of, tidied
 
 BLOCK_BYTES = 4096
 #: Texts of one chunk, and its rows.
 CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 4096
+#: Chunks from which an item is named apart.
+HOT_CHUNKS = 10_000
 
 _OWN = [("chunk", T.LongType()), ("uid", T.LongType())]
 
@@ -84,8 +88,18 @@ def _named(parts: DataFrame, carried: list[T.StructField], level: int) -> tuple[
                     names.append(None if item is None else name)
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in fields.fields[:-1]], pa.array(names, pa.int64())], fields.names)
 
+    parts = durable(parts, f"items{level}")
+    hot = durable(parts.filter("uid is null").groupBy("route").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_CHUNKS).select("route"), "hot")
+    apart = None
+    if not hot.isEmpty():
+        busy = attach(parts.filter("uid is null").select("route", "chunk", "place", "item"), hot, ["route"], "chunk")
+        known = busy.groupBy("route", "item").agg(F.count("*").alias("n"))
+        own = durable(known.select("route", F.col("item").alias("same"), (-1 - F.row_number().over(Window.orderBy("route", "item"))).cast("long").alias("name")), "apart")
+        apart = attach(busy, own, ["route"], "chunk").filter("item = same").select("chunk", "place", "name")
+        parts = parts.join(hot.withColumn("busy", F.lit(True)), "route", "left").filter("uid is not null or busy is null").drop("busy")
     table = durable(parts.repartition("route").sortWithinPartitions("route", "item").mapInArrow(tidied(run), fields), f"names{level}")
     rows, names = table.filter("uid is not null").drop("place", "name"), table.filter("uid is null").select("chunk", "place", "name")
+    names = names if apart is None else names.union(apart)
     own = [f.name for f in carried] + ["uid"]
     one = rows.filter(F.size("refs") == 1).withColumn("place", F.col("refs")[0]).join(names, ["chunk", "place"]).select(*own, F.lit(level).alias("level"), "name")
     many = rows.filter(F.size("refs") > 1).select(*own, "chunk", F.posexplode("refs").alias("pos", "place")).join(names, ["chunk", "place"])
@@ -150,33 +164,43 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
     """
     keep = [c for c in (df.columns if keep is None else [doc_id, *keep]) if c != text and c.lower() not in ("keep_id", "group_size", "kept", "best")]
     rows = durable(identities(df, text, list(dict.fromkeys(keep))), "identities")
-    best = F.min(F.struct((-F.col("n_points")).alias("n"), F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("row_uid").alias("uid"))).alias("best")
-    groups = durable(rows.groupBy("level", "name").agg(best, F.count("*").alias("group_size")), "groups")
-    out = rows.join(groups, ["level", "name"])
+    best = F.struct((-F.col("n_points")).alias("n"), F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"), F.col("row_uid").alias("uid"))
+    out = dealt_totals(rows, ["level", "name"], "row_uid", {"best": F.min(best), "group_size": F.count("*")}, {"best": F.min("best"), "group_size": F.sum("group_size")})
     return out.withColumn("keep_id", F.col("best.id")).withColumn("kept", F.col("best.uid") == F.col("row_uid")).drop("best", "level", "name")
 
 
 def kept_rows(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` that stay, with all of its columns."""
-    marked = df.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    """The rows of ``df`` that stay, with all of its columns, whatever their names."""
+    marked = df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
     decided = exact_dedup(marked, "t", "id")
     return stay_rows(df, decided.select("id", "h", "kept"), text, doc_id)
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """The place of a column, by its name as Spark compares names."""
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
 def stay_rows(df: DataFrame, decided: DataFrame, text: str, doc_id: str, null_text: str | None = None) -> DataFrame:
     """The rows of ``df`` for which ``decided`` (id, h: xxhash64 of the text, kept) says so.
 
-    Of rows that share both id and hash, equal texts that is, as many stay as are kept, the first by all columns.
-    ``null_text``: what a null text counted as when it was hashed.
+    Of rows that share both id and hash, equal texts that is, as many stay as are kept: rows that are equal in all
+    columns count as one with a number, those stand in the order of hashes of all columns, and the first ones stay.
+    ``null_text``: what a null text counted as when it was hashed.  Columns of ``df`` may have any names.
     """
-    hashed = F.xxhash64(text) if null_text is None else F.xxhash64(F.coalesce(F.col(text), F.lit(null_text)))
-    counts = decided.groupBy("id", "h").agg(F.sum(F.col("kept").cast("int")).alias("__stay__"), F.count("*").alias("__rows__"))
-    counts = durable(counts.filter("__stay__ > 0").withColumnsRenamed({"id": "__id__", "h": "__h__"}), "stay")
-    rows = df.withColumn("__key__", hashed).join(counts, F.col(doc_id).eqNullSafe(F.col("__id__")) & (F.col("__key__") == F.col("__h__")))
-    own = [F.col(f"`{c}`") for c in df.columns]
-    alone = rows.filter("__rows__ = __stay__").select(*own)
-    if counts.filter("__rows__ > __stay__").isEmpty():
-        return alone
-    order = Window.partitionBy(doc_id, "__key__").orderBy(*own)
-    repeated = rows.filter("__rows__ > __stay__").withColumn("__n__", F.row_number().over(order)).filter("__n__ <= __stay__")
-    return alone.unionByName(repeated.select(*own))
+    names = list(df.columns)
+    own = [f"c{k}" for k in range(len(names))]
+    plain = df.toDF(*own)
+    of_text, of_id = (F.col(own[place_of(df, n)]) for n in (text, doc_id))
+    hashed = F.xxhash64(of_text) if null_text is None else F.xxhash64(F.coalesce(of_text, F.lit(null_text)))
+    counts = decided.groupBy("id", "h").agg(F.sum(F.col("kept").cast("int")).alias("stay"), F.count("*").alias("n_rows"))
+    counts = durable(counts.filter("stay > 0"), "stay")
+    rows = plain.withColumn("key", hashed).join(counts, of_id.eqNullSafe(F.col("id")) & (F.col("key") == F.col("h"))).drop("key")
+    alone = rows.filter("n_rows = stay").select(*own)
+    if not counts.filter("n_rows > stay").isEmpty():
+        same = rows.filter("n_rows > stay").groupBy(*own, "id", "h", "stay").agg(F.count("*").alias("n"))
+        same = durable(same.withColumn("key", F.xxhash64(*own).bitwiseAND(F.lit(KEYS - 1))), "same")
+        same = prefix_sums(same, ["id", "h"], [F.col("key"), *own], "key", "n", "before")
+        same = same.withColumn("times", F.least("n", F.col("stay") - F.col("before")).cast("int")).filter("times > 0")
+        alone = alone.unionByName(same.select(*own, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).drop("copy"))
+    return alone.toDF(*names)

@@ -3,7 +3,9 @@ import random
 import re
 from collections import defaultdict
 
-from panelforge.llm import exact
+import duckdb
+
+from panelforge.llm import exact, queries
 
 
 def brute(rows):
@@ -59,3 +61,36 @@ def test_clashing_names(spark):
     got = exact.exact_dedup(df).collect()
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(1, 2, 2, False), (2, 2, 2, True)]
     assert [tuple(r) for r in exact.kept_rows(df).collect()] == [(2, "a ", 9, 9, True, 9, "n")]
+
+
+def test_items_of_many_chunks_are_named_apart(spark, monkeypatch):
+    monkeypatch.setattr(exact, "HOT_CHUNKS", 2)
+    monkeypatch.setattr(exact, "CHUNK_BYTES", 20_000)
+    rng = random.Random(2)
+    blocks = ["".join(rng.choices("abcdef", k=4096)) for _ in range(3)]
+    rows = [(k, "".join(rng.choices(blocks, k=rng.randrange(1, 5))) + rng.choice(["", "x"])) for k in range(150)] + [(1000 + k, "hot") for k in range(100)]
+    got = exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert key((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == key(brute(rows))
+
+
+def test_any_column_names_stay(spark):
+    names = ["doc_id", "text", "__key__", "__rows__", "id", "h", "key", "stay", "n", "c0", "a.b"]
+    df = spark.createDataFrame([(1, "a", *range(9)), (1, "a", *range(9)), (1, "a ", *range(9)), (2, None, *[None] * 9), (None, "", *range(9))], ", ".join(f"`{n}` {'string' if n == 'text' else 'long'}" for n in names))
+    got = exact.kept_rows(df)
+    assert got.columns == names and sorted(map(tuple, got.collect()), key=str) == sorted([(1, "a ", *range(9)), (2, None, *[None] * 9)], key=str)
+
+
+def test_of_repeated_rows_as_many_stay_as_are_kept(spark):
+    rows = [(1, "a", x) for x in "xxyyz"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more string")
+    one = exact.kept_rows(df).collect()
+    assert len(one) == 1 and one == exact.kept_rows(df.repartition(3)).collect()
+    decided = spark.createDataFrame([(1, True)] * 3 + [(1, False)] * 2, "id long, kept boolean").crossJoin(df.limit(1).selectExpr("xxhash64(text) h"))
+    assert exact.stay_rows(df, decided, "text", "doc_id").count() == 3
+
+
+def test_query_against_its_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = queries.op5_exact_dedup(spark, sf).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(queries.OP5_SQL).fetchall())
