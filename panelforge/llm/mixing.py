@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._prefix import _join, hash_key, prefix_sums
+from ._prefix import KEYS, _join, hash_key, prefix_sums
 from ._store import durable
 
 BLANK = r"[\x20\x09-\x0D]+"
@@ -55,14 +55,17 @@ def mix(df: DataFrame, size: str, source: str = "source", doc_id: str = "doc_id"
     rows that are equal in all of these are interchangeable.  Null sources are one source; documents without words
     take none; an empty table gives an empty one.  Columns of ``df`` with the new names give way.
     """
-    rows = df.drop("source_size", "target", "taken").withColumn("__key__", hash_key(seed, F.col(doc_id)))
+    names = [c for c in df.columns if c.lower() not in ("source_size", "target", "taken")]
+    own = [f"c{k}" for k in range(len(names))]
+    source, doc_id, size = (own[[c.lower() for c in names].index(n.lower())] for n in (source, doc_id, size))
+    rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, own, strict=True)], hash_key(seed, F.col(f"`{names[own.index(doc_id)]}`")).alias("key"))
     totals = targets(rows.groupBy(source).agg(F.sum(size).alias("source_size")), source, "source_size", weights, share, most)
-    rows = prefix_sums(rows, [source], [F.col("__key__"), F.col(doc_id), F.col(size)], "__key__", size, "__before__")
+    rows = prefix_sums(rows, [source], [F.col("key"), F.col(doc_id), F.col(size)], "key", size, "before")
     rows = _join(rows, totals, [source])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    rest = F.floor(F.col("target")) - epochs * F.col("source_size") - F.col("__before__")
+    rest = F.floor(F.col("target")) - epochs * F.col("source_size") - F.col("before")
     taken = epochs * F.col(size) + F.greatest(F.lit(0), F.least(F.col(size), rest))
-    return rows.withColumn("taken", taken.cast("long")).drop("__key__", "__before__")
+    return rows.select(*[F.col(k).alias(c) for c, k in zip(names, own, strict=True)], "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mix_documents(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options: object) -> DataFrame:
@@ -74,22 +77,26 @@ def mix_documents(df: DataFrame, text: str = "text", source: str = "source", doc
 
 def mixed_rows(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options: object) -> DataFrame:
     """The mix as rows of ``df``: each document as often as it is taken, one that is taken in part once more whole, so
-    a source passes its target by less than one document.  Rows that share ``doc_id`` and size are told apart by
-    their text's hash."""
-    key = "__row_hash__"
-    marked = df.withColumn(key, F.xxhash64(text))
-    sized = durable(marked.select(F.col(doc_id).alias("id"), F.col(source).alias("of"), F.col(key).alias("h"), word_count(F.col(text)).alias("size")), "sizes")
+    a source passes its target by less than one document.  Rows that share ``doc_id``, source and text (null ids are one
+    id) share what is taken of them alike, and those with the least hashes of a number of the row have one more.
+    Columns of ``df`` may have any names; an empty table gives an empty one."""
+    names = list(df.columns)
+    own = [f"c{k}" for k in range(len(names))]
+    of_text, of_source, of_id = (F.col(own[[c.lower() for c in names].index(n.lower())]) for n in (text, source, doc_id))
+    marked = df.toDF(*own).withColumn("key", F.xxhash64(of_text))
+    sized = durable(marked.select(of_id.alias("id"), of_source.alias("of"), F.col("key").alias("h"), word_count(of_text).alias("size")), "sizes")
     times = F.when(F.col("taken") > 0, F.ceil(F.try_divide("taken", "size"))).otherwise(0)
     rows = mix(sized, "size", "of", "id", **options)
-    copies = rows.groupBy("id", "of", "h").agg(F.sum(times).alias("__copies__"), F.count("*").alias("__rows__"))
-    copies = durable(copies.filter("__copies__ > 0"), "copies").select(F.col("id").alias("__id__"), F.col("of").alias("__of__"), F.col("h").alias("__h__"), "__copies__", "__rows__")
-    same = [F.col(doc_id).eqNullSafe(F.col("__id__")), F.col(source).eqNullSafe(F.col("__of__")), F.col(key) == F.col("__h__")]
-    # of r equal rows that are taken n times together, each stands for n / r, the rest spread by a counter
-    found = marked.join(copies, same)
-    twins = found.filter("__rows__ > 1").withColumn("__n__", F.row_number().over(Window.partitionBy("__id__", "__of__", "__h__").orderBy("__h__")))
-    spread = F.floor(F.col("__copies__") / F.col("__rows__")) + (F.col("__n__") <= F.col("__copies__") % F.col("__rows__")).cast("long")
-    every = found.filter("__rows__ = 1").withColumn("__times__", F.col("__copies__"))
-    if not copies.filter("__rows__ > 1").isEmpty():
-        every = every.unionByName(twins.withColumn("__times__", spread).drop("__n__"))
-    every = every.filter("__times__ > 0")
-    return every.withColumn("__copy__", F.explode(F.sequence(F.lit(1), F.col("__times__").cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    copies = rows.groupBy("id", "of", "h").agg(F.sum(times).alias("copies"), F.count("*").alias("n_rows"))
+    copies = durable(copies.filter("copies > 0"), "copies")
+    found = marked.join(copies, [of_id.eqNullSafe(F.col("id")), of_source.eqNullSafe(F.col("of")), F.col("key").eqNullSafe(F.col("h"))])
+    every = found.filter("n_rows = 1").select(*own, F.col("copies").alias("times"))
+    if not copies.filter("n_rows > 1").isEmpty():
+        # of r equal rows that are taken n times together, each stands for n / r, the rest spread by a counter
+        twins = durable(found.filter("n_rows > 1").select(*own, "id", "of", "h", "copies", "n_rows", F.monotonically_increasing_id().alias("uid"), F.lit(1).alias("one")), "twins")
+        twins = twins.withColumn("key", F.xxhash64("uid").bitwiseAND(F.lit(KEYS - 1)))
+        twins = prefix_sums(twins, ["id", "of", "h"], [F.col("key"), F.col("uid")], "key", "one", "before")
+        spread = F.floor(F.col("copies") / F.col("n_rows")) + (F.col("before") < F.col("copies") % F.col("n_rows")).cast("long")
+        every = every.unionByName(twins.select(*own, spread.alias("times")))
+    every = every.filter("times > 0")
+    return every.select(*own, F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy").toDF(*names)

@@ -2,9 +2,10 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 from pyspark.sql import functions as F
 
-from panelforge.llm import mixing
+from panelforge.llm import mixing, queries
 
 TEXTS = ["", None, " ", "a", " a", "a ", "a b", "\ta\n\x0bb\x0c c\r", "a b", "x " * 50, "  ", "a\x85b c"]
 
@@ -73,3 +74,18 @@ def test_equal_rows_of_which_some_are_taken(spark):
     taken = sum(-(-r.taken // r.size) for r in mixing.mix_documents(df, **options).collect() if r.taken and r.source == "s")
     assert 0 < taken < 5
     assert mixing.mixed_rows(df, **options).filter("source = 's'").count() == taken
+
+
+def test_any_column_names_stay(spark):
+    names = ["doc_id", "source", "text", "__row_hash__", "__copies__", "__rows__", "id", "of", "h", "key", "copy", "c0"]
+    rows = [(k, "s", "a b c", *[k] * 9) for k in range(20)] + [(3, "s", "a b c", *[3] * 9)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n in ('source', 'text') else 'long'}" for n in names))
+    got = mixing.mixed_rows(df)
+    assert got.columns == names and {tuple(r) for r in got.collect()} <= set(rows)
+
+
+def test_query_against_its_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = queries.op3_mix(spark, sf).select("doc_id", "size", "source_size", "target", "taken")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(queries.OP3_SQL).fetchall())
