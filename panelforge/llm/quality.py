@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import durable, small_batches
-from ._text import codepoints, filled, flat, lists, pieces_of, tidied
+from ._text import codepoints, filled, flat, lists, numbered, pieces_of, tidied
 
 STATISTICS = (
     "log_points", "log_words", "word_length", "letters", "capitals", "digits", "stops", "marks", "symbols", "bangs",
@@ -31,8 +31,8 @@ STATISTICS = (
 FEATURES = 256
 #: Of the Gaussian kernel over standardised statistics; the ridge's share of the diagonal.
 WIDTH, RIDGE = 6.0, 1e-4
-#: Bins of the calibration's histogram, and groups whose normal equations the driver adds up.
-BINS, GROUPS = 2048, 16
+#: Bins of the calibration's histogram, and how many parts of the normal equations one task adds up.
+BINS, GROUPS = 2048, 32
 RUN_BYTES = 1 << 20
 
 _BLANK, _SMALL, _CAPITAL, _DIGIT, _STOP, _MARK, _SYMBOL, _BANG, _BAR, _LINE, _OTHER = range(11)
@@ -103,7 +103,7 @@ def statistics(column: pa.Array) -> np.ndarray:
 def with_statistics(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` of every row with ``statistics``, an array in the order of STATISTICS; null texts count as empty."""
     small_batches(df.sparkSession)
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text__"))
+    source, names, keep = numbered(df, keep, F.col(f"`{text}`").alias("__text__"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +111,7 @@ def with_statistics(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
                 found = statistics(filled(part.column("__text__")))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], lists(found.ravel(), np.arange(part.num_rows + 1) * len(STATISTICS))], [*keep, "statistics"])
 
-    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], T.StructField("statistics", T.ArrayType(T.DoubleType()))]))
+    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], T.StructField("statistics", T.ArrayType(T.DoubleType()))])).toDF(*names, "statistics")
 
 
 @dataclass
@@ -188,13 +188,17 @@ def train(rows: DataFrame, label: str = "label", calibrate: str = "calibrate", s
                 part = batch.slice(start, 4096)
                 phi = model.features(_matrix(part))
                 total += phi.T @ np.concatenate([phi, part.column("y").to_numpy(zero_copy_only=False)[:, None]], 1)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), lists(total.ravel(), np.array([0, total.size]))], ["g", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), lists(total.ravel(), np.array([0, total.size]))], ["g", "sums"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"sums": [np.sum(np.stack(frame["sums"].to_numpy()), 0)]})
-
-    parts = fitted.select("statistics", "y").mapInArrow(tidied(part_sums), "g int, sums array<double>")
-    sums = sum(np.array(r.sums) for r in parts.groupBy("g").applyInPandas(add, "sums array<double>").collect()).reshape(d, d + 1)
+        return pd.DataFrame({"g": [frame["g"].iloc[0] // GROUPS], "sums": [np.sum(np.stack(frame["sums"].to_numpy()), 0)]})
+
+    parts = durable(fitted.select("statistics", "y").mapInArrow(tidied(part_sums), "g int, sums array<double>"), "sums")
+    last = parts.agg(F.max("g")).first()[0]
+    while last >= GROUPS:  # a tree: no task, nor the driver, adds up more than GROUPS parts
+        parts = durable(parts.groupBy(F.floor(F.col("g") / GROUPS)).applyInPandas(add, "g int, sums array<double>"), "sums")
+        last //= GROUPS
+    sums = sum(np.array(r.sums) for r in parts.collect()).reshape(d, d + 1)
     gram, right = sums[:, :d], sums[:, d]
     model.weights = np.linalg.solve(gram + RIDGE * gram.trace() / d * np.eye(d), right)
 
@@ -213,7 +217,7 @@ def train(rows: DataFrame, label: str = "label", calibrate: str = "calibrate", s
 
 def score(rows: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """``keep`` of every row of a table with ``statistics``, and score, the probability of label 1 (0.5 without a model)."""
-    source = rows.select(*[F.col(f"`{c}`") for c in keep], F.col("statistics"))
+    source, names, keep = numbered(rows, keep, F.col("statistics"))
     shipped = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +226,7 @@ def score(rows: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
             out = np.full(len(x), 0.5) if shipped.value is None else shipped.value.probability(x)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out)], [*keep, "score"])
 
-    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], T.StructField("score", T.DoubleType())]))
+    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], T.StructField("score", T.DoubleType())])).toDF(*names, "score")
 
 
 def classify(df: DataFrame, labels: DataFrame, fold: str, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
@@ -233,7 +237,7 @@ def classify(df: DataFrame, labels: DataFrame, fold: str, text: str = "text", do
     teach nothing, an empty table gives an empty one.
     """
     rows = durable(with_statistics(df, text, [doc_id, fold]), "statistics")
-    taught = labels.filter(F.col(label).isNotNull()).select(F.col(doc_id).alias("__id__"), F.col(label).alias("label"))
-    taught = rows.filter(F.col(fold) != 0).join(taught, F.col(doc_id) == F.col("__id__"))
-    model = train(taught.withColumn("calibrate", F.col(fold) == 1))
+    taught = labels.filter(F.col(f"`{label}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("__id__"), F.col(f"`{label}`").alias("label"))
+    taught = rows.filter(F.col(f"`{fold}`") != 0).join(taught, F.col(f"`{doc_id}`") == F.col("__id__"))
+    model = train(taught.withColumn("calibrate", F.col(f"`{fold}`") == 1))
     return score(rows, model, [doc_id, fold])

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import pyarrow as pa
 
 from panelforge.llm import quality, queries
@@ -30,7 +31,9 @@ def test_isotonic_against_brute_force():
         assert np.allclose(np.interp(bins + 0.5, knots, values), want)
 
 
-def test_normal_equations_match_one_solution(spark):
+@pytest.mark.parametrize("groups", [32, 2])
+def test_normal_equations_match_one_solution(spark, monkeypatch, groups):
+    monkeypatch.setattr(quality, "GROUPS", groups)
     rng = np.random.default_rng(1)
     x = rng.standard_normal((300, len(quality.STATISTICS)))
     y = (x[:, 0] > 0).astype(int)
