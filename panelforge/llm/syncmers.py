@@ -9,20 +9,24 @@ wherever it stands.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ._store import durable
 
 #: Tokens of an anchor and of its inner runs: of K - S + 1 = 5 runs two are at an edge, so 2 of 5 places are anchors.
 K, S = 6, 2
 TOKEN_POINTS = 24
 _SOLID = r"[^\x20\x09-\x0D]"
 TOKENS = r"(?<!%s)%s{1,%d}(?!%s)|%s" % (_SOLID, _SOLID, TOKEN_POINTS, _SOLID, _SOLID)
-#: Documents of a window when the next document of each is looked up.
-WINDOW_ROWS = 2_000
+#: Documents of a window when the next document of each is looked up, and windows that one task puts in a row.
+WINDOW_ROWS, LEVEL_ROWS = 2_000, 4_096
 QUANTILES = 64
+#: Ids that hold so large a part of the rows (and HOT_ROWS at least) get windows of their own.
+HOT_SHARE, HOT_ROWS = 1_000, 16_000
 #: Rows of 24 bytes up to which the windows' first documents are broadcast.
-HEADS_BROADCAST = 1_000_000
+HEADS_BROADCAST = 400_000
 
 
 def anchors(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -63,33 +67,61 @@ def likeness(left: str, right: str) -> Column:
     return F.when(every == 0, 1.0).otherwise(both / every)
 
 
+def dense_rank(df: DataFrame, order: str) -> DataFrame:
+    """(``order``, rank) of the distinct values that aren't null, from 0: a global sort, then numbers within its
+    partitions, whose sizes come to the driver."""
+    part, row = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    at = durable(df.select(order).filter(F.col(order).isNotNull()).distinct().orderBy(order).select(order, part.alias("part"), row.alias("row")), "ranks")
+    sizes = sorted(tuple(r) for r in at.groupBy("part").count().collect())
+    before, total = {}, 0
+    for k, n in sizes:
+        before[k], total = total, total + n
+    start = F.create_map(*[F.lit(x).cast("long") for k in before for x in (k, before[k])]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    return at.select(order, (F.element_at(start, F.col("part").cast("long")) + F.col("row")).alias("rank"))
+
+
 def with_next(df: DataFrame, order: str, columns: list[str]) -> tuple[DataFrame, object, object]:
-    """``df`` dealt out in windows of consecutive rows by descending ``order``, so that the next row is at hand.
+    """``df`` dealt out in windows of consecutive rows by descending ``order`` (null last), so that the next row is at hand.
 
     Returns the rows, the window to look ahead in, and the condition that holds for the rows of ``df``: the last row
-    of each window is a copy of the first row of the next window (of the first one, at the end).  Windows come from
-    quantiles of ``order``, each cut into equal ranges; rows go through one shuffle.  ``columns`` orders rows with
-    equal ``order`` by hashes of these columns, null ``order`` is last.
+    of each window is a copy of the first row of the next window (of the first one, at the end).  ``columns`` orders
+    rows with equal ``order`` by a hash of these columns.  Windows come from quantiles of ``order``, each cut into equal
+    ranges; rows without ``order``, and those of a value that a large part of the rows have, are dealt to windows by
+    that hash.  Rows go through one shuffle; where ``order`` isn't a number, a join with its ranks comes before it.
     """
-    tie = F.xxhash64(*columns)
-    rows = df.withColumn("__tie__", tie)
-    bounds = rows.agg(F.count("*").alias("n"), F.min(order).alias("low"), F.max(order).alias("high"), F.percentile_approx(order, [k / QUANTILES for k in range(1, QUANTILES)], 10_000).alias("q")).first()
+    rows = df.withColumn("__tie__", F.xxhash64(*columns)).withColumn("__at__", F.col(order))
+    if not isinstance(df.schema[order].dataType, T.NumericType):
+        ranks = dense_rank(df, order).withColumnsRenamed({order: "__of__", "rank": "__rank__"})
+        rows = rows.join(ranks, F.col(order) == F.col("__of__"), "left").withColumn("__at__", F.col("__rank__")).drop("__of__", "__rank__")
+    at, tie = F.col("__at__"), F.col("__tie__")
+    bounds = rows.agg(F.count("*").alias("n"), F.count(at).alias("some"), F.min(at).alias("low"), F.max(at).alias("high"), F.percentile_approx(at, [k / QUANTILES for k in range(1, QUANTILES)], 10_000).alias("q")).first()
     edges = sorted({bounds.low, *(bounds.q or []), bounds.high}) if bounds.low is not None else [0]
     parts = max(1, -(-bounds.n // (WINDOW_ROWS * QUANTILES)))
-    at = F.col(order)
+    most = max(HOT_ROWS, bounds.n // HOT_SHARE)
+    hot = sorted((tuple(r) for r in rows.filter(at.isNotNull()).groupBy(at).count().filter(F.col("count") > most).collect()), reverse=True) if bounds.n > most else []
     lows = F.array(*[F.lit(x).cast("double") for x in edges])
     widths = F.array(*[F.lit(max(b - a, 1)).cast("double") for a, b in zip(edges, [*edges[1:], edges[-1] + 1], strict=True)])
     piece = (sum((at >= F.lit(x)).cast("int") for x in edges[1:]) if edges[1:] else F.lit(0)) + F.lit(1)
     part = F.least(F.floor((at.cast("double") - F.element_at(lows, F.col("__piece__"))) / F.element_at(widths, F.col("__piece__")) * parts), F.lit(parts - 1))
-    rows = rows.withColumn("__piece__", piece).withColumn("__window__", F.coalesce(-(F.col("__piece__") * parts + part), F.lit(1))).drop("__piece__")
-    first = rows.groupBy("__window__").agg(F.max(F.struct(at.isNotNull().alias("some"), at.alias("id"), F.col("__tie__").alias("tie"))).alias("head"))
-    by_window = Window.orderBy("__window__")
-    heads = first.select(F.coalesce(F.lag("__window__").over(by_window), F.max("__window__").over(Window.partitionBy())).alias("__to__"), "head.id", "head.tie")
+    # within a window: what is above a hot value, the value, and what is below it, each in its turn
+    turn = sum(((at <= F.lit(h)).cast("int") + (at < F.lit(h)).cast("int") for h, _ in hot), F.lit(0))
+    own = F.when(at.isNull(), F.lit(-(-(bounds.n - bounds.some) // WINDOW_ROWS)))
+    for h, n in hot:
+        own = own.when(at == F.lit(h), F.lit(-(-n // WINDOW_ROWS)))
+    deal = F.coalesce(F.least(F.floor((0.5 - tie / F.lit(2.0**64)) * own), own - 1), F.lit(0)).cast("long")
+    rows = rows.withColumn("__piece__", piece).withColumn("__number__", F.coalesce(-(F.col("__piece__") * parts + part), F.lit(1)).cast("long")).drop("__piece__")
+    rows = rows.withColumn("__window__", F.struct(F.col("__number__").alias("number"), F.coalesce(turn, F.lit(0)).alias("turn"), deal.alias("deal"))).drop("__number__")
+    first = rows.groupBy("__window__").agg(F.max(F.struct(at.isNotNull().alias("some"), at.alias("at"), tie.alias("tie"))).alias("head"))
+    first = durable(first.withColumn("__level__", F.floor(F.col("__window__.number") / LEVEL_ROWS)), "heads")
+    ends = first.groupBy("__level__").agg(F.max("__window__").alias("end"))
+    ends = ends.select("__level__", F.coalesce(F.lag("end").over(Window.orderBy("__level__")), F.max("end").over(Window.partitionBy())).alias("__before__"))
+    heads = first.join(ends, "__level__").withColumn("__to__", F.coalesce(F.lag("__window__").over(Window.partitionBy("__level__").orderBy("__window__")), F.col("__before__")))
+    heads = heads.select("__to__", F.col("head.at").alias("__head__"), F.col("head.tie").alias("__head_tie__"))
     heads = F.broadcast(heads) if bounds.n // WINDOW_ROWS < HEADS_BROADCAST else heads
-    copies = rows.join(heads, [at.eqNullSafe(F.col("id")), F.col("__tie__") == F.col("tie")]).dropDuplicates(["__to__"])
+    copies = rows.join(heads, [at.eqNullSafe(F.col("__head__")), tie == F.col("__head_tie__")]).dropDuplicates(["__to__"])
     copies = copies.withColumn("__window__", F.col("__to__")).select(*rows.columns, F.lit(1).alias("__copy__"))
     rows = rows.withColumn("__copy__", F.lit(0)).unionByName(copies)
-    ahead = Window.partitionBy("__window__").orderBy("__copy__", at.desc_nulls_last(), F.col("__tie__").desc())
+    ahead = Window.partitionBy("__window__").orderBy("__copy__", at.desc_nulls_last(), tie.desc())
     return rows, ahead, F.col("__copy__") == 0
 
 
@@ -98,11 +130,11 @@ def compare_with_edits(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     the likeness of its fingerprint to the edited text's and to the next document's.
 
     The edited text has, in the place of the last floor(n_chars / 2) code points, the first as many (or all) of the next
-    document by descending ``doc_id``; after the last comes the first.  Null texts count as empty; of rows with equal
-    ids the order is that of a hash of the text, null ids are last, a single row is its own next, an empty table
-    gives an empty one.
+    document by descending ``doc_id``, of any type that has an order; after the last comes the first.  Null texts count
+    as empty; of rows with equal ids the order is that of a hash of the text (rows that repeat both are interchangeable),
+    null ids are last, a single row is its own next, an empty table gives an empty one.
     """
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows, ahead, own = with_next(rows, "doc_id", ["text"])
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("next", F.lead("text").over(ahead)).withColumn("n_chars", F.char_length("text"))

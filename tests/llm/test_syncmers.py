@@ -4,7 +4,7 @@ import re
 
 import xxhash
 
-from panelforge.llm import syncmers
+from panelforge.llm import queries, syncmers
 
 
 def chain(values, seed=42):
@@ -74,6 +74,53 @@ def test_windows_are_cut(spark, monkeypatch):
         assert got[doc] == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
 
 
+def check_next(spark, rows, schema, key):
+    """Every row's edited text against that of the next one by descending id, for ids or texts that differ."""
+    got = sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in syncmers.compare_with_edits(spark.createDataFrame(rows, schema)).collect())
+    ordered, want = sorted(rows, key=key), []
+    for k, (doc, text) in enumerate(ordered):
+        half = len(text) // 2
+        want.append((str(doc), len(text), hashlib.sha256((text[: len(text) - half] + ordered[(k + 1) % len(ordered)][1][:half]).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def tie(text):
+    return signed(chain([text.encode()]))
+
+
+def test_ids_of_any_type(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "WINDOW_ROWS", 2)
+    monkeypatch.setattr(syncmers, "LEVEL_ROWS", 8)
+    rows = [(f"doc-{k * k % 211:03}", f"text number {k}") for k in range(200)]
+    rows = list({d: (d, t) for d, t in rows}.values())
+    check_next(spark, rows, "doc_id string, text string", lambda r: [-ord(c) for c in r[0]])
+
+
+def test_null_and_repeated_ids_are_dealt_to_windows(spark, monkeypatch):
+    for name, value in (("WINDOW_ROWS", 5), ("HOT_ROWS", 20), ("HOT_SHARE", 10), ("LEVEL_ROWS", 4)):
+        monkeypatch.setattr(syncmers, name, value)
+    rows = [(k if k % 3 else None if k % 2 else 40, f"text number {k}") for k in range(300)]
+    check_next(spark, rows, "doc_id long, text string", lambda r: (r[0] is None, -(r[0] or 0), -tie(r[1])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    windows, _, own = syncmers.with_next(df, "doc_id", ["text"])
+    assert max(r["count"] for r in windows.filter(own).groupBy("__window__").count().collect()) <= 30
+
+
+def test_query_against_brute_force(spark, sf):
+    rows = sorted(((r.doc_id, r.text or "") for r in queries.table(spark, sf, "documents").collect()), reverse=True)
+    got = {r.doc_id: r for r in queries.op8_syncmers(spark, sf).collect()}
+    assert len(got) == len(rows)
+    shown = lambda found: ",".join(f"{x:X}" for _, x in found)
+    for k, (doc, text) in enumerate(rows):
+        after, half = rows[(k + 1) % len(rows)][1], len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        r = got[doc]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        own, other = brute(text), brute(edited)
+        assert (r.fingerprint, r.edited_fingerprint) == (shown(own), shown(other))
+        assert abs(r.near_edited - near(own, other)) < 1e-12 and abs(r.near_next - near(own, brute(after))) < 1e-12
+
+
 def test_unspaced_passages_at_other_places(spark):
     rng = random.Random(6)
     passages = ["".join(rng.choices(letters, k=3000)) for letters in ("".join(map(chr, range(0x4E00, 0x5200))), "ABCDEFGHabcdefgh01234567+/")]
