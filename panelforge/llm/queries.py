@@ -127,8 +127,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.parse(written).withColumn("payload_sha256", F.sha2("payload", 256)).drop("payload")
     found = warc.resolve(durable(read, "captures"))
     number = F.col("record_id").cast("long")
-    whole = found.select(F.col("record_id").alias("full_id"), F.col("payload_sha256").alias("full_sha256")).filter("full_id % 2 = 0")
-    found = found.join(whole, warc._reference() == F.col("full_id"), "left")
+    found = durable(found, "resolved")
+    found = warc.with_response(found, found.filter("outcome = 'full'").groupBy(F.col("record_id").alias("refers_to")).agg(F.max("payload_sha256").alias("full_sha256")))
     return found.select(
         number.alias("record_id"), F.expr("record_id div 2").cast("long").alias("page_id"), "url_key", "outcome", F.col("refers_to").cast("long").alias("refers_to"),
         *[F.col("headers")[k].alias(k.replace("-", "_")) for k in ("etag", "cache-control", "content-type", "content-length", "server")],

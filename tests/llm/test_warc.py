@@ -3,9 +3,10 @@ import io
 import random
 import re
 
+import duckdb
 import pytest
 
-from panelforge.llm import warc
+from panelforge.llm import queries, warc
 
 SCHEMA = "record_id string, url string, date string, status int, headers map<string,string>, outcome string, payload binary"
 
@@ -48,8 +49,9 @@ def brute(rows):
     return out
 
 
-def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(warc, "BUCKET_ROWS", 8)
+@pytest.mark.parametrize("bucket", [3_600_000_000, 120_000_000])
+def test_against_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(warc, "BUCKET", bucket)
     rng = random.Random(1)
     rows = []
     for k in range(500):
@@ -83,7 +85,34 @@ def test_odd_records():
     raw = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\nX: a\r\n b\r\n\r\nabc\r\n\r\n"
     (r,) = warc.records(io.BytesIO(raw))
     assert (r["kind"], r["payload"], r["status"]) == ("warcinfo", b"abc", None)
-    with pytest.raises(ValueError, match="ends early"):
-        list(warc.records(io.BytesIO(raw[:-6])))
-    with pytest.raises(ValueError, match="no WARC record"):
-        list(warc.records(io.BytesIO(b"junk")))
+    rows = list(warc.records(io.BytesIO(raw[:-6])))
+    assert [r["kind"] for r in rows] == [warc.UNREADABLE] and b"ends early" in rows[0]["payload"]
+
+
+def test_what_is_unreadable_leaves_the_rest():
+    good = warc.record("response", "<urn:1>", "http://a/", "2024-01-01T00:00:00Z", 200, {"etag": '"x"'}, b"body")
+    bad = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nsome body\r\n\r\n"
+    none = b"WARC/1.1\r\nWARC-Type: response\r\n\r\n"
+    for raw, want in ((bad + good, [warc.UNREADABLE, "response"]), (b"junk\njunk\n" + good, [warc.UNREADABLE, "response"]), (good + none + good, ["response", warc.UNREADABLE, "response"]), (b"", []), (good + bad, ["response", warc.UNREADABLE])):
+        assert [r["kind"] for r in warc.records(io.BytesIO(raw))] == want
+    zipped = gzip.compress(good) + gzip.compress(good)[:-12]
+    assert [r["kind"] for r in warc.records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(zipped))))][-1] == warc.UNREADABLE
+    odd = warc.record("response", "<urn:1>", "http://a/", "d", 200, {}, b"").replace(b"HTTP/1.1 200", b"HTTP/1.1 2x0")
+    assert next(warc.records(io.BytesIO(odd)))["status"] is None
+
+
+def test_nulls_in_any_column(spark):
+    rows = [(None, None, None, None, None, None, None), ("revisit", None, "http://a/", "2024-01-01T00:00:01Z", 304, None, None), ("response", "<1>", "http://a/", "2024-01-01T00:00:00Z", 200, None, b"x"), ("response", "<2>", "http://a/", None, 200, {"etag": None, "a": "b\r\nc"}, b"x")]
+    df = spark.createDataFrame(rows, warc._ROW)
+    back = warc.parse(warc.render(df)).collect()
+    assert sorted((r.kind or "", r.status, len(r.headers)) for r in back) == [("", 0, 0), ("response", 200, 0), ("response", 200, 1), ("revisit", 304, 0)]
+    assert sorted(r.outcome for r in warc.resolve(df).collect()) == ["full", "full", "no_validator", "other"]
+    assert warc.parse(spark.createDataFrame([(None,), (b"",)], "content binary")).count() == 0
+
+
+def test_query_against_its_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    want = con.execute(queries.OP6_SQL)
+    names = [c[0] for c in want.description]
+    assert sorted(map(tuple, queries.op6_warc(spark, sf).select(*names).collect()), key=str) == sorted(want.fetchall(), key=str)
