@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import small_batches
-from ._text import codepoints, filled, flat, lists, pieces_of, tidied
+from ._text import codepoints, filled, flat, lists, numbered, pieces_of, tidied
 
 #: Texts are handled in runs of about so many bytes, which bounds a worker's memory.
 RUN_BYTES = 1 << 19
@@ -306,7 +306,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
     shipped = _ship(df, path)
     new = ["ids", "offsets", *([decoded] if decoded else [])]
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in {n.lower() for n in new} and (keep is not None or c != text)]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text__"))
+    source, names, keep = numbered(df, keep, F.col(f"`{text}`").alias("__text__"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(path, shipped.value)
@@ -319,7 +319,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
 
     ints = T.ArrayType(T.IntegerType(), False)
     more = [T.StructField("ids", ints), T.StructField("offsets", ints), *([T.StructField(decoded, T.BinaryType())] if decoded else [])]
-    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], *more]))
+    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], *more])).toDF(*names, *new)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str | None = "offsets", keep: list[str] | None = None) -> DataFrame:
@@ -331,7 +331,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str | None = "of
     small_batches(df.sparkSession)
     shipped = _ship(df, path)
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() != "decoded" and (keep is not None or c != offsets)]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{ids}`").alias("__ids__"), *([F.col(f"`{offsets}`").alias("__offsets__")] if offsets else []))
+    source, names, keep = numbered(df, keep, F.col(f"`{ids}`").alias("__ids__"), *([F.col(f"`{offsets}`").alias("__offsets__")] if offsets else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(path, shipped.value)
@@ -345,7 +345,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str | None = "of
                 found = vocabulary.decode(column.flatten().to_numpy(zero_copy_only=False), at, told)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], _binaries(*found)], [*keep, "decoded"])
 
-    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], T.StructField("decoded", T.BinaryType())]))
+    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], T.StructField("decoded", T.BinaryType())])).toDF(*names, "decoded")
 
 
 def joined(ids: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import small_batches
-from ._text import filled, pieces_of, tidied
+from ._text import filled, numbered, pieces_of, tidied
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Fixed patterns; letters of the first words are in either case.
@@ -177,7 +177,7 @@ def find(df: DataFrame, text: str = "text", keep: list[str] | None = None, out:
     """
     small_batches(df.sparkSession)
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() != out.lower()]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text__"))
+    source, names, keep = numbered(df, keep, F.col(f"`{text}`").alias("__text__"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +185,7 @@ def find(df: DataFrame, text: str = "text", keep: list[str] | None = None, out:
                 rows = [[dict(zip(_FIELDS, s, strict=True)) for s in scan(t)] for t in filled(part.column("__text__")).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(rows, _ARROW)], [*keep, out])
 
-    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], T.StructField(out, SPANS)]))
+    return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], T.StructField(out, SPANS)])).toDF(*names, out)
 
 
 def as_string(spans: Column) -> Column:
