@@ -44,6 +44,8 @@ RUN_BYTES = 1 << 19
 CACHE_WORDS = 100_000
 #: Rows of ids up to which they are broadcast to pick texts (some 16 MB), and pairs with a signature each (some 10 MB).
 BROADCAST_ROWS, CLOSE_ROWS = 250_000, 50_000
+#: Texts of a bucket from which they are dealt to parts to meet its size.
+HOT_ROWS = 10_000
 
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -158,8 +160,8 @@ def _place(order: np.ndarray, k: int, places: int) -> np.ndarray:
     bits = places.bit_length() - 1
     x, mask = np.full(len(order), k, np.uint64), np.uint64(places - 1)
     for turn in range(3):
-        own = _mixed(order + np.uint64(turn))
-        x = (x * (own | np.uint64(1)) + (own >> np.uint64(32))) & mask
+        own = order >> np.uint64(20 * turn)
+        x = (x * (own | np.uint64(1)) + (own >> np.uint64(10))) & mask
         x ^= x >> np.uint64((bits + 1) // 2)
     return x.astype(np.int64)
 
@@ -282,7 +284,10 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", l
 
     members = texts_of.select("uid", F.explode("buckets").alias("bucket"))
     # those that share most buckets with others are the most central
-    members = durable(dealt_totals(members, ["bucket"], "uid", {"k": F.count("*")}, {"n": F.sum("k")}).filter("n > 1"), "members")
+    sizes = durable(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    shared = members.join(sizes.filter(F.col("n") <= HOT_ROWS), "bucket")
+    hot = sizes.filter(F.col("n") > HOT_ROWS)
+    members = durable(shared if hot.isEmpty() else shared.unionByName(attach(members, hot, ["bucket"], "uid")), "members")
     members = members.join(members.groupBy("uid").agg(F.sum("n").alias("score")), "uid").drop("n")
     head = F.max(F.struct("score", (-F.col("uid")).alias("u")))
     members = dealt_totals(members, ["bucket"], "uid", {"top": head}, {"top": F.max("top")})
@@ -322,13 +327,16 @@ def _shingles(texts: DataFrame, weigh: str) -> DataFrame:
 
 
 def _frequencies(every: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (uid, shingle, weight): (uid, common), the part of each text's weight in shingles that more than SCARCE texts
-    have; and the rows of those that 2 to SCARCE texts have.  No more than SCARCE rows of a shingle come together."""
+    """From (uid, shingle, weight): (uid, common, distinct, peak), of each text the part of its weight in shingles that
+    more than SCARCE texts have, how many of those it has, and the greatest part that one shingle has; and the rows of
+    shingles that 2 to SCARCE texts have.  No more than SCARCE rows of a shingle come together."""
     counts = durable(every.groupBy("shingle").agg(F.count("*").alias("k"), F.min(F.struct("uid", "weight")).alias("of")).filter(F.col("k") <= SCARCE), "scarce")
     few = durable(every.join(counts.filter("k > 1").select("shingle"), "shingle"), "few")
-    scarce = counts.filter("k = 1").select(F.col("of.uid").alias("u"), F.col("of.weight").alias("weight")).union(few.select("uid", "weight")).groupBy("u").agg(F.sum("weight").alias("scarce"))
-    sizes = every.groupBy("uid").agg(F.sum("weight").alias("n"))
-    return sizes.join(scarce, F.col("uid") == F.col("u"), "left").select("uid", ((F.col("n") - F.coalesce("scarce", F.lit(0))) / F.col("n")).alias("common")), few
+    scarce = counts.filter("k = 1").select(F.col("of.uid").alias("u"), F.col("of.weight").alias("weight")).union(few.select("uid", "weight"))
+    scarce = scarce.groupBy("u").agg(F.sum("weight").alias("scarce"), F.count("*").alias("k"))
+    sizes = every.groupBy("uid").agg(F.sum("weight").alias("n"), F.count("*").alias("m"), F.max("weight").alias("top"))
+    sizes = sizes.join(scarce, F.col("uid") == F.col("u"), "left").na.fill(0, ["scarce", "k"])
+    return sizes.select("uid", ((F.col("n") - F.col("scarce")) / F.col("n")).alias("common"), (F.col("m") - F.col("k")).alias("distinct"), (F.col("top") / F.col("n")).alias("peak")), few
 
 
 def _linked(members: DataFrame, signatures_: DataFrame, texts: DataFrame, least: float, weigh: str, cut: Bands) -> tuple[DataFrame, DataFrame]:
@@ -337,8 +345,9 @@ def _linked(members: DataFrame, signatures_: DataFrame, texts: DataFrame, least:
     First each bucket's most central member meets the others.  Where that leaves members of a bucket in different
     components, the shingles of those buckets' texts are counted.  Texts that share a shingle that few have are
     compared (a copy with many edits of its own shares some of them with a closer copy of itself).  Of texts that don't,
-    with the parts p and q of their weights in common shingles, the similarity is at most pq / (p + q - pq), which for
-    most is too little for a link with any text of the bucket; such members are done.  The others go on by stars: in
+    with the parts p and q of their weights in what both have, the similarity is at most pq / (p + q - pq); p is at
+    most the part in common shingles, and at most the number of those that both can have times the greatest part of one
+    shingle.  For most that is too little for a link with any text of the bucket; they are done.  The others go on by stars: in
     round k a bucket's left-over members are dealt into 8 * 32 ** k parts by a hash, the most central of each part meets
     those members of the bucket outside its component that the same bound admits, and is done.
     """
@@ -360,7 +369,11 @@ def _linked(members: DataFrame, signatures_: DataFrame, texts: DataFrame, least:
         of = labels.select(F.col("node").alias("n_"), F.col("label").alias("l_"))
         return rows.join(of, F.col(node) == F.col("n_"), "left").withColumn(out, F.coalesce("l_", node)).drop("n_", "l_")
 
-    def admits(p: Column, q: Column) -> Column:
+    def admits(*other: str) -> Column:
+        """Whether the bound allows a link with a text of these parts, number and greatest part."""
+        common, distinct, peak = map(F.col, other)
+        both = F.least("distinct", distinct)
+        p, q = F.least(F.col("common"), both * F.col("peak")), F.least(common, both * peak)
         return p * q >= (p + q - p * q) * (least - 1e-9)
 
     meet(members.filter("uid <> head").select(F.col("head").alias("a"), F.col("uid").alias("b")))
@@ -377,22 +390,22 @@ def _linked(members: DataFrame, signatures_: DataFrame, texts: DataFrame, least:
     other = few.select("shingle", F.col("uid").alias("b"), F.col("label").alias("m"))
     meet(few.join(other, "shingle").filter("uid < b and label <> m").select(F.col("uid").alias("a"), "b"))
     open_ = open_.join(durable(frequencies, "frequencies"), "uid")
-    open_ = durable(dealt_totals(open_, ["bucket"], "uid", {"best": F.max("common")}, {"best": F.max("best")}), "open")
+    open_ = durable(dealt_totals(open_, ["bucket"], "uid", *[{f"most_{n}": F.max(k + n) for n in ("common", "distinct", "peak")} for k in ("", "most_")]), "open")
     done, step = spark.createDataFrame([], "bucket long, uid long"), 0
     while True:
         live = labelled(open_.join(done, ["bucket", "uid"], "left_anti"), "uid", "label")
         heads = labelled(open_.select("bucket", "head").distinct(), "head", "main").drop("head")
         live = durable(attach(live, heads, ["bucket"], "uid"), "live")
-        left = live.filter(admits(F.col("common"), F.col("best")) & (F.col("label") != F.col("main")))
+        left = live.filter(admits("most_common", "most_distinct", "most_peak") & (F.col("label") != F.col("main")))
         if left.isEmpty():
             return edges, labels
         parts = left.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(step)), F.lit(1 << (3 + 5 * step))))
-        centre = parts.groupBy("bucket", "part").agg(F.max(F.struct("score", (-F.col("uid")).alias("u"), "label", "common")).alias("c"))
-        centre = durable(centre.select(F.col("bucket").alias("of"), (-F.col("c.u")).alias("a"), F.col("c.label").alias("own"), F.col("c.common").alias("t")), "centres")
+        centre = parts.groupBy("bucket", "part").agg(F.max(F.struct("score", (-F.col("uid")).alias("u"), "label", "common", "distinct", "peak")).alias("c"))
+        centre = durable(centre.select(F.col("bucket").alias("of"), (-F.col("c.u")).alias("a"), F.col("c.label").alias("own"), *[F.col(f"c.{n}").alias(f"its_{n}") for n in ("common", "distinct", "peak")]), "centres")
         # a bucket's members are dealt to parts, each of which meets a copy of the bucket's centres
         dealt = live.withColumn("deal", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
         places = dealt.select(F.col("bucket").alias("of"), F.col("deal").alias("at")).distinct().join(centre, "of")
-        stars = dealt.join(places, [F.col("bucket") == F.col("of"), F.col("deal") == F.col("at"), F.col("label") != F.col("own"), admits(F.col("common"), F.col("t"))])
+        stars = dealt.join(places, [F.col("bucket") == F.col("of"), F.col("deal") == F.col("at"), F.col("label") != F.col("own"), admits("its_common", "its_distinct", "its_peak")])
         meet(stars.select("a", F.col("uid").alias("b")))
         done = durable(done.union(centre.select("of", "a")), "done")
         step += 1

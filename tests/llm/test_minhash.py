@@ -46,6 +46,8 @@ def test_similarity_is_the_sum_of_its_terms():
         shared = a.keys() & b.keys()
         p, q = (sum(x[k] for k in shared) / sum(x.values()) for x in (a, b))
         assert minhash.similarity(a, b) <= (p * q / (p + q - p * q) if shared else 0) + 1e-12  # the bound of the rounds
+        p, q = (min(part, len(shared) * max(x.values()) / sum(x.values())) for part, x in ((p, a), (q, b)))
+        assert minhash.similarity(a, b) <= (p * q / (p + q - p * q) if shared else 0) + 1e-12
         assert abs(minhash.similarity(a, {k: 3 * n for k, n in a.items()}) - 1) < 1e-12
         ones = [dict.fromkeys(x, 1) for x in (a, b)]
         assert minhash.similarity(*ones) == len(shared) / len(a.keys() | b.keys())
@@ -201,6 +203,13 @@ def test_groups_against_brute_force(spark):
     assert stay.columns == df.columns and sorted(r.doc_id for r in stay.collect()) == sorted(sizes)
 
 
+def test_hot_buckets_are_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HOT_ROWS", 10)
+    rows = planted()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == brute(rows)
+
+
 def test_edges(spark):
     schema = "doc_id long, text string"
     assert minhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
@@ -219,7 +228,7 @@ def test_documents_against_brute_force(spark):
 def test_frequencies_of_shingles(spark):
     every = [(u, "abcdefg".index(x), 2 if x == "c" else 1) for u, xs in ((1, "abc"), (2, "ab"), (3, "ad")) for x in xs] + [(u, 0, 1) for u in range(10, 17)]
     got, few = minhash._frequencies(spark.createDataFrame(every, "uid long, shingle long, weight long"))
-    assert {r.uid: r.common for r in got.collect()} == {1: 0.25, 2: 0.5, 3: 0.5, **{u: 1 for u in range(10, 17)}}
+    assert {r.uid: (r.common, r.distinct, r.peak) for r in got.collect()} == {1: (0.25, 1, 0.5), 2: (0.5, 1, 0.5), 3: (0.5, 1, 0.5), **{u: (1, 1, 1) for u in range(10, 17)}}
     assert sorted(map(tuple, few.select("uid", "shingle").collect())) == [(1, 1), (2, 1)]
 
 
