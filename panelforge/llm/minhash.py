@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._graph import components
-from ._prefix import SALTS, attach, dealt_totals
+from ._prefix import attach, dealt_totals
 from ._store import durable, small_batches
 from ._text import filled, flat, lists, pieces_of, tidied
 
@@ -46,6 +46,8 @@ CACHE_WORDS = 100_000
 BROADCAST_ROWS, CLOSE_ROWS = 250_000, 50_000
 #: Texts of a bucket from which they are dealt to parts to meet its size.
 HOT_ROWS = 10_000
+#: Parts to which a bucket's members are dealt to meet its centres.
+DEALS = 16
 
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -402,8 +404,8 @@ def _linked(members: DataFrame, signatures_: DataFrame, texts: DataFrame, least:
         parts = left.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(step)), F.lit(1 << (3 + 5 * step))))
         centre = parts.groupBy("bucket", "part").agg(F.max(F.struct("score", (-F.col("uid")).alias("u"), "label", "common", "distinct", "peak")).alias("c"))
         centre = durable(centre.select(F.col("bucket").alias("of"), (-F.col("c.u")).alias("a"), F.col("c.label").alias("own"), *[F.col(f"c.{n}").alias(f"its_{n}") for n in ("common", "distinct", "peak")]), "centres")
-        # a bucket's members are dealt to parts, each of which meets a copy of the bucket's centres
-        dealt = live.withColumn("deal", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
+        # a bucket's members are dealt to a few parts, each of which meets a copy of the bucket's centres
+        dealt = live.withColumn("deal", F.pmod(F.xxhash64("uid"), F.lit(DEALS)).cast("int"))
         places = dealt.select(F.col("bucket").alias("of"), F.col("deal").alias("at")).distinct().join(centre, "of")
         stars = dealt.join(places, [F.col("bucket") == F.col("of"), F.col("deal") == F.col("at"), F.col("label") != F.col("own"), admits("its_common", "its_distinct", "its_peak")])
         meet(stars.select("a", F.col("uid").alias("b")))
