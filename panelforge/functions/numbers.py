@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -61,6 +62,32 @@ def normal_inverse(p: Column) -> Column:
     return _bound(p, formula)
 
 
+def student_upper(t: Column, degrees: Column) -> Column:
+    """The upper tail of Student's t with a whole number of degrees of freedom, by the finite sums in the angle
+    atan(t / sqrt(degrees)); an error for other degrees."""
+    whole = F.when((degrees >= 1) & (degrees == F.floor(degrees)), degrees.cast("long")).otherwise(F.raise_error(F.lit("degrees of freedom have to be a whole number from 1")).cast("long"))
+    square = whole / (whole + t * t)  # of the cosine
+    even = whole % 2 == 0
+    first = F.when(even, 1.0).otherwise(F.sqrt(square))
+    # term j is term j - 1 times the square and (2j - 1) / 2j, or 2j / (2j + 1) for odd degrees
+    start = F.struct(first.alias("term"), F.when(even | (whole > 1), first).otherwise(0.0).alias("total"))
+    more = F.when(even, whole / 2 - 1).otherwise((whole - 3) / 2).cast("int")
+
+    def step(s: Column, j: Column) -> Column:
+        term = s["term"] * square * F.when(even, (2 * j - 1) / (2 * j)).otherwise(2 * j / (2 * j + 1))
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+    steps = F.when(more >= 1, F.sequence(F.lit(1), F.greatest(more, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(steps, start, step, lambda s: s["total"])
+    sine = F.sqrt(1 - square) * F.signum(t)
+    middle = F.when(even, sine * total).otherwise((F.atan(t / F.sqrt(whole)) + sine * total) * (2 / math.pi))
+    return F.when(t.isNotNull(), (1 - middle) / 2)
+
+
+#: Fixed list: the second agency's letters from 1 to 21.
+SECOND_RATINGS = ("Aaa", "Aa1", "Aa2", "Aa3", "A1", "A2", "A3", "Baa1", "Baa2", "Baa3", "Ba1", "Ba2", "Ba3", "B1", "B2", "B3", "Caa1", "Caa2", "Caa3", "Ca", "C")
+
+
 def two_sided_p(z: Column) -> Column:
     return 2 * (1 - normal_cdf(F.abs(z)))
 
@@ -74,9 +101,11 @@ def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column,
     return F.when(some, F.greatest(F.lit(0.0), centre - half)), F.when(some, F.least(F.lit(1.0), centre + half))
 
 
-def rating_number(letters: Column) -> Column:
-    """1 (best) to 22; null for not rated, withdrawn or unknown."""
-    return F.element_at(F.create_map(*[x for k, r in enumerate(RATINGS) for x in (F.lit(r), F.lit(k + 1))]), F.upper(F.trim(letters)))
+def rating_number(letters: Column, second: Column | bool = False) -> Column:
+    """1 (best) to 22 of the first agency's letters, 1 to 21 of the ``second`` one's; null for not rated, withdrawn or
+    unknown letters, which count as they are written."""
+    number = lambda names: F.element_at(F.create_map(*[x for k, r in enumerate(names) for x in (F.lit(r), F.lit(k + 1))]), F.trim(letters))
+    return F.when(second if isinstance(second, Column) else F.lit(second), number(SECOND_RATINGS)).otherwise(number(RATINGS))
 
 
 def agency_label(**present: Column) -> Column:

@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fixed list: characters that stand for others in printed text.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-QUOTES = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "′": "'", "″": '"'}
-DASHES = "‐‑‒–—―−﹘"
+#: Fixed lists: ligatures, curly quotes and dashes that are only typography.  Primes, Greek letters and operators are
+#: content and stay.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
+QUOTES = {"‘": "'", "’": "'", "“": '"', "”": '"'}
+DASHES = "‐‑‒–—―⁃−"
 
 LEVELS = ("L0", "L1", "L2")
+_WORD = r"[\p{L}\p{N}_]"
 
 
 @F.pandas_udf(T.StringType())
@@ -25,24 +27,23 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 def collapse(text: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"^ | $", "")
+    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def normalise(text: Column, level: str = "L1", compatibility: bool = True) -> Column:
-    """L0: as it is.  L1: compatibility forms, ligatures, quotes and dashes as plain characters, white space collapsed.
-    L2: also no blank before punctuation and no hyphen at a line's end inside a word."""
+    """L0: as it is.  L1: compatibility forms, then ligatures, curly quotes and dashes as plain characters, white space
+    collapsed, no blank before closing punctuation.  L2: L1, and words that a hyphen and white space break are joined.
+    Each level changes nothing more when it is applied again."""
     if level not in LEVELS:
         raise ValueError(f"unknown level {level!r}")
     if level == "L0":
         return text
-    if level == "L2":
-        text = F.regexp_replace(text, r"(?U)(\w)[-‐­]\s*\n\s*(?=\w)", "$1")
     out = nfkc(text) if compatibility else text
     for k, v in LIGATURES.items():
         out = F.replace(out, F.lit(k), F.lit(v))
-    out = F.translate(out, "".join(QUOTES), "".join(QUOTES.values()))
-    out = collapse(F.translate(out, DASHES, "-" * len(DASHES)))
-    return F.regexp_replace(out, r" +(?=[,.;:!?%)\]])", "") if level == "L2" else out
+    out = F.translate(out, "".join(QUOTES) + DASHES, "".join(QUOTES.values()) + "-" * len(DASHES))
+    out = F.trim(F.regexp_replace(collapse(out), r" +(?=[.,;:)])", ""))
+    return F.regexp_replace(out, rf"(?<={_WORD})- +(?={_WORD})", "") if level == "L2" else out
 
 
 def locate_quotes(pages: DataFrame, quotes: DataFrame, doc: str, page: str, text: str, quote_id: str, quote: str) -> DataFrame:
@@ -77,7 +78,10 @@ def common_block(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else find(x, y) for x, y in zip(a, b, strict=True)])
 
 
-NUMBER = r"(?<![\w.])[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?%?"
+#: Fixed pattern: a number that no word or dotted name runs into, with a percent sign if it has one.
+NUMBER = r"(?<![\p{L}\p{N}_.])[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?%?"
+#: Decimals that a number in scientific notation counts as having.
+SCIENTIFIC_DECIMALS = 12
 
 
 def strip_code(text: Column) -> Column:
@@ -88,25 +92,22 @@ def strip_code(text: Column) -> Column:
 
 
 def number_tokens(text: Column) -> Column:
-    """Numbers as they are written, with a percent sign if they have one."""
+    """Numbers as they are written."""
     return F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
 
 
-def token_value(token: Column) -> Column:
-    """A number token's value; per cent as hundredths."""
-    plain = F.regexp_replace(token, r"[,%+]", "").cast("double")
-    return F.when(token.endswith("%"), plain / 100).otherwise(plain)
+def readings(token: Column) -> Column:
+    """What a number token may stand for: value and unit of its last digit, literally and, for a per cent, in hundredths."""
+    plain = F.regexp_replace(token, "%", "")
+    decimals = F.when(plain.rlike("[eE]"), SCIENTIFIC_DECIMALS).otherwise(F.length(F.regexp_extract(plain, r"\.([0-9]+)", 1)))
+    one = lambda by: F.struct((plain.cast("double") / 10.0**by).alias("value"), F.pow(F.lit(10.0), -(decimals + by)).alias("unit"))
+    return F.when(token.endswith("%"), F.array(one(0), one(2))).otherwise(F.array(one(0)))
 
 
-def display_unit(token: Column) -> Column:
-    """The last digit's unit of a number token."""
-    digits = F.length(F.regexp_extract(token, r"\.(\d+)", 1))
-    return F.pow(F.lit(10.0), -digits) / F.when(token.endswith("%"), 100.0).otherwise(1.0)
-
-
-def verified(tokens: Column, report: Column) -> Column:
-    """For each token whether some number of the report array is within half of its last digit's unit."""
-    return F.transform(tokens, lambda t: F.exists(report, lambda r: F.abs(r - token_value(t)) <= display_unit(t) / 2 + 1e-12))
+def verified(tokens: Column, report: Column, relative: float = 1e-9) -> Column:
+    """For each token whether some number of the report array is within half of its last digit's unit of a reading."""
+    near = lambda r, c: F.abs(r - c["value"]) <= c["unit"] / 2 + relative * (1 + F.abs(c["value"]))
+    return F.transform(tokens, lambda t: F.exists(readings(t), lambda c: F.exists(report, lambda r: near(r, c))))
 
 
 def null_if_blank(text: Column) -> Column:

@@ -81,8 +81,10 @@ def test_nan_becomes_null(spark):
 
 
 def test_ratings_and_exits(spark):
-    df = spark.createDataFrame([("AAA",), (" bbb- ",), ("D",), ("NR",), (None,)], "s string")
-    assert [r.x for r in df.select(numbers.rating_number(F.col("s")).alias("x")).collect()] == [1, 10, 22, None, None]
+    df = spark.createDataFrame([("AAA",), (" BBB- ",), ("D",), ("NR",), (None,), ("bbb-",), ("Aa1",)], "s string")
+    assert [r.x for r in df.select(numbers.rating_number(F.col("s")).alias("x")).collect()] == [1, 10, 22, None, None, None, None]
+    second = spark.createDataFrame([("Aaa", "MR"), ("Aa1", "MR"), ("Baa3", "MR"), ("C", "MR"), ("C", "SPR"), ("WR", "MR"), ("AAA", "MR")], "s string, a string")
+    assert [r.x for r in second.select(numbers.rating_number(F.col("s"), F.col("a") == "MR").alias("x")).collect()] == [1, 2, 10, 21, 21, None, None]
     df = spark.createDataFrame([(D(2020, 1, 1), D(2020, 1, 1)), (None, D(2020, 1, 1)), (None, None)], "a date, b date")
     day, label = numbers.first_exit(maturity=F.col("a"), default=F.col("b"))
     assert [(r.d, r.l) for r in df.select(day.alias("d"), label.alias("l")).collect()] == [(D(2020, 1, 1), "maturity"), (D(2020, 1, 1), "default"), (None, None)]
@@ -98,11 +100,26 @@ def test_text_ladder(spark):
     raw = "The “ﬁrst”  –\tsecond \n exam-\nple , ok ½"
     df = spark.createDataFrame([(raw,)], "t string")
     got = df.select(*[text.normalise(F.col("t"), k).alias(k) for k in text.LEVELS]).first()
-    assert got.L0 == raw and got.L1 == 'The "first" - second exam- ple , ok 1⁄2' and got.L2 == 'The "first" - second example, ok 1⁄2'
+    assert got.L0 == raw and got.L1 == 'The "first" - second exam- ple, ok 1⁄2' and got.L2 == 'The "first" - second example, ok 1⁄2'
     with pytest.raises(ValueError):
         text.normalise(F.col("t"), "L9")
 
 
+#: Fixed vectors: text, then its L1 and L2 forms.
+LADDER = [
+    ("word ,", "word,", "word,"), ("γ .", "γ.", "γ."), ("(a )", "(a)", "(a)"), ("what ?", "what ?", "what ?"), ("t −6", "t -6", "t -6"), ("a⁃b", "a-b", "a-b"),
+    ("x′ ≈ y″", "x′ ≈ y′′", "x′ ≈ y′′"), ("a﹘b", "a-b", "a-b"), ("self- made", "self- made", "selfmade"), ("a- b- c", "a- b- c", "abc"), ("a -\nb", "a - b", "a - b"),
+    ("‚low‛", "‚low‛", "‚low‛"), ("\u00a0a\x1cb\u2028c\t", "a b c", "a b c"), ("ſt", "st", "st"), ("", "", ""),
+]
+
+
+def test_ladder_vectors(spark):
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(LADDER)], "k int, t string, a string, b string")
+    got = df.select("t", "a", "b", text.normalise(F.col("t"), "L1").alias("x"), text.normalise(F.col("t"), "L2").alias("y"))
+    assert [(r.t, r.x, r.y) for r in got.collect() if (r.x, r.y) != (r.a, r.b)] == []
+    again = got.select(*[(text.normalise(F.col(c), k) == F.col(c)).alias(c) for c, k in (("x", "L1"), ("y", "L2"))])
+    assert all(r.x and r.y for r in again.collect())
+
 def test_locate_quotes(spark):
     pages = spark.createDataFrame([(1, 1, "alpha beta"), (1, 2, "gamma beta"), (1, 3, "delta"), (2, 1, "x")], "doc long, page int, text string")
     quotes = spark.createDataFrame([(10, 1, "beta"), (11, 1, "beta gamma"), (12, 1, ""), (13, 2, "beta"), (14, 1, "beta delta"), (15, 9, "x")], "q long, doc long, quote string")
@@ -114,10 +131,13 @@ def test_numbers_in_prose(spark):
     prose = "A mean of 0.47% (t 3.36) over 1,200 months; see `99` and v2.1\n> quoted 7\n```\n8\n```"
     df = spark.createDataFrame([(prose,)], "t string").select(text.number_tokens(text.strip_code(F.col("t"))).alias("n"))
     tokens = df.first().n
-    assert tokens[:3] == ["0.47%", "3.36", "1,200"] and "99" not in tokens and "7" not in tokens and "8" not in tokens
-    report = F.array(F.lit(0.00468), F.lit(3.3551), F.lit(1200.4))
-    assert df.select(text.verified(F.col("n"), report).alias("v")).first().v[:3] == [True, True, True]
-    assert df.select(text.verified(F.col("n"), F.array(F.lit(0.00476), F.lit(3.366), F.lit(1201.0))).alias("v")).first().v[:3] == [False, False, False]
+    assert tokens == ["0.47%", "3.36", "1", "200"] and "99" not in tokens and "7" not in tokens and "8" not in tokens
+    of = lambda *report: df.select(text.verified(F.col("n"), F.array(*map(F.lit, report))).alias("v")).first().v
+    assert of(0.00468, 3.3551, 200.4) == [True, True, False, True] and of(0.474, 3.3649) == [True, True, False, False]
+    assert of(0.00476, 3.366, 201.0) == [False] * 4
+    sci = spark.createDataFrame([("1e-3 -2.5E2% +7",)], "t string").select(text.number_tokens(F.col("t")).alias("n"))
+    assert sci.first().n == ["1e-3", "-2.5E2%", "+7"]
+    assert sci.select(text.verified(F.col("n"), F.array(F.lit(0.001), F.lit(-2.5), F.lit(6.6))).alias("v")).first().v == [True, True, True]
 
 
 def test_blocks_and_labels(spark):
