@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import statistics
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,59 +91,102 @@ class BounceRules:
     par_cooldown: int = 2
 
 
-class _Anchor:
-    """The last different prices that were let through, and what they say the price is."""
+class _Decider:
+    """Decides on one segment's prices as they come, each as soon as ``ahead`` more are known, or the segment ends.
+
+    What it holds doesn't grow: the prices that wait for those ahead of them, and ``window`` that were let through."""
 
     def __init__(self, rules: BounceRules) -> None:
-        self.rules, self.prices, self.rest = rules, deque(maxlen=rules.window), 0
-
-    def take(self, price: float) -> None:
-        if not self.prices or self.prices[-1] != price:
-            self.prices.append(price)
-
-    def at_par(self) -> bool:
-        recent = list(self.prices)[-self.rules.par_run :]
-        return len(recent) == self.rules.par_run and max(abs(x - self.rules.par) for x in recent) <= self.rules.par_band
-
-    def bounces(self, price: float, coming: Sequence[float]) -> bool:
-        """Whether a price leaves the anchor by more than the threshold and one of the coming ones is back at it."""
-        if self.rest:
-            self.rest -= 1
-            return False
-        if len(self.prices) < 2:
-            return False
-        middle, par = statistics.median(self.prices), self.at_par()
-        if abs(price - (self.rules.par if par else middle)) <= self.rules.threshold:
-            return False
-        if min((abs(x - middle) for x in coming), default=float("inf")) > self.rules.tolerance + self.rules.slack:
-            return False
-        self.rest = self.rules.par_cooldown if par else 0
-        return True
-
-
-def bounces(prices: Sequence[float], rules: BounceRules = BounceRules()) -> Iterator[bool]:
-    """For each price in order whether it bounces back: such prices don't move the anchor."""
-    anchor = _Anchor(rules)
-    for k, price in enumerate(prices):
-        out = anchor.bounces(price, prices[k + 1 : k + 1 + rules.ahead])
-        if not out:
-            anchor.take(price)
-        yield out
+        self.rules = rules
+        self.waiting: deque[float] = deque()
+        self.passed: list[float] = []  # neighbours differ; the latest last
+        self.unchecked = 0  # prices that pass after a flag near par
+
+    def feed(self, price: float) -> bool | None:
+        """The decision on the price that now has enough ahead of it, if there is one."""
+        self.waiting.append(price)
+        return self.decide() if len(self.waiting) > self.rules.ahead else None
+
+    def decide(self) -> bool:
+        """Whether the price that has waited longest bounces; others move the anchor."""
+        price = self.waiting.popleft()
+        if self.unchecked:
+            self.unchecked -= 1
+        elif len(self.passed) > 1 and self._bounces(price):
+            return True
+        if self.passed[-1:] != [price]:
+            self.passed = [*self.passed, price][-self.rules.window :]
+        return False
+
+    def _bounces(self, price: float) -> bool:
+        rules, middle = self.rules, statistics.median(self.passed)
+        near = self.passed[-rules.par_run :]
+        par = len(near) == rules.par_run and all(rules.par - rules.par_band <= x <= rules.par + rules.par_band for x in near)
+        away = abs(price - (rules.par if par else middle)) > rules.threshold
+        back = away and any(abs(x - middle) <= rules.tolerance + rules.slack for x in self.waiting)
+        if back and par:
+            self.unchecked = rules.par_cooldown
+        return back
+
+
+def bounces(prices: Iterable[float | None], rules: BounceRules = BounceRules()) -> list[bool]:
+    """For each price in order whether it bounces back.  A price that is missing (null or NaN) doesn't, moves no anchor
+    and isn't among those ahead."""
+    decider, out, open_ = _Decider(rules), [], deque()
+    for price in prices:
+        out.append(False)
+        if price is None or price != price:
+            continue
+        open_.append(len(out) - 1)
+        if (told := decider.feed(float(price))) is not None:
+            out[open_.popleft()] = told
+    while open_:
+        out[open_.popleft()] = decider.decide()
+    return out
 
 
 def bounce_back(trades: DataFrame, segment: str | Column, price: str, order: Sequence[str], rules: BounceRules = BounceRules()) -> DataFrame:
-    """``trades`` with ``bounced``.  Each decision depends on the ones before it in the segment, so a segment is
-    handled in one piece, in the total order given; segments run in parallel and no batch boundary matters."""
+    """``trades`` with ``bounced``.  Each decision depends on the ones before it in the segment, in the total order
+    given (nulls last), so a segment stays in one partition, where it streams: Spark sorts it, spilling as it must, and
+    a task holds some prices and the rows that wait for their decisions.  Rows without a price stay and don't count."""
     key = F.col(segment) if isinstance(segment, str) else segment
-    rows = trades.withColumn("__segment__", key)
-    schema = T.StructType([*trades.schema.fields, T.StructField("bounced", T.BooleanType())])
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(list(order), kind="mergesort", na_position="last")
-        frame["bounced"] = list(bounces(frame[price].tolist(), rules))
-        return frame.drop(columns="__segment__")
-
-    return rows.groupBy("__segment__").applyInPandas(run, schema)
+    names = [f"c{k}" for k in range(len(trades.columns))]
+    rows = trades.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(trades.columns, names, strict=True)], key.alias("segment"), *[F.col(f"`{c}`").alias(f"o{k}") for k, c in enumerate(order)], F.col(f"`{price}`").cast("double").alias("price"))
+    rows = rows.withColumn("part", F.xxhash64("segment"))
+    rows = rows.repartition("part").sortWithinPartitions("part", "segment", *[F.col(f"o{k}").asc_nulls_last() for k in range(len(order))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows whose decisions may still be open
+        told: list[bool] = []
+        first, open_, now, decider = 0, deque(), object(), _Decider(rules)
+
+        def close() -> None:
+            while open_:
+                told[open_.popleft() - first] = decider.decide()
+
+        for batch in batches:
+            for own, value in zip(batch.column("segment").to_pylist(), batch.column("price").to_pylist(), strict=True):
+                if own != now:
+                    close()
+                    now, decider = own, _Decider(rules)
+                told.append(False)
+                if value is not None and value == value:
+                    open_.append(first + len(told) - 1)
+                    if (bounced := decider.feed(value)) is not None:
+                        told[open_.popleft() - first] = bounced
+            held.append(batch)
+            while held and (not open_ or open_[0] - first >= held[0].num_rows):
+                done = held.pop(0)
+                yield done.select(names).append_column("bounced", pa.array(told[: done.num_rows], pa.bool_()))
+                del told[: done.num_rows]
+                first += done.num_rows
+        close()
+        for done in held:
+            yield done.select(names).append_column("bounced", pa.array(told[: done.num_rows], pa.bool_()))
+            del told[: done.num_rows]
+
+    schema = T.StructType([*[T.StructField(n, f.dataType) for n, f in zip(names, trades.schema.fields, strict=True)], T.StructField("bounced", T.BooleanType())])
+    return rows.mapInArrow(run, schema).toDF(*trades.columns, "bounced")
 
 
 def segment_key(first: str, fallback: str) -> Column:
