@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -64,11 +65,27 @@ def seam(before: DataFrame, after: DataFrame, date: str, boundary: object) -> Da
 
 
 def checked_write(df: DataFrame, path: str, rows: int | None = None, partition: Sequence[str] = (), mode: str = "error") -> int:
-    """Writes Parquet, reads its row count again and compares; returns it."""
-    df.write.mode(mode).partitionBy(*partition).parquet(path)
-    found = df.sparkSession.read.parquet(path).count()
-    if rows is not None and found != rows:
-        raise GuardError(f"{path} has {found} rows, not {rows}")
+    """Writes Parquet beside ``path``, reads its row count again, compares, and only then moves it to ``path``; returns
+    the count.  A table that fails its check is deleted, and what stood at ``path`` stays.  ``mode``: "error" if there is
+    something, or "overwrite"."""
+    spark = df.sparkSession
+    at = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if mode not in ("error", "overwrite"):
+        raise GuardError(f"unknown mode {mode!r}")
+    if mode == "error" and files.exists(at(path)):
+        raise GuardError(f"{path} exists")
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    try:
+        df.write.partitionBy(*partition).parquet(beside)
+        found = spark.read.schema(df.schema).parquet(beside).count()
+        if rows is not None and found != rows:
+            raise GuardError(f"{path} would have {found} rows, not {rows}")
+        files.delete(at(path), True)
+        if not files.rename(at(beside), at(path)):
+            raise GuardError(f"{beside} can't be moved to {path}")
+    finally:
+        files.delete(at(beside), True)
     return found
 
 

@@ -5,8 +5,10 @@ A cell's mask has bit b set if choice b is on.  Tables are long: (mask, value),
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,9 +104,29 @@ def support(series: DataFrame, date: str, k: int, least_months: int = 60, least_
     return both.withColumn("passes", (F.col("n_common") >= least_months) & (F.col("n_common") >= least_share * F.col("n_reference")))
 
 
-def multiple_testing_flag(t: Column, trials: Column, required: Column) -> Column:
-    """Several trials, a t statistic below what they require, and one that looks significant alone."""
-    return (trials > 1) & (F.abs(t) >= 1.96) & (F.abs(t) < required)
+def multiple_testing_flag(df: DataFrame, label: str, t: str, free_parameters: str, band: tuple[float, float], most_parameters: int, names: DataFrame | None = None, aliases: Mapping[str, str] | None = None) -> DataFrame:
+    """``df`` with t_in_band (the size of t is in the band, both ends included), many_parameters (more than
+    ``most_parameters``), known_name (the label, or what ``aliases`` says for it, is a ``name`` of the table ``names``,
+    blanks around and case aside) and flag, whether one of them holds.
+
+    Null means not evaluated: a missing t or count, or no table of names.  The flag informs and is never null."""
+    low, high = band
+    if not low < high:
+        raise GuardError(f"the band has to be (low, high), not {band}")
+    key = lambda c: F.lower(F.trim(c))
+    size = F.abs(F.col(t))
+    out = df.withColumns({"t_in_band": (size >= low) & (size <= high), "many_parameters": F.col(free_parameters) > most_parameters})
+    if names is None:
+        out = out.withColumn("known_name", F.lit(None).cast("boolean"))
+    else:
+        other = F.create_map(*[F.lit(x) for k, v in aliases.items() for x in (k.strip().lower(), v.strip().lower())])[key(F.col(label))] if aliases else F.lit(None).cast("string")
+        known = names.select(key(F.col("name")).alias("__name__")).distinct()
+        out = out.withColumns({"__label__": key(F.col(label)), "__alias__": other})
+        for own in ("__label__", "__alias__"):
+            out = out.join(known.select(F.col("__name__").alias(f"{own}k")), F.col(own) == F.col(f"{own}k"), "left")
+        out = out.withColumn("known_name", F.col("__label__k").isNotNull() | F.col("__alias__k").isNotNull()).drop("__label__", "__alias__", "__label__k", "__alias__k")
+    met = [F.coalesce(F.col(c), F.lit(False)) for c in ("t_in_band", "many_parameters", "known_name")]
+    return out.withColumn("flag", met[0] | met[1] | met[2])
 
 
 def sweep(base: DataFrame, grid: DataFrame, value: Column) -> DataFrame:
@@ -112,6 +134,20 @@ def sweep(base: DataFrame, grid: DataFrame, value: Column) -> DataFrame:
     return base.join(F.broadcast(grid), F.lit(True)).groupBy(*grid.columns).agg(value.alias("value"))
 
 
+def classify_curve(points: DataFrame, at: str, effect: str, nothing: float = 1e-12) -> DataFrame:
+    """One row: class and crossings of an effect over a grid, in its order.  Values next to nothing have no sign.
+    Without a crossing the curve is sign_stable if it is monotone, else non_monotone_sign_stable; with one it is
+    one_crossover, else multiple_crossings.  ``crossings`` has where each is, on the line between its two points."""
+    line = points.agg(F.sort_array(F.collect_list(F.struct(F.col(at).cast("double").alias("x"), F.col(effect).cast("double").alias("y")))).alias("p"))
+    pairs = lambda p: F.zip_with(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    line = line.withColumn("signed", F.filter("p", lambda q: F.abs(q["y"]) > nothing)).withColumns({"steps": pairs(F.col("p"))})
+    line = line.withColumn("turns", F.filter(pairs(F.col("signed")), lambda s: F.signum(s["a"]["y"]) != F.signum(s["b"]["y"])))
+    monotone = F.forall("steps", lambda s: s["b"]["y"] >= s["a"]["y"]) | F.forall("steps", lambda s: s["b"]["y"] <= s["a"]["y"])
+    kind = F.when(F.size("turns") > 1, "multiple_crossings").when(F.size("turns") == 1, "one_crossover").when(monotone, "sign_stable").otherwise("non_monotone_sign_stable")
+    zero = F.transform("turns", lambda s: s["a"]["x"] - s["a"]["y"] * (s["b"]["x"] - s["a"]["x"]) / (s["b"]["y"] - s["a"]["y"]))
+    return line.select(kind.alias("class"), zero.alias("crossings"))
+
+
 def monthly_effects(series: DataFrame, date: str, value: str, k: int) -> DataFrame:
     """(mask, date, value): the effects of each month's cells, in months that all 2 ** k cells have."""
     s = series.filter(F.col(value).isNotNull()).select(F.col("mask").alias("s"), date, F.col(value).alias("__v__"))
@@ -122,12 +158,24 @@ def monthly_effects(series: DataFrame, date: str, value: str, k: int) -> DataFra
 
 
 def infer_effects(effects: DataFrame, date: str, inert_below: float = 1e-12) -> DataFrame:
-    """By coordinate: months, mean effect, t and p of its monthly series; an effect that is nothing in every month isn't
-    tested (t 0, p 1)."""
+    """By coordinate: months, mean effect, t and p of its monthly series; an effect that is nothing in every month, next
+    to the largest of any coordinate, isn't tested (t 0, p 1)."""
     from .stats import mean_p_value, summary
 
     out = summary(effects, ["mask"], date, "value")
     size = effects.groupBy(F.col("mask").alias("__m__")).agg(F.max(F.abs("value")).alias("__size__"))
-    out = out.join(size, F.col("mask") == F.col("__m__")).withColumn("inert", F.col("__size__") <= inert_below)
+    size = size.join(F.broadcast(size.agg(F.max("__size__").alias("__most__"))), F.lit(True))
+    out = out.join(size, F.col("mask") == F.col("__m__")).withColumn("inert", F.col("__size__") <= inert_below * F.greatest(F.lit(1e-300), F.col("__most__")))
     t = F.when(F.col("inert"), 0.0).otherwise(F.col("t_stat"))
     return out.select("mask", "n_months", F.col("average").alias("effect"), t.alias("t_stat"), F.when(F.col("inert"), 1.0).otherwise(mean_p_value(F.col("t_stat"))).alias("p_value"), "inert")
+
+
+def bootstrap_effects(effects: DataFrame, date: str, replicates: int = 1000, block: int = 6, seed: int = 0, statistic: str = "mean") -> DataFrame:
+    """By coordinate: the interval and p of a statistic of its monthly series (mean, or sharpe, which isn't a mean of
+    monthly numbers and so has no HAC error), on months that are resampled together for all coordinates.  A p is at
+    least 1 / replicates, below which draws can't tell."""
+    from .resample import block_bootstrap, intervals
+
+    find = {"mean": lambda m: m.mean(0), "sharpe": lambda m: m.mean(0) / np.where(m.std(0, ddof=1) > 0, m.std(0, ddof=1), np.nan) * math.sqrt(12)}[statistic]
+    out = intervals(block_bootstrap(effects, "mask", date, "value", replicates, block, seed, statistic=find))
+    return out.select(F.col("series").cast("int").alias("mask"), "n", "mean", "low", "high", F.greatest(F.lit(1.0) / F.col("n"), "p_value").alias("p_value"))

@@ -28,9 +28,11 @@ def proportion(df: DataFrame, by: Sequence[str], hit: Column, least: int = 1) ->
 
 def cohen_kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(n, observed, expected, kappa) of two raters' labels; kappa is null with one category or chance agreement 1.
+    Silence, a null label, is a category of its own.
 
     Only counts by label are joined, so the size of the table doesn't matter after one aggregation."""
-    cells = pairs.groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(F.count("*").alias("n"))
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("silent"))
+    cells = pairs.groupBy(named(a).alias("a"), named(b).alias("b")).agg(F.count("*").alias("n"))
     rows, columns = cells.groupBy("a").agg(F.sum("n").alias("na")), cells.groupBy("b").agg(F.sum("n").alias("nb"))
     chance = rows.join(columns, F.col("a") == F.col("b")).agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("chance"))
     labels = cells.select(F.explode(F.array("a", "b")).alias("x")).agg(F.count_distinct("x").alias("labels"))

@@ -92,9 +92,13 @@ def wide_intraday(low: Column, high: Column, price_below: float, range_above: fl
     return F.coalesce(((low < price_below) | (high < price_below)) & (mean > 0) & (F.try_divide(high - low, mean) > range_above), F.lit(False))
 
 
-def universe(df: DataFrame, exclusions: Mapping[str, Column]) -> DataFrame:
-    """A flag ``not_<name>`` for each exclusion, null conditions being false, and ``eligible`` where none holds."""
+def universe(df: DataFrame, exclusions: Mapping[str, Column], inclusions: Mapping[str, Column] | None = None) -> DataFrame:
+    """A flag ``not_<name>`` for each rule that leaves the row out, and ``eligible`` where none does.
+
+    An exclusion leaves out what it says, null saying nothing; an inclusion leaves out all that it doesn't let in, so an
+    unknown category, null or not listed, is never taken for a wanted one."""
     flags = {f"not_{n}": F.coalesce(c, F.lit(False)) for n, c in exclusions.items()}
+    flags |= {f"not_{n}": ~F.coalesce(c, F.lit(False)) for n, c in (inclusions or {}).items()}
     return df.withColumns(flags).withColumn("eligible", ~reduce(lambda a, b: a | b, [F.col(f) for f in flags]))
 
 

@@ -10,7 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import normal_cdf, normal_inverse, two_sided_p
+from ..functions.numbers import normal_cdf, normal_inverse, student_upper, two_sided_p
+from .guards import GuardError
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -23,22 +24,23 @@ def auto_lags(n: Column) -> Column:
 def summary(series: DataFrame, by: Sequence[str], date: str, value: str, lags: int | None = None, per_year: int = 12) -> DataFrame:
     """By series: months, mean, mean a year, deviation (ddof 1), Sharpe ratio, Newey-West lags and t of the mean.
 
-    The kernel is Bartlett's, without a small-sample correction.  Autocovariances come from joining each series with
-    itself at every lag up to the largest that the rule allows, so nothing is collected.
+    The kernel is Bartlett's, without a small-sample correction.  A series becomes one array, which a single shuffle
+    brings together, and its autocovariances are sums of products of the array with itself moved: nothing is joined or
+    collected.  A series has a value a month, so arrays are short.
     """
-    rows = series.filter(F.col(value).isNotNull()).withColumn("__n__", F.row_number().over(Window.partitionBy(*by).orderBy(date)))
-    stats = rows.groupBy(*by).agg(F.count("*").alias("n_months"), F.avg(value).alias("average"), F.stddev_samp(value).alias("deviation"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
-    stats = stats.withColumn("lags", auto_lags(F.col("n_months")) if lags is None else F.greatest(F.lit(0), F.least(F.lit(lags), F.col("n_months") - 1)).cast("int"))
-    on = lambda df: [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
-    means = stats.select(*[F.col(c).alias(f"__by_{c}") for c in by], "average", F.col("lags").alias("__lags__"))
-    centred = rows.join(means, on(means)) if by else rows.join(F.broadcast(means), F.lit(True))
-    centred = centred.select(*by, "__n__", "__lags__", (F.col(value) - F.col("average")).alias("__u__"))
-    now = centred.withColumn("__l__", F.explode(F.sequence(F.lit(0), F.col("__lags__"))))
-    then = centred.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__n__").alias("__m__"), F.col("__u__").alias("__v__"))
-    pairs = now.join(then, [*on(then), F.col("__m__") == F.col("__n__") - F.col("__l__")])
-    weight = F.when(F.col("__l__") == 0, 1.0).otherwise(2 * (1 - F.col("__l__") / (F.col("__lags__") + 1)))
-    hac = pairs.groupBy(*[F.col(c).alias(f"__by_{c}") for c in by]).agg(F.sum(weight * F.col("__u__") * F.col("__v__")).alias("__s__"))
-    out = stats.join(hac, on(hac), "left") if by else stats.join(F.broadcast(hac), F.lit(True), "left")
+    rows = series.filter(F.col(value).isNotNull())
+    told = rows.groupBy(*by).agg(
+        F.count("*").alias("n_months"), F.avg(value).alias("average"), F.stddev_samp(value).alias("deviation"), F.min(date).alias("first_date"), F.max(date).alias("last_date"),
+        F.sort_array(F.collect_list(F.struct(F.col(date).alias("d"), F.col(value).cast("double").alias("v")))).alias("__s__"),
+    )
+    used = auto_lags(F.col("n_months")) if lags is None else F.greatest(F.lit(0), F.least(F.lit(lags), F.col("n_months").cast("int") - 1))
+    told = told.withColumn("lags", used.cast("int")).withColumn("__u__", F.transform("__s__", lambda x: x["v"] - F.col("average")))
+    n = F.col("n_months").cast("int")
+    add = lambda total, x: total + x
+    moved = lambda lag: F.zip_with(F.slice("__u__", lag + 1, n - lag), F.slice("__u__", F.lit(1), n - lag), lambda u, v: u * v)
+    weight = lambda lag: F.when(lag == 0, 1.0).otherwise(2 * (1 - lag / (F.col("lags") + 1)))
+    total = F.aggregate(F.sequence(F.lit(0), F.col("lags")), F.lit(0.0), lambda s, lag: s + weight(lag) * F.aggregate(moved(lag), F.lit(0.0), add))
+    out = told.withColumn("__h__", F.when(n > 0, total))
     many = (F.col("n_months") >= 2) & (F.col("deviation") > 0)
     return out.select(
         *by,
@@ -49,7 +51,7 @@ def summary(series: DataFrame, by: Sequence[str], date: str, value: str, lags: i
         (F.col("average") * per_year).alias("annualised"),
         F.when(F.col("n_months") >= 2, F.col("deviation")).alias("deviation"),
         F.when(many, F.col("average") / F.col("deviation") * math.sqrt(per_year)).alias("sharpe"),
-        F.when(many & (F.col("__s__") > 0), F.col("average") / (F.sqrt("__s__") / F.col("n_months"))).alias("t_stat"),
+        F.when(many & (F.col("__h__") > 0), F.col("average") / (F.sqrt("__h__") / F.col("n_months"))).alias("t_stat"),
         "lags",
     )
 
@@ -75,21 +77,41 @@ def hac_regression(y: np.ndarray, x: np.ndarray, lags: int) -> tuple[np.ndarray,
     return beta, np.where(spread > 0, np.sqrt(np.abs(spread)), np.nan)
 
 
-def regress(series: DataFrame, date: str, value: str, factors: DataFrame, names: Sequence[str], lags: int | None = None) -> DataFrame:
-    """(term, estimate, t_stat, n_months, lags) of a series on factors over shared complete months.
+#: Rules for Newey-West lags by the number of months.
+LAG_RULES = {"newey_west_auto": lambda n: math.floor(4 * (n / 100) ** (2 / 9)), "floor_t_pow_0.25": lambda n: math.floor(n**0.25 + 1e-12)}
+
+
+def regress(series: DataFrame, date: str, value: str, factors: DataFrame, names: Sequence[str], lags: int | str | None = None) -> DataFrame:
+    """(term, estimate, t_stat, n_months, lags) of a series on factors over shared complete months.  ``lags`` is a number
+    or a rule of LAG_RULES.
 
     One row a month comes to the driver: at most a few hundred numbers, whatever the panel's size.
     """
     spark = series.sparkSession
     rows = series.select(date, value).join(factors.select(date, *names), date).dropna().orderBy(date).collect()
     y, x = np.array([r[1] for r in rows], float), np.array([list(r[2:]) for r in rows], float).reshape(len(rows), len(names))
-    used = min(math.floor(4 * (len(y) / 100) ** (2 / 9)) if lags is None else lags, max(len(y) - 1, 0)) if len(y) > 1 else 0
+    wanted = lags if isinstance(lags, int) else LAG_RULES[lags or "newey_west_auto"](len(y))
+    used = min(wanted, max(len(y) - 1, 0)) if len(y) > 1 else 0
     beta, error = hac_regression(y, x, used)
     clean = lambda v: None if not np.isfinite(v) else float(v)
     out = [(n, clean(b), clean(b / e) if np.isfinite(e) and e else None, len(y), used) for n, b, e in zip(["alpha", *names], beta, error, strict=True)]
     return spark.createDataFrame(out, "term string, estimate double, t_stat double, n_months int, lags int")
 
 
+def crowding(series: DataFrame, date: str, value: str, factors: DataFrame, names: Sequence[str], least: int = 60, lags: int | str = "floor_t_pow_0.25") -> DataFrame:
+    """``regress`` on a fixed set of factors with few, whether there are fewer months than ``least``: an alpha next to
+    nothing says that the factors already have the series.  It measures and refuses nothing; what can't be estimated is
+    null.  With a model's out-of-sample factors (``factors.out_of_sample`` and ``factor_frame``) this is the second view."""
+    return regress(series, date, value, factors, names, lags).withColumn("few", F.col("n_months") < least)
+
+
+def factor_frame(spark: SparkSession, months: Sequence, values: np.ndarray, date: str, kind: str = "date", prefix: str = "factor_") -> tuple[DataFrame, list[str]]:
+    """A table of factors by month from a T x K matrix, and the factors' names."""
+    names = [f"{prefix}{k + 1}" for k in range(values.shape[1])]
+    rows = [(m, *map(float, v)) for m, v in zip(months, values, strict=True)]
+    return spark.createDataFrame(rows, ", ".join([f"`{date}` {kind}", *[f"{n} double" for n in names]])), names
+
+
 def spanning(series: DataFrame, date: str, value: str, factors: DataFrame, names: Sequence[str]) -> dict[str, object]:
     """Alpha and its t with floor(n ** 0.25) lags, R2, variance inflation and largest correlation of the factors, and
     alpha with each factor left out."""
@@ -145,6 +167,36 @@ def break_even_grid(gross: DataFrame, value: str, rates: Sequence[float]) -> Dat
     return mean.select(F.explode(F.array(*[F.lit(float(r)) for r in rates])).alias("turnover"), "g").select("turnover", F.when(F.col("turnover") > 0, F.try_divide(F.col("g"), F.col("turnover")) * 1e4).alias("break_even_bps"))
 
 
+def break_even_alpha(gross: DataFrame, turnover: DataFrame, date: str, value: str, factors: DataFrame, names: Sequence[str], registered_bps: float | None = None) -> DataFrame:
+    """One row: the cost in bps at which alpha is nothing, alpha of the gross returns over that of turnover, both on the
+    same months and factors (alpha is linear in the cost, so there is one root at most), status, both alphas, months, and
+    the multiple of a registered cost at which that is."""
+    spark = gross.sparkSession
+    both = gross.select(date, F.col(value).alias("__g__")).join(turnover.select(date, "turnover"), date).dropna()
+    told = {}
+    for name, column in (("gross", "__g__"), ("turnover", "turnover")):
+        first = regress(both, date, column, factors, names).filter("term = 'alpha'").first()
+        told[name], n = first.estimate, first.n_months
+    g, t = told["gross"], told["turnover"]
+    if g is None or t is None:
+        status = "insufficient_observations" if n else "no_common_sample"
+    else:
+        status = "non_positive_gross" if g <= 0 else "non_positive_turnover_intercept" if t <= 0 else "found"
+    bps = g / t * 1e4 if status == "found" else None
+    multiple = g / t / (registered_bps / 1e4) if g is not None and t is not None and t > 0 and (registered_bps or 0) > 0 else None
+    return spark.createDataFrame([(status, bps, g, t, n, multiple)], "status string, break_even_bps double, alpha_gross double, alpha_turnover double, n_months int, multiple double")
+
+
+def cost_scenarios(gross: DataFrame, turnover: DataFrame, date: str, value: str, rates: DataFrame, per_year: int = 12) -> DataFrame:
+    """(scenario, bps, mean, sharpe, drag_bps) for each row of ``rates`` (scenario, ig_bps, hy_bps): a scenario whose two
+    rates are equal and known; others need turnover by rating and are left out.  The series meet a few rows of rates."""
+    usable = rates.filter("ig_bps = hy_bps").select("scenario", F.col("ig_bps").cast("double").alias("bps"))
+    both = gross.select(date, F.col(value).alias("g")).join(turnover.select(date, "turnover"), date).dropna()
+    rows = both.join(F.broadcast(usable), F.lit(True)).withColumn("net", F.col("g") - F.col("bps") / 1e4 * F.col("turnover"))
+    out = rows.groupBy("scenario", "bps").agg(F.avg("net").alias("mean"), F.stddev_samp("net").alias("s"), F.avg("turnover").alias("t"))
+    return out.select("scenario", "bps", "mean", F.when(F.col("s") > 0, F.col("mean") / F.col("s") * math.sqrt(per_year)).alias("sharpe"), (F.col("bps") * F.col("t")).alias("drag_bps"))
+
+
 def regime_split(series: DataFrame, states: DataFrame, date: str, value: str, state: str) -> DataFrame:
     """By state: months, mean and deviation of a series."""
     return series.join(states.select(date, state), date).groupBy(state).agg(F.count(value).alias("n_months"), F.avg(value).alias("average"), F.stddev_samp(value).alias("deviation"))
@@ -265,31 +317,69 @@ def permutation_p(observed: float, draws: DataFrame, value: str) -> DataFrame:
     return draws.agg(((F.count_if(F.abs(value) >= abs(observed)) + 1) / (F.count(value) + 1)).alias("p_value"))
 
 
-def student_tail(t: float, df: float) -> float:
-    """The upper tail of Student's t, by the continued fraction of the incomplete beta function."""
-
-    def fraction(a: float, b: float, x: float) -> float:
-        c, d = 1.0, 1 - (a + b) * x / (a + 1)
-        d = 1 / (d or 1e-300)
-        out = d
-        for m in range(1, 400):
-            for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d, c = 1 / ((1 + top * d) or 1e-300), (1 + top / c) or 1e-300
-                out *= c * d
-            if abs(c * d - 1) < 1e-15:
-                break
-        return out
-
-    def beta(a: float, b: float, x: float) -> float:
-        if x <= 0 or x >= 1:
-            return float(x >= 1)
-        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-        return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
-
-    half = beta(df / 2, 0.5, df / (df + t * t)) / 2
-    return half if t >= 0 else 1 - half
-
-
-def equivalence(mean: float, error: float, df: float, margin: float) -> float:
-    """The larger p of two one-sided tests that a mean is inside (-margin, margin)."""
-    return max(student_tail((mean + margin) / error, df), student_tail((margin - mean) / error, df))
+def equivalence_family(df: DataFrame, candidate: str, alpha: str, error: str, n_months: str, margin: float, level: float, least_months: int = 60, regressors: int = 4) -> DataFrame:
+    """``df`` with degrees, status, p_lower, p_upper, p_value, adjusted_p and equivalent: two one-sided t tests that alpha
+    is inside (-margin, margin), and Benjamini-Hochberg over those that were tested.
+
+    A window shorter than ``least_months`` is ``insufficient_window``: it isn't tested and takes no place in the family.
+    Candidates with the same alpha, error and window (to 12 places) are one hypothesis: duplicate_of names the first by
+    name, and distinct_p and distinct_equivalent are the family's with one of each, a sensitivity beside it."""
+    if margin <= 0:
+        raise GuardError("the margin has to be positive")
+    rows = df.withColumn("degrees", F.col(n_months) - regressors - 1)
+    if bad := rows.filter(~F.coalesce((F.col(error) > 0) & (F.col("degrees") > 0), F.lit(False))).select(candidate).head(3):
+        raise GuardError(f"no positive error or no degrees of freedom: {[r[0] for r in bad]}")
+    tested = F.col(n_months) >= least_months
+    rows = rows.withColumn("status", F.when(tested, "tested").otherwise("insufficient_window"))
+    t = lambda shift: F.when(tested, student_upper(shift / F.col(error), F.col("degrees")))
+    rows = rows.withColumns({"p_lower": t(F.col(alpha) + margin), "p_upper": t(margin - F.col(alpha))}).withColumn("p_value", F.greatest("p_lower", "p_upper"))
+    same = Window.partitionBy(F.round(alpha, 12), F.round(error, 12), n_months)
+    first = F.min(candidate).over(same)
+    rows = rows.withColumn("duplicate_of", F.when(F.col(candidate) > first, first))
+    for out, hit, among in (("adjusted_p", "equivalent", tested), ("distinct_p", "distinct_equivalent", tested & F.col("duplicate_of").isNull())):
+        family = benjamini_hochberg(rows.filter(among).select(F.col(candidate).alias("__c__"), "p_value"), "p_value", ["__c__"], level)
+        family = family.select("__c__", F.col("adjusted_p").alias(out), F.col("rejected").alias(hit))
+        rows = rows.join(family, F.col(candidate) == F.col("__c__"), "left").drop("__c__")
+    return rows
+
+
+def uniform_distance(df: DataFrame, value: str) -> DataFrame:
+    """(n, distance, p_value): the Kolmogorov-Smirnov distance of a column of numbers from 0 to 1 from the uniform
+    distribution, and Kolmogorov's limit at (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * distance.  Ranks come from counts of
+    distinct values."""
+    rows = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("k"))
+    if rows.filter("v < 0 or v > 1").head(1):
+        raise GuardError(f"{value} has numbers outside 0 to 1")
+    order = Window.orderBy("v")
+    rows = rows.withColumns({"upto": F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("k").over(Window.partitionBy())})
+    gap = F.greatest(F.col("upto") / F.col("n") - F.col("v"), F.col("v") - (F.col("upto") - F.col("k")) / F.col("n"))
+    out = rows.agg(F.max("n").alias("n"), F.max(gap).alias("distance")).filter("n is not null")
+    root = F.sqrt("n")
+    reach = (root + 0.12 + 0.11 / root) * F.col("distance")
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * reach * reach))
+    return out.withColumn("p_value", F.when(reach < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series))))
+
+
+def robustness(series: DataFrame, date: str, value: str, factors: DataFrame, names: Sequence[str], trials: int, sharpe_deviation: float, information_span: int, holding: int, direction: int = 1, groups: int = 8, tests: int = 2, per_year: int = 12) -> DataFrame:
+    """One row: qualified, whether the median Sharpe ratio of the combinatorial test folds has the sign ``direction``;
+    folds, their median and the share that is positive; and, as measurements alone, the deflated Sharpe probability
+    (``sharpe_deviation`` is that of monthly Sharpe ratios across trials) and alpha and its t on the factors.
+
+    A series with fewer months than groups isn't qualified, which is a result, not an error."""
+    if sharpe_deviation <= 0:
+        raise GuardError("the deviation of Sharpe ratios across trials has to be a registered positive number")
+    spark = series.sparkSession
+    rows = series.select(date, value).dropna()
+    n = rows.count()
+    nothing = spark.createDataFrame([(0, None, None)], "n_folds long, median_sharpe double, share_positive double")
+    if n >= groups:
+        folds = fold_table(spark, n, groups, tests, information_span, max(1, holding)).filter("role = 'test'")
+        sharpes = fold_sharpes(rows, [], date, value, folds, per_year)
+        nothing = sharpes.agg(F.count("*").alias("n_folds"), F.median("sharpe").alias("median_sharpe"), F.avg((F.col("sharpe") > 0).cast("double")).alias("share_positive"))
+    told = summary(rows, [], date, value, per_year=per_year)
+    monthly = F.col("sharpe") / math.sqrt(per_year)
+    deflated = deflated_sharpe(monthly, F.col("n_months"), F.lit(trials), F.lit(sharpe_deviation), F.lit(0.0), F.lit(3.0))
+    told = told.select("n_months", "sharpe", deflated.alias("deflated_sharpe"))
+    alpha = crowding(series, date, value, factors, names).filter("term = 'alpha'").select(F.col("estimate").alias("alpha"), F.col("t_stat").alias("alpha_t"), F.col("n_months").alias("n_shared"))
+    out = nothing.join(F.broadcast(told), F.lit(True)).join(F.broadcast(alpha), F.lit(True))
+    return out.withColumn("qualified", F.coalesce(F.col("median_sharpe") * direction > 0, F.lit(False)))

@@ -184,22 +184,22 @@ def panel_view(spark: SparkSession, sf: str) -> DataFrame:
     return views.view(panel, "raw", ["raw", "corr"], ["cusip", "date"], stale_days=3, drop_reasons=["default"], signals=extra, names=["half"])
 
 
-@query(f"""WITH {SUPPLIERS}, w AS (SELECT l_suppkey, month, round(volume / sum(volume) OVER (PARTITION BY month), 8) AS weight FROM months WHERE l_suppkey <= 40),
+@query(f"""WITH {SUPPLIERS}, w AS (SELECT l_suppkey, month, round(volume / sum(volume) OVER (PARTITION BY month), 8) AS weight FROM months),
 n AS (SELECT month, row_number() OVER (ORDER BY month) AS k FROM (SELECT DISTINCT month FROM w)), x AS (SELECT w.*, n.k FROM w JOIN n USING (month)),
 c AS (SELECT coalesce(a.k, b.k + 1) AS k, abs(coalesce(a.weight, 0) - coalesce(b.weight, 0)) AS d FROM x a FULL JOIN x b ON a.l_suppkey = b.l_suppkey AND a.k = b.k + 1)
 SELECT n.month, round(sum(d), 8) AS turnover FROM n JOIN c USING (k) GROUP BY 1""")
 def weight_turnover(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
-    rows = months(spark, sf, "l_suppkey").filter("l_suppkey <= 40").withColumn("weight", r(F.col("volume") / F.sum("volume").over(Window.partitionBy("month")), 8))
+    rows = months(spark, sf, "l_suppkey").withColumn("weight", r(F.col("volume") / F.sum("volume").over(Window.partitionBy("month")), 8))
     return rounded(signals.turnover(rows, "l_suppkey", "month", "weight"), "turnover", digits=8)
 
 
-@query(f"""WITH RECURSIVE {SUPPLIERS}, s AS MATERIALIZED (SELECT l_suppkey, month, volume, row_number() OVER (PARTITION BY l_suppkey ORDER BY month) AS k FROM months WHERE l_suppkey <= 20),
+@query(f"""WITH RECURSIVE {SUPPLIERS}, s AS MATERIALIZED (SELECT l_suppkey, month, volume, row_number() OVER (PARTITION BY l_suppkey ORDER BY month) AS k FROM months),
 e AS (SELECT l_suppkey, month, k, volume::DOUBLE AS smooth FROM s WHERE k = 1 UNION ALL SELECT s.l_suppkey, s.month, s.k, e.smooth * 0.7 + s.volume * 0.3 FROM e JOIN s ON s.l_suppkey = e.l_suppkey AND s.k = e.k + 1)
 SELECT l_suppkey, month, round(smooth, 6) AS smooth FROM e""")
 def smoothed_weights(spark: SparkSession, sf: str) -> DataFrame:
-    rows = months(spark, sf, "l_suppkey").filter("l_suppkey <= 20").select("l_suppkey", "month", "volume")
+    rows = months(spark, sf, "l_suppkey").select("l_suppkey", "month", "volume")
     return rounded(signals.ewma(rows, "l_suppkey", "month", "volume", 0.7, "smooth").drop("volume"), "smooth")
 
 

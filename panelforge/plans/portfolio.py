@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import guards, lattice, sorts, views
-from .base import PANEL, TRADES, r, rounded, sort_panel, stable, table, trades
+from .base import PANEL, TRADES, months, months_sql, rounded, sort_panel, stable, table, trades
 
 QUERIES = {}
 ORACLES = {}
@@ -49,32 +49,32 @@ def shown(out: DataFrame) -> DataFrame:
 
 @query(f"""WITH {lagged_sql()}, g AS (SELECT *, 0 AS c, {group_sql("score", 5)} AS g FROM eligible), legs AS ({legs_sql("g", "size")}) {MONTHLY}""")
 def single_sort_ls(spark: SparkSession, sf: str) -> DataFrame:
-    return shown(sorts.characteristic_sort(sort_panel(spark, sf), sorts.Rulebook(score="price", by_size=True)))
+    return shown(sorts.characteristic_sort(sort_panel(spark, sf), sorts.Rulebook(score="price", min_rows=10)))
 
 
 @query(f"""WITH {lagged_sql("price", 1)}, g AS (SELECT *, 0 AS c, {group_sql("score", 3)} AS g FROM eligible), legs AS ({legs_sql("g", None, long=2)}) {MONTHLY}""")
 def lagged_sort_ls(spark: SparkSession, sf: str) -> DataFrame:
-    return shown(sorts.characteristic_sort(sort_panel(spark, sf), sorts.Rulebook(score="price", lag=1, groups=3, long_group=2)))
+    return shown(sorts.characteristic_sort(sort_panel(spark, sf), sorts.Rulebook(score="price", lag=1, groups=3, by_size=False, min_rows=10)))
 
 
 @query(f"""WITH {lagged_sql()}, g AS (SELECT *, {group_sql("size", 3)} AS c, {group_sql("score", 5)} AS g FROM eligible), legs AS ({legs_sql("g", None)}) {MONTHLY}""")
 def double_sort_ls(spark: SparkSession, sf: str) -> DataFrame:
     panel = sort_panel(spark, sf).withColumn("volume", F.col("size"))
-    return shown(sorts.characteristic_sort(panel, sorts.Rulebook(score="price", control="volume", control_groups=3)))
+    return shown(sorts.characteristic_sort(panel, sorts.Rulebook(score="price", control="volume", control_groups=3, by_size=False, min_rows=10)))
 
 
 @query(f"""WITH {lagged_sql()}, b AS (SELECT quantile_cont(next_ret, 0.05) AS lo, quantile_cont(next_ret, 0.95) AS hi FROM lagged),
 t AS (SELECT e.* FROM eligible e, b WHERE next_ret BETWEEN lo AND hi), t2 AS (SELECT * FROM t QUALIFY count(*) OVER (PARTITION BY date) >= 10),
 g AS (SELECT *, 0 AS c, {group_sql("score", 5)} AS g FROM t2), legs AS ({legs_sql("g", "size")}) {MONTHLY}""")
 def trimmed_sort_ls(spark: SparkSession, sf: str) -> DataFrame:
-    book = sorts.Rulebook(score="price", by_size=True, trim="truncate", trim_low=0.05, trim_high=0.95, trim_percentile=True)
+    book = sorts.Rulebook(score="price", min_rows=10, trim="truncate", trim_low=0.05, trim_high=0.95, trim_percentile=True)
     return shown(sorts.characteristic_sort(sort_panel(spark, sf), book))
 
 
 @query(f"""WITH {lagged_sql()}, g AS (SELECT *, {group_sql("score", 5)} AS g FROM eligible)
 SELECT date AS formation, entity, CASE g WHEN 4 THEN 'long' ELSE 'short' END AS leg, size AS weight FROM g WHERE g IN (0, 4)""")
 def sort_selections(spark: SparkSession, sf: str) -> DataFrame:
-    return sorts.selections(sort_panel(spark, sf), sorts.Rulebook(score="price"))
+    return sorts.selections(sort_panel(spark, sf), sorts.Rulebook(score="price", min_rows=10))
 
 
 @query(f"""WITH {lagged_sql()}, sel AS (SELECT date AS formation, entity, size, {group_sql("score", 5)} AS g FROM eligible),
@@ -82,7 +82,7 @@ held AS (SELECT formation, last_day(formation + to_months(h::INT)) AS m, sel.ent
 legs AS ({legs_sql("held", "size", "formation, m")})
 SELECT m AS date, round(avg(l) - avg(s), 8) AS strategy_ret, round(avg(l), 8) AS long_ret, round(avg(s), 8) AS short_ret, sum(n)::BIGINT AS n_rows, count(*) AS n_cohorts FROM legs WHERE l IS NOT NULL AND s IS NOT NULL GROUP BY 1""")
 def overlap_hold_ls(spark: SparkSession, sf: str) -> DataFrame:
-    return shown(sorts.overlapping_sort(sort_panel(spark, sf), sorts.Rulebook(score="price", by_size=True), 6))
+    return shown(sorts.overlapping_sort(sort_panel(spark, sf), sorts.Rulebook(score="price", min_rows=10), 6))
 
 
 @query(f"""WITH {lagged_sql()}, a AS (SELECT *, 0 AS c, {group_sql("price", 5)} AS g FROM eligible), b AS (SELECT *, 0 AS c, {group_sql("size", 5)} AS g FROM eligible),
@@ -91,8 +91,8 @@ legs AS (SELECT date, l - s AS v FROM la WHERE l IS NOT NULL AND s IS NOT NULL U
 SELECT last_day(date + INTERVAL 1 MONTH) AS date, round(avg(v), 8) AS strategy_ret, count(*) AS n_parts FROM legs GROUP BY 1""")
 def composite_factor(spark: SparkSession, sf: str) -> DataFrame:
     panel = sort_panel(spark, sf).withColumn("volume", F.col("size"))
-    one = sorts.characteristic_sort(panel, sorts.Rulebook(score="price"))
-    two = sorts.characteristic_sort(panel, sorts.Rulebook(score="volume")).filter(F.month("date") != 7)
+    one = sorts.characteristic_sort(panel, sorts.Rulebook(score="price", by_size=False, min_rows=10))
+    two = sorts.characteristic_sort(panel, sorts.Rulebook(score="volume", by_size=False, min_rows=10)).filter(F.month("date") != 7)
     return rounded(sorts.composite([one, two], "date", "strategy_ret", complete=False), "strategy_ret", digits=8)
 
 
@@ -100,6 +100,42 @@ def choices(least: float = 10) -> list[Column]:
     return [F.col("qty") >= least, F.col("price") <= 1800, F.col("l_discount") > 0.02]
 
 
+_BOOK_COLUMNS = "f.l_partkey AS entity, f.month AS date, f.ret, f.volume AS size, round(f.price, 6) AS var_5pct, f.n_trades::DOUBLE AS gamma, -f.ret AS rev, f.volume / f.n_trades AS rating, f.ret AS xret"
+
+
+def factor_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """(entity, date, ret, size) and the columns that the named factors sort on, from parts' months."""
+    rows = months(spark, sf, "l_partkey")
+    return rows.select(F.col("l_partkey").alias("entity"), F.col("month").alias("date"), "ret", F.col("volume").alias("size"), F.col("price").alias("var_5pct"), F.col("n_trades").cast("double").alias("gamma"), (-F.col("ret")).alias("rev"), (F.col("volume") / F.col("n_trades")).alias("rating"), F.col("ret").alias("xret"))
+
+
+def factor_sql(name: str) -> str:
+    score, control, long, short = {"drf": ("var_5pct", "rating", 4, 0), "lrf": ("gamma", "rating", 4, 0), "rev": ("rev", "rating", 0, 4), "crf_var": ("rating", "var_5pct", 4, 0), "crf_illiq": ("rating", "gamma", 4, 0), "crf_rev": ("rating", "xret", 4, 0)}[name]
+    return f"""{name}_e AS (SELECT p.*, n.ret AS next_ret FROM fp p JOIN fp n ON n.entity = p.entity AND n.date = last_day(p.date + INTERVAL 1 MONTH)
+  WHERE p.size IS NOT NULL AND n.ret IS NOT NULL AND p.{score} IS NOT NULL AND p.{control} IS NOT NULL QUALIFY count(*) OVER (PARTITION BY p.date) >= 5),
+{name}_g AS (SELECT *, {group_sql(control, 5)} AS c, {group_sql(score, 5)} AS g FROM {name}_e),
+{name}_l AS ({legs_sql(f"{name}_g", "size", long=long, short=short)}),
+{name} AS (SELECT '{name}' AS factor, last_day(date + INTERVAL 1 MONTH) AS date, avg(l - s) AS v FROM {name}_l WHERE l IS NOT NULL AND s IS NOT NULL GROUP BY 2)"""
+
+
+_FACTORS_SQL = f"WITH {months_sql('l_partkey')}, fp AS (SELECT {_BOOK_COLUMNS} FROM months f), " + ", ".join(map(factor_sql, ("drf", "lrf", "rev", "crf_var", "crf_illiq", "crf_rev")))
+
+
+@query(_FACTORS_SQL + " SELECT factor, date, round(v, 8) AS strategy_ret FROM (" + " UNION ALL ".join(f"SELECT * FROM {n}" for n in ("drf", "lrf", "rev", "crf_var", "crf_illiq", "crf_rev")) + ")")
+def named_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """All six named sorts by month."""
+    panel, out = factor_panel(spark, sf), None
+    for name in sorts.FACTORS:
+        one = sorts.characteristic_sort(panel, sorts.factor_book(name)).select(F.lit(name).alias("factor"), "date", "strategy_ret")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, "strategy_ret", digits=8)
+
+
+@query(_FACTORS_SQL + " SELECT date, round(avg(v), 8) AS strategy_ret, count(*) AS n_parts FROM (" + " UNION ALL ".join(f"SELECT * FROM {n}" for n in ("crf_var", "crf_illiq", "crf_rev")) + ") GROUP BY 1 HAVING count(*) = 3")
+def credit_factor(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(sorts.credit_factor(factor_panel(spark, sf)), "strategy_ret", digits=8)
+
+
 CELLS = f"""{TRADES}, cells AS (
   SELECT m.mask::INT AS mask, sum(price * qty) / sum(qty) AS value, count(*) AS n FROM trades, generate_series(0, 7) m(mask)
   WHERE (m.mask & 1 = 0 OR qty >= 10) AND (m.mask & 2 = 0 OR price <= 1800) AND (m.mask & 4 = 0 OR l_discount > 0.02) GROUP BY 1)"""
@@ -152,11 +188,11 @@ def lattice_compression(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CELL_MONTHS = f"""{TRADES}, months AS (SELECT DISTINCT m.mask::INT AS mask, last_day(day) AS date FROM trades, generate_series(0, 7) m(mask)
-  WHERE l_suppkey <= 12 AND (m.mask & 1 = 0 OR qty >= 45) AND (m.mask & 2 = 0 OR price <= 1800) AND (m.mask & 4 = 0 OR l_discount > 0.02))"""
+  WHERE (m.mask & 1 = 0 OR qty >= 45) AND (m.mask & 2 = 0 OR price <= 1800) AND (m.mask & 4 = 0 OR l_discount > 0.02))"""
 
 
 def cell_months(spark: SparkSession, sf: str) -> DataFrame:
-    rows = trades(spark, sf, "l_discount").filter("l_suppkey <= 12").withColumn("date", F.last_day("day"))
+    rows = trades(spark, sf, "l_discount").withColumn("date", F.last_day("day"))
     return lattice.cells(rows, choices(45), ["date"], {"n": F.count("*")}).select("mask", "date")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import uuid
 import zipfile
 from collections.abc import Mapping, Sequence
 
@@ -82,13 +83,29 @@ def write_by_period(df: DataFrame, path: str, date: str, boundary_year: int, end
 
 
 def split_write(df: DataFrame, keep: Column, kept_path: str, dropped_path: str) -> dict[str, int]:
-    """Kept and dropped rows to two tables, and how many there are of each; a null condition drops."""
-    out = {}
-    for name, path, condition in (("kept", kept_path, F.coalesce(keep, F.lit(False))), ("dropped", dropped_path, ~F.coalesce(keep, F.lit(False)))):
-        seen = Observation(name)
-        df.filter(condition).observe(seen, F.count("*").alias("n")).write.parquet(path)
-        out[name] = seen.get["n"]
-    return out
+    """Kept and dropped rows to two tables, and how many there are of each; a null condition drops.
+
+    The input is computed once, to a table beside the first one with a folder for each kind, and the folders are moved."""
+    spark = df.sparkSession
+    at = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    files = at(kept_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for path in (kept_path, dropped_path):
+        if files.exists(at(path)):
+            raise GuardError(f"{path} exists")
+    beside, flag = f"{kept_path.rstrip('/')}.{uuid.uuid4().hex}", "__kept__"
+    seen, mark = Observation(beside), F.coalesce(keep, F.lit(False)).cast("int")
+    try:
+        counts = [F.count("*").alias("n"), F.coalesce(F.sum(flag), F.lit(0)).alias("kept")]
+        df.withColumn(flag, mark).observe(seen, *counts).write.partitionBy(flag).parquet(beside)
+        for path, value in ((kept_path, 1), (dropped_path, 0)):
+            if files.exists(at(f"{beside}/{flag}={value}")):
+                files.rename(at(f"{beside}/{flag}={value}"), at(path))
+            else:
+                df.limit(0).write.parquet(path)
+    finally:
+        files.delete(at(beside), True)
+    found = seen.get
+    return {"kept": found["kept"], "dropped": found["n"] - found["kept"]}
 
 
 def with_metadata(df: DataFrame, column: str, values: Mapping[str, object]) -> DataFrame:

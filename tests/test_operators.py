@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.functions import dates
+from panelforge.functions import dates, numbers
 from panelforge.operators import factors, guards, lattice, match, outliers, ranks, resample, rollup, scoring, screens, signals, sorts, stats, vectors, views
 
 D = dt.date
@@ -212,11 +212,50 @@ def test_bounce_vectors(spark):
     assert gone([100, 100.5, 99.5, 100, 100.5, 1.87, 100, 100]) == {5}
     assert gone([99, 101, 98, 102, 100, 200, 100, 100]) == {5}
     assert gone([100, 100.5, 101, 100, 100, 50, 49, 51, 50, 50]) == set()
+    # a missing price keeps its row and moves nothing
+    assert gone([100, None, 99, 100, 100, 101, 100, 100]) == set() and gone([100, float("nan"), 100.5, 99.5, 1.87, None, 100, 100]) == {4}
+    assert gone([]) == set() and gone([None] * 3) == set()
     rows = [(s, k, float(p)) for s in ("x", "y") for k, p in enumerate([100, 100.5, 99.5, 100, 100.5, 1.87, 100, 100])]
     df = spark.createDataFrame(rows, "s string, k int, p double").repartition(5)
     assert rows_of(outliers.bounce_back(df, "s", "p", ["k"]).filter("bounced"), "s", "k") == [("x", 5), ("y", 5)]
 
 
+def slow_bounces(prices, rules):
+    """The rules straight from their statement, price by price."""
+    passed, free, out = [], 0, []
+    for i, p in enumerate(prices):
+        bounced = False
+        if free:
+            free -= 1
+        elif len(passed) >= 2:
+            middle = float(np.median(passed))
+            par = len(passed) >= rules.par_run and all(abs(x - rules.par) <= rules.par_band for x in passed[-rules.par_run :])
+            if abs(p - (rules.par if par else middle)) > rules.threshold and any(abs(x - middle) <= rules.tolerance + rules.slack for x in prices[i + 1 : i + 1 + rules.ahead]):
+                bounced, free = True, rules.par_cooldown if par else 0
+        if not bounced and (not passed or passed[-1] != p):
+            passed = (passed + [p])[-rules.window :]
+        out.append(bounced)
+    return out
+
+
+def test_bounces_in_a_stream_match_the_rules(spark):
+    rng, rules, rows, want = random.Random(12), outliers.BounceRules(), [], {}
+    for s in range(40):
+        prices = [rng.choice([100.0, 100.5, 99.5, 101.0, 50.0, 52.0, 1.87, 200.0, 99.0 + rng.random()]) for _ in range(rng.randrange(0, 120))]
+        for k, b in enumerate(slow_bounces(prices, rules)):
+            want[s, k] = b
+        rows += [(f"s{s}", k, p, None) for k, p in enumerate(prices)] + [(f"s{s}", 1000 + k, None, None) for k in range(3)]
+    assert sum(want.values()) > 30
+    for per_batch in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", per_batch)
+        df = spark.createDataFrame(rows, "s string, k int, p double, bounced string").drop("bounced").repartition(6)
+        got = {(r.s, r.k): r.bounced for r in outliers.bounce_back(df, "s", "p", ["k"]).collect()}
+        assert len(got) == len(rows) and all(got[f"s{s}", k] == b for (s, k), b in want.items())
+        assert not any(b for (_, k), b in got.items() if k >= 1000)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert outliers.bounce_back(df.limit(0), "s", "p", ["k"]).count() == 0
+
+
 # sorts -----------------------------------------------------------------------------------------------------------
 
 
@@ -258,7 +297,7 @@ def brute_sort(rows, lag, groups, long, short, by_size, control=None, control_gr
 @pytest.mark.parametrize("lag,by_size,control", [(0, False, None), (1, True, None), (0, False, "other")])
 def test_sorts_against_brute_force(spark, lag, by_size, control):
     rows, df = synthetic(spark)
-    book = sorts.Rulebook(score="score", lag=lag, by_size=by_size, control=control, control_groups=3)
+    book = sorts.Rulebook(score="score", lag=lag, by_size=by_size, min_rows=10, control=control, control_groups=3)
     got = {r.date: r.strategy_ret for r in sorts.characteristic_sort(df, book).collect()}
     want = brute_sort(rows, lag, 5, 4, 0, by_size, control, 3)
     assert got.keys() == want.keys() and all(abs(got[m] - want[m]) < 1e-12 for m in want)
@@ -362,9 +401,24 @@ def test_folds_against_brute_force(spark, purge, embargo):
             assert got[f, pos] == ("test" if pos in test else "dropped" if near else "train")
 
 
-def test_tails_and_bands():
-    assert abs(stats.student_tail(2.0, 10) - 0.036694) < 1e-6 and abs(stats.student_tail(-2.0, 10) - 0.963306) < 1e-6
-    assert stats.equivalence(0.0, 1.0, 30, 3.0) < 0.01 < stats.equivalence(2.5, 1.0, 30, 3.0)
+def test_tails_and_bands(spark):
+    cases = [(2.0, 10, 0.036694), (-2.0, 10, 0.963306), (1.0, 1, 0.25), (0.0, 7, 0.5), (2.570582, 5, 0.025), (2.0, 3, 0.069663), (1.959964, 100000, 0.025)]
+    got = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, t double, d int, p double").select("k", "p", numbers.student_upper(F.col("t"), F.col("d")).alias("q"))
+    assert all(abs(r.p - r.q) < 2e-6 for r in got.collect())
+    with pytest.raises(Exception, match="whole number"):
+        spark.range(1).select(numbers.student_upper(F.lit(1.0), F.lit(0.5))).collect()
+    rows = [("b", 0.0, 0.001, 80), ("a", 0.0, 0.001, 80), ("c", 0.0029, 0.001, 80), ("short", 0.0, 0.001, 20)]
+    out = {r.c: r for r in stats.equivalence_family(spark.createDataFrame(rows, "c string, alpha double, se double, n int"), "c", "alpha", "se", "n", 0.003, 0.05).collect()}
+    assert out["a"].equivalent and out["b"].equivalent and not out["c"].equivalent and out["short"].equivalent is None
+    assert out["b"].duplicate_of == "a" and out["a"].duplicate_of is None and out["b"].distinct_p is None and out["short"].status == "insufficient_window"
+    assert abs(out["a"].adjusted_p - out["a"].p_value * 1.5) < 1e-12 and abs(out["a"].distinct_p - out["a"].p_value * 2) < 1e-12
+    for bad in ([("x", 0.0, 0.0, 80)], [("x", 0.0, 1.0, 4)]):
+        with pytest.raises(guards.GuardError):
+            stats.equivalence_family(spark.createDataFrame(bad, "c string, alpha double, se double, n int"), "c", "alpha", "se", "n", 0.003, 0.05)
+    even = stats.uniform_distance(spark.createDataFrame([((k + 0.5) / 50,) for k in range(50)], "v double"), "v").first()
+    assert abs(even.distance - 0.01) < 1e-12 and even.p_value > 0.99
+    low = stats.uniform_distance(spark.createDataFrame([(k / 200,) for k in range(50)], "v double"), "v").first()
+    assert abs(low.distance - (1 - 49 / 200)) < 1e-12 and low.p_value < 1e-6
     low, high = stats.binomial_band(50, 0.05)
     assert (low, high) == (0, 6)
 
@@ -381,6 +435,8 @@ def test_kappa_degenerate(spark):
     assert scoring.cohen_kappa(df, "x", "y").first().kappa is None
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("b", "b")], "x string, y string")
     assert abs(scoring.cohen_kappa(df, "x", "y").first().kappa - 0.5) < 1e-12
+    silent = spark.createDataFrame([("a", "a"), (None, None), ("a", None), (None, None)], "x string, y string")
+    assert abs(scoring.cohen_kappa(silent, "x", "y").first().kappa - 0.5) < 1e-12
 
 
 # resampling and factors -----------------------------------------------------------------------------------------
@@ -419,7 +475,7 @@ def test_factor_model_recovers_its_own_data(spark):
             rows.append((t, *map(float, z), float(z @ gamma @ f)))
     df = spark.createDataFrame(rows, "t int, a double, b double, c double, d double, r double")
     m = factors.collect_moments(df, "t", list("abcd"), "r")
-    fitted = factors.fit(m, 2)
+    fitted = factors.fit(m, 2, 1e-8)
     assert fitted.converged and factors.managed_r2(m, fitted) > 1 - 1e-8
     assert np.allclose(fitted.gamma @ fitted.gamma.T, gamma @ gamma.T, atol=1e-5)
     assert np.allclose(fitted.gamma.T @ fitted.gamma, np.eye(2)) and (fitted.factors.mean(0) >= 0).all()
@@ -431,6 +487,153 @@ def test_factor_model_recovers_its_own_data(spark):
         factors.collect_moments(df.limit(0), "t", ["a"], "r")
 
 
+def model(spark, seed=5, months_=40, rows_=30, size=4, alpha=None, noise=0.0):
+    rng = np.random.default_rng(seed)
+    gamma, _ = np.linalg.qr(rng.normal(size=(size, 2)))
+    rows = []
+    for t in range(months_):
+        f = rng.normal(0.3, [1.0, 0.4])
+        for e in range(rows_):
+            z = rng.normal(size=size)
+            rows.append((t, f"e{e}", *map(float, z), float(z @ gamma @ f + (z @ alpha if alpha is not None else 0) + noise * rng.normal())))
+    names = [f"z{k}" for k in range(size)]
+    return spark.createDataFrame(rows, f"t int, e string, {', '.join(f'{n} double' for n in names)}, r double"), names, rows
+
+
+def test_factor_fits_weigh_months_alike_and_refuse(spark):
+    df, names, _ = model(spark, noise=0.5)
+    m = factors.collect_moments(df, "t", names, "r")
+    more = factors.Moments(m.months, m.w, m.x, np.where(np.arange(40) < 20, 30.0, 3000.0))
+    alike, rows_ = factors.fit(more, 2, 1e-8), factors.fit(more, 2, 1e-8, by_rows=True)
+    assert np.allclose(alike.gamma, factors.fit(m, 2, 1e-8).gamma) and not np.allclose(alike.gamma, rows_.gamma, atol=1e-4)
+    # the loadings solve the normal equations, month by month
+    f = alike.factors
+    left = sum(np.kron(w, np.outer(v, v)) for w, v in zip(m.w, f))
+    right = sum(np.kron(x, v) for x, v in zip(m.x, f))
+    assert np.allclose(factors._loadings(f, m, np.ones(40)).ravel(), np.linalg.solve(left, right))
+    for bad, k in ((m, 0), (m, 5), (factors.Moments(m.months, m.w, m.x, np.full(40, 4.0)), 2), (factors.Moments(m.months, 0 * m.w, m.x, m.n), 2)):
+        with pytest.raises(guards.GuardError):
+            factors.fit(bad, k)
+    with pytest.raises(guards.GuardError):
+        factors.collect_moments(df.filter("e in ('e1', 'e2')"), "t", names, "r")
+
+
+def test_panel_r2_against_numpy(spark):
+    df, names, rows = model(spark, noise=0.7)
+    m = factors.collect_moments(df, "t", names, "r")
+    found = factors.fit(m, 2)
+    z, r = np.array([x[2:6] for x in rows]), np.array([x[6] for x in rows])
+    fitted = (z * found.loadings()[[x[0] for x in rows]]).sum(1)
+    e = r - fitted
+    got = {(x.metric, x.label): x.value for x in factors.panel_r2(factors.fitted_rows(df.withColumn("g", F.col("t") % 2), "t", names, "r", m, found), "e", "r", "g").collect()}
+    ent = np.array([x[1] for x in rows])
+    ts = [(np.sum(ent == k), 1 - (e[ent == k] ** 2).sum() / (r[ent == k] ** 2).sum()) for k in set(ent)]
+    want = {("total", None): 1 - (e**2).sum() / (r**2).sum(), ("time_series", None): sum(n * v for n, v in ts) / sum(n for n, _ in ts)}
+    want["pricing_error", None] = sum(e[ent == k].mean() ** 2 for k in set(ent)) / sum(r[ent == k].mean() ** 2 for k in set(ent))
+    for g in (0, 1):
+        own = np.array([x[0] % 2 == g for x in rows])
+        want["group", str(g)] = 1 - (e[own] ** 2).sum() / (r[own] ** 2).sum()
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    again = factors.panel_r2(factors.refitted_slopes(df, "t", names, "r", m, found), "e", "r").filter("metric = 'total'").first().value
+    assert again >= got["total", None] - 1e-9
+
+
+def test_alpha_and_characteristic_tests(spark):
+    alpha = np.array([0.0, 0.0, 0.0, 1.5])
+    df, names, _ = model(spark, alpha=alpha, noise=0.2, months_=60)
+    m = factors.collect_moments(df, "t", names, "r")
+    assert factors.wild_alpha_test(spark, m, 2, n=20).first().p_value <= 0.05
+    clean, names, _ = model(spark, seed=6, noise=0.2, months_=60)
+    none = factors.collect_moments(clean.withColumn("extra", F.randn(3)), "t", [*names, "extra"], "r")
+    assert factors.wild_alpha_test(spark, none, 2, n=20).first().p_value > 0.05
+    got = {r.statistic: r for r in factors.characteristic_test(spark, none, 2, [*names, "extra"], n=20).collect()}
+    assert got["extra"].p_value > 0.05 and min(got[n].p_value for n in names) <= 0.05 and got["extra"].magnitude < 0.05
+
+
+def test_gate_differential_and_conditional_bootstrap(spark):
+    df, names, rows = model(spark, noise=0.3, months_=80)
+    a = factors.collect_moments(df, "t", names, "r")
+    b = factors.Moments(a.months, a.w, a.x + 0.2 * np.random.default_rng(1).normal(size=a.x.shape), a.n)
+    fa, fb = factors.fit(a, 2), factors.fit(b, 2)
+    months_, told = factors.project(fa.gamma, a)
+    z = np.array([x[2:6] for x in rows if x[0] == 0])
+    one = factors.Moments(a.months[:1], a.w[:1], a.x[:1], a.n[:1])
+    assert months_ == list(range(80)) and not told["refused"] and abs(factors.project(fa.gamma, one)[1]["worst_condition"] - np.linalg.cond(z @ fa.gamma)) < 1e-6
+    assert factors.project(fa.gamma, a, factors.Gate(least_rows=30))[0] == [] and factors.project(fa.gamma, a, factors.Gate(most_condition=1.0))[1]["refused"]
+    found = factors.differential(fa, fb, a, b)
+    assert np.allclose(found["a_a"], factors._factors(fa.gamma, a, None)) and found["b_a"].shape == (80, 2)
+    anchor = {t: float(found["a_a"][t].sum() + 0.1 + np.sin(t)) for t in range(80)}
+    cells = {c: dict(enumerate(f)) for c, f in found.items()}
+    alphas = factors.cell_alphas(cells, anchor, range(80))
+    draws = factors.conditional_bootstrap(spark, cells, anchor, list(range(80)), n=30)
+    by = {(r.replicate, r.statistic): r.value for r in draws.collect()}
+    assert len(by) == 30 * len(factors.EFFECTS) and all(abs(by[k, "total"] - by[k, "panel_under_a"] - by[k, "estimate_on_b"]) < 1e-9 for k in range(30))
+    assert abs(np.mean([by[k, "interaction"] for k in range(30)]) - alphas @ np.array([1, -1, -1, 1])) < 0.2
+    with pytest.raises(guards.GuardError):
+        factors.conditional_bootstrap(spark, cells, anchor, list(range(12)))
+    moved = [r.value for r in factors.perturbed(spark, a, b, 2, anchor, 0.05, n=6).collect()]
+    assert len({round(v, 12) for v in moved}) == 6 and all(abs(v - factors.interaction(a, b, 2, anchor)) < 0.5 for v in moved)
+
+
+def test_multiple_testing_flag(spark):
+    rows = [("a", 2.0, 1), ("b", 1.5, 9), (" Momentum ", None, None), ("mom", -9.0, 0), ("d", 3.0, 5), ("e", None, None)]
+    names = spark.createDataFrame([("momentum",), ("Value",)], "name string")
+    df = spark.createDataFrame(rows, "s string, t double, k int")
+    got = {r.s: r for r in lattice.multiple_testing_flag(df, "s", "t", "k", (2.0, 3.0), 5, names, {"MOM": "momentum"}).collect()}
+    assert [(got[s].t_in_band, got[s].many_parameters, got[s].known_name, got[s].flag) for s, _, _ in rows] == [
+        (True, False, False, True), (False, True, False, True), (None, None, True, True), (False, False, True, True), (True, False, False, True), (None, None, False, False)
+    ]
+    assert lattice.multiple_testing_flag(df, "s", "t", "k", (2.0, 3.0), 5).filter("s = 'mom'").first().known_name is None
+    with pytest.raises(guards.GuardError):
+        lattice.multiple_testing_flag(df, "s", "t", "k", (3.0, 2.0), 5)
+
+
+@pytest.mark.parametrize("effects,want,crossings", [([1, 2, 3], "sign_stable", []), ([1, 3, 2], "non_monotone_sign_stable", []), ([-1, 0, 1], "one_crossover", [1.0]), ([1, -1, 1], "multiple_crossings", [0.5, 1.5]), ([0, 0], "sign_stable", []), ([], "sign_stable", [])])
+def test_curves(spark, effects, want, crossings):
+    df = spark.createDataFrame([(float(k), float(v)) for k, v in enumerate(effects)], "x double, y double")
+    r = lattice.classify_curve(df.orderBy(F.desc("x")), "x", "y").first()
+    assert r["class"] == want and list(r.crossings) == crossings
+
+
+def test_effects_by_bootstrap_and_relative_inertness(spark):
+    rng = random.Random(2)
+    rows = [(m, month(t), (1e6 if m & 1 else 0) + rng.gauss(0, 1)) for t in range(70) for m in range(2)]
+    df = spark.createDataFrame([(m, d, v) for m, d, v in rows] + [(m + 2, d, v + 1e-8) for m, d, v in rows], "mask int, date date, v double")
+    effects = lattice.monthly_effects(df, "date", "v", 2)
+    got = {r.mask: r for r in lattice.infer_effects(effects, "date").collect()}
+    assert got[2].inert and got[2].p_value == 1 and not got[1].inert
+    draws = {r.mask: r for r in lattice.bootstrap_effects(effects, "date", 50, 6).collect()}
+    assert draws[1].p_value == 1 / 50 and draws[1].low < got[1].effect < draws[1].high
+    assert {r.mask for r in lattice.bootstrap_effects(effects, "date", 20, 6, statistic="sharpe").collect()} == {0, 1, 2, 3}
+
+
+def test_costs_crowding_and_robustness(spark):
+    rng = np.random.default_rng(4)
+    n = 96
+    f = rng.normal(0, 0.02, (n, 2))
+    y, t = 0.01 + f @ [0.5, -0.2] + rng.normal(0, 0.005, n), 0.4 + rng.normal(0, 0.02, n)
+    gross = spark.createDataFrame([(month(k), float(v)) for k, v in enumerate(y)], "d date, v double")
+    turn = spark.createDataFrame([(month(k), float(v)) for k, v in enumerate(t)], "d date, turnover double")
+    fac = spark.createDataFrame([(month(k), float(a), float(b)) for k, (a, b) in enumerate(f)], "d date, a double, b double")
+    x = np.column_stack([np.ones(n), f])
+    ag, at = (np.linalg.lstsq(x, z, rcond=None)[0][0] for z in (y, t))
+    r = stats.break_even_alpha(gross, turn, "d", "v", fac, ["a", "b"], 50.0).first()
+    assert r.status == "found" and abs(r.break_even_bps - ag / at * 1e4) < 1e-6 and abs(r.multiple - ag / at / 0.005) < 1e-9
+    assert stats.break_even_alpha(gross.withColumn("v", -F.col("v")), turn, "d", "v", fac, ["a", "b"]).first().status == "non_positive_gross"
+    assert stats.break_even_alpha(gross.limit(0), turn, "d", "v", fac, ["a", "b"]).first().status == "no_common_sample"
+    rates = spark.createDataFrame([("one", 10.0, 10.0), ("two", 30.0, 30.0), ("split", 10.0, 40.0), ("open", None, None)], "scenario string, ig_bps double, hy_bps double")
+    got = {r.scenario: r for r in stats.cost_scenarios(gross, turn, "d", "v", rates).collect()}
+    net = y - 0.003 * t
+    assert got.keys() == {"one", "two"} and abs(got["two"].mean - net.mean()) < 1e-12 and abs(got["two"].sharpe - net.mean() / net.std(ddof=1) * 12**0.5) < 1e-9 and abs(got["two"].drag_bps - 30 * t.mean()) < 1e-9
+    crowd = {r.term: r for r in stats.crowding(gross, "d", "v", fac, ["a", "b"]).collect()}
+    assert abs(crowd["alpha"].estimate - ag) < 1e-12 and crowd["alpha"].lags == 3 and not crowd["alpha"].few
+    r = stats.robustness(gross, "d", "v", fac, ["a", "b"], 20, 0.05, 1, 1).first()
+    assert r.qualified and r.n_folds == 28 and 0 < r.deflated_sharpe <= 1 and abs(r.alpha - ag) < 1e-12
+    assert not stats.robustness(gross, "d", "v", fac, ["a", "b"], 20, 0.05, 1, 1, direction=-1).first().qualified
+    few = stats.robustness(gross.limit(5), "d", "v", fac, ["a", "b"], 20, 0.05, 1, 1).first()
+    assert not few.qualified and few.n_folds == 0
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(60, 5))
@@ -514,10 +717,10 @@ def test_refits_keep_a_planted_difference(spark):
             x.append(z.T @ y / 40)
         panels.append(factors.Moments(list(range(60)), np.array(w), np.array(x), np.full(60, 40.0)))
     b, a = panels
-    found = factors.stability(a, b, 1, lambda f, m: float(f.factors.mean()), replicates=8)
+    found = factors.stability(spark, a, b, 1, lambda f, m: float(f.factors.mean()), n=8)
     assert abs(found["base"] - 0.5) < 0.1 and found["sign_share"] == 1 and found["size_share"] == 1 and found["used"] == 8
     with pytest.raises(guards.GuardError):
         factors.on_months(a, [999])
     noise = [factors.Moments(a.months, a.w, rng.normal(size=a.x.shape) * 0.1, a.n) for _ in range(6)]
     low, high = stats.binomial_band(6, 0.05)
-    assert low <= factors.permuted_alpha_rejections(noise, 1, 19) <= high + 1
+    assert low <= factors.permuted_alpha_rejections(spark, noise, 1, 19) <= high + 1
