@@ -141,14 +141,6 @@ def benchmark_regression(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rounded(stats.regress(a, "date", "value", b.withColumnRenamed("value", "f"), ["f"]), "estimate", digits=8), "t_stat")
 
 
-@query()
-def spanning_report(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = pair(spark, sf)
-    by = months(spark, sf, "l_suppkey").filter("l_suppkey % 5 = 0 and ret is not null").groupBy(F.col("month").alias("date")).agg(F.avg("ret").alias("g"))
-    found = stats.spanning(a, "date", "value", b.withColumnRenamed("value", "f").join(by, "date"), ["f", "g"])
-    return spark.createDataFrame([(found["alpha"], found["t_stat"], found["r2"], found["max_abs_corr"], found["vif"]["f"], found["alpha_without"]["f"], found["n_months"])], "alpha double, t_stat double, r2 double, max_abs_corr double, vif_f double, alpha_without_f double, n_months int")
-
-
 @query("""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE pow((p_partkey * 7919 % 2003) / 2003.0::DOUBLE, 3) END AS p FROM part), q AS (SELECT *, coalesce(p, 1.0) AS pp FROM p),
 k AS (SELECT *, row_number() OVER (ORDER BY pp, p_partkey) AS rank, count(*) OVER () AS m FROM q), a AS (SELECT *, least(1.0, min(pp * m / rank) OVER (ORDER BY rank DESC)) AS adjusted FROM k)
 SELECT p_partkey, rank::INT AS rank, round(adjusted, 8) AS adjusted_p, adjusted <= 0.1 AS rejected FROM a""")
@@ -297,7 +289,7 @@ def instruments(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("month")
     ranked = lambda c: ((F.rank().over(w.orderBy(c)) - 1) / (F.count("*").over(w) - 1) - 0.5).alias(f"z_{c}")
     rows = months(spark, sf, "l_suppkey").filter("ret is not null and volume > 0")
-    return rows.select("month", "ret", ranked("price"), ranked("volume"), ranked("n_trades"), F.lit(1.0).alias("one"))
+    return rows.select("l_suppkey", "month", "ret", ranked("price"), ranked("volume"), ranked("n_trades"), F.lit(1.0).alias("one"))
 
 
 @query()

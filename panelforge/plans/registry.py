@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cleaning, inference, panels, portfolio, textual
+from . import audit, cleaning, inference, panels, portfolio, textual
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = cleaning.QUERIES | panels.QUERIES | portfolio.QUERIES | inference.QUERIES | textual.QUERIES
-ORACLES: dict[str, str] = cleaning.ORACLES | panels.ORACLES | portfolio.ORACLES | inference.ORACLES | textual.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = cleaning.QUERIES | panels.QUERIES | portfolio.QUERIES | inference.QUERIES | audit.QUERIES | textual.QUERIES
+ORACLES: dict[str, str] = cleaning.ORACLES | panels.ORACLES | portfolio.ORACLES | inference.ORACLES | audit.ORACLES | textual.ORACLES

@@ -724,3 +724,66 @@ def test_refits_keep_a_planted_difference(spark):
     noise = [factors.Moments(a.months, a.w, rng.normal(size=a.x.shape) * 0.1, a.n) for _ in range(6)]
     low, high = stats.binomial_band(6, 0.05)
     assert low <= factors.permuted_alpha_rejections(spark, noise, 1, 19) <= high + 1
+
+
+# cells and planted panels ----------------------------------------------------------------------------------------
+
+
+def first_order(spark, bias, size, **recipe):
+    from panelforge.operators import cells, planted
+
+    panel, signals = planted.clean_panel(spark, planted.Recipe(seed=11, **recipe))
+    panel = panel if bias is None else planted.plant(panel, signals, bias, size)
+    book = sorts.Rulebook(score="score", entity="cusip", by_size=False, **({"trim": "truncate", "trim_low": -0.5, "trim_high": 0.5} if bias == "lab_trim" else {}))
+    found = cells.on_common_months(cells.strategy_cells(panel, signals, cells.Strategy("s", (book,))), "date")
+    means = found.groupBy("mask").agg(F.avg("strategy_ret").alias("value")).persist()
+    effects = {r.mask: r.effect for r in lattice.walsh(means).collect()}
+    return {c: effects[1 << k] for k, c in enumerate(cells.CHOICES)}
+
+
+@pytest.mark.parametrize("bias,size,sign", [("meas_err", 0.02, -1), ("stale_price", 0.05, -1), ("survivorship", 0.3, -1), ("lab_trim", 0.1, -1)])
+def test_planted_biases_are_found_and_others_are_not(spark, bias, size, sign):
+    got = first_order(spark, bias, size)
+    assert got[bias] * sign > 0.002
+    assert all(abs(v) < 1e-12 for c, v in got.items() if c != bias and not (bias == "stale_price" and c == "lib_gap"))
+
+
+def test_a_planted_gap_shows_in_the_lag(spark):
+    got = first_order(spark, None, 0, gap=True, alpha=0.05)
+    assert got["lib_gap"] < -0.03 and all(abs(v) < 1e-12 for c, v in got.items() if c != "lib_gap")
+
+
+def test_cells_match_a_plain_sort_each(spark):
+    from panelforge.operators import cells, planted
+
+    panel, signals = planted.clean_panel(spark, planted.Recipe(entities=30, months=14, seed=3))
+    panel = planted.plant(planted.plant(panel, signals, "meas_err", 0.05), signals, "survivorship", 0.2)
+    book = sorts.Rulebook(score="score", entity="cusip", groups=3, trim="winsorise", trim_low=0.1, trim_high=0.9, trim_percentile=True)
+    other = sorts.Rulebook(score="score", entity="cusip", groups=3, long_group=0, short_group=2)
+    both = cells.Strategy("both", (book, other), combiner="equal_average")
+    got = {(r.mask, r.date): r.strategy_ret for r in cells.strategy_cells(panel, signals, both).collect()}
+    for mask in (0, 1, 4, 8, 21, 31):
+        view = views.view(panel, "corr" if mask & 1 else "raw", ["raw", "corr"], ["cusip", "date"], stale_days=14 if mask & 2 else None, drop_reasons=() if mask & 4 else ("defaulted",), signals=signals, names=["score"])
+        from dataclasses import replace
+
+        legs = tuple(replace(b, lag=1 if mask & 8 else 0, trim="none" if mask & 16 else b.trim) for b in (book, other))
+        want = {r.date: r.strategy_ret for r in cells.run(view, cells.Strategy("w", legs, combiner="equal_average")).collect()}
+        own = {d: v for (m, d), v in got.items() if m == mask}
+        assert own.keys() == want.keys() and all(abs(own[d] - want[d]) < 1e-12 for d in want)
+
+
+def test_strategies_are_dispatched_or_refused(spark):
+    from panelforge.operators import cells, planted
+
+    panel, signals = planted.clean_panel(spark, planted.Recipe(entities=12, months=8))
+    view = views.view(panel, "raw", ["raw", "corr"], ["cusip", "date"], signals=signals, names=["score"])
+    book = sorts.Rulebook(score="score", entity="cusip")
+    assert "n_cohorts" in cells.run(view, cells.Strategy("o", (book,), months=3)).columns
+    assert "n_stripes" in cells.run(view, cells.Strategy("s", (book,))).columns
+    assert "n_parts" in cells.run(view, cells.Strategy("a", (book, book), combiner="complete_average")).columns
+    refused = cells.Strategy("r", (), refused="no score column")
+    for bad in (lambda: cells.run(view, refused), lambda: cells.strategy_cells(panel, signals, refused), lambda: cells.Strategy("x", (book, book)), lambda: cells.Strategy("x", (book,), combiner="equal_average"), lambda: cells.Strategy("x", (book,), combiner="best"), lambda: planted.plant(panel, signals, "nothing", 1)):
+        with pytest.raises(guards.GuardError):
+            bad()
+    told = {r.choice: (r.runnable, r.reason) for r in cells.preflight(panel.drop("exit_reason", "ret_corr"), signals, cells.Strategy("s", (book,))).collect()}
+    assert told["survivorship"] == (False, "no exit_reason") and told["meas_err"][0] is False and told["lib_gap"] == (True, None)
