@@ -45,19 +45,30 @@ def dedupe_sides(rows: DataFrame, side: str, kept_side: str, keys: Sequence[str]
     return kept.unionByName(net_out(others, kept, keys, order, finite))
 
 
+#: Seconds of a bucket of a key's times, some 48 days.
+ASOF_BUCKET = 1 << 22
+
+
 def asof(grid: DataFrame, events: DataFrame, key: str, grid_time: str, event_time: str, values: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Every grid row with the values of the key's latest event at or before it.
 
     An event with null values still wins over earlier ones; of events at one time the last in ``order`` does; a grid
-    row without an event gets nulls.  Keys are sorted on their own, so this is for keys of moderate size.
+    row without an event gets nulls.  A key's times are cut into buckets, and the latest event before a bucket comes from
+    the buckets' own latest ones: a task sorts a bucket's rows, or a key's buckets, however many events a key has.
     """
     state = F.struct(*[F.col(v) for v in values])
     left = grid.withColumns({"__t__": F.col(grid_time).cast("timestamp"), "__kind__": F.lit(1), "__state__": F.lit(None).cast(events.select(state.alias("s")).schema["s"].dataType)})
     right = events.select(F.col(key), F.col(event_time).cast("timestamp").alias("__t__"), F.lit(0).alias("__kind__"), state.alias("__state__"), *[F.col(o).alias(f"__o{k}__") for k, o in enumerate(order)])
-    every = left.unionByName(right, allowMissingColumns=True)
-    before = Window.partitionBy(key).orderBy("__t__", "__kind__", *[f"__o{k}__" for k in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
+    every = left.unionByName(right, allowMissingColumns=True).withColumn("__bucket__", F.floor(F.unix_seconds("__t__") / ASOF_BUCKET))
+    last = [F.col("__t__"), F.col("__kind__"), *[F.col(f"__o{k}__") for k in range(len(order))]]
+    before = Window.partitionBy(key, "__bucket__").orderBy(*last).rowsBetween(Window.unboundedPreceding, 0)
     found = every.withColumn("__found__", F.last("__state__", ignorenulls=True).over(before)).filter("__kind__ = 1")
-    return found.select(*grid.columns, *[F.col(f"__found__.{v}").alias(v) for v in values])
+    buckets = every.groupBy(F.col(key).alias("__k__"), F.col("__bucket__").alias("__b__")).agg(F.max_by("__state__", F.when(F.col("__kind__") == 0, F.struct(*last))).alias("__s__"))
+    past = Window.partitionBy("__k__").orderBy("__b__").rowsBetween(Window.unboundedPreceding, -1)
+    carried = buckets.select("__k__", "__b__", F.last("__s__", ignorenulls=True).over(past).alias("__carried__")).filter("__carried__ is not null")
+    found = found.join(carried, F.col(key).eqNullSafe(F.col("__k__")) & (F.col("__bucket__") == F.col("__b__")), "left")
+    best = F.coalesce("__found__", "__carried__")
+    return found.select(*grid.columns, *[best[v].alias(v) for v in values])
 
 
 def compare_keyed(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

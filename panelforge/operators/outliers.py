@@ -58,16 +58,17 @@ def distress_flags(daily: DataFrame, entity: str, day: str, price: str, low: str
     spike = spike & F.exists("__after__", lambda x: x <= below * rules.recovery)
 
     changed = F.coalesce(F.lag("__p__").over(w) != p, F.lit(True)) | p.isNull()
-    rows = rows.withColumn("__run__", F.sum(changed.cast("int")).over(w))
-    runs = rows.groupBy(entity, "__run__").agg(F.count("*").alias("__n__"), F.first("__p__").alias("__v__"), F.first("__round__").alias("__r__"))
-    order = Window.partitionBy(entity).orderBy("__run__")
-    beside = lambda x: F.coalesce((x > 0) & (guarded_ratio(x, F.col("__v__")) >= rules.displacement), F.lit(False))
-    odd = F.col("__r__") | beside(F.lag("__v__").over(order)) | beside(F.lead("__v__").over(order))
-    plateau = ((F.col("__v__") < rules.plateau_low) | F.col("__r__")) & (F.col("__n__") >= rules.plateau_days) & odd
-    runs = runs.select(F.col(entity).alias("__e__"), F.col("__run__").alias("__k__"), F.coalesce(plateau, F.lit(False)).alias("flagged_plateau"))
-    rows = rows.join(runs, F.col(entity).eqNullSafe(F.col("__e__")) & (F.col("__run__") == F.col("__k__")))
+    rows = rows.withColumns({"__run__": F.sum(changed.cast("int")).over(w), "__left__": F.lag("__p__").over(w), "__right__": F.lead("__p__").over(w)})
+    # a run's neighbours are what its first and last day see; windows by run keep the partitioning by entity
+    own = Window.partitionBy(entity, "__run__")
+    whole = own.orderBy(day).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"__n__": F.count("*").over(own), "__left__": F.first("__left__").over(whole), "__right__": F.last("__right__").over(whole)})
+    beside = lambda x: F.coalesce((x > 0) & (guarded_ratio(x, p) >= rules.displacement), F.lit(False))
+    odd = F.col("__round__") | beside(F.col("__left__")) | beside(F.col("__right__"))
+    plateau = ((p < rules.plateau_low) | F.col("__round__")) & (F.col("__n__") >= rules.plateau_days) & odd
     rows = rows.withColumns(
         {
+            "flagged_plateau": F.coalesce(plateau, F.lit(False)),
             "flagged_anomaly": F.col("__many__") & F.coalesce(anomaly, F.lit(False)),
             "flagged_spike": F.col("__many__") & F.coalesce(spike, F.lit(False)),
             "flagged_intraday": wide_intraday(F.bround(low, 4), F.bround(high, 4), rules.intraday_price, rules.intraday_range),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from .guards import GuardError
 
 
 def by_time(entity: str, date: str) -> WindowSpec:
@@ -145,10 +147,26 @@ def turnover(weights: DataFrame, entity: str, date: str, weight: str, start_at_z
 
 
 def ewma(rows: DataFrame, entity: str, date: str, value: str, keep: float, out: str) -> DataFrame:
-    """s = keep * s before + (1 - keep) * value, from the first value; folded over each entity's own history."""
-    w = by_time(entity, date).rowsBetween(Window.unboundedPreceding, 0)
-    fold = F.aggregate(F.collect_list(value).over(w), F.lit(None).cast("double"), lambda s, x: F.coalesce(s * keep + x * (1 - keep), x))
-    return rows.withColumn(out, fold)
+    """s = keep * s before + (1 - keep) * value, from the first value, for 0 < keep < 1; a null value changes nothing.
+
+    In blocks of rows short enough for keep ** -row to stay a number, s is keep ** row times a running sum, so windows
+    give it in one pass over each entity.  Of earlier blocks only the last one weighs anything in double precision: what
+    is before that has a weight under 1e-100."""
+    if not 0 < keep < 1:
+        raise GuardError("keep has to be between 0 and 1")
+    block = max(2, int(230 / -math.log(keep)))  # keep ** block is about 1e-100
+    order = by_time(entity, date)
+    some = F.col(value).isNotNull()
+    n = F.sum(some.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1  # the value's place, or the last one's
+    marked = rows.withColumn("__n__", n).withColumns({"__b__": F.floor(F.greatest(F.col("__n__"), F.lit(0)) / block), "__j__": F.greatest(F.col("__n__"), F.lit(0)) % block})
+    weight = F.when(F.col("__n__") == 0, 1.0).otherwise(1.0 - keep)
+    term = F.when(some, weight * F.col(value).cast("double") * F.pow(F.lit(1 / keep), F.col("__j__")))
+    inside = Window.partitionBy(entity, "__b__").orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("__s__", F.sum(term).over(inside) * F.pow(F.lit(keep), F.col("__j__")))
+    previous = Window.partitionBy(entity).orderBy("__b__").rangeBetween(-1, -1)
+    carried = F.last("__s__", ignorenulls=True).over(Window.partitionBy(entity, "__b__").orderBy(date).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    marked = marked.withColumn("__end__", carried).withColumn("__end__", F.coalesce(F.max("__end__").over(previous), F.lit(0.0)))
+    return marked.withColumn(out, F.col("__s__") + F.col("__end__") * F.pow(F.lit(keep), F.col("__j__") + 1)).drop("__n__", "__b__", "__j__", "__s__", "__end__")
 
 
 def next_month_feed(panel: DataFrame, entity: str, date: str, ret: str, vol: str, features: Sequence[str], floor: float, least: int) -> DataFrame:

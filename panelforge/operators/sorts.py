@@ -126,15 +126,21 @@ def overlapping_sort(panel: DataFrame, book: Rulebook, months: int) -> DataFrame
     """(date, strategy_ret, long_ret, short_ret, n_rows, n_cohorts): each formation is held for ``months``.
 
     A cohort's weights are its formation sizes over those that still have a return; a cohort without a leg doesn't
-    count, and a month is the equal mean of the live ones.  With one month this is the plain sort.
+    count, and a month is the equal mean of the live ones.  With one month this is the plain sort.  The returns of the
+    months ahead come from frames over month numbers beside the sort's own, so the panel is read and shuffled once by
+    entity, and only rows of the legs become one a month held.
     """
     if book.control:
         raise GuardError("overlapping holds have no control axis")
-    chosen = selections(panel, book)
-    held = chosen.withColumn("__h__", F.explode(F.sequence(F.lit(1), F.lit(months)))).withColumn("__m__", F.last_day(F.add_months("formation", F.col("__h__"))))
-    fixed = resolve_trim(lagged_panel(panel, book.entity, book.date, book.ret, book.score, book.lag), book)
-    returns = panel.select(F.col(book.entity).alias("__e__"), F.col(book.date).alias("__d__"), _trimmed(F.col(book.ret), fixed).alias("__r__")).filter("__r__ is not null")
-    rows = held.join(returns, (F.col(book.entity) == F.col("__e__")) & (F.col("__m__") == F.col("__d__")))
+    by_month = Window.partitionBy(book.entity).orderBy(dates.month_index(F.col(book.date)))
+    ahead = [F.first(book.ret).over(by_month.rangeBetween(h, h)).alias(f"h{h}") for h in range(1, months + 1)]
+    fixed = book
+    if book.trim != "none" and book.trim_percentile:
+        fixed = resolve_trim(lagged_panel(panel, book.entity, book.date, book.ret, book.score, book.lag), book)
+    rows = grouped(panel.withColumn("__ahead__", F.array(*ahead)), fixed)
+    leg = F.when(F.col("score_group") == book.long_group, "long").when(F.col("score_group") == book.short_group, "short")
+    rows = rows.select(F.col(book.date).alias("formation"), leg.alias("leg"), F.col(book.size).alias("weight"), F.posexplode("__ahead__").alias("__h__", "__r__")).filter("leg is not null")
+    rows = rows.withColumn("__r__", _trimmed(F.col("__r__"), fixed)).filter("__r__ is not null").withColumn("__m__", F.last_day(F.add_months("formation", F.col("__h__") + 1)))
     legs = _legs(rows, ["formation", "__m__"], "__r__", "weight" if book.by_size else None, F.col("leg") == "long", F.col("leg") == "short")
     return legs.groupBy(F.col("__m__").alias(book.date)).agg(
         (F.avg("long_ret") - F.avg("short_ret")).alias("strategy_ret"), F.avg("long_ret").alias("long_ret"), F.avg("short_ret").alias("short_ret"), F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_cohorts")
