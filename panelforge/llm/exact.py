@@ -6,7 +6,7 @@ adjacent pairs of a document's names are named in the same way, level by level,
 documents that end at the same level with the same name have equal texts.  No step trusts a hash.
 
 Each run of rows (a bounded chunk of a task's input) first merges its own equal items, so an item reaches the
-naming task once per chunk, however many rows hold it.  Items that very many chunks hold are merged by map-side
+naming task once per chunk, however many rows hold it.  Blocks that very many rows hold are merged by map-side
 aggregation instead, named apart, and meet their names in parts.
 """
 
@@ -31,8 +31,8 @@ from ._text import BLANKS, filled, flat, lists, pieces_of, tidied
 BLOCK_BYTES = 4096
 #: Texts of one chunk, and its rows.
 CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 4096
-#: Chunks from which an item is named apart.
-HOT_CHUNKS = 10_000
+#: Rows from which a block that they hold is named apart.
+HOT_ROWS = 1 << 20
 
 _OWN = [("chunk", T.LongType()), ("uid", T.LongType())]
 
@@ -45,7 +45,7 @@ def _emit(part: pa.RecordBatch, keep: list[str], more: list[pa.Array], chunk: in
     at = np.concatenate(([0], np.cumsum([len(r) for r in refs], dtype=np.int64)))
     of_rows = lists(np.array([x for r in refs for x in r], np.int32), at)
     block = list(place)
-    route = np.array([xxhash.xxh3_64_intdigest(x) for x in block], np.uint64).view(np.int64)
+    route = np.array([xxhash.xxh64_intdigest(x, 42) for x in block], np.uint64).view(np.int64)  # as Spark's xxhash64
     none = lambda kind: pa.nulls(m, kind)
     columns = [pa.concat_arrays([c if isinstance(c, pa.Array) else c.combine_chunks(), none(c.type)]) for c in [*[part.column(k) for k in keep], *more]]
     return pa.RecordBatch.from_arrays(
@@ -72,8 +72,20 @@ def _chunks(batches: Iterator[pa.RecordBatch], cut: Callable[[pa.RecordBatch], I
                 number += 1
 
 
-def _named(parts: DataFrame, carried: list[T.StructField], level: int) -> tuple[DataFrame, DataFrame]:
-    """Names for the items of ``parts``; rows that have one name now, and rows that have several."""
+def _hot_blocks(source: DataFrame, text: str) -> DataFrame | None:
+    """The routes of blocks that more than HOT_ROWS rows hold, None if there are none: a pass of built-in functions over
+    the texts, whose counts are added up before they are shuffled."""
+    bare = F.translate(F.coalesce(F.col(text), F.lit("")), BLANKS.decode(), "").cast("binary")
+    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.octet_length("b") - 1) / BLOCK_BYTES), F.lit(0)).cast("int"))
+    blocks = F.transform(starts, lambda k: F.xxhash64(F.substring(F.col("b"), k * BLOCK_BYTES + 1, F.lit(BLOCK_BYTES))))
+    routes = source.select(bare.alias("b")).select(F.explode(F.array_distinct(blocks)).alias("route"))
+    found = durable(routes.groupBy("route").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS).select("route"), "hot")
+    return None if found.isEmpty() else found
+
+
+def _named(parts: DataFrame, carried: list[T.StructField], level: int, hot: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Names for the items of ``parts``; rows that have one name now, and rows that have several.  Items of the routes in
+    ``hot`` are named apart."""
     fields = T.StructType([*carried, *[T.StructField(n, k) for n, k in _OWN], T.StructField("refs", T.ArrayType(T.IntegerType())), T.StructField("place", T.IntegerType()), T.StructField("name", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,10 +100,8 @@ def _named(parts: DataFrame, carried: list[T.StructField], level: int) -> tuple[
                     names.append(None if item is None else name)
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in fields.fields[:-1]], pa.array(names, pa.int64())], fields.names)
 
-    parts = durable(parts, f"items{level}")
-    hot = durable(parts.filter("uid is null").groupBy("route").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_CHUNKS).select("route"), "hot")
     apart = None
-    if not hot.isEmpty():
+    if hot is not None:
         busy = attach(parts.filter("uid is null").select("route", "chunk", "place", "item"), hot, ["route"], "chunk")
         known = busy.groupBy("route", "item").agg(F.count("*").alias("n"))
         own = durable(known.select("route", F.col("item").alias("same"), (-1 - F.row_number().over(Window.orderBy("route", "item"))).cast("long").alias("name")), "apart")
@@ -139,7 +149,7 @@ def identities(df: DataFrame, text: str = "text", keep: list[str] | None = None)
             raw = [x.astype("<i8").tobytes() for x in rows]
             yield _emit(part, own, [], chunk, [[x[k : k + 16] for k in range(0, len(x), 16)] for x in raw])
 
-    done, left = _named(source.mapInArrow(tidied(blocks), made), carried, 0)
+    done, left = _named(source.mapInArrow(tidied(blocks), made), carried, 0, _hot_blocks(source, "t"))
     found, level = [done], 0
     while True:
         left = durable(left, f"left{level}")

@@ -223,8 +223,8 @@ def sign(df: DataFrame, text: str, keep: list[str], weigh: str = "count", least:
     return source.mapInArrow(tidied(run), T.StructType([*[source.schema[c] for c in keep], *more]))
 
 
-def _close(pairs: DataFrame, signed: DataFrame, cut: Bands) -> DataFrame:
-    """The pairs (a, b) of which enough places of the signatures agree."""
+def _close(pairs: DataFrame, signed: DataFrame, cut: Bands, n: int) -> DataFrame:
+    """The pairs (a, b), ``n`` of them, of which enough places of the signatures agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,12 +234,12 @@ def _close(pairs: DataFrame, signed: DataFrame, cut: Bands) -> DataFrame:
                 yield part.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= cut.agree))
 
     of = lambda side: signed.select(F.col("uid").alias(side), F.col("signature").alias(f"s{side}"))
-    found = of("b").join(F.broadcast(of("a").join(F.broadcast(pairs), "a")), "b") if pairs.count() <= CLOSE_ROWS else pairs.join(of("a"), "a").join(of("b"), "b")
+    found = of("b").join(F.broadcast(of("a").join(F.broadcast(pairs), "a")), "b") if n <= CLOSE_ROWS else pairs.join(of("a"), "a").join(of("b"), "b")
     return found.select("a", "b", "sa", "sb").mapInArrow(tidied(run), "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float, weigh: str) -> DataFrame:
-    """The pairs (a, b) whose whole texts are alike."""
+def _verified(pairs: DataFrame, texts: DataFrame, least: float, weigh: str, n: int) -> DataFrame:
+    """The pairs (a, b), ``n`` at most, whose whole texts are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[object, dict[bytes, int]] = (None, {})
@@ -254,7 +254,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float, weigh: str) -> D
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda side: texts.select(F.col("uid").alias(side), F.col("text").alias(f"t{side}"))
-    return of("b").join(_small(pairs), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(tidied(run), "a long, b long")
+    return of("b").join(F.broadcast(pairs) if n <= BROADCAST_ROWS else pairs, "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(tidied(run), "a long, b long")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -361,10 +361,11 @@ def _linked(members: DataFrame, signatures_: DataFrame, texts: DataFrame, least:
         nonlocal seen, edges, labels
         fresh = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
         fresh = durable(fresh.join(seen, ["a", "b"], "left_anti"), "pairs")
-        linked = durable(_verified(durable(_close(fresh, signatures_, cut), "close"), texts, least, weigh), "links")
-        seen = durable(seen.union(fresh), "seen")
+        n = fresh.count()
+        seen = seen.union(fresh)
+        linked = durable(_verified(_close(fresh, signatures_, cut, n), texts, least, weigh, n), "links")
         if not linked.isEmpty():
-            edges = durable(edges.union(linked), "edges")
+            edges = edges.union(linked)
             labels = components(linked, labels)
 
     def labelled(rows: DataFrame, node: str, out: str) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import duckdb
+import xxhash
 
 from panelforge.llm import exact, queries
 
@@ -48,7 +49,7 @@ def test_empty_table(spark):
 
 def test_names_do_not_trust_hashes(spark, monkeypatch):
     class Same:
-        xxh3_64_intdigest = staticmethod(lambda x: 7)
+        xxh64_intdigest = staticmethod(lambda x, seed: 7)
 
     df = spark.createDataFrame([(k, "t" * (k % 3) + "u" * 5000) for k in range(30)], "doc_id long, text string")
     parts = exact._emit.__globals__
@@ -64,7 +65,7 @@ def test_clashing_names(spark):
 
 
 def test_items_of_many_chunks_are_named_apart(spark, monkeypatch):
-    monkeypatch.setattr(exact, "HOT_CHUNKS", 2)
+    monkeypatch.setattr(exact, "HOT_ROWS", 20)
     monkeypatch.setattr(exact, "CHUNK_BYTES", 20_000)
     rng = random.Random(2)
     blocks = ["".join(rng.choices("abcdef", k=4096)) for _ in range(3)]
@@ -73,6 +74,16 @@ def test_items_of_many_chunks_are_named_apart(spark, monkeypatch):
     assert key((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == key(brute(rows))
 
 
+def test_hot_blocks_are_those_of_the_chunks(spark, monkeypatch):
+    monkeypatch.setattr(exact, "HOT_ROWS", 2)
+    long = "é b" * 3000
+    df = spark.createDataFrame([(t,) for t in ["a b", "ab", "a\tb", None, "", " ", long, long + "x", long + "y", "z"]], "t string")
+    bare = re.sub(r"[\x20\x09-\x0D]", "", long).encode()
+    want = {xxhash.xxh64_intdigest(x, 42) for x in (b"ab", b"", bare[:4096], bare[4096:8192])}
+    assert {r.route % 2**64 for r in exact._hot_blocks(df, "t").collect()} == want
+    assert exact._hot_blocks(df.limit(2), "t") is None
+
+
 def test_any_column_names_stay(spark):
     names = ["doc_id", "text", "__key__", "__rows__", "id", "h", "key", "stay", "n", "c0", "a.b"]
     df = spark.createDataFrame([(1, "a", *range(9)), (1, "a", *range(9)), (1, "a ", *range(9)), (2, None, *[None] * 9), (None, "", *range(9))], ", ".join(f"`{n}` {'string' if n == 'text' else 'long'}" for n in names))
