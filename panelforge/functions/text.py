@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import difflib
+import json
+import math
+import re
 import unicodedata
+from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -78,6 +82,154 @@ def common_block(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else find(x, y) for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(T.StringType())
+def _window(page: pd.Series, quote: pd.Series) -> pd.Series:
+    def cut(text: str, wanted: str) -> str:
+        width = len(wanted) + 40
+        m = difflib.SequenceMatcher(None, text, wanted, autojunk=False).find_longest_match()
+        return text[max(0, m.a - 10) : m.a + width] if m.size else text[:width]
+
+    return pd.Series([None if x is None or y is None else cut(x, y) for x, y in zip(page, quote, strict=True)])
+
+
+def nearest_window(page: Column, quote: Column) -> Column:
+    """The part of a page around the longest block that it shares with a quote, the quote's length and 40 characters; the
+    page's head if they share none.  It shows why a quote isn't found."""
+    return _window(page, quote)
+
+
+_SPAN = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+
+
+def _best_span(text: str, wanted: str, anchor: int) -> tuple[float, int, int] | None:
+    """The span of ``text`` between its first and last block in common with ``wanted``, near their longest one."""
+    m = difflib.SequenceMatcher(None, text, wanted, autojunk=False).find_longest_match()
+    if m.size < anchor:
+        return None
+    slack = max(32, len(wanted) // 4)
+    low = max(0, m.a - m.b - slack)
+    near = text[low : m.a + len(wanted) - m.b + slack]
+    blocks = [b for b in difflib.SequenceMatcher(None, near, wanted, autojunk=False).get_matching_blocks() if b.size]
+    start, end = low + blocks[0].a, low + blocks[-1].a + blocks[-1].size
+    return difflib.SequenceMatcher(None, text[start:end], wanted, autojunk=False).ratio(), start, end
+
+
+def relocate(pages: DataFrame, quotes: DataFrame, doc: str, page: str, text: str, quote_id: str, quote: str, bar: float, least_chars: int = 20, anchor: int = 10) -> DataFrame:
+    """Each quote with method (exact, relocated, rejected), reason, page, seam, start, end (in the page's L1 form, or that
+    of two pages with a blank between), score and runner_up.
+
+    Both sides are compared in their L1 forms.  A quote that is there is exact.  Others of ``least_chars`` or more meet
+    the pages of their document, and pairs of neighbouring pages, that share a block of ``anchor`` characters; the best
+    span counts if its ratio is ``bar`` or more.  Of equal scores the first page, the first place and a single page win;
+    a pair's span that lies on one page alone isn't another place.  Quotes meet only their own document's pages."""
+    forms = pages.select(doc, page, normalise(F.col(text), "L1").alias("t"))
+    forms = forms.withColumn("after", F.lead("t").over(Window.partitionBy(doc).orderBy(page)))
+    wanted = quotes.select(quote_id, doc, normalise(F.col(quote), "L1").alias("q"))
+    one = forms.select(doc, page, F.lit(False).alias("seam"), "t", F.lit(None).cast("int").alias("cut"))
+    two = forms.filter("after is not null").select(doc, page, F.lit(True).alias("seam"), F.concat_ws(" ", "t", "after").alias("t"), F.length("t").alias("cut"))
+    both = wanted.filter("q <> ''").join(one.unionByName(two), doc)
+    first = F.instr(F.col("t"), F.col("q"))
+    inside = (F.col("start") < F.col("cut")) & (F.col("end") > F.col("cut") + 1)
+    exact = both.withColumn("start", first - 1).filter("start >= 0").withColumn("end", F.col("start") + F.length("q")).filter(~F.col("seam") | inside)
+    exact = exact.groupBy(quote_id).agg(F.min(F.struct("seam", page, "start", "end")).alias("x"))
+
+    @F.pandas_udf(_SPAN)
+    def span(there: pd.Series, asked: pd.Series) -> pd.DataFrame:
+        rows = [_best_span(x, y, anchor) or (None, None, None) for x, y in zip(there, asked, strict=True)]
+        return pd.DataFrame(rows, columns=["score", "start", "end"]).astype({"start": "Int32", "end": "Int32"})
+
+    open_ = both.join(exact.select(quote_id), quote_id, "left_anti").filter(F.length("q") >= least_chars)
+    scored = open_.withColumn("s", span(F.col("t"), F.col("q"))).select(quote_id, page, "seam", "cut", "s.*").filter("score is not null").filter(~F.col("seam") | inside)
+    order = Window.partitionBy(quote_id).orderBy(F.desc("score"), page, "start", "seam")
+    scored = scored.withColumns({"n": F.row_number().over(order), "runner_up": F.coalesce(F.lead("score").over(order), F.lit(0.0))}).filter("n = 1").drop("n", "cut")
+    out = wanted.join(exact, quote_id, "left").join(scored.select(quote_id, F.struct(page, "seam", "start", "end", "score", "runner_up").alias("s")), quote_id, "left")
+    reason = (
+        F.when(F.coalesce(F.col("q"), F.lit("")) == "", "empty_quote").when(F.col("x").isNotNull(), "exact_match").when(F.length("q") < least_chars, "too_short")
+        .when(F.col("s").isNull(), "no_anchor").when(F.col("s.score") < bar, "below_bar").otherwise("accepted_at_bar")
+    )
+    out = out.withColumn("reason", reason)
+    out = out.withColumn("method", F.when(F.col("reason") == "exact_match", "exact").when(F.col("reason") == "accepted_at_bar", "relocated").otherwise("rejected"))
+    place = lambda n: F.when(F.col("method") == "exact", F.col(f"x.{n}")).when(F.col("method") == "relocated", F.col(f"s.{n}")).alias(n)
+    score = F.when(F.col("method") == "exact", 1.0).otherwise(F.coalesce("s.score", F.lit(0.0)))
+    return out.select(quote_id, doc, "method", "reason", *map(place, (page, "seam", "start", "end")), score.alias("score"), F.coalesce("s.runner_up", F.lit(0.0)).alias("runner_up"))
+
+
+def value_form(value: Column, kind: str) -> Column:
+    """The form in which a field's values are compared, null where it has none.  ``token``: small letters, runs of blanks
+    and hyphens as one underscore, none at the ends.  ``int``: the whole number at its start, if it has no fraction of
+    its own.  ``month``: yyyy-MM with a real month.  ``int_set``: the distinct whole numbers of a JSON list, sorted."""
+    plain = F.trim(value)
+    if kind == "token":
+        return F.regexp_replace(F.regexp_replace(F.lower(plain), r"(?U)[\s-]+", "_"), "^_+|_+$", "")
+    if kind == "int":
+        whole = F.regexp_replace(plain, r"^(-?\d+)\.0+$", "$1")
+        return F.when(~whole.rlike(r"^-?\d+\.\d"), F.nullif(F.regexp_extract(whole, r"^(-?\d+)", 1), F.lit(""))).try_cast("bigint").cast("string")
+    if kind == "month":
+        return F.when(plain.rlike(r"^[0-9]{4}-(0[1-9]|1[0-2])$"), plain)
+    if kind == "int_set":
+        numbers = F.from_json(plain, "array<bigint>")
+        return F.when(plain.rlike(r"^\[\s*-?\d+(\s*,\s*-?\d+)*\s*\]$"), F.concat_ws(",", F.array_sort(F.array_distinct(numbers))))
+    raise ValueError(f"unknown kind {kind!r}")
+
+
+def compare_values(expected: Column, found: Column, kind: str) -> Column:
+    """(match, status) of two values of a field: match is null where they can't be compared.  Prose has no policy; a value
+    that is there and has no form is ``expected_unnormalisable`` or ``found_unnormalisable``; two missing values match,
+    one missing is a mismatch."""
+    if kind == "prose":
+        return F.struct(F.lit(None).cast("boolean").alias("match"), F.lit("no_policy").alias("status"))
+    a, b = value_form(expected, kind), value_form(found, kind)
+    status = F.when(expected.isNotNull() & a.isNull(), "expected_unnormalisable").when(found.isNotNull() & b.isNull(), "found_unnormalisable").otherwise("comparable")
+    return F.struct(F.when(status == "comparable", a.eqNullSafe(b)).alias("match"), status.alias("status"))
+
+
+_MISS = object()
+
+
+def _at(doc: object, pointer: str) -> object:
+    if pointer == "":
+        return doc
+    if not pointer.startswith("/"):
+        return _MISS
+    for token in (t.replace("~1", "/").replace("~0", "~") for t in pointer.split("/")[1:]):
+        if isinstance(doc, dict) and token in doc:
+            doc = doc[token]
+        elif isinstance(doc, list) and re.fullmatch("0|[1-9][0-9]*", token) and int(token) < len(doc):
+            doc = doc[int(token)]
+        else:
+            return _MISS
+    return doc
+
+
+@F.pandas_udf(T.StructType([T.StructField("found", T.BooleanType()), T.StructField("value", T.StringType())]))
+def json_at(document: pd.Series, pointer: pd.Series) -> pd.DataFrame:
+    """What an RFC 6901 pointer points to in a JSON document, as canonical JSON, and whether it points to anything (a
+    present null is found).  A document or pointer that is null or can't be read finds nothing."""
+    rows = []
+    for text, at in zip(document, pointer, strict=True):
+        value = _MISS
+        if text is not None and at is not None:
+            try:
+                value = _at(json.loads(text), at)
+            except ValueError:
+                value = _MISS
+        rows.append((value is not _MISS, None if value is _MISS else canonical_json(value)))
+    return pd.DataFrame(rows, columns=["found", "value"])
+
+
+def canonical_json(value: object) -> str:
+    """JSON with sorted keys and no blanks; numbers that aren't finite are null."""
+
+    def plain(x: object) -> object:
+        if isinstance(x, float):
+            return x if math.isfinite(x) else None
+        if isinstance(x, Mapping):
+            return {str(k): plain(v) for k, v in x.items()}
+        return [plain(v) for v in x] if isinstance(x, list | tuple) else x
+
+    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
+
+
 #: Fixed pattern: a number that no word or dotted name runs into, with a percent sign if it has one.
 NUMBER = r"(?<![\p{L}\p{N}_.])[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?%?"
 #: Decimals that a number in scientific notation counts as having.

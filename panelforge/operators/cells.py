@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from . import lattice
 from .guards import GuardError, require_unique
 from .ranks import quantile_group
 from .screens import clip
@@ -172,3 +173,39 @@ def on_common_months(cells: DataFrame, date: str, k: int = len(CHOICES)) -> Data
     """Rows of the months that all 2 ** k cells have."""
     months = cells.groupBy(date).agg(F.count_distinct("mask").alias("__n__")).filter(F.col("__n__") == (1 << k)).select(date)
     return cells.join(F.broadcast(months), date)
+
+
+def scope(facts: DataFrame) -> DataFrame:
+    """One row: scope, and the choices that are run, held, refused and not applicable, from a row for each of CHOICES with
+    runnable, not_applicable and fixed (the state at which one that can't be run is held, or null).
+
+    REFUSED if a choice that applies can neither be run nor held, else PARTIAL if one is held, else COMPLETE.  A choice
+    without an estimand is left out before that."""
+    if sorted(r.choice for r in facts.select("choice").collect()) != sorted(CHOICES):
+        raise GuardError(f"there has to be a fact for each of {CHOICES}")
+    place = F.element_at(F.create_map(*[F.lit(x) for k, c in enumerate(CHOICES) for x in (c, k)]), F.col("choice"))
+    applies = ~F.col("not_applicable")
+    of = lambda c, what=F.col("choice"): F.transform(F.sort_array(F.collect_list(F.when(c, F.struct(place.alias("k"), what.alias("c"))))), lambda x: x["c"])
+    out = facts.agg(
+        of(applies & F.col("runnable")).alias("run"),
+        of(applies & ~F.col("runnable") & F.col("fixed").isNotNull(), F.concat_ws("=", "choice", "fixed")).alias("held"),
+        of(applies & ~F.col("runnable") & F.col("fixed").isNull()).alias("refused"),
+        of(F.col("not_applicable")).alias("not_applicable"),
+    )
+    return out.withColumn("scope", F.when(F.size("refused") > 0, "REFUSED").when(F.size("held") > 0, "PARTIAL").otherwise("COMPLETE"))
+
+
+def audit(panel: DataFrame, signals: DataFrame, strategy: Strategy, facts: DataFrame | None = None, **options: object) -> dict[str, DataFrame]:
+    """Everything that an audit of a strategy says: scope, cells, common support, the effect of each set of choices with
+    its t and p, and each choice's Shapley share; an error if the scope is REFUSED.  ``facts`` as for ``scope`` (those of
+    ``preflight`` if none are given)."""
+    told = facts if facts is not None else preflight(panel, signals, strategy).select("choice", "runnable", F.lit(False).alias("not_applicable"), F.lit(None).cast("string").alias("fixed"))
+    verdict = scope(told)
+    if verdict.first().scope == "REFUSED":
+        raise GuardError(f"{strategy.name}: {verdict.first().refused} can neither be run nor held")
+    date = strategy.legs[0].date
+    found = strategy_cells(panel, signals, strategy, **options)
+    common = on_common_months(found, date)
+    means = common.groupBy("mask").agg(F.avg("strategy_ret").alias("value"))
+    effects = lattice.infer_effects(lattice.monthly_effects(common, date, "strategy_ret", len(CHOICES)), date)
+    return {"scope": verdict, "cells": found, "support": lattice.support(found, date, len(CHOICES)), "effects": effects, "shapley": lattice.shapley(means, len(CHOICES))}

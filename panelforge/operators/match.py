@@ -53,12 +53,13 @@ def asof(grid: DataFrame, events: DataFrame, key: str, grid_time: str, event_tim
     """Every grid row with the values of the key's latest event at or before it.
 
     An event with null values still wins over earlier ones; of events at one time the last in ``order`` does; a grid
-    row without an event gets nulls.  A key's times are cut into buckets, and the latest event before a bucket comes from
+    row without an event gets nulls, as one without a time does, and an event without a time is none.  A key's times are cut into buckets, and the latest event before a bucket comes from
     the buckets' own latest ones: a task sorts a bucket's rows, or a key's buckets, however many events a key has.
     """
     state = F.struct(*[F.col(v) for v in values])
     left = grid.withColumns({"__t__": F.col(grid_time).cast("timestamp"), "__kind__": F.lit(1), "__state__": F.lit(None).cast(events.select(state.alias("s")).schema["s"].dataType)})
     right = events.select(F.col(key), F.col(event_time).cast("timestamp").alias("__t__"), F.lit(0).alias("__kind__"), state.alias("__state__"), *[F.col(o).alias(f"__o{k}__") for k, o in enumerate(order)])
+    right = right.filter("__t__ is not null")
     every = left.unionByName(right, allowMissingColumns=True).withColumn("__bucket__", F.floor(F.unix_seconds("__t__") / ASOF_BUCKET))
     last = [F.col("__t__"), F.col("__kind__"), *[F.col(f"__o{k}__") for k in range(len(order))]]
     before = Window.partitionBy(key, "__bucket__").orderBy(*last).rowsBetween(Window.unboundedPreceding, 0)

@@ -38,6 +38,34 @@ def at_most_or_null(column: str, high: float) -> Column:
     return F.col(column).isNull() | (F.col(column) <= high)
 
 
+#: Fixed codes of trade records: normal status; reversals before and from the day that reporting changed; as-of codes.
+NORMAL, REVERSED_BEFORE, REVERSED_AFTER, REGIME_DAY = "T", ("W",), ("R", "X"), "2012-02-06"
+ASOF_LATE, ASOF_REVERSAL = "A", "R"
+
+
+def normal_record(status: str) -> Column:
+    """A trade that was carried out as reported; null isn't."""
+    return F.coalesce(F.col(status) == NORMAL, F.lit(False))
+
+
+def reversal_record(day: str, status: str, asof: str) -> Column:
+    """A record that reverses another one, by the codes of its day; without a day those of the later regime hold."""
+    early = F.coalesce(F.col(day) < F.lit(REGIME_DAY).cast("date"), F.lit(False))
+    told = F.when(early, F.col(status).isin(*REVERSED_BEFORE)).otherwise(F.col(status).isin(*REVERSED_AFTER))
+    return F.coalesce(told, F.lit(False)) | F.coalesce(F.col(asof) == ASOF_REVERSAL, F.lit(False))
+
+
+def asof_keep(asof: str, late: bool = True) -> Column:
+    """On-time records, late ones if they are wanted, and reversals, which the matcher still needs; not delayed ones and
+    cancellations."""
+    return code_in(asof, ["", ASOF_REVERSAL, *([ASOF_LATE] if late else [])])
+
+
+def regular_sale(condition: str, special_price: str) -> Column:
+    """Regular-way trades without a special price."""
+    return code_in(condition, ["", "@"]) & not_code(special_price)
+
+
 def status_keep(status: str, day: str, normal: str = "T", early: str | None = None, until: str | None = None) -> Column:
     """The normal status; with ``early``, that status too before the day ``until``."""
     keep = F.col(status) == normal
@@ -128,30 +156,51 @@ def winsor_ex_post(df: DataFrame, column: str, low: float, high: float, out: str
     return df.withColumn(out, clip(F.col(column), *bounds))
 
 
-def past_percentiles(df: DataFrame, column: str, period: str, levels: Sequence[float], bins: int = 64) -> DataFrame:
+#: Values of a bin, about, and bins at most, when expanding percentiles are found.
+BIN_VALUES, BINS = 4_096, 4_096
+
+
+def _bin_of(value: Column, cuts: Sequence[float]) -> Column:
+    """How many cuts are below a value: first by every 64th cut, then among the 63 after it, so that a row meets 128 at
+    most.  Plain comparisons, which plans that read the same counts twice can share."""
+    if not cuts:
+        return F.lit(0)
+    coarse = cuts[63::64]
+    block = sum(((value > F.lit(c)).cast("int") for c in coarse), F.lit(0))
+    table = F.array(*[F.array(*[F.lit(float(c)) for c in [*cuts[k : k + 63], *[float("inf")] * (63 - len(cuts[k : k + 63]))]]) for k in range(0, len(cuts) + 1, 64)])
+    row = F.get(table, block) if coarse else table[0]
+    return block * 64 + sum(((value > row[k]).cast("int") for k in range(min(63, len(cuts)))), F.lit(0))
+
+
+def past_percentiles(df: DataFrame, column: str, period: str, levels: Sequence[float]) -> DataFrame:
     """(later, p0, p1, ...): for each period the exact percentiles, linear between two values, of all values of
     strictly earlier periods; null without any.
 
-    Values fall into ``bins`` by cuts near their quantiles.  Counts by period and bin say which bin holds the wanted
-    ranks of each period, and only the values in those bins meet the period.
-    """
-    rows = df.filter(F.col(column).isNotNull()).select(F.col(period).alias("k"), F.col(column).alias("v"))
-    cuts = sorted(set(rows.agg(F.percentile_approx("v", [i / bins for i in range(1, bins)], 1000)).first()[0] or []))
-    bin_ = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("v"))) if cuts else F.lit(0)
-    counts = rows.groupBy("k", bin_.alias("bin"), "v").agg(F.count("*").alias("n"))
+    Values fall into bins by cuts near their quantiles, so that a bin has about BIN_VALUES of them.  Running sums of the
+    bins' counts over periods, and then over bins, say which bin holds each wanted rank of a period; the values of that
+    bin alone, counted by period, meet it on the bin."""
+    rows = df.filter(F.col(column).isNotNull()).select(F.col(period).alias("k"), F.col(column).cast("double").alias("v"))
+    counts = rows.groupBy("k", "v").agg(F.count("*").alias("n"))
+    told = counts.agg(F.sum("n").alias("n"), F.percentile_approx("v", [i / BINS for i in range(1, BINS)], 20_000).alias("q")).first()
+    bins = min(BINS, max(16, (told.n or 0) // BIN_VALUES))
+    quantiles = told.q or []
+    cuts = sorted({quantiles[len(quantiles) * i // bins] for i in range(1, bins)}) if quantiles else []
+    counts = counts.withColumn("bin", _bin_of(F.col("v"), cuts))
     periods = df.select(F.col(period).alias("later")).distinct()
-    small = counts.groupBy("k", "bin").agg(F.sum("n").alias("n"))
-    held = periods.join(small, F.col("k") < F.col("later")).groupBy("later", "bin").agg(F.sum("n").alias("n"))
-    by_bin = Window.partitionBy("later").orderBy("bin")
-    held = held.withColumns({"upto": F.sum("n").over(by_bin), "total": F.sum("n").over(Window.partitionBy("later"))}).withColumn("before", F.col("upto") - F.col("n"))
+    small = counts.groupBy(F.col("k").alias("later"), "bin").agg(F.sum("n").alias("n"))
+    grid = periods.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(len(cuts))))).join(small, ["later", "bin"], "left")
+    past = Window.partitionBy("bin").orderBy("later").rowsBetween(Window.unboundedPreceding, -1)
+    held = grid.select("later", "bin", F.sum("n").over(past).alias("n")).filter("n > 0")
+    held = held.withColumns({"upto": F.sum("n").over(Window.partitionBy("later").orderBy("bin")), "total": F.sum("n").over(Window.partitionBy("later"))}).withColumn("before", F.col("upto") - F.col("n"))
     ranks = [F.struct(F.lit(2 * i + j).alias("which"), F.least(F.floor((F.col("total") - 1) * p) + j, F.col("total") - 1).alias("rank")) for i, p in enumerate(levels) for j in (0, 1)]
     wanted = held.select("later", "bin", "before", "upto", "total", F.inline(F.array(*ranks))).filter("rank >= before and rank < upto")
     near = wanted.select("later", "which", "total", F.col("bin").alias("b"), (F.col("rank") - F.col("before")).alias("place"))
     met = near.join(counts, (F.col("b") == F.col("bin")) & (F.col("k") < F.col("later"))).groupBy("later", "which", "total", "place", "v").agg(F.sum("n").alias("n"))
     met = met.withColumn("upto", F.sum("n").over(Window.partitionBy("later", "which").orderBy("v"))).filter("upto > place")
-    found = met.groupBy("later", "total").pivot("which", list(range(2 * len(levels)))).agg(F.min("v"))
+    which = lambda k: F.min(F.when(F.col("which") == k, F.col("v")))
+    found = met.groupBy("later", "total").agg(*[which(k).alias(f"v{k}") for k in range(2 * len(levels))])
     share = lambda p: (F.col("total") - 1) * p - F.floor((F.col("total") - 1) * p)
-    mixed = [(F.col(f"{2 * i}") + (F.col(f"{2 * i + 1}") - F.col(f"{2 * i}")) * share(p)).alias(f"p{i}") for i, p in enumerate(levels)]
+    mixed = [(F.col(f"v{2 * i}") + (F.col(f"v{2 * i + 1}") - F.col(f"v{2 * i}")) * share(p)).alias(f"p{i}") for i, p in enumerate(levels)]
     return periods.join(found.select(F.col("later"), *mixed), "later", "left")
 
 

@@ -146,6 +146,14 @@ def turnover(weights: DataFrame, entity: str, date: str, weight: str, start_at_z
     return out
 
 
+def recompute(view: DataFrame, entity: str, date: str, ret: str = "ret", excess: str = "xret") -> DataFrame:
+    """``view`` with var_5pct, bond_vol and mom6 made anew from its own returns, whatever choices those went through;
+    other columns stay, signals of daily origin among them.  One partitioning serves all three."""
+    out = view.drop("var_5pct", "bond_vol", "mom6")
+    out = rolling_kth_lowest(out, entity, date, ret, out="var_5pct")
+    return rolling_compound(rolling_std(out, entity, date, excess, out="bond_vol"), entity, date, ret, 6, out="mom6")
+
+
 def ewma(rows: DataFrame, entity: str, date: str, value: str, keep: float, out: str) -> DataFrame:
     """s = keep * s before + (1 - keep) * value, from the first value, for 0 < keep < 1; a null value changes nothing.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -115,6 +115,24 @@ def characteristic_sort(panel: DataFrame, book: Rulebook) -> DataFrame:
     return out.withColumn(book.date, dates.shift_month_end(F.col(book.date), 1))
 
 
+def grid(panel: DataFrame, book: Rulebook) -> DataFrame:
+    """(date, control_group, score_group, ret, n_rows): the return of every group, not of two legs alone."""
+    rows = grouped(panel, book).groupBy(book.date, "control_group", "score_group")
+    value = F.avg("next_ret") if not book.by_size else F.when(F.sum(book.size) > 0, F.sum(F.col(book.size) * F.col("next_ret")) / F.sum(book.size))
+    out = rows.agg(value.alias("ret"), F.count("*").alias("n_rows"))
+    return out.withColumn(book.date, dates.shift_month_end(F.col(book.date), 1))
+
+
+def arms(panel: DataFrame, book: Rulebook, returns: Mapping[str, str]) -> DataFrame:
+    """(arm, date, strategy_ret, ...): the sort run on each of several returns (arm: its column), such as a total return
+    and its two parts; each arm has the months in which its own return is there."""
+    out = None
+    for name, column in returns.items():
+        one = characteristic_sort(panel, replace(book, ret=column)).withColumn("arm", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def selections(panel: DataFrame, book: Rulebook) -> DataFrame:
     """(formation, entity, leg, weight): the members of both legs in each formation month, with formation sizes."""
     rows = grouped(panel, book)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,3 +77,26 @@ def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     a, b = left.select(key).distinct().withColumn("__a__", F.lit(1)), right.select(key).distinct().withColumn("__b__", F.lit(1))
     side = F.when(F.col("__b__").isNull(), "left").when(F.col("__a__").isNull(), "right").otherwise("both")
     return a.join(b, key, "full").select(key, side.alias("side"))
+
+
+class Concepts:
+    """Which column carries a concept: a function of the concept, and no column carries two."""
+
+    def __init__(self, table: Mapping[str, str]) -> None:
+        columns = list(table.values())
+        if twice := sorted({c for c in columns if columns.count(c) > 1}):
+            raise GuardError(f"columns of two concepts: {twice}")
+        self.table = dict(table)
+
+    def column(self, concept: str) -> str:
+        if concept not in self.table:
+            raise GuardError(f"no column carries {concept!r}")
+        return self.table[concept]
+
+
+def window_coverage(panel: DataFrame, date: str, start: str, end: str) -> DataFrame:
+    """One row: the months of a closed range, how many of them the panel has, and those that it lacks."""
+    months = panel.sparkSession.range(1).select(F.explode(F.sequence(F.last_day(F.lit(start).cast("date")), F.last_day(F.lit(end).cast("date")), F.expr("interval 1 month"))).alias("m")).select(F.last_day("m").alias("m"))
+    there = panel.select(F.last_day(date).alias("m")).distinct().withColumn("there", F.lit(1))
+    both = months.join(there, "m", "left")
+    return both.agg(F.count("*").alias("expected"), F.count("there").alias("present"), F.sort_array(F.collect_list(F.when(F.col("there").isNull(), F.col("m")))).alias("missing"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cells, factors, lattice, planted, sorts, stats
-from .base import months, months_sql, rounded, stable, table
-from .inference import COSTS, PAIR, instruments, pair, turnover
+from ..operators import cells, factors, lattice, planted, scoring, screens, signals, sorts, stats, views
+from .base import PANEL, months, months_sql, r, rounded, sort_panel, stable, table
+from .inference import COSTS, PAIR, cdf_sql, instruments, pair, turnover
+from .portfolio import group_sql, lagged_sql, legs_sql
 
 QUERIES = {}
 ORACLES = {}
@@ -261,3 +262,106 @@ def panel_r2(spark: SparkSession, sf: str) -> DataFrame:
     panel = instruments(spark, sf)
     moments = factors.collect_moments(panel, "month", names, "ret")
     return factors.panel_r2(factors.fitted_rows(panel, "month", names, "ret", moments, factors.fit(moments, 2)), "l_suppkey", "ret")
+
+
+_RECORDS = """r AS (SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS day, CASE l_returnflag WHEN 'N' THEN 'T' WHEN 'R' THEN 'R' ELSE (CASE WHEN l_linenumber % 2 = 0 THEN 'W' END) END AS status,
+  CASE l_linenumber % 6 WHEN 0 THEN 'A' WHEN 1 THEN '' WHEN 2 THEN 'R' WHEN 3 THEN 'D' WHEN 4 THEN NULL ELSE 'X' END AS late_code, CASE l_suppkey % 4 WHEN 0 THEN '@' WHEN 1 THEN 'Z' WHEN 2 THEN '' END AS cond, CASE l_linenumber WHEN 3 THEN 'Y' WHEN 4 THEN 'N' END AS special FROM lineitem)"""
+
+
+@query(f"""WITH {_RECORDS} SELECT l_orderkey, l_linenumber, coalesce(status = 'T', false) AS normal,
+  coalesce(CASE WHEN coalesce(day + INTERVAL 15 YEAR < DATE '2012-02-06', false) THEN status = 'W' ELSE status IN ('R', 'X') END, false) OR coalesce(late_code = 'R', false) AS reversal,
+  late_code IS NULL OR late_code IN ('', 'R', 'A') AS keep_late, late_code IS NULL OR late_code IN ('', 'R') AS keep_timely, (cond IS NULL OR cond IN ('', '@')) AND coalesce(special, '') <> 'Y' AS regular FROM r""")
+def record_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Normal and reversing records, as-of codes and sales conditions that stay."""
+    n, flag, mode = F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_suppkey") % 4
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.add_months(F.to_date("l_shipdate"), 180).alias("day"), F.when(flag == "N", "T").when(flag == "R", "R").when(n % 2 == 0, "W").alias("status"),
+        F.when(n % 6 == 0, "A").when(n % 6 == 1, "").when(n % 6 == 2, "R").when(n % 6 == 3, "D").when(n % 6 == 5, "X").alias("asof"),
+        F.when(mode == 0, "@").when(mode == 1, "Z").when(mode == 2, "").alias("cond"), F.when(n == 3, "Y").when(n == 4, "N").alias("special"),
+    )
+    return rows.select("l_orderkey", "l_linenumber", screens.normal_record("status").alias("normal"), screens.reversal_record("day", "status", "asof").alias("reversal"), screens.asof_keep("asof").alias("keep_late"), screens.asof_keep("asof", late=False).alias("keep_timely"), screens.regular_sale("cond", "special").alias("regular"))
+
+
+@query(f"""WITH {lagged_sql().replace('>= 10', '>= 5')}, g AS (SELECT *, {group_sql("size", 5)} AS c, {group_sql("score", 5)} AS g FROM eligible)
+SELECT last_day(date + INTERVAL 1 MONTH) AS date, c AS control_group, g AS score_group, round(sum(size * next_ret) / sum(size), 8) AS ret, count(*) AS n_rows FROM g GROUP BY ALL""")
+def sort_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """The returns of all 5 x 5 groups."""
+    panel = sort_panel(spark, sf).withColumn("volume", F.col("size"))
+    return rounded(sorts.grid(panel, sorts.Rulebook(score="price", control="volume")), "ret", digits=8)
+
+
+def _arm_sql(name: str, column: str) -> str:
+    return f"""{name}_e AS (SELECT p.entity, p.date, p.size, p.price AS score, n.{column} AS next_ret FROM parts p JOIN parts n ON n.entity = p.entity AND n.date = last_day(p.date + INTERVAL 1 MONTH)
+  WHERE p.size IS NOT NULL AND p.price IS NOT NULL AND n.{column} IS NOT NULL QUALIFY count(*) OVER (PARTITION BY p.date) >= 5),
+{name}_g AS (SELECT *, 0 AS c, {group_sql('score', 5)} AS g FROM {name}_e), {name}_l AS ({legs_sql(f'{name}_g', 'size')})"""
+
+
+@query(f"""WITH {PANEL}, parts AS (SELECT *, ret * 0.75 AS price_part, CASE WHEN month(date) <> 3 THEN ret * 0.25 END AS carry_part FROM panel), {_arm_sql('total', 'ret')}, {_arm_sql('price', 'price_part')}, {_arm_sql('carry', 'carry_part')}
+SELECT arm, last_day(date + INTERVAL 1 MONTH) AS date, round(l - s, 8) AS strategy_ret FROM (SELECT 'total' AS arm, * FROM total_l UNION ALL SELECT 'price', * FROM price_l UNION ALL SELECT 'carry', * FROM carry_l) WHERE l IS NOT NULL AND s IS NOT NULL""")
+def three_arm_sort(spark: SparkSession, sf: str) -> DataFrame:
+    """One signal's sort on the total return and on its two parts."""
+    panel = sort_panel(spark, sf).withColumns({"price_part": F.col("ret") * 0.75, "carry_part": F.when(F.month("date") != 3, F.col("ret") * 0.25)})
+    out = sorts.arms(panel, sorts.Rulebook(score="price"), {"total": "ret", "price": "price_part", "carry": "carry_part"})
+    return rounded(out.select("arm", "date", "strategy_ret"), "strategy_ret", digits=8)
+
+
+@query(f"""WITH {months_sql('l_suppkey')}, w AS (SELECT last_day(m)::DATE AS m FROM (SELECT unnest(generate_series(DATE '1991-10-01', DATE '1999-03-01', INTERVAL 1 MONTH)) AS m)), p AS (SELECT DISTINCT month AS m FROM months)
+SELECT count(*) AS expected, count(p.m) AS present, count(*) - count(p.m) AS lacking FROM w LEFT JOIN p ON w.m = p.m""")
+def window_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    out = views.window_coverage(months(spark, sf, "l_suppkey"), "month", "1991-10-31", "1999-03-31")
+    return out.select("expected", "present", F.size("missing").cast("long").alias("lacking"))
+
+
+@query("""WITH a AS (SELECT o_orderpriority AS arm, count(*) FILTER (o_orderstatus = 'F') AS completed, count(*) FILTER (o_orderstatus = 'P') AS refused FROM orders GROUP BY 1)
+SELECT arm, completed, refused, round(completed / (completed + refused), 8) AS conservative, CASE WHEN completed > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS permissive FROM a""")
+def completion_rates(spark: SparkSession, sf: str) -> DataFrame:
+    arms = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("arm")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("completed"), F.count_if(F.col("o_orderstatus") == "P").alias("refused"))
+    return rounded(scoring.completion(arms, "arm", "completed", "refused"), "conservative", digits=8)
+
+
+@query("""WITH l AS (SELECT s_suppkey, (s_suppkey * 7919) % 100003 AS position, s_nationkey < 3 AS a FROM supplier), n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY position) AS n, count(*) FILTER (a) OVER () AS size FROM l)
+SELECT s_suppkey, position, CASE WHEN a THEN 'a' ELSE 'b' END AS arm FROM n WHERE a OR n <= least(size, 20)""")
+def selected_arms(spark: SparkSession, sf: str) -> DataFrame:
+    """Refused members, and as many others, twenty at most, in a frozen list's order."""
+    rows = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    listed = rows.select("s_suppkey", (F.col("s_suppkey") * 7919 % 100003).alias("position"))
+    return scoring.select_arms(rows, "s_suppkey", F.col("s_nationkey") < 3, listed, "position", 20)
+
+
+_GATED = f"""p AS (SELECT o_orderkey AS k, o_orderkey % 17 <> 0 AS schema_valid, o_orderkey % 13 <> 0 AS compiled, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 7 <> 0 END AS audit_clean, o_custkey AS signature,
+  (o_totalprice - 100000) / 1e5::DOUBLE AS alpha, round((o_totalprice - 100000) / 4e4::DOUBLE, 6) AS t, o_orderkey % 3 <> 0 AS cpcv_qualified FROM orders),
+d AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY k) = 1 AS not_duplicate FROM p), c AS (SELECT *, schema_valid AND not_duplicate AND compiled AND coalesce(audit_clean, false) AS clean FROM d),
+q AS (SELECT k, 2 * (1 - {cdf_sql("abs(t)")}) AS p FROM c WHERE clean), o AS (SELECT *, row_number() OVER (ORDER BY p, k) AS r, count(*) OVER () AS m FROM q), f AS (SELECT k, least(1.0, min(p * m / r) OVER (ORDER BY r DESC)) AS adj FROM o)"""
+
+
+@query(f"""WITH {_GATED} SELECT c.k, not_duplicate, round(adj, 6) AS adjusted_p, CASE WHEN NOT (schema_valid AND not_duplicate) THEN 'invalid_proposal' WHEN NOT compiled THEN 'execution_failure' WHEN NOT coalesce(audit_clean, false) THEN 'audit_failure'
+  WHEN NOT coalesce(adj <= 0.1 AND alpha > 0, false) THEN 'no_development_evidence' WHEN NOT cpcv_qualified THEN 'not_advanced' ELSE 'advanced' END AS outcome FROM c LEFT JOIN f ON f.k = c.k""")
+def gate_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Proposals through all gates, with one family of tests for those that are clean."""
+    k = F.col("o_orderkey")
+    yes = {n: F.lit(True) for n in ("mechanism_authorised", "template_supported", "toggles_preserved", "inputs_available", "execution_verified")}
+    rows = table(spark, sf, "orders").select(
+        k.alias("k"), (k % 17 != 0).alias("schema_valid"), (k % 13 != 0).alias("compiled"), F.when(k % 11 != 0, k % 7 != 0).alias("audit_clean"), F.col("o_custkey").alias("signature"),
+        ((F.col("o_totalprice") - 100000) / 1e5).alias("alpha"), r((F.col("o_totalprice") - 100000) / 4e4).alias("t"), (k % 3 != 0).alias("cpcv_qualified"),
+    ).withColumns(yes)
+    out = scoring.gate_stack(rows, "k", F.col("signature"), "alpha", "t", 0.1)
+    return rounded(out.select("k", "not_duplicate", "adjusted_p", "outcome"), "adjusted_p")
+
+
+@query("""WITH f AS (SELECT p_partkey AS spec, p_size % 3 AS leg, p_type AS value, CASE p_partkey % 4 WHEN 0 THEN 'INFERRED' ELSE 'STATED' END AS tag FROM part)
+SELECT spec, leg::INT AS leg, 'kind' AS field, value, 'not that size' AS detail FROM f WHERE tag = 'STATED' AND value IN ('ECONOMY', 'SMALL')""")
+def assumption_mismatches(spark: SparkSession, sf: str) -> DataFrame:
+    fields = table(spark, sf, "part").select(F.col("p_partkey").alias("spec"), (F.col("p_size") % 3).cast("int").alias("leg"), F.lit("kind").alias("field"), F.col("p_type").alias("value"), F.when(F.col("p_partkey") % 4 == 0, "INFERRED").otherwise("STATED").alias("tag"))
+    rules = spark.createDataFrame([("kind", v, "not that size") for v in ("ECONOMY", "SMALL")], "field string, value string, detail string")
+    return scoring.mismatches(fields, rules)
+
+
+@query(f"""WITH {months_sql('l_suppkey')}, x AS (SELECT l_suppkey, month, ret, (year(month) * 12 + month(month)) AS i, row_number() OVER w AS k FROM months WINDOW w AS (PARTITION BY l_suppkey ORDER BY month)),
+v AS (SELECT *, list(ret) FILTER (ret IS NOT NULL) OVER (PARTITION BY l_suppkey ORDER BY month ROWS BETWEEN 35 PRECEDING AND CURRENT ROW) AS last36, stddev_samp(ret * 2) OVER (PARTITION BY l_suppkey ORDER BY month ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS sd, count(ret) OVER (PARTITION BY l_suppkey ORDER BY month ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS n24,
+  list(ret) FILTER (ret > -1) OVER (PARTITION BY l_suppkey ORDER BY i RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS last6 FROM x)
+SELECT l_suppkey, month, round(CASE WHEN len(last36) >= 24 THEN -list_sort(last36)[2] END, 8) AS var_5pct, round(CASE WHEN n24 >= 18 THEN sd END, 8) AS bond_vol, round(CASE WHEN len(last6) = 6 THEN list_aggregate(list_transform(last6, lambda y: 1 + y), 'product') - 1 END, 8) AS mom6 FROM v""")
+def recomputed_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals of return history made anew from a view's own returns."""
+    view = months(spark, sf, "l_suppkey").select("l_suppkey", "month", "ret", (F.col("ret") * 2).alias("xret"), F.lit(0.0).alias("mom6"))
+    out = signals.recompute(view, "l_suppkey", "month")
+    return rounded(out.select("l_suppkey", "month", "var_5pct", "bond_vol", "mom6"), "var_5pct", "bond_vol", "mom6", digits=8)

@@ -95,6 +95,26 @@ def label_columns(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("p_partkey", text.label_key(F.concat(F.lit(" "), "p_brand", F.lit("** "))).alias("label"), text.null_if_blank(F.when(F.col("p_size") % 3 == 0, "  ").otherwise(F.col("p_type"))).alias("kind"))
 
 
+@query(r"""WITH v AS (SELECT p_partkey, p_size::VARCHAR || CASE p_partkey % 5 WHEN 0 THEN ' months' WHEN 1 THEN '-month' WHEN 2 THEN '.0' WHEN 3 THEN '.5' ELSE '' END AS n, ' ' || upper(p_type) || '-X ' AS t, CASE p_partkey % 3 WHEN 0 THEN '2004-07' WHEN 1 THEN '2004-13' END AS m FROM part)
+SELECT p_partkey, CASE WHEN n NOT LIKE '%.5' THEN regexp_extract(n, '^(-?[0-9]+)', 1) END AS number, lower(replace(replace(trim(t), ' ', '_'), '-', '_')) AS token, CASE WHEN p_partkey % 3 = 0 THEN m END AS month,
+  CASE WHEN p_partkey % 3 = 0 THEN true WHEN p_partkey % 3 = 2 THEN false END AS match, CASE WHEN p_partkey % 3 = 1 THEN 'found_unnormalisable' ELSE 'comparable' END AS status FROM v""")
+def value_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields' values in the forms in which they are compared, and a comparison that may have no answer."""
+    k = F.col("p_partkey")
+    number = F.concat(F.col("p_size").cast("string"), F.when(k % 5 == 0, " months").when(k % 5 == 1, "-month").when(k % 5 == 2, ".0").when(k % 5 == 3, ".5").otherwise(""))
+    month = F.when(k % 3 == 0, "2004-07").when(k % 3 == 1, "2004-13")
+    rows = table(spark, sf, "part").select(k, text.value_form(number, "int").alias("number"), text.value_form(F.concat(F.lit(" "), F.upper("p_type"), F.lit("-X ")), "token").alias("token"), text.value_form(month, "month").alias("month"), text.compare_values(F.lit(" 2004-07 "), month, "month").alias("c"))
+    return rows.select("p_partkey", "number", "token", "month", "c.match", "c.status")
+
+
+@query()
+def relocated_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark passages with a changed word, found again among the passages as pages."""
+    rows = table(spark, sf, "benchmark").select("item_id", "text", (F.col("item_id") % 20).alias("doc"))
+    quotes = rows.filter("item_id % 7 = 0").select(F.col("item_id").alias("quote_id"), "doc", F.concat(F.substring("text", 1, 60), F.lit(" changed "), F.substring("text", 70, 60)).alias("quote"))
+    return text.relocate(rows, quotes, "doc", "item_id", "text", "quote_id", "quote", bar=0.8)
+
+
 @query()
 def quote_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """How alike each benchmark passage is to the next one, and the longest block that they share."""

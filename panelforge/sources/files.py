@@ -15,13 +15,18 @@ from pyspark.sql import types as T
 
 from ..functions.dates import year_month
 from ..functions.numbers import nan_to_null
+from ..functions.text import canonical_json
 from ..operators.guards import GuardError, require_range
+from ..operators.ranks import keep_one
+from ..operators.views import view
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType | str, sequence: str | None = None, **options: str) -> DataFrame:
-    """CSV records with a header, gzipped or not; malformed lines are dropped.  ``sequence`` numbers the rows in file
+def read_records(spark: SparkSession, path: str, schema: T.StructType | str, sequence: str | None = None, columns: Sequence[str] | None = None, **options: str) -> DataFrame:
+    """CSV records with a header, gzipped or not, all or some of their columns (the reader parses no others); malformed
+    lines are dropped.  ``sequence`` numbers the rows in file
     order, for steps where that order breaks ties: a gzipped file is one partition, so the numbers follow its lines."""
     rows = spark.read.schema(schema).options(header="true", mode="DROPMALFORMED", **options).csv(path)
+    rows = rows.select(*columns) if columns else rows
     return rows.withColumn(sequence, F.monotonically_increasing_id()) if sequence else rows
 
 
@@ -64,11 +69,14 @@ def sniff(raw: bytes) -> str:
     return "csv" if head.count(b",") or head.count(b"\t") else "unknown"
 
 
-def by_month(df: DataFrame, date: str, until: str | None = None) -> DataFrame:
-    """``df`` with year_month from a date or yyyymm column, the first row of each month in order of the other columns,
-    up to ``until``."""
-    from ..operators.ranks import keep_one
+#: Names under which a date stands, in the order in which they are tried.
+DATE_NAMES = ("date", "yyyymm", "year_month", "month", "observation_date", "time")
 
+
+def by_month(df: DataFrame, date: str | None = None, until: str | None = None) -> DataFrame:
+    """``df`` with year_month from a date or yyyymm column (the first of DATE_NAMES that it has, if none is named), the
+    first row of each month in order of the other columns, up to ``until``."""
+    date = date or find_column(df.columns, DATE_NAMES)
     rows = df.withColumn("year_month", year_month(F.col(date))).filter("year_month is not null")
     rows = rows.filter(F.col("year_month") <= until) if until else rows
     return keep_one(rows, ["year_month"], [F.col(c) for c in df.columns])
@@ -119,8 +127,30 @@ def config_hash(config: Mapping[str, object]) -> str:
 
 
 def stage_report(stage: str, counts: Mapping[str, int], config: Mapping[str, object]) -> str:
-    """A stage's counts and configuration as canonical JSON."""
-    return json.dumps({"stage": stage, "counts": dict(counts), "config_sha256": config_hash(config)}, sort_keys=True)
+    """A stage's counts and configuration as canonical JSON; numbers that aren't finite are null."""
+    return canonical_json({"stage": stage, "counts": dict(counts), "config_sha256": config_hash(config)})
+
+
+def export_panel(panel: DataFrame, signals: DataFrame, path: str, columns: Sequence[str], families: Sequence[str] = ("raw", "corr"), exits: Sequence[str] = ("defaulted",)) -> int:
+    """Writes the corrected view of a panel, without stale masks and without terminal rows of ``exits``, with its signals,
+    one row of each entity and date and just ``columns``, of which none may be missing; returns its content hash."""
+    keys = list(panel.columns[:2])
+    names = [c.removesuffix(f"_{families[1]}") for c in signals.columns if c.endswith(f"_{families[1]}")]
+    rows = view(panel, families[1], families, keys, drop_reasons=exits, signals=signals, names=names)
+    if missing := [c for c in columns if c not in rows.columns]:
+        raise GuardError(f"the view has no {missing}")
+    rows = keep_one(rows, keys, [F.col(c) for c in columns]).select(*columns)
+    rows.sortWithinPartitions(*keys).write.parquet(path)
+    return content_hash(panel.sparkSession.read.parquet(path))
+
+
+def find_column(columns: Sequence[str], wanted: Sequence[str]) -> str:
+    """The first of the wanted names that a table has, blanks and case aside; an error if it has none."""
+    named = {c.strip().lower(): c for c in columns}
+    for name in wanted:
+        if name.strip().lower() in named:
+            return named[name.strip().lower()]
+    raise GuardError(f"none of {list(wanted)} in {list(columns)}")
 
 
 def content_hash(df: DataFrame) -> int:

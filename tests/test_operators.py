@@ -787,3 +787,52 @@ def test_strategies_are_dispatched_or_refused(spark):
             bad()
     told = {r.choice: (r.runnable, r.reason) for r in cells.preflight(panel.drop("exit_reason", "ret_corr"), signals, cells.Strategy("s", (book,))).collect()}
     assert told["survivorship"] == (False, "no exit_reason") and told["meas_err"][0] is False and told["lib_gap"] == (True, None)
+
+
+@pytest.mark.parametrize("per_bin", [4, 100, 4096])
+def test_expanding_percentiles_at_any_bins(spark, monkeypatch, per_bin):
+    monkeypatch.setattr(screens, "BIN_VALUES", per_bin)
+    rng = random.Random(per_bin)
+    rows = [(k, None if rng.random() < 0.1 else float(rng.choice([rng.randrange(20), rng.gauss(0, 30)]))) for k in range(30) for _ in range(rng.choice([0, 20, 90]))] + [(30, 1.0)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = {r.later: r for r in screens.past_percentiles(df, "v", "k", [0.05, 0.5, 1.0]).collect()}
+    assert got.keys() == {k for k, _ in rows}
+    for k, r in got.items():
+        past = [v for j, v in rows if j < k and v is not None]
+        if not past:
+            assert (r.p0, r.p1, r.p2) == (None, None, None)
+        else:
+            assert np.allclose([r.p0, r.p1, r.p2], np.percentile(past, [5, 50, 100]))
+    assert screens.past_percentiles(df.limit(0), "v", "k", [0.5]).count() == 0
+
+
+def test_asof_across_buckets(spark, monkeypatch):
+    rng = random.Random(1)
+    grid = [(k, D(2000, 1, 1) + dt.timedelta(rng.randrange(4000))) for k in "abc" for _ in range(40)] + [("d", D(2001, 1, 1)), (None, D(2001, 1, 1)), ("a", None)]
+    events = [(rng.choice("abc"), D(2000, 1, 1) + dt.timedelta(rng.randrange(4000)), n, None if n % 5 == 0 else n) for n in range(60)] + [("a", None, 99, 99), (None, D(2000, 1, 1), 98, 98)]
+    g = spark.createDataFrame(grid, "k string, m date")
+    e = spark.createDataFrame(events, "k string, t date, n int, v int")
+    for bucket in (1 << 22, 1 << 26, 86_400):
+        monkeypatch.setattr(match, "ASOF_BUCKET", bucket)
+        got = sorted(map(tuple, match.asof(g, e, "k", "m", "t", ["n", "v"], ["n"]).filter("k is not null and m is not null").collect()))
+        want = []
+        for k, m in grid:
+            if k and m:
+                best = max(((t, n, v) for j, t, n, v in events if j == k and t and t <= m), key=lambda x: x[:2], default=(None, None, None))
+                want.append((k, m, best[1], best[2]))
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_ewma_over_many_blocks(spark):
+    rng = random.Random(3)
+    rows = [("a", k, None if k % 17 == 3 else rng.gauss(0, 1)) for k in range(3000)] + [("b", 0, None), ("b", 1, 2.0)]
+    df = spark.createDataFrame(rows, "e string, d int, x double")
+    for keep in (0.3, 0.9, 0.999):
+        got = {(r.e, r.d): r.s for r in signals.ewma(df, "e", "d", "x", keep, "s").collect()}
+        s = None
+        for _, d, x in rows[:3000]:
+            s = s if x is None else x if s is None else keep * s + (1 - keep) * x
+            assert (got["a", d] is None) == (s is None) and (s is None or abs(got["a", d] - s) < 1e-12)
+        assert got["b", 0] is None and got["b", 1] == 2.0
+    with pytest.raises(guards.GuardError):
+        signals.ewma(df, "e", "d", "x", 1.0, "s")
