@@ -122,36 +122,39 @@ def relocate(pages: DataFrame, quotes: DataFrame, doc: str, page: str, text: str
     the pages of their document, and pairs of neighbouring pages, that share a block of ``anchor`` characters; the best
     span counts if its ratio is ``bar`` or more.  Of equal scores the first page, the first place and a single page win;
     a pair's span that lies on one page alone isn't another place.  Quotes meet only their own document's pages."""
-    forms = pages.select(doc, page, normalise(F.col(text), "L1").alias("t"))
-    forms = forms.withColumn("after", F.lead("t").over(Window.partitionBy(doc).orderBy(page)))
-    wanted = quotes.select(quote_id, doc, normalise(F.col(quote), "L1").alias("q"))
-    one = forms.select(doc, page, F.lit(False).alias("seam"), "t", F.lit(None).cast("int").alias("cut"))
-    two = forms.filter("after is not null").select(doc, page, F.lit(True).alias("seam"), F.concat_ws(" ", "t", "after").alias("t"), F.length("t").alias("cut"))
-    both = wanted.filter("q <> ''").join(one.unionByName(two), doc)
-    first = F.instr(F.col("t"), F.col("q"))
-    inside = (F.col("start") < F.col("cut")) & (F.col("end") > F.col("cut") + 1)
-    exact = both.withColumn("start", first - 1).filter("start >= 0").withColumn("end", F.col("start") + F.length("q")).filter(~F.col("seam") | inside)
-    exact = exact.groupBy(quote_id).agg(F.min(F.struct("seam", page, "start", "end")).alias("x"))
+    forms = pages.select(F.col(doc).alias("__doc__"), F.col(page).alias("__page__"), normalise(F.col(text), "L1").alias("__t__"))
+    forms = forms.withColumn("__after__", F.lead("__t__").over(Window.partitionBy("__doc__").orderBy("__page__")))
+    wanted = quotes.select(F.col(quote_id).alias("__id__"), F.col(doc).alias("__doc__"), normalise(F.col(quote), "L1").alias("__q__"))
+    one = forms.select("__doc__", "__page__", F.lit(False).alias("seam"), "__t__", F.lit(None).cast("int").alias("__cut__"))
+    two = forms.filter("__after__ is not null").select("__doc__", "__page__", F.lit(True).alias("seam"), F.concat_ws(" ", "__t__", "__after__").alias("__t__"), F.length("__t__").alias("__cut__"))
+    both = wanted.filter("__q__ <> ''").join(one.unionByName(two), "__doc__")
+    inside = (F.col("start") < F.col("__cut__")) & (F.col("end") > F.col("__cut__") + 1)
+    exact = both.withColumn("start", F.instr(F.col("__t__"), F.col("__q__")) - 1).filter("start >= 0").withColumn("end", F.col("start") + F.length("__q__")).filter(~F.col("seam") | inside)
+    exact = exact.groupBy("__id__").agg(F.min(F.struct("seam", "__page__", "start", "end")).alias("__x__"))
 
     @F.pandas_udf(_SPAN)
     def span(there: pd.Series, asked: pd.Series) -> pd.DataFrame:
         rows = [_best_span(x, y, anchor) or (None, None, None) for x, y in zip(there, asked, strict=True)]
         return pd.DataFrame(rows, columns=["score", "start", "end"]).astype({"start": "Int32", "end": "Int32"})
 
-    open_ = both.join(exact.select(quote_id), quote_id, "left_anti").filter(F.length("q") >= least_chars)
-    scored = open_.withColumn("s", span(F.col("t"), F.col("q"))).select(quote_id, page, "seam", "cut", "s.*").filter("score is not null").filter(~F.col("seam") | inside)
-    order = Window.partitionBy(quote_id).orderBy(F.desc("score"), page, "start", "seam")
-    scored = scored.withColumns({"n": F.row_number().over(order), "runner_up": F.coalesce(F.lead("score").over(order), F.lit(0.0))}).filter("n = 1").drop("n", "cut")
-    out = wanted.join(exact, quote_id, "left").join(scored.select(quote_id, F.struct(page, "seam", "start", "end", "score", "runner_up").alias("s")), quote_id, "left")
+    open_ = both.join(exact.select("__id__"), "__id__", "left_anti").filter(F.length("__q__") >= least_chars)
+    scored = open_.withColumn("s", span(F.col("__t__"), F.col("__q__"))).select("__id__", "__page__", "seam", "__cut__", "s.*").filter("score is not null").filter(~F.col("seam") | inside)
+    order = Window.partitionBy("__id__").orderBy(F.desc("score"), "__page__", "start", "seam")
+    scored = scored.withColumns({"__n__": F.row_number().over(order), "runner_up": F.coalesce(F.lead("score").over(order), F.lit(0.0))}).filter("__n__ = 1")
+    scored = scored.select("__id__", F.struct("__page__", "seam", "start", "end", "score", "runner_up").alias("__s__"))
+    out = wanted.join(exact, "__id__", "left").join(scored, "__id__", "left")
     reason = (
-        F.when(F.coalesce(F.col("q"), F.lit("")) == "", "empty_quote").when(F.col("x").isNotNull(), "exact_match").when(F.length("q") < least_chars, "too_short")
-        .when(F.col("s").isNull(), "no_anchor").when(F.col("s.score") < bar, "below_bar").otherwise("accepted_at_bar")
+        F.when(F.coalesce(F.col("__q__"), F.lit("")) == "", "empty_quote").when(F.col("__x__").isNotNull(), "exact_match").when(F.length("__q__") < least_chars, "too_short")
+        .when(F.col("__s__").isNull(), "no_anchor").when(F.col("__s__.score") < bar, "below_bar").otherwise("accepted_at_bar")
     )
     out = out.withColumn("reason", reason)
     out = out.withColumn("method", F.when(F.col("reason") == "exact_match", "exact").when(F.col("reason") == "accepted_at_bar", "relocated").otherwise("rejected"))
-    place = lambda n: F.when(F.col("method") == "exact", F.col(f"x.{n}")).when(F.col("method") == "relocated", F.col(f"s.{n}")).alias(n)
-    score = F.when(F.col("method") == "exact", 1.0).otherwise(F.coalesce("s.score", F.lit(0.0)))
-    return out.select(quote_id, doc, "method", "reason", *map(place, (page, "seam", "start", "end")), score.alias("score"), F.coalesce("s.runner_up", F.lit(0.0)).alias("runner_up"))
+    place = lambda n: F.when(F.col("method") == "exact", F.col(f"__x__.{n}")).when(F.col("method") == "relocated", F.col(f"__s__.{n}"))
+    score = F.when(F.col("method") == "exact", 1.0).otherwise(F.coalesce("__s__.score", F.lit(0.0)))
+    return out.select(
+        F.col("__id__").alias(quote_id), F.col("__doc__").alias(doc), "method", "reason", place("__page__").alias(page), *[place(n).alias(n) for n in ("seam", "start", "end")],
+        score.alias("score"), F.coalesce("__s__.runner_up", F.lit(0.0)).alias("runner_up"),
+    )
 
 
 def value_form(value: Column, kind: str) -> Column:
@@ -201,20 +204,21 @@ def _at(doc: object, pointer: str) -> object:
     return doc
 
 
+def _lookup(text: str | None, pointer: str | None) -> tuple[bool, str | None]:
+    if text is None or pointer is None:
+        return False, None
+    try:
+        value = _at(json.loads(text), pointer)
+    except ValueError:
+        return False, None
+    return (False, None) if value is _MISS else (True, canonical_json(value))
+
+
 @F.pandas_udf(T.StructType([T.StructField("found", T.BooleanType()), T.StructField("value", T.StringType())]))
 def json_at(document: pd.Series, pointer: pd.Series) -> pd.DataFrame:
     """What an RFC 6901 pointer points to in a JSON document, as canonical JSON, and whether it points to anything (a
     present null is found).  A document or pointer that is null or can't be read finds nothing."""
-    rows = []
-    for text, at in zip(document, pointer, strict=True):
-        value = _MISS
-        if text is not None and at is not None:
-            try:
-                value = _at(json.loads(text), at)
-            except ValueError:
-                value = _MISS
-        rows.append((value is not _MISS, None if value is _MISS else canonical_json(value)))
-    return pd.DataFrame(rows, columns=["found", "value"])
+    return pd.DataFrame([_lookup(text, at) for text, at in zip(document, pointer, strict=True)], columns=["found", "value"])
 
 
 def canonical_json(value: object) -> str:
