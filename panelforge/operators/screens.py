@@ -232,6 +232,11 @@ def scale_is_percent(df: DataFrame, column: str, above: float = 0.2) -> bool:
     return middle is not None and middle > above
 
 
+def terminal_value(value: Column, terminal: Column, fill: Column) -> Column:
+    """``fill`` where a terminal row has no value; a recovery of rho makes that rho - 1."""
+    return F.when(F.coalesce(terminal, F.lit(False)) & value.isNull(), fill).otherwise(value)
+
+
 def fill_terminal(df: DataFrame, value: str, terminal: Column, fill: float) -> DataFrame:
-    """``fill`` where a terminal row has no value."""
-    return df.withColumn(value, F.when(terminal & F.col(value).isNull(), F.lit(fill)).otherwise(F.col(value)))
+    """``df`` with ``terminal_value``."""
+    return df.withColumn(value, terminal_value(F.col(value), terminal, F.lit(fill)))

@@ -274,7 +274,13 @@ def fold_sharpes(series: DataFrame, by: Sequence[str], date: str, value: str, fo
 
 def backtest_overfitting(sharpes: DataFrame, candidate: str) -> DataFrame:
     """(n_folds, pbo, median_rank): in each fold the best candidate in training (ties by name) has a rank among the
-    tests' Sharpe ratios, equal ones sharing ranks; pbo is the share of folds where that is below the middle."""
+    tests' Sharpe ratios, equal ones sharing ranks; pbo is the share of folds where that is below the middle.  A fold's
+    side with under two months, or without a Sharpe ratio, can't be ranked, and fewer than two candidates can't be
+    compared: both are errors."""
+    if bad := sharpes.filter(F.col("sharpe").isNull() | F.isnan("sharpe") | (F.col("n") < 2)).select(candidate, "fold").head(3):
+        raise GuardError(f"no Sharpe ratio for {[tuple(r) for r in bad]}")
+    if sharpes.agg(F.count_distinct(candidate)).first()[0] == 1:
+        raise GuardError("one candidate can't be compared")
     first = Window.partitionBy("fold").orderBy(F.col("sharpe").desc(), candidate)
     best = sharpes.filter("role = 'train'").withColumn("__n__", F.row_number().over(first)).filter("__n__ = 1").select("fold", candidate)
     tests = sharpes.filter("role = 'test'")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import guards, lattice, sorts, views
+from ..operators import guards, lattice, screens, sorts, views
 from .base import PANEL, TRADES, months, months_sql, rounded, sort_panel, stable, table, trades
 
 QUERIES = {}
@@ -222,5 +222,5 @@ def recovery_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """The mean return at every assumed recovery of rows that end without one."""
     panel = sort_panel(spark, sf).withColumn("terminal", (F.col("entity") % 6 == 0) & (F.month("date") == 6))
     grid = spark.createDataFrame([(k / 4,) for k in range(5)], "rho double")
-    value = F.avg(F.when(F.col("terminal") & F.col("ret").isNull(), F.col("rho") - 1).otherwise(F.col("ret")))
+    value = F.avg(screens.terminal_value(F.col("ret"), F.col("terminal"), F.col("rho") - 1))
     return rounded(lattice.sweep(panel, grid, value), "value", digits=8)

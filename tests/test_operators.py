@@ -836,3 +836,25 @@ def test_ewma_over_many_blocks(spark):
         assert got["b", 0] is None and got["b", 1] == 2.0
     with pytest.raises(guards.GuardError):
         signals.ewma(df, "e", "d", "x", 1.0, "s")
+
+
+def test_terminal_rows_and_scales(spark):
+    df = spark.createDataFrame([(1, None, True), (2, None, False), (3, 0.5, True), (4, None, None)], "k int, r double, t boolean")
+    assert [r.r for r in screens.fill_terminal(df, "r", F.col("t"), -0.6).orderBy("k").collect()] == [-0.6, None, 0.5, None]
+    small, large = (spark.createDataFrame([(None if v is None else s * v,) for v in (0.01, -0.02, 0.03, None)], "v double") for s in (1.0, 100.0))
+    assert not screens.scale_is_percent(small, "v") and screens.scale_is_percent(large, "v") and not screens.scale_is_percent(small.limit(0), "v")
+
+
+def test_folds_that_cannot_be_ranked_are_refused(spark):
+    rows = [(c, f, r, 10, float(f + len(c))) for c in ("a", "bb") for f in range(3) for r in ("train", "test")]
+    schema = "c string, fold int, role string, n int, sharpe double"
+    assert stats.backtest_overfitting(spark.createDataFrame(rows, schema), "c").first().n_folds == 3
+    for bad in (rows[:-1] + [("bb", 2, "test", 10, None)], rows[:-1] + [("bb", 2, "test", 1, 1.0)], rows[:-1] + [("bb", 2, "test", 10, float("nan"))], [r for r in rows if r[0] == "a"]):
+        with pytest.raises(guards.GuardError):
+            stats.backtest_overfitting(spark.createDataFrame(bad, schema), "c")
+
+
+def test_universe_fails_what_it_does_not_know(spark):
+    df = spark.createDataFrame([(1, "USD", "N", "F"), (2, None, "N", "F"), (3, "USD", None, "X"), (4, "USD", "Y", "F"), (5, "EUR", "N", None)], "k int, cur string, conv string, cpn string")
+    got = screens.universe(df, {"convertible": F.col("conv") == "Y"}, {"currency": F.col("cur").isin("USD"), "coupon": F.col("cpn").isin("F", "V")}).orderBy("k").collect()
+    assert [r.eligible for r in got] == [True, False, False, False, False] and [r.not_coupon for r in got] == [False, False, True, False, True] and [r.not_convertible for r in got] == [False, False, False, True, False]

@@ -51,6 +51,14 @@ def test_sinks(spark, tmp_path):
     assert checked_write(df, str(tmp_path / "w"), 2) == 2
     with pytest.raises(GuardError):
         checked_write(df, str(tmp_path / "w2"), 3)
+    assert not (tmp_path / "w2").exists()
+    for rows, mode in ((3, "overwrite"), (2, "error")):  # what stands there stays
+        with pytest.raises(GuardError):
+            checked_write(df, str(tmp_path / "w"), rows, mode=mode)
+    assert spark.read.parquet(str(tmp_path / "w")).count() == 2 and checked_write(df.limit(1), str(tmp_path / "w"), 1, mode="overwrite") == 1
+    assert spark.read.parquet(str(tmp_path / "w")).count() == 1 and checked_write(df, str(tmp_path / "w"), mode="overwrite") == 2
+    assert {x.name for x in tmp_path.iterdir()} == {"p", "k", "x", "w"}
+    assert files.split_write(df.limit(0), F.col("v") > 0, str(tmp_path / "k0"), str(tmp_path / "x0")) == {"kept": 0, "dropped": 0} and spark.read.parquet(str(tmp_path / "x0")).columns == df.columns
     with pytest.raises(GuardError):
         files.read_panel(spark, str(tmp_path / "w"), until=("d", dt.date(2021, 12, 31)))
     marked = files.with_metadata(df, "v", {"panel": "x"})
@@ -58,7 +66,7 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m")).schema["v"].metadata == {"panel": "x"}
     assert files.content_hash(df) == files.content_hash(df.orderBy(F.desc("d"))) != files.content_hash(df.limit(1))
     assert files.config_hash({"a": 1, "b": 2}) == files.config_hash({"b": 2, "a": 1})
-    assert '"counts": {"kept": 1}' in files.stage_report("s", {"kept": 1}, {})
+    assert '"counts":{"kept":1}' in files.stage_report("s", {"kept": 1}, {})
 
 
 def test_streaming_daily(spark, sf, tmp_path):
