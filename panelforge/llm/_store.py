@@ -41,12 +41,21 @@ _KNOWN: set[str] = set()
 _WRITTEN = threading.local()
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+#: For folders of the file: scheme alone: no checksum files beside the tables, each of which would start processes.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Rows of a file where a table's size is known to be small.
+FILE_ROWS = 2_000
+
+
+def durable(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back, so that its lineage ends there and
-    every later reader sees the same rows, whatever executors are lost."""
+    every later reader sees the same rows, whatever executors are lost.  ``rows``: how many it has at most, if that is
+    known, so that a small table isn't written as many files."""
     spark = df.sparkSession
     path = f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if rows is not None and rows < FILE_ROWS * 64:
+        df = df.coalesce(rows // FILE_ROWS + 1)
+    df.write.options(**_PLAIN_FILES).parquet(path)
     if (paths := getattr(_WRITTEN, "paths", None)) is not None:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)

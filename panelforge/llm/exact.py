@@ -173,7 +173,7 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
     of these names gives way.
     """
     keep = [c for c in (df.columns if keep is None else [doc_id, *keep]) if c != text and c.lower() not in ("keep_id", "group_size", "kept", "best")]
-    rows = durable(identities(df, text, list(dict.fromkeys(keep))), "identities")
+    rows = identities(df, text, list(dict.fromkeys(keep)))
     best = F.struct((-F.col("n_points")).alias("n"), F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"), F.col("row_uid").alias("uid"))
     out = dealt_totals(rows, ["level", "name"], "row_uid", {"best": F.min(best), "group_size": F.count("*")}, {"best": F.min("best"), "group_size": F.sum("group_size")})
     return out.withColumn("keep_id", F.col("best.id")).withColumn("kept", F.col("best.uid") == F.col("row_uid")).drop("best", "level", "name")

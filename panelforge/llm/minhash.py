@@ -363,7 +363,7 @@ def _linked(members: DataFrame, signatures_: DataFrame, texts: DataFrame, least:
         fresh = durable(fresh.join(seen, ["a", "b"], "left_anti"), "pairs")
         n = fresh.count()
         seen = seen.union(fresh)
-        linked = durable(_verified(_close(fresh, signatures_, cut, n), texts, least, weigh, n), "links")
+        linked = durable(_verified(_close(fresh, signatures_, cut, n), texts, least, weigh, n), "links", n)
         if not linked.isEmpty():
             edges = edges.union(linked)
             labels = components(linked, labels)
