@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +118,21 @@ def test_long_texts_are_sampled_all_over(spark, monkeypatch):
 def test_clashing_names_and_empty_labels(spark, small):
     df = spark.createDataFrame([(1, "der hund", "a", 0.5, "x")], "doc_id long, text string, Lang_Pred string, SCORE double, `a.b` string")
     assert langid.predict(df, small).columns == ["doc_id", "text", "a.b", "lang_pred", "score"]
+
+
+def test_query_against_one_text_at_a_time(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = queries.table(spark, sf, "documents")
+    model = langid.train(docs.filter(~queries.held_out()))
+    got = {r.doc_id: r for r in queries.op9_langid(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        g = got[r.doc_id]
+        assert g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        found = langid.windows((r.text or "").encode())
+        if not any(map(str.isalpha, r.text or "")):
+            assert (g.lang_pred, g.score) == ("und", 0)
+            continue
+        mean = model.sums(found).sum(0, dtype=float) / (found != langid.BLANK).sum()
+        assert abs(g.score - mean.max()) < 1e-4 and (g.lang_pred == model.languages[int(mean.argmax())] or np.sort(mean)[-1] - np.sort(mean)[-2] < 1e-4)
