@@ -50,11 +50,11 @@ FILE_ROWS = 2_000
 def durable(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back, so that its lineage ends there and
     every later reader sees the same rows, whatever executors are lost.  ``rows``: how many it has at most, if that is
-    known, so that a small table isn't written as many files."""
+    known: a small table goes through a shuffle to few files, and the tasks that make it stay as many as they are."""
     spark = df.sparkSession
     path = f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if rows is not None and rows < FILE_ROWS * 64:
-        df = df.coalesce(rows // FILE_ROWS + 1)
+        df = df.repartition(rows // FILE_ROWS + 1)
     df.write.options(**_PLAIN_FILES).parquet(path)
     if (paths := getattr(_WRITTEN, "paths", None)) is not None:
         paths.append(path)
