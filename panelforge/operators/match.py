@@ -8,10 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], null_safe: bool) -> list[Column]:
-    return [left[a].eqNullSafe(right[b]) if null_safe else left[a] == right[b] for a, b in pairs]
-
-
 def cancel(rows: DataFrame, cancels: DataFrame, scope: Sequence[str], own: str, refers: str) -> DataFrame:
     """Rows whose (scope, own number) no cancel record refers to; a blank number refers to nothing.
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.functions import dates, numbers
+from panelforge.functions import numbers
 from panelforge.operators import factors, guards, lattice, match, outliers, ranks, resample, rollup, scoring, screens, signals, sorts, stats, vectors, views
 
 D = dt.date
