@@ -96,26 +96,43 @@ class Model:
         u = self.p[f"u{side}"].T.copy()
         hidden = u.shape[1]
         gates = np.where(np.arange(3 * hidden) < 2 * hidden, 0.5, 1).astype(u.dtype)
-        w, u = (self.p[f"w{side}"] + self.p[f"b{side}"]) * gates, u * gates[:, None]
+        w, u = np.ascontiguousarray(((self.p[f"w{side}"] + self.p[f"b{side}"]) * gates).T), u * gates[:, None]
         h = np.zeros((hidden, x.shape[1]), u.dtype)
         out = np.empty((len(x), hidden, x.shape[1]), u.dtype)
         for t in range(len(x)) if side == "f" else range(len(x) - 1, -1, -1):
-            a, g = w[x[t]].T, u @ h
-            zr = np.tanh(a[: 2 * hidden] + g[: 2 * hidden])
+            a, g = np.take(w, x[t], axis=1), u @ h
+            zr = a[: 2 * hidden]
+            zr += g[: 2 * hidden]
+            np.tanh(zr, out=zr)
             zr += 1
             zr *= 0.5
             z, r = zr[:hidden], zr[hidden:]
-            c = np.tanh(a[2 * hidden :] + r * g[2 * hidden :])
+            c = r * g[2 * hidden :]
+            c += a[2 * hidden :]
+            np.tanh(c, out=c)
             if trace is not None:
                 trace.append((t, h, z, r, c, g[2 * hidden :]))
-            h = c + z * (h - c)
+            h = h - c
+            h *= z
+            h += c
             out[t] = h
         return out
 
+    def _probabilities(self, x: np.ndarray) -> np.ndarray:
+        """Of the languages at each byte of windows (steps x rows of symbols): steps x languages x rows."""
+        hidden = self.p["uf"].shape[0]
+        o = np.ascontiguousarray(self.p["o"].T)
+        out = o[:, :hidden] @ self._run(x, "f")
+        out += o[:, hidden:] @ self._run(x, "b")
+        out += self.p["c"][:, None]
+        out -= out.max(1, keepdims=True)
+        np.exp(out, out=out)
+        out /= out.sum(1, keepdims=True)
+        return out
+
     def positions(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities of the languages at each byte of windows (steps x rows of symbols): steps x rows x languages."""
-        states = np.concatenate([self._run(x, "f"), self._run(x, "b")], 1)
-        return _softmax(states.transpose(0, 2, 1) @ self.p["o"] + self.p["c"])
+        """The same as steps x rows x languages."""
+        return self._probabilities(x).transpose(0, 2, 1)
 
     def sums(self, found: np.ndarray) -> np.ndarray:
         """Probabilities summed over the letters' bytes of each window; bytes that weren't learned have none."""
@@ -124,7 +141,9 @@ class Model:
             part = found[start : start + self.rows]
             x = self.symbols[part.T]
             counted = ((x > 0) & (part.T != BLANK)).astype(np.float32)
-            out[start : start + self.rows] = np.einsum("srl,sr->rl", self.positions(x), counted)
+            told = self._probabilities(x)
+            told *= counted[:, None, :]
+            out[start : start + self.rows] = told.sum(0).T
         return out
 
     @property
