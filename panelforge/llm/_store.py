@@ -43,8 +43,8 @@ _WRITTEN = threading.local()
 
 #: For folders of the file: scheme alone: no checksum files beside the tables, each of which would start processes.
 _PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
-#: Rows of a file where a table's size is known to be small.
-FILE_ROWS = 2_000
+#: Rows of a file, files, and rows at most where a table's size is known to be small.
+FILE_ROWS, FILES, SMALL_ROWS = 2_000, 64, 1_000_000
 
 
 def durable(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -53,8 +53,8 @@ def durable(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     known: a small table goes through a shuffle to few files, and the tasks that make it stay as many as they are."""
     spark = df.sparkSession
     path = f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if rows is not None and rows < FILE_ROWS * 64:
-        df = df.repartition(rows // FILE_ROWS + 1)
+    if rows is not None and rows <= SMALL_ROWS:
+        df = df.repartition(min(FILES, rows // FILE_ROWS + 1))
     df.write.options(**_PLAIN_FILES).parquet(path)
     if (paths := getattr(_WRITTEN, "paths", None)) is not None:
         paths.append(path)

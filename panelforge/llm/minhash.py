@@ -278,33 +278,35 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", l
     cut = bands_for(least)
     source = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("row_hash", F.xxhash64("text"))
     signed = durable(sign(source, "text", ["doc_id", "row_hash"], weigh, least), "signed")
+    n = signed.count()
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
     rows = signed.select("doc_id", "row_hash", "uid", "wordkey")
-    rows = durable(dealt_totals(rows, ["wordkey"], "uid", {"of": F.min(order), "n": F.count("*")}, {"of": F.min("of"), "copies": F.sum("n")}).drop("wordkey"), "rows")
+    rows = durable(dealt_totals(rows, ["wordkey"], "uid", {"of": F.min(order), "n": F.count("*")}, {"of": F.min("of"), "copies": F.sum("n")}).drop("wordkey"), "rows", n)
     reps = rows.filter(F.col("uid") == F.col("of.uid")).select("uid", "doc_id", "row_hash", "copies")
-    texts_of = durable(signed.select("uid", "signature", "buckets").join(reps, "uid"), "reps")
+    texts_of = durable(signed.select("uid", "signature", "buckets").join(reps, "uid"), "reps", n)
 
     members = texts_of.select("uid", F.explode("buckets").alias("bucket"))
     # those that share most buckets with others are the most central
     sizes = durable(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     shared = members.join(sizes.filter(F.col("n") <= HOT_ROWS), "bucket")
     hot = sizes.filter(F.col("n") > HOT_ROWS)
-    members = durable(shared if hot.isEmpty() else shared.unionByName(attach(members, hot, ["bucket"], "uid")), "members")
+    m = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = durable(shared if hot.isEmpty() else shared.unionByName(attach(members, hot, ["bucket"], "uid")), "members", m)
     members = members.join(members.groupBy("uid").agg(F.sum("n").alias("score")), "uid").drop("n")
     head = F.max(F.struct("score", (-F.col("uid")).alias("u")))
     members = dealt_totals(members, ["bucket"], "uid", {"top": head}, {"top": F.max("top")})
-    members = durable(members.withColumn("head", -F.col("top.u")).drop("top"), "members")
+    members = durable(members.withColumn("head", -F.col("top.u")).drop("top"), "members", m)
 
     picked = _small(members.select("uid").distinct().join(texts_of.select("uid", F.col("doc_id").alias("d"), F.col("row_hash").alias("h")), "uid"))
     texts = source.join(picked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_hash") == F.col("h"))).select("uid", "text")
     texts = durable(texts.dropDuplicates(["uid"]) if _repeated(rows) else texts, "texts")
 
-    edges, labels = _linked(members, texts_of.select("uid", "signature"), texts, least, weigh, cut)
+    edges, labels = _linked(members, m, texts_of.select("uid", "signature"), texts, least, weigh, cut)
     links = edges.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("n_links"))
     of_texts = texts_of.select("uid", "doc_id", "copies").join(links, "uid", "left").join(labels.select(F.col("node").alias("uid"), "label"), "uid", "left")
     of_texts = of_texts.withColumn("group", F.coalesce("label", "uid")).drop("label")
     of_texts = dealt_totals(of_texts, ["group"], "uid", {"first": F.min(order), "n": F.sum("copies")}, {"first": F.min("first"), "group_size": F.sum("n")})
-    of_texts = durable(of_texts.select(F.col("uid").alias("rep"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "first", "group_size"), "groups")
+    of_texts = durable(of_texts.select(F.col("uid").alias("rep"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "first", "group_size"), "groups", n)
     found = attach(rows.withColumn("rep", F.col("of.uid")), of_texts, ["rep"], "uid")
     return found.select("doc_id", F.col("first.doc_id").alias("class_id"), F.col("of.doc_id").alias("copy_id"), "group_size", "n_links", (F.col("first.uid") == F.col("uid")).alias("kept"), "row_hash")
 
@@ -341,8 +343,9 @@ def _frequencies(every: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sizes.select("uid", ((F.col("n") - F.col("scarce")) / F.col("n")).alias("common"), (F.col("m") - F.col("k")).alias("distinct"), (F.col("top") / F.col("n")).alias("peak")), few
 
 
-def _linked(members: DataFrame, signatures_: DataFrame, texts: DataFrame, least: float, weigh: str, cut: Bands) -> tuple[DataFrame, DataFrame]:
-    """All links (a, b) that were verified, and the components' labels, which no link inside a bucket crosses.
+def _linked(members: DataFrame, size: int, signatures_: DataFrame, texts: DataFrame, least: float, weigh: str, cut: Bands) -> tuple[DataFrame, DataFrame]:
+    """All links (a, b) that were verified, and the components' labels, which no link inside a bucket crosses; ``size``
+    is the number of members' rows.
 
     First each bucket's most central member meets the others.  Where that leaves members of a bucket in different
     components, the shingles of those buckets' texts are counted.  Texts that share a shingle that few have are
@@ -357,10 +360,10 @@ def _linked(members: DataFrame, signatures_: DataFrame, texts: DataFrame, least:
     edges = seen = spark.createDataFrame([], "a long, b long")
     labels = components(edges)
 
-    def meet(pairs: DataFrame) -> None:
+    def meet(pairs: DataFrame, most: int | None = None) -> None:
         nonlocal seen, edges, labels
         fresh = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
-        fresh = durable(fresh.join(seen, ["a", "b"], "left_anti"), "pairs")
+        fresh = durable(fresh.join(seen, ["a", "b"], "left_anti"), "pairs", most)
         n = fresh.count()
         seen = seen.union(fresh)
         linked = durable(_verified(_close(fresh, signatures_, cut, n), texts, least, weigh, n), "links", n)
@@ -379,10 +382,10 @@ def _linked(members: DataFrame, signatures_: DataFrame, texts: DataFrame, least:
         p, q = F.least(F.col("common"), both * F.col("peak")), F.least(common, both * peak)
         return p * q >= (p + q - p * q) * (least - 1e-9)
 
-    meet(members.filter("uid <> head").select(F.col("head").alias("a"), F.col("uid").alias("b")))
+    meet(members.filter("uid <> head").select(F.col("head").alias("a"), F.col("uid").alias("b")), size)
     low, high = F.min("label"), F.max("label")
     open_ = dealt_totals(labelled(members, "uid", "label"), ["bucket"], "uid", {"l": low, "h": high}, {"l": F.min("l"), "h": F.max("h")})
-    open_ = durable(open_.filter("l <> h").drop("l", "h", "label"), "open")
+    open_ = durable(open_.filter("l <> h").drop("l", "h", "label"), "open", size)
     if open_.isEmpty():
         return edges, labels
     every = durable(_shingles(texts.join(_small(open_.select("uid").distinct()), "uid"), weigh), "shingles")
@@ -392,13 +395,13 @@ def _linked(members: DataFrame, signatures_: DataFrame, texts: DataFrame, least:
     few = durable(few.join(across, "shingle"), "across")
     other = few.select("shingle", F.col("uid").alias("b"), F.col("label").alias("m"))
     meet(few.join(other, "shingle").filter("uid < b and label <> m").select(F.col("uid").alias("a"), "b"))
-    open_ = open_.join(durable(frequencies, "frequencies"), "uid")
-    open_ = durable(dealt_totals(open_, ["bucket"], "uid", *[{f"most_{n}": F.max(k + n) for n in ("common", "distinct", "peak")} for k in ("", "most_")]), "open")
+    open_ = open_.join(durable(frequencies, "frequencies", size), "uid")
+    open_ = durable(dealt_totals(open_, ["bucket"], "uid", *[{f"most_{n}": F.max(k + n) for n in ("common", "distinct", "peak")} for k in ("", "most_")]), "open", size)
     done, step = spark.createDataFrame([], "bucket long, uid long"), 0
     while True:
         live = labelled(open_.join(done, ["bucket", "uid"], "left_anti"), "uid", "label")
         heads = labelled(open_.select("bucket", "head").distinct(), "head", "main").drop("head")
-        live = durable(attach(live, heads, ["bucket"], "uid"), "live")
+        live = durable(attach(live, heads, ["bucket"], "uid"), "live", size)
         left = live.filter(admits("most_common", "most_distinct", "most_peak") & (F.col("label") != F.col("main")))
         if left.isEmpty():
             return edges, labels
