@@ -157,7 +157,7 @@ def winsor_ex_post(df: DataFrame, column: str, low: float, high: float, out: str
 
 
 #: Values of a bin, about, and bins at most, when expanding percentiles are found.
-BIN_VALUES, BINS = 4_096, 4_096
+BIN_VALUES, BINS = 4_096, 512
 
 
 def _bin_of(value: Column, cuts: Sequence[float]) -> Column:
@@ -176,12 +176,12 @@ def past_percentiles(df: DataFrame, column: str, period: str, levels: Sequence[f
     """(later, p0, p1, ...): for each period the exact percentiles, linear between two values, of all values of
     strictly earlier periods; null without any.
 
-    Values fall into bins by cuts near their quantiles, so that a bin has about BIN_VALUES of them.  Running sums of the
-    bins' counts over periods, and then over bins, say which bin holds each wanted rank of a period; the values of that
+    Values fall into bins by cuts near their quantiles, so that a bin has about BIN_VALUES of them, or one part in BINS if
+    they are many.  Running sums of the bins' counts over periods, and then over bins, say which bin holds each wanted rank of a period; the values of that
     bin alone, counted by period, meet it on the bin."""
     rows = df.filter(F.col(column).isNotNull()).select(F.col(period).alias("k"), F.col(column).cast("double").alias("v"))
     counts = rows.groupBy("k", "v").agg(F.count("*").alias("n"))
-    told = counts.agg(F.sum("n").alias("n"), F.percentile_approx("v", [i / BINS for i in range(1, BINS)], 20_000).alias("q")).first()
+    told = counts.agg(F.sum("n").alias("n"), F.percentile_approx("v", [i / BINS for i in range(1, BINS)], 5_000).alias("q")).first()
     bins = min(BINS, max(16, (told.n or 0) // BIN_VALUES))
     quantiles = told.q or []
     cuts = sorted({quantiles[len(quantiles) * i // bins] for i in range(1, bins)}) if quantiles else []

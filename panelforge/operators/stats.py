@@ -277,16 +277,15 @@ def backtest_overfitting(sharpes: DataFrame, candidate: str) -> DataFrame:
     tests' Sharpe ratios, equal ones sharing ranks; pbo is the share of folds where that is below the middle.  A fold's
     side with under two months, or without a Sharpe ratio, can't be ranked, and fewer than two candidates can't be
     compared: both are errors."""
-    if bad := sharpes.filter(F.col("sharpe").isNull() | F.isnan("sharpe") | (F.col("n") < 2)).select(candidate, "fold").head(3):
-        raise GuardError(f"no Sharpe ratio for {[tuple(r) for r in bad]}")
-    if sharpes.agg(F.count_distinct(candidate)).first()[0] == 1:
-        raise GuardError("one candidate can't be compared")
+    bad = F.col("sharpe").isNull() | F.isnan("sharpe") | (F.col("n") < 2)
+    sharpes = sharpes.withColumn("sharpe", F.when(bad, F.raise_error(F.lit("a fold's side has no Sharpe ratio")).cast("double")).otherwise(F.col("sharpe")))
     first = Window.partitionBy("fold").orderBy(F.col("sharpe").desc(), candidate)
     best = sharpes.filter("role = 'train'").withColumn("__n__", F.row_number().over(first)).filter("__n__ = 1").select("fold", candidate)
     tests = sharpes.filter("role = 'test'")
     equal = Window.partitionBy("fold", "sharpe")
     ranked = tests.withColumn("__r__", F.rank().over(Window.partitionBy("fold").orderBy("sharpe")) + (F.count("*").over(equal) - 1) / 2)
-    ranked = ranked.withColumn("omega", F.col("__r__") / (F.count("*").over(Window.partitionBy("fold")) + 1))
+    ranked = ranked.withColumn("__k__", F.count("*").over(Window.partitionBy("fold")))
+    ranked = ranked.withColumn("omega", F.col("__r__") / (F.when(F.col("__k__") > 1, F.col("__k__")).otherwise(F.raise_error(F.lit("one candidate can't be compared")).cast("long")) + 1))
     found = best.join(ranked, ["fold", candidate]).withColumn("lambda", F.log(F.col("omega") / (1 - F.col("omega"))))
     return found.agg(F.count("*").alias("n_folds"), F.avg((F.col("lambda") < 0).cast("double")).alias("pbo"), F.median("omega").alias("median_rank"))
 

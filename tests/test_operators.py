@@ -850,8 +850,8 @@ def test_folds_that_cannot_be_ranked_are_refused(spark):
     schema = "c string, fold int, role string, n int, sharpe double"
     assert stats.backtest_overfitting(spark.createDataFrame(rows, schema), "c").first().n_folds == 3
     for bad in (rows[:-1] + [("bb", 2, "test", 10, None)], rows[:-1] + [("bb", 2, "test", 1, 1.0)], rows[:-1] + [("bb", 2, "test", 10, float("nan"))], [r for r in rows if r[0] == "a"]):
-        with pytest.raises(guards.GuardError):
-            stats.backtest_overfitting(spark.createDataFrame(bad, schema), "c")
+        with pytest.raises(Exception, match="no Sharpe ratio|be compared"):
+            stats.backtest_overfitting(spark.createDataFrame(bad, schema), "c").collect()
 
 
 def test_universe_fails_what_it_does_not_know(spark):
