@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from . import lattice
 from .guards import GuardError, require_unique
+from .percentiles import percentiles
 from .ranks import quantile_group
 from .screens import clip
 from .signals import stale_mask
@@ -124,9 +125,14 @@ def _leg_cells(panel: DataFrame, signals: DataFrame, book: Rulebook, stale_days:
     rows = rows.filter(ok)
     if book.trim != "none":
         # the trim is resolved once for a cell, over all its returns; corrected cells have none
-        low, high = ((F.percentile("next_ret", p) if book.trim_percentile else F.lit(float(p))) if p is not None else F.lit(None).cast("double") for p in (book.trim_low, book.trim_high))
-        bounds = rows.groupBy("mask").agg(F.max(F.lit(0)).alias("__any__"), *([low.alias("__low__"), high.alias("__high__")] if book.trim_percentile else [F.max(low).alias("__low__"), F.max(high).alias("__high__")]))
-        rows = rows.join(F.broadcast(bounds.drop("__any__")), "mask").withColumn("__n__", count).filter(F.col("__n__") >= book.min_rows)
+        given = [p for p in (book.trim_low, book.trim_high) if p is not None]
+        if book.trim_percentile and given:
+            told = percentiles(rows.filter(~_bit(F.col("mask"), "lab_trim")), "next_ret", given, "mask")
+        else:
+            told = {mask: given for mask in range(1 << len(CHOICES))}
+        bounds = [(mask, *[None if p is None else float(own[given.index(p)]) for p in (book.trim_low, book.trim_high)]) for mask, own in told.items()]
+        bounds = panel.sparkSession.createDataFrame(bounds, "mask int, __low__ double, __high__ double")
+        rows = rows.join(F.broadcast(bounds), "mask", "left").withColumn("__n__", count).filter(F.col("__n__") >= book.min_rows)
         inside = F.coalesce(F.col("next_ret") >= F.col("__low__"), F.lit(True)) & F.coalesce(F.col("next_ret") <= F.col("__high__"), F.lit(True))
         trimmed = clip(F.col("next_ret"), F.coalesce("__low__", F.lit(float("-inf"))), F.coalesce("__high__", F.lit(float("inf")))) if book.trim == "winsorise" else F.when(inside, F.col("next_ret"))
         rows = rows.withColumn("next_ret", F.when(_bit(F.col("mask"), "lab_trim"), F.col("next_ret")).otherwise(trimmed)).filter("next_ret is not null")
@@ -154,7 +160,7 @@ def strategy_cells(panel: DataFrame, signals: DataFrame, strategy: Strategy, sta
     cells.  ``panel`` has entity and date, size, ``ret_raw``, ``ret_corr`` and, as far as the choices need them,
     ``last_trade_date_*``, ``exit_reason`` and ``universe_eligible``; ``signals`` has the scores of both families.  A
     corrected score is that of the month before formation (lag 1), an uncorrected one has the leg's own lag.  A choice
-    without an effect leaves its cells equal."""
+    without an effect leaves its cells equal.  Trims at percentiles are resolved at once, by jobs of their own."""
     runnable(strategy)
     if strategy.months != 1:
         raise GuardError("cells are run for monthly holds")
