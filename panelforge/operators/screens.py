@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .percentiles import percentiles
+
 Screen = Callable[[], Column]
 
 
@@ -132,8 +134,9 @@ def universe(df: DataFrame, exclusions: Mapping[str, Column], inclusions: Mappin
 
 def percentile_bounds(df: DataFrame, column: str, low: float | None, high: float | None) -> tuple[float | None, float | None]:
     """Exact percentiles (linear interpolation) of the whole column, nulls left out: two numbers for the driver."""
-    levels = [F.percentile(column, p) if p is not None else F.lit(None).cast("double") for p in (low, high)]
-    return tuple(df.agg(*[x.alias(f"p{k}") for k, x in enumerate(levels)]).first())
+    levels = [p for p in (low, high) if p is not None]
+    told = dict(zip(levels, percentiles(df, column, levels).get(None, []), strict=False)) if levels else {}
+    return told.get(low), told.get(high)
 
 
 def truncate(df: DataFrame, column: str, low: float | None, high: float | None) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import percentiles
+from panelforge.operators import percentiles, screens
 from panelforge.plans import registry
 
 
@@ -40,9 +40,11 @@ def test_percentiles_are_exact_whatever_the_sketches_say(spark, bounded):
             want = low if low == high or at == int(at) else low + (high - low) * (at - int(at))
             assert v == want
     assert percentiles.percentiles(df.filter("g = 5"), "v", levels) == {}
+    assert screens.percentile_bounds(df.filter("g = 1"), "v", 0.25, None) == (pytest.approx(np.quantile(own[1], 0.25)), None)
+    assert screens.percentile_bounds(df.filter("g = 5"), "v", 0.25, 0.5) == (None, None)
 
 
-@pytest.mark.parametrize("name", ["strategy_lattice"])
+@pytest.mark.parametrize("name", ["strategy_lattice", "winsor_ex_post"])
 def test_queries_hold_no_map_of_all_values(spark, sf, monkeypatch, name):
     want = sorted(map(str, registry.QUERIES[name](spark, sf).collect()))
     monkeypatch.setattr(F, "percentile", refused)
