@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from .percentiles import percentiles
 
 
 def daily_vwap(trades: DataFrame, entity: str, day: str, price: str, volume: str, min_volume: float | None = None, strict: bool = False) -> DataFrame:
@@ -128,9 +129,9 @@ def variant_impact(base: DataFrame, variant: DataFrame, entity: str, date: str,
     rows = base.filter(F.col(ret).isNotNull()).select(entity, date, F.col(ret).alias("__r__")).withColumn("__one__", F.lag("__r__").over(w))
     six = w.rowsBetween(-5, 0)
     rows = rows.withColumn("__six__", F.when(F.count("__one__").over(six) == 6, F.sum(F.log1p("__one__")).over(six)))
-    cuts = rows.agg(*[F.percentile(c, p).alias(f"{c}{k}") for c in ("__one__", "__six__") for k, p in enumerate((share_of, 1 - share_of))])
-    rows = rows.join(F.broadcast(cuts), F.lit(True))
-    far = lambda c: F.coalesce((F.col(c) <= F.col(f"{c}0")) | (F.col(c) >= F.col(f"{c}1")), F.lit(False))
+    sorts = ("__one__", "__six__")
+    cuts = percentiles(rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("sort"), F.col(c).alias("past")) for c in sorts]))), "past", (share_of, 1 - share_of), "sort")
+    far = lambda c: F.coalesce((F.col(c) <= cuts[c][0]) | (F.col(c) >= cuts[c][1]), F.lit(False)) if c in cuts else F.lit(False)
     rows = rows.withColumn("__far__", (far("__one__") | far("__six__")).cast("double"))
     both = rows.join(variant.select(entity, date, F.col(ret).alias("__v__")), [entity, date], "left")
     d = F.abs(F.col("__v__") - F.col("__r__"))
