@@ -44,7 +44,7 @@ def test_percentiles_are_exact_whatever_the_sketches_say(spark, bounded):
     assert screens.percentile_bounds(df.filter("g = 5"), "v", 0.25, 0.5) == (None, None)
 
 
-@pytest.mark.parametrize("name", ["strategy_lattice", "winsor_ex_post", "trim_percentile", "variant_impact"])
+@pytest.mark.parametrize("name", ["strategy_lattice", "winsor_ex_post", "trim_percentile", "variant_impact", "trimmed_sort_ls"])
 def test_queries_hold_no_map_of_all_values(spark, sf, monkeypatch, name):
     want = sorted(map(str, registry.QUERIES[name](spark, sf).collect()))
     monkeypatch.setattr(F, "percentile", refused)
