@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import floor
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Values between two edges that are put in order by one task; the grid of a sketch, and its precision.
 FEW, GRID, PRECISION = 1_000_000, 1_000, 5_000
@@ -39,14 +42,21 @@ def _between(found: dict, group: object, place: float, last: int) -> float:
     return low + (high - low) * share if share and low != high else low
 
 
+def _table(like: DataFrame, kinds: list[tuple[str, T.DataType]], rows: list[tuple]) -> DataFrame:
+    """A small table of the driver, as a part of the plan.  Rows handed over as Python objects would start Python workers
+    on the executors, beside the tasks' memory."""
+    schema = to_arrow_schema(T.StructType([T.StructField(n, k) for n, k in kinds]))
+    columns = [pa.array([r[k] for r in rows], field.type) for k, field in enumerate(schema)]
+    return like.sparkSession.createDataFrame(pa.Table.from_arrays(columns, schema=schema))
+
+
 def _with_regions(values: DataFrame, edges: dict[object, list[float]]) -> DataFrame:
     """``region``: the edges below a value and those up to it, together: odd if it is an edge, even between two."""
     width = max(map(len, edges.values()))
     if not width:
         return values.withColumn("region", F.lit(0))
     rows = [(g, *e, *[None] * (width - len(e))) for g, e in edges.items()]
-    kinds = ", ".join([f"eg {values.schema['g'].dataType.simpleString()}", *[f"e{k} double" for k in range(width)]])
-    table = values.sparkSession.createDataFrame(rows, kinds)
+    table = _table(values, [("eg", values.schema["g"].dataType), *[(f"e{k}", T.DoubleType()) for k in range(width)]], rows)
     told = lambda c: F.coalesce(c.cast("int"), F.lit(0))
     region = sum((told(F.col(f"e{k}") < F.col("v")) + told(F.col(f"e{k}") <= F.col("v")) for k in range(width)), F.lit(0))
     return values.join(F.broadcast(table), F.col("g").eqNullSafe(F.col("eg"))).select("g", "v", region.alias("region"))
@@ -55,8 +65,7 @@ def _with_regions(values: DataFrame, edges: dict[object, list[float]]) -> DataFr
 def _in(rows: DataFrame, wanted: list[tuple], *more: str) -> DataFrame:
     """Rows whose g, region (and more) are wanted."""
     names = ["g", "region", *more]
-    kinds = ", ".join(f"w{k} {rows.schema[n].dataType.simpleString()}" for k, n in enumerate(names))
-    table = rows.sparkSession.createDataFrame(wanted, kinds)
+    table = _table(rows, [(f"w{k}", rows.schema[n].dataType) for k, n in enumerate(names)], wanted)
     same: Column = F.col("g").eqNullSafe(F.col("w0"))
     for k, n in enumerate(names[1:], 1):
         same = same & (F.col(n) == F.col(f"w{k}"))

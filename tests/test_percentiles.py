@@ -44,6 +44,14 @@ def test_percentiles_are_exact_whatever_the_sketches_say(spark, bounded):
     assert screens.percentile_bounds(df.filter("g = 5"), "v", 0.25, 0.5) == (None, None)
 
 
+@pytest.mark.parametrize("name", ["trim_percentile", "trimmed_sort_ls"])
+def test_trims_start_no_python_on_executors(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    monkeypatch.setattr(percentiles, "FEW", 40)
+    rows = registry.QUERIES[name](spark, sf)
+    assert "Python" not in rows._jdf.queryExecution().toString() and rows.count()
+
+
 @pytest.mark.parametrize("name", ["strategy_lattice", "winsor_ex_post", "trim_percentile", "variant_impact", "trimmed_sort_ls"])
 def test_queries_hold_no_map_of_all_values(spark, sf, monkeypatch, name):
     want = sorted(map(str, registry.QUERIES[name](spark, sf).collect()))
