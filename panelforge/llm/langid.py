@@ -4,16 +4,18 @@ A text's letters (ASCII ones as small letters, all bytes of other characters) an
 them are cut into windows of at most WINDOW bytes, at blanks where there are any and never inside a character.  Over
 each window one network runs forwards and one backwards, across its words, so every byte gets probabilities of the
 languages from what stands before and after it; a document's probabilities are the mean over all its letters' bytes.
-numpy trains the network by backpropagation through time on a bounded sample of the labelled rows.
+numpy trains the network by backpropagation through time: a bounded sample of the labelled rows gives the values from
+which it starts, then every window of every labelled text takes part in the gradients of ROUNDS steps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,9 @@ HIDDEN = 16
 #: Of a longer text as many are taken in PIECES spread over all of it; with many languages each has less.
 SAMPLE_DOCUMENTS, SAMPLE_POINTS, SAMPLE_TOTAL, PIECES = 300, 20_000, 24_000_000, 20
 STEPS, BATCH, RATE = 400, 96, 0.02
+#: Steps over all labelled rows, each row in one of them; the tasks whose sums come to the driver, at most; windows that go
+#: through the gradients together; and bins of the scores whose median gives the limit.
+ROUNDS, TASKS, LEARNED_ROWS, BINS = 8, 256, 512, 10_000
 RUN_BYTES = 1 << 19
 #: Windows that go through the network together, and the most probabilities that they have.
 ROWS, OUTPUTS = 2048, 8 << 20
@@ -90,6 +95,8 @@ class Model:
     p: dict[str, np.ndarray]
     #: The score from which a text counts as one of the languages.
     least: float = 0.0
+    #: Mean squares of the gradients of the sample's steps, by parameter: the scale of the steps over all rows.
+    second: dict[str, np.ndarray] | None = None
 
     def _run(self, x: np.ndarray, side: str, trace: list | None = None) -> np.ndarray:
         """States of one direction: steps x HIDDEN x rows.  The gates are logistic, as half of 1 + tanh of half."""
@@ -157,12 +164,14 @@ class Model:
         n = int((found != BLANK).sum())
         return float(self.sums(found).sum(0).max()) / n if n else None
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, counted: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def gradients(self, x: np.ndarray, y: np.ndarray, counted: np.ndarray, told: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
         """The mean loss over the ``counted`` bytes of the windows ``x`` (steps x rows of symbols) in languages ``y``,
-        and its gradients."""
+        and its gradients.  ``told`` (rows x languages) gets each window's sums as in ``sums``."""
         traces = {"f": [], "b": []}
         states = np.concatenate([self._run(x, s, traces[s]) for s in "fb"], 1).transpose(0, 2, 1)
         probs = _softmax(states @ self.p["o"] + self.p["c"])
+        if told is not None:
+            told[:] = (probs * ((counted > 0) & (x > 0))[:, :, None]).sum(0)
         share = (counted / max(1, counted.sum())).astype(probs.dtype)
         rows = np.arange(x.shape[1])
         loss = -float((np.log(probs[:, rows, y] + 1e-9) * share).sum())
@@ -194,9 +203,9 @@ class Model:
         return loss, grads
 
 
-def fit(texts: list[tuple[str, str]], steps: int = STEPS, seed: int = 0) -> Model:
+def fit(texts: list[tuple[str, str]], steps: int = STEPS, seed: int = 0, more: frozenset[int] = frozenset()) -> Model:
     """A network for texts and their languages: each step takes windows drawn alike from all languages, half of them
-    cut short, since short texts fill no window."""
+    cut short, since short texts fill no window.  ``more``: folded bytes that it has inputs for beside the texts' own."""
     languages = sorted({lang for _, lang in texts})
     place = {lang: k for k, lang in enumerate(languages)}
     found: list[list[np.ndarray]] = [[] for _ in languages]
@@ -204,7 +213,7 @@ def fit(texts: list[tuple[str, str]], steps: int = STEPS, seed: int = 0) -> Mode
         found[place[lang]].append(windows(text.encode()))
     pools = [np.concatenate(x) for x in found]
     rng = np.random.default_rng(seed)
-    used = sorted({BLANK} | {int(b) for x in pools for b in np.unique(x)})
+    used = sorted({BLANK} | more | {int(b) for x in pools for b in np.unique(x)})
     symbols = np.zeros(256, np.int64)
     symbols[used] = 1 + np.arange(len(used))
     scale = lambda a, *shape: (rng.standard_normal(shape) * a).astype(np.float32)
@@ -229,12 +238,96 @@ def fit(texts: list[tuple[str, str]], steps: int = STEPS, seed: int = 0) -> Mode
             first[k] += 0.1 * (g - first[k])
             second[k] += 0.01 * (g * g - second[k])
             p[k] -= rate * (first[k] / (1 - 0.9 ** (step + 1))) / (np.sqrt(second[k] / (1 - 0.99 ** (step + 1))) + 1e-6)
+    model.second = {k: v / (1 - 0.99 ** max(1, steps)) for k, v in second.items()}
     return model
 
 
-def least_score(texts: list[tuple[str, str]]) -> float:
-    """Halfway from chance to the median score of texts held out of a network for the others (a fifth of each
-    language); with one language, or too few texts to hold any out, halfway to that of the learned texts."""
+def _seen(rows: DataFrame) -> tuple[dict[str, int], frozenset[int]]:
+    """Of all rows with l and t: the bytes of letters by language, and the folded bytes that there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names = batch.column("l").to_pylist()
+            raw, at = flat(filled(batch.column("t")))
+            data = np.frombuffer(raw, np.uint8)
+            for name, a, b in zip(names, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if name not in found:
+                    found[name] = np.zeros(256, np.int64)
+                found[name] += np.bincount(data[a:b], minlength=256)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x.tolist() for x in found.values()], pa.list_(pa.int64()))], ["l", "n"])
+
+    told = rows.select("l", "t").mapInArrow(tidied(run), "l string, n array<bigint>")
+    sums = told.groupBy("l").agg(F.array(*[F.sum(F.col("n")[k]) for k in range(256)]).alias("n")).collect()
+    letters = {r.l: sum(n for k, n in enumerate(r.n) if _FOLD[k] != BLANK) for r in sums}
+    return letters, frozenset(int(_FOLD[k]) for r in sums for k, n in enumerate(r.n) if n)
+
+
+def learn(rows: DataFrame, model: Model, letters: dict[str, int], known: np.ndarray) -> tuple[Model, np.ndarray]:
+    """Steps over all rows with l, t and the hash i: each text goes whole into one of ROUNDS steps, whose gradient is summed
+    over the windows of all its texts, every language weighing alike.  The sums don't depend on how rows are dealt to
+    tasks but for rounding.  Returns the network, and how many texts, those with a hash in ``known`` aside, had
+    which score (in BINS) before they were learned."""
+    place = {lang: k for k, lang in enumerate(model.languages)}
+    mean = sum(letters.values()) / len(place)
+    weights = np.array([mean / max(1, letters.get(lang, 0)) for lang in model.languages])
+    names = sorted(model.p)
+    at_once = max(8, min(LEARNED_ROWS, OUTPUTS // (8 * WINDOW * len(place))))
+    bins = np.zeros(BINS + 1, np.int64)
+    kinds = "task int, weight double, sums array<double>, bins array<bigint>"
+    for k in range(ROUNDS):
+        shipped = rows.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            net, weight, scores = shipped.value, 0.0, np.zeros(BINS + 1, np.int64)
+            sums = {n: np.zeros(v.shape) for n, v in net.p.items()}
+            for batch in batches:
+                for part in pieces_of(batch, "t", RUN_BYTES):
+                    _, _, data, _, owner, begins, ends = _cut_rows(filled(part.column("t")))
+                    y = np.array([place[x] for x in part.column("l").to_pylist()], np.int64)
+                    told, count = np.zeros((part.num_rows, len(place))), np.zeros(part.num_rows, np.int64)
+                    for start in range(0, len(owner), at_once):
+                        x = _padded([data[a:b] for a, b in zip(begins[start : start + at_once], ends[start : start + at_once], strict=True)])
+                        own = owner[start : start + at_once]
+                        counted = ((x != BLANK) * weights[y[own]][:, None]).T.astype(np.float32)
+                        size, heard = float(counted.sum()), np.empty((len(own), len(place)), np.float32)
+                        _, grads = net.gradients(net.symbols[x.T], y[own], counted, heard)
+                        for n, g in grads.items():
+                            sums[n] += g * max(1.0, size)
+                        weight += size
+                        np.add.at(told, own, heard)
+                        np.add.at(count, own, (x != BLANK).sum(1))
+                    new = (count > 0) & ~np.isin(part.column("i").to_numpy(zero_copy_only=False), known)
+                    np.add.at(scores, np.minimum(BINS, (told[new].max(1) / count[new] * BINS).astype(np.int64)), 1)
+            if weight:
+                flat_sums = np.concatenate([sums[n].ravel() for n in names])
+                task = TaskContext.get()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([task.partitionId() if task else 0], pa.int32()), pa.array([weight]), pa.array([flat_sums.tolist()], pa.list_(pa.float64())), pa.array([scores.tolist()], pa.list_(pa.int64()))],
+                    ["task", "weight", "sums", "bins"],
+                )
+
+        own = rows.filter(F.pmod(F.xxhash64("i", F.lit("round")), F.lit(ROUNDS)) == k).coalesce(TASKS)
+        found = sorted(own.mapInArrow(tidied(run), kinds).collect(), key=lambda r: r.task)
+        shipped.unpersist()
+        if not found:
+            continue
+        total = sum(np.array(r.sums) for r in found) / sum(r.weight for r in found)
+        bins += sum(np.array(r.bins) for r in found)
+        rate, at, p = RATE / 2 * (1 - k / ROUNDS), 0, {}
+        for n in names:
+            v = model.p[n]
+            g = total[at : at + v.size].reshape(v.shape)
+            p[n] = (v - rate * np.clip(g / (np.sqrt(model.second[n]) + 1e-6), -1, 1)).astype(v.dtype)
+            at += v.size
+        model = replace(model, p=p)
+    return model, bins
+
+
+def held_out_scores(texts: list[tuple[str, str]]) -> list[float]:
+    """Scores of texts held out of a network for the others (a fifth of each language), of the learned texts if there are
+    too few to hold any out."""
     seen: dict[str, int] = {}
     folds = []
     for text, lang in sorted(texts):
@@ -242,9 +335,20 @@ def least_score(texts: list[tuple[str, str]]) -> float:
         folds.append((text, lang, seen[lang] % 5 == 0))
     held = [t for t, _, out in folds if out]
     model = fit([(t, lang) for t, lang, out in folds if not out])
-    scores = [x for t in held or [t for t, _ in texts] if (x := model.score(t)) is not None]
-    chance = 1 / len(model.languages) if len(model.languages) > 1 else 0.0
-    return chance + (float(np.median(scores)) - chance) / 2 if scores else 0.0
+    return [x for t in held or [t for t, _ in texts] if (x := model.score(t)) is not None]
+
+
+def least_score(texts: list[tuple[str, str]], bins: np.ndarray | None = None) -> float:
+    """Halfway from chance to the median of held-out scores: those of ``texts`` (``held_out_scores``), and those counted in
+    ``bins``, of texts that were scored before they were learned."""
+    scores = held_out_scores(texts)
+    languages = len({lang for _, lang in texts})
+    chance = 1 / languages if languages > 1 else 0.0
+    if bins is None or not bins.sum():
+        return chance + (float(np.median(scores)) - chance) / 2 if scores else 0.0
+    bins = bins + np.bincount((np.array(scores) * BINS).astype(np.int64).clip(0, BINS), minlength=BINS + 1)
+    median = (np.searchsorted(np.cumsum(bins), (bins.sum() + 1) // 2) + 0.5) / BINS
+    return chance + (min(1.0, float(median)) - chance) / 2
 
 
 def accepted(model: Model, score: Column, letters: Column) -> Column:
@@ -257,34 +361,42 @@ def accepted(model: Model, score: Column, letters: Column) -> Column:
 def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", limit: bool = False) -> Model | None:
     """A network from the rows of ``df`` whose ``lang`` isn't null, None if there are none.
 
-    The sample is bounded: of each language at most SAMPLE_DOCUMENTS texts, those with the least hashes of ``doc_id``
+    Every window of every such row is learned from (``learn``), in steps that begin at a network for a bounded sample; all
+    bytes of the rows have inputs.  The sample: of each language at most SAMPLE_DOCUMENTS texts, those with the least hashes of ``doc_id``
     and text, of each at most SAMPLE_POINTS characters, spread over the whole text, and of all languages together about
     SAMPLE_TOTAL, which many languages share alike.  So texts of any length and rows without an id are drawn like all
     others; rows that repeat both id and text are drawn together, null texts never.  A language's share of the rows is
     counted first, so that only about twice that many rows are sorted for it.  With ``limit`` the network has the score
-    that ``least_score`` gives.
+    that ``least_score`` gives, from all rows outside the sample and the sample's own held-out texts.
     """
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.col(doc_id).alias("i"))
+    small_batches(df.sparkSession)
+    rows = rows.withColumn("i", F.xxhash64("i", "t", F.lit("sample")))
+    every = rows
     counts = durable(rows.groupBy("l").agg(F.count("*").alias("n")), "languages")
     each = SAMPLE_TOTAL // max(1, counts.count())
     documents = min(SAMPLE_DOCUMENTS, max(1, each // 200))
     points = min(SAMPLE_POINTS, max(200, each // documents))
     shares = counts.select(F.col("l").alias("l2"), (F.lit(2.0 * documents + 60) / F.col("n")).alias("share"))
     shares = F.broadcast(shares) if counts.count() <= BROADCAST_LANGUAGES else shares
-    draw = F.pmod(F.xxhash64(F.col("i"), F.col("t"), F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    draw = F.pmod(F.col("i"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rows = rows.withColumn("draw", draw).join(shares, F.col("l") == F.col("l2")).filter("draw < share")
     size = max(1, points // PIECES)
     start = lambda k: F.floor(F.char_length("t") * F.lit(k / PIECES)).cast("int") + 1
     pieces = F.concat_ws(" ", *[F.substring(F.col("t"), start(k), F.lit(size)) for k in range(PIECES)])
-    rows = rows.select("l", "draw", F.xxhash64("t").alias("h"), F.when(F.char_length("t") <= points, F.col("t")).otherwise(pieces).alias("t"))
+    rows = rows.select("l", "draw", "i", F.xxhash64("t").alias("h"), F.when(F.char_length("t") <= points, F.col("t")).otherwise(pieces).alias("t"))
     order = Window.partitionBy("l").orderBy("draw", "h", "t")
-    found = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= documents).select("t", "l").collect()
+    found = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= documents).select("t", "l", "i").collect()
     if not found:
         return None
     texts = [(r.t, r.l) for r in found]
-    model = fit(texts)
+    letters, used = _seen(every)
+    model = fit(texts, more=used)
+    if model is None:
+        return None
+    model, bins = learn(every, model, letters, np.array([r.i for r in found], np.int64))
     if limit:
-        model.least = least_score(texts)
+        model.least = least_score(texts, bins)
     return model
 
 

@@ -136,3 +136,22 @@ def test_query_against_one_text_at_a_time(spark):
             continue
         mean = model.sums(found).sum(0, dtype=float) / (found != langid.BLANK).sum()
         assert abs(g.score - mean.max()) < 1e-4 and (g.lang_pred == model.languages[int(mean.argmax())] or np.sort(mean)[-1] - np.sort(mean)[-2] < 1e-4)
+
+
+def test_every_labelled_window_is_learned(spark, monkeypatch):
+    """Whatever the sample leaves out takes part in the steps: all bytes get inputs, all windows gradients and scores."""
+    monkeypatch.setattr(langid, "SAMPLE_DOCUMENTS", 3)
+    rows = [(k, ("der hund und die katze " if k % 2 else "the dog and the cat ") * (1 + k % 9), "de" if k % 2 else "en") for k in range(60)]
+    rows += [(100 + k, "\u0436\u0448 " * 40, "ru") for k in range(4)] + [(200, "\u00e5" * 300, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    told = {}
+    monkeypatch.setattr(langid, "learn", lambda every, model, letters, known, own=langid.learn: told.update(zip(("model", "bins"), own(every, model, letters, known), strict=True), start=model, letters=letters) or (told["model"], told["bins"]))
+    model = langid.train(df, limit=True)
+    whole = {lang: sum(int((langid.windows(t.encode()) != langid.BLANK).sum()) for _, t, x in rows if x == lang) for lang in ("de", "en", "ru")}
+    assert told["letters"] == whole
+    assert all(model.symbols[b] for _, t, _ in rows for b in langid.folded(t.encode())[0])
+    assert told["bins"].sum() == len(rows) - 9
+    assert all((model.p[n] != told["start"].p[n]).any() for n in model.p)
+    again = langid.train(df.repartition(2), limit=True)
+    assert again.least == pytest.approx(model.least, abs=1e-3)
+    assert all(np.allclose(again.p[n], model.p[n], atol=1e-3) for n in model.p)
