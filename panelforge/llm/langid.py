@@ -5,11 +5,12 @@ them are cut into windows of at most WINDOW bytes, at blanks where there are any
 each window one network runs forwards and one backwards, across its words, so every byte gets probabilities of the
 languages from what stands before and after it; a document's probabilities are the mean over all its letters' bytes.
 numpy trains the network by backpropagation through time: a bounded sample of the labelled rows gives the values from
-which it starts, then every window of every labelled text takes part in the gradients of ROUNDS steps.
+which it starts, then every window of every labelled text takes part in ROUNDS steps (``learn``).
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -31,10 +32,12 @@ SAMPLE_DOCUMENTS, SAMPLE_POINTS, SAMPLE_TOTAL, PIECES = 300, 20_000, 24_000_000,
 STEPS, BATCH, RATE = 400, 96, 0.02
 #: Steps over all labelled rows, each row in one of them; the tasks whose sums come to the driver, at most; windows that go
 #: through the gradients together; and bins of the scores whose median gives the limit.
-ROUNDS, TASKS, LEARNED_ROWS, BINS = 8, 256, 512, 10_000
+ROUNDS, TASKS, LEARNED_ROWS, BINS = 8, 256, 256, 10_000
+#: The mean probability of its language over a window's letters from which the loss of the steps over all rows is flat.
+CERTAIN = 0.9
 RUN_BYTES = 1 << 19
 #: Windows that go through the network together, and the most probabilities that they have.
-ROWS, OUTPUTS = 2048, 8 << 20
+ROWS, OUTPUTS = 384, 8 << 20
 #: Languages up to which their shares of the rows are broadcast, so that texts are sampled before any shuffle.
 BROADCAST_LANGUAGES = 10_000
 UNKNOWN = "und"
@@ -80,10 +83,15 @@ def _padded(found: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(x.ljust(WINDOW) for x in found), np.uint8).reshape(-1, WINDOW)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(-1, keepdims=True))
-    x /= x.sum(-1, keepdims=True)
-    return x
+_LENT = threading.local()
+
+
+def _space(name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+    """An array without values, the same memory at each call of this thread: fresh memory costs more than what is put there."""
+    need = int(np.prod(shape)) * np.dtype(kind).itemsize
+    if (held := getattr(_LENT, name, None)) is None or len(held) < need:
+        setattr(_LENT, name, held := np.empty(need, np.uint8))
+    return held[:need].view(kind).reshape(shape)
 
 
 @dataclass
@@ -98,48 +106,74 @@ class Model:
     #: Mean squares of the gradients of the sample's steps, by parameter: the scale of the steps over all rows.
     second: dict[str, np.ndarray] | None = None
 
-    def _run(self, x: np.ndarray, side: str, trace: list | None = None) -> np.ndarray:
-        """States of one direction: steps x HIDDEN x rows.  The gates are logistic, as half of 1 + tanh of half."""
-        u = self.p[f"u{side}"].T.copy()
-        hidden = u.shape[1]
-        gates = np.where(np.arange(3 * hidden) < 2 * hidden, 0.5, 1).astype(u.dtype)
-        w, u = np.ascontiguousarray(((self.p[f"w{side}"] + self.p[f"b{side}"]) * gates).T), u * gates[:, None]
-        h = np.zeros((hidden, x.shape[1]), u.dtype)
-        out = np.empty((len(x), hidden, x.shape[1]), u.dtype)
-        for t in range(len(x)) if side == "f" else range(len(x) - 1, -1, -1):
-            a, g = np.take(w, x[t], axis=1), u @ h
-            zr = a[: 2 * hidden]
-            zr += g[: 2 * hidden]
+    def _gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs (gates x directions x symbols) x HIDDEN and recurrent weights gates x directions x HIDDEN x HIDDEN.  The
+        logistic gates are half of 1 + tanh of half: the halves are in these weights, and r's in those of what it meets."""
+        hidden = self.p["uf"].shape[0]
+        cut = lambda v: v.reshape(len(v), 3, hidden).transpose(1, 0, 2)
+        w = np.stack([cut(self.p[f"w{s}"] + self.p[f"b{s}"]) for s in "fb"], 1)
+        w[:2] *= 0.5
+        return w.reshape(-1, hidden), np.stack([cut(self.p[f"u{s}"]) for s in "fb"], 1) * w.dtype.type(0.5)
+
+    def _states(self, x: np.ndarray, trace: list[np.ndarray] | None = None) -> np.ndarray:
+        """States of windows (steps x rows of symbols): directions x steps x rows x HIDDEN, the backward direction's from
+        the last step on.  Both go together and each gate's values lie in one piece, which numpy is fastest with.
+        ``trace`` gets what the gradients need: the slopes of z and r, r itself, the slope of c, and z.  All of these are
+        lent, until the next call in this thread."""
+        w, u = self._gates()
+        hidden, (steps, rows) = u.shape[-1], x.shape
+        out = _space("states", (2, steps, rows, hidden), u.dtype)
+        if trace is not None:
+            trace.append(_space("trace", (5, *out.shape), u.dtype))
+        a, g = (np.empty((3, 2, rows, hidden), u.dtype) for _ in range(2))
+        h, c, d = (np.zeros((2, rows, hidden), u.dtype) for _ in range(3))
+        base, both = np.arange(6).reshape(3, 2, 1) * (len(w) // 6), np.stack([x, x[::-1]])
+        at = np.empty((3, 2, rows), np.intp)
+        for t in range(steps):
+            np.add(base, both[:, t], out=at)
+            np.take(w, at, axis=0, out=a, mode="clip")
+            np.matmul(h, u, out=g)
+            zr, rg = a[:2], g[2]
+            zr += g[:2]
             np.tanh(zr, out=zr)
             zr += 1
-            zr *= 0.5
-            z, r = zr[:hidden], zr[hidden:]
-            c = r * g[2 * hidden :]
-            c += a[2 * hidden :]
+            z = a[0]
+            z *= 0.5
+            rg *= a[1]
+            np.add(a[2], rg, out=c)
             np.tanh(c, out=c)
+            np.subtract(h, c, out=d)
+            d *= z
+            h = out[:, t]
+            np.add(d, c, out=h)
             if trace is not None:
-                trace.append((t, h, z, r, c, g[2 * hidden :]))
-            h = h - c
-            h *= z
-            h += c
-            out[t] = h
+                of_z, of_r, kept_r, of_c, kept_z = trace[0][:, :, t]
+                kept_z[...] = z
+                np.multiply(a[1], 0.5, out=kept_r)
+                np.subtract(1, z, out=z)
+                np.multiply(d, z, out=of_z)
+                c *= c
+                np.subtract(1, c, out=c)
+                np.multiply(c, z, out=of_c)
+                np.subtract(1, kept_r, out=d)
+                np.multiply(rg, d, out=of_r)
         return out
 
-    def _probabilities(self, x: np.ndarray) -> np.ndarray:
-        """Of the languages at each byte of windows (steps x rows of symbols): steps x languages x rows."""
-        hidden = self.p["uf"].shape[0]
+    def _probabilities(self, states: np.ndarray) -> np.ndarray:
+        """Of the languages at each byte of windows, from their states: languages x steps x rows."""
+        _, steps, rows, hidden = states.shape
         o = np.ascontiguousarray(self.p["o"].T)
-        out = o[:, :hidden] @ self._run(x, "f")
-        out += o[:, hidden:] @ self._run(x, "b")
-        out += self.p["c"][:, None]
-        out -= out.max(1, keepdims=True)
+        out = (o[:, :hidden] @ states[0].reshape(-1, hidden).T).reshape(-1, steps, rows)
+        out += (o[:, hidden:] @ states[1].reshape(-1, hidden).T).reshape(-1, steps, rows)[:, ::-1]
+        out += self.p["c"][:, None, None]
+        out -= out.max(0)
         np.exp(out, out=out)
-        out /= out.sum(1, keepdims=True)
+        out /= out.sum(0)
         return out
 
     def positions(self, x: np.ndarray) -> np.ndarray:
-        """The same as steps x rows x languages."""
-        return self._probabilities(x).transpose(0, 2, 1)
+        """Probabilities of the languages at each byte of windows (steps x rows of symbols): steps x rows x languages."""
+        return self._probabilities(self._states(x)).transpose(1, 2, 0)
 
     def sums(self, found: np.ndarray) -> np.ndarray:
         """Probabilities summed over the letters' bytes of each window; bytes that weren't learned have none."""
@@ -148,9 +182,9 @@ class Model:
             part = found[start : start + self.rows]
             x = self.symbols[part.T]
             counted = ((x > 0) & (part.T != BLANK)).astype(np.float32)
-            told = self._probabilities(x)
-            told *= counted[:, None, :]
-            out[start : start + self.rows] = told.sum(0).T
+            told = self._probabilities(self._states(x))
+            told *= counted
+            out[start : start + self.rows] = told.sum(1).T
         return out
 
     @property
@@ -167,39 +201,47 @@ class Model:
     def gradients(self, x: np.ndarray, y: np.ndarray, counted: np.ndarray, told: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
         """The mean loss over the ``counted`` bytes of the windows ``x`` (steps x rows of symbols) in languages ``y``,
         and its gradients.  ``told`` (rows x languages) gets each window's sums as in ``sums``."""
-        traces = {"f": [], "b": []}
-        states = np.concatenate([self._run(x, s, traces[s]) for s in "fb"], 1).transpose(0, 2, 1)
-        probs = _softmax(states @ self.p["o"] + self.p["c"])
+        kept: list[np.ndarray] = []
+        states = self._states(x, kept)
+        probs = self._probabilities(states)
         if told is not None:
-            told[:] = (probs * ((counted > 0) & (x > 0))[:, :, None]).sum(0)
+            told[:] = (probs * ((counted > 0) & (x > 0))).sum(1).T
         share = (counted / max(1, counted.sum())).astype(probs.dtype)
-        rows = np.arange(x.shape[1])
-        loss = -float((np.log(probs[:, rows, y] + 1e-9) * share).sum())
-        probs[:, rows, y] -= 1
-        probs *= share[:, :, None]
-        hidden = self.p["uf"].shape[0]
-        grads = {"o": states.reshape(-1, 2 * hidden).T @ probs.reshape(-1, probs.shape[-1]), "c": probs.sum((0, 1))}
-        back = (probs @ self.p["o"].T).transpose(0, 2, 1)
+        steps, rows = x.shape
+        own = y, slice(None), np.arange(rows)
+        loss = -float((np.log(probs[own] + 1e-9) * share.T).sum())
+        probs[own] -= 1
+        probs *= share
+        hidden, flat_states = states.shape[-1], states.reshape(2, steps * rows, -1)
+        wrong = [probs.reshape(len(probs), -1), probs[:, ::-1].reshape(len(probs), -1)]
+        grads = {"o": np.concatenate([flat_states[k].T @ wrong[k].T for k in range(2)]), "c": wrong[0].sum(1)}
+        back = _space("back", states.shape, states.dtype)
+        for k in range(2):
+            np.matmul(wrong[k].T, self.p["o"][k * hidden : (k + 1) * hidden].T, out=back[k].reshape(-1, hidden))
+        u = np.stack([self.p[f"u{s}"].reshape(hidden, 3, hidden).transpose(1, 2, 0) for s in "fb"], 1).copy()
+        into, z = kept[0][:4], kept[0][4]  # becomes what goes into z, into r and, behind r, into c; then into c itself
+        dh, g = np.zeros_like(states[:, 0]), np.empty((3, *states[:, 0].shape), states.dtype)
+        for t in range(steps - 1, -1, -1):
+            dh += back[:, t]
+            of_z, of_r, of_g, of_c = into[:, :, t]
+            of_c *= dh
+            of_z *= dh
+            of_r *= of_c
+            of_g *= of_c
+            np.matmul(into[:3, :, t], u, out=g)
+            dh *= z[:, t]
+            for part in g:
+                dh += part
         for k, side in enumerate("fb"):
-            u = self.p[f"u{side}"]
-            dh = np.zeros((hidden, x.shape[1]), u.dtype)
-            inputs = np.empty((len(x), 3 * hidden, x.shape[1]), u.dtype)
-            gu = np.zeros_like(u)
-            for t, h, z, r, c, gn in reversed(traces[side]):
-                dh = dh + back[t][k * hidden : (k + 1) * hidden]
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (h - c) * z * (1 - z)
-                dr = dc * gn * r * (1 - r)
-                inputs[t] = np.concatenate([dz, dr, dc])
-                dg = np.concatenate([dz, dr, dc * r])
-                gu += h @ dg.T
-                dh = dh * z + u @ dg
-            into = inputs.transpose(0, 2, 1).reshape(-1, 3 * hidden)
+            before = states[k, :-1].reshape(-1, hidden).T
+            grads[f"u{side}"] = np.concatenate([before @ into[n, k, 1:].reshape(-1, hidden) for n in range(3)], 1)
+            met = (x[::-1] if k else x).astype(np.uint16).ravel()
+            order = np.argsort(met, kind="stable")
+            met = met[order]
+            first = np.flatnonzero(np.diff(met, prepend=-1))
             gw = np.zeros_like(self.p[f"w{side}"])
-            order = np.argsort(x.ravel(), kind="stable")
-            first = np.flatnonzero(np.diff(x.ravel()[order], prepend=-1))
-            gw[x.ravel()[order][first]] = np.add.reduceat(into[order], first)
-            grads |= {f"w{side}": gw, f"u{side}": gu, f"b{side}": into.sum(0)}
+            gw[met[first]] = np.concatenate([np.add.reduceat(np.take(into[n, k].reshape(-1, hidden), order, axis=0), first) for n in (0, 1, 3)], 1)
+            grads |= {f"w{side}": gw, f"b{side}": gw.sum(0)}
         return loss, grads
 
 
@@ -266,7 +308,9 @@ def _seen(rows: DataFrame) -> tuple[dict[str, int], frozenset[int]]:
 
 def learn(rows: DataFrame, model: Model, letters: dict[str, int], known: np.ndarray) -> tuple[Model, np.ndarray]:
     """Steps over all rows with l, t and the hash i: each text goes whole into one of ROUNDS steps, whose gradient is summed
-    over the windows of all its texts, every language weighing alike.  The sums don't depend on how rows are dealt to
+    over the windows of all its texts, every language weighing alike.  The loss has a margin: it is flat, without a slope,
+    where a window's letters already have their language with a mean probability of CERTAIN, so that every window goes
+    through the network, and back through it those that it doesn't tell that well.  The sums don't depend on how rows are dealt to
     tasks but for rounding.  Returns the network, and how many texts, those with a hash in ``known`` aside, had
     which score (in BINS) before they were learned."""
     place = {lang: k for k, lang in enumerate(model.languages)}
@@ -282,24 +326,39 @@ def learn(rows: DataFrame, model: Model, letters: dict[str, int], known: np.ndar
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             net, weight, scores = shipped.value, 0.0, np.zeros(BINS + 1, np.int64)
             sums = {n: np.zeros(v.shape) for n, v in net.p.items()}
+            doubted: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def add_gradients(least: int) -> None:
+                x, y = (np.concatenate(part) for part in zip(*doubted, strict=True))
+                ready = len(x) - len(x) % least  # the others wait for more
+                doubted[:] = [(x[ready:], y[ready:])]
+                for start in range(0, ready, at_once):
+                    own, lang = x[start : start + at_once], y[start : start + at_once]
+                    counted = ((own != BLANK) * weights[lang][:, None]).T.astype(np.float32)
+                    _, grads = net.gradients(net.symbols[own.T], lang, counted)
+                    for n, g in grads.items():
+                        sums[n] += g * max(1.0, float(counted.sum()))
+
             for batch in batches:
                 for part in pieces_of(batch, "t", RUN_BYTES):
                     _, _, data, _, owner, begins, ends = _cut_rows(filled(part.column("t")))
                     y = np.array([place[x] for x in part.column("l").to_pylist()], np.int64)
                     told, count = np.zeros((part.num_rows, len(place))), np.zeros(part.num_rows, np.int64)
-                    for start in range(0, len(owner), at_once):
-                        x = _padded([data[a:b] for a, b in zip(begins[start : start + at_once], ends[start : start + at_once], strict=True)])
-                        own = owner[start : start + at_once]
-                        counted = ((x != BLANK) * weights[y[own]][:, None]).T.astype(np.float32)
-                        size, heard = float(counted.sum()), np.empty((len(own), len(place)), np.float32)
-                        _, grads = net.gradients(net.symbols[x.T], y[own], counted, heard)
-                        for n, g in grads.items():
-                            sums[n] += g * max(1.0, size)
-                        weight += size
+                    for start in range(0, len(owner), ROWS):
+                        x = _padded([data[a:b] for a, b in zip(begins[start : start + ROWS], ends[start : start + ROWS], strict=True)])
+                        own = owner[start : start + ROWS]
+                        lang, letters, heard = y[own], (x != BLANK).sum(1), net.sums(x)
+                        weight += float((letters * weights[lang]).sum())
                         np.add.at(told, own, heard)
-                        np.add.at(count, own, (x != BLANK).sum(1))
+                        np.add.at(count, own, letters)
+                        if len(doubt := np.flatnonzero(heard[np.arange(len(own)), lang] < CERTAIN * letters)):
+                            doubted.append((x[doubt], lang[doubt]))
+                            if sum(len(x) for x, _ in doubted) >= at_once:
+                                add_gradients(at_once)
                     new = (count > 0) & ~np.isin(part.column("i").to_numpy(zero_copy_only=False), known)
                     np.add.at(scores, np.minimum(BINS, (told[new].max(1) / count[new] * BINS).astype(np.int64)), 1)
+            if doubted:
+                add_gradients(1)
             if weight:
                 flat_sums = np.concatenate([sums[n].ravel() for n in names])
                 task = TaskContext.get()

@@ -155,3 +155,27 @@ def test_every_labelled_window_is_learned(spark, monkeypatch):
     again = langid.train(df.repartition(2), limit=True)
     assert again.least == pytest.approx(model.least, abs=1e-3)
     assert all(np.allclose(again.p[n], model.p[n], atol=1e-3) for n in model.p)
+
+
+def test_windows_that_are_told_well_cost_no_way_back(spark, monkeypatch):
+    """Every window is read and scored, those under the margin alone go back through the network, and their gradient's
+    weight is that of all windows."""
+    rows = [(k, ("der hund und die katze " if k % 2 else "the dog and the cat ") * 40, "de" if k % 2 else "en") for k in range(80)]
+    rows += [(100, "der hund und die katze " * 40, "en")]
+    df = spark.createDataFrame([(t, lang, i) for i, t, lang in rows], "t string, l string, i long").coalesce(1)
+    model = langid.fit([(t, lang) for _, t, lang in rows[:8]], steps=150)
+    letters = {lang: sum(int((langid.windows(t.encode()) != langid.BLANK).sum()) for _, t, x in rows if x == lang) for lang in ("de", "en")}
+    found, back, own = langid.learn(df, model, letters, np.zeros(0, np.int64)), [], langid.Model.gradients
+    monkeypatch.setattr(langid.Model, "gradients", lambda self, x, *more: back.append(x.shape[1]) or own(self, x, *more))
+    monkeypatch.setattr(type(df), "mapInArrow", _here)
+    again = langid.learn(df, model, letters, np.zeros(0, np.int64))
+    assert found[1].sum() == again[1].sum() == len(rows)
+    assert 0 < sum(back) <= len(langid.windows(rows[-1][1].encode()))
+    assert all(np.allclose(found[0].p[n], again[0].p[n], atol=1e-4) for n in model.p)
+    assert any((found[0].p[n] != model.p[n]).any() for n in model.p)
+
+
+def _here(rows, run, kinds):
+    """mapInArrow in this process."""
+    table = rows.toArrow()
+    return rows.sparkSession.createDataFrame([tuple(r.values()) for b in run(iter(table.to_batches())) for r in b.to_pylist()], kinds)
