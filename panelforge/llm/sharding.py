@@ -47,9 +47,9 @@ def _loads(state: DataFrame, shards: int) -> list[int]:
     return [found.get(k) or 0 for k in range(shards)]
 
 
-def _moved(state: DataFrame, quotas: Sequence[int], whole: bool) -> DataFrame | None:
+def _moved(state: DataFrame, quotas: Sequence[int], whole: bool, rows: int | None = None) -> DataFrame | None:
     """``state`` after one round, None if no row moves.  With ``whole`` a group prefers shards that have room for all of
-    it to those that hold more of it."""
+    it to those that hold more of it.  ``rows``: how many there are, if that is known."""
     group = Window.partitionBy("link")
     room = [max(0, q - n) for q, n in zip(quotas, _loads(state, len(quotas)), strict=True)]
     votes = state.groupBy("link", "shard").agg(F.sum("weight").alias("votes"), F.max("weight").alias("most"))
@@ -63,18 +63,18 @@ def _moved(state: DataFrame, quotas: Sequence[int], whole: bool) -> DataFrame |
     votes = votes.withColumn("stays", F.coalesce(F.sum(F.col("votes") + F.col("free")).over(before), F.lit(0)) < F.col("total"))
     votes = votes.withColumn("end", F.sum("free").over(by_votes.rowsBetween(Window.unboundedPreceding, 0)))
     kept = F.collect_list(F.when(F.col("stays") & (F.col("free") > 0), F.struct("end", "shard"))).over(group)
-    wish = durable(votes.withColumn("ends", F.array_sort(kept)).filter(~F.col("stays")).select("link", "shard", "ends"), "wishes")
+    wish = durable(votes.withColumn("ends", F.array_sort(kept)).filter(~F.col("stays")).select("link", "shard", "ends"), "wishes", rows)
     if wish.isEmpty():
         return None
     movers = attach(state, wish, ["link", "shard"], "uid")
     movers = prefix_sums(movers, ["link"], [F.col("key"), F.col("uid")], "key", "weight", "at")
     movers = movers.withColumn("to", F.get(F.filter("ends", lambda e: e["end"] > F.col("at")), F.lit(0))["shard"]).filter("to is not null").drop("ends", "at")
-    movers = durable(movers, "movers")
+    movers = durable(movers, "movers", rows)
     movers = prefix_sums(movers, ["to"], [F.col("key"), F.col("uid")], "key", "weight", "before")
-    movers = durable(movers.filter(F.col("before") + F.col("weight") <= _pick(room, F.col("to"))).select("uid", "to"), "moves")
+    movers = durable(movers.filter(F.col("before") + F.col("weight") <= _pick(room, F.col("to"))).select("uid", "to"), "moves", rows)
     if movers.isEmpty():
         return None
-    return durable(state.join(movers, "uid", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to"), "state")
+    return durable(state.join(movers, "uid", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to"), "state", rows)
 
 
 def _together(state: DataFrame) -> int:
@@ -83,22 +83,22 @@ def _together(state: DataFrame) -> int:
     return held.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
 
 
-def propagate(state: DataFrame, quotas: Sequence[int], rounds: int | None = None) -> DataFrame:
+def propagate(state: DataFrame, quotas: Sequence[int], rounds: int | None = None, rows: int | None = None) -> DataFrame:
     """Linked rows (uid, link, key, weight, shard) after label propagation under quotas of weight, until no row moves
-    or for ``rounds`` at most.
+    or for ``rounds`` at most.  ``rows``: how many there are, if that is known, so that small tables are few files.
 
     Rows move to shards that hold more of their group, so that comes to an end.  Groups that are apart then because the
     shards that hold most of them are full go on to those that have room for them, as long as each round brings more
     together."""
     done = 0
     while rounds is None or done < rounds:
-        moved = _moved(state, quotas, False)
+        moved = _moved(state, quotas, False, rows)
         if moved is None:
             break
         state, done = moved, done + 1
     best = _together(state)
     while rounds is None or done < rounds:
-        moved = _moved(state, quotas, True)
+        moved = _moved(state, quotas, True, rows)
         if moved is None or (now := _together(moved)) <= best:
             break
         state, best, done = moved, now, done + 1
@@ -130,27 +130,29 @@ def balanced_shards(df: DataFrame, link: Column, doc_id: str = "doc_id", size: s
     linked = F.coalesce(link.cast("long"), F.lit(-1).cast("long"))
     rows = df.select(*own, F.monotonically_increasing_id().alias("uid"), linked.alias("link"), hash_key("shard", F.col(doc_id)).alias("key"), weight.alias("weight"))
     rows = durable(rows, "rows")
-    groups = durable(rows.groupBy("link").agg(F.count("*").alias("n")).filter("n > 1"), "groups").select("link")
-    total = rows.agg(F.sum("weight")).first()[0] or 0
+    total, n = rows.agg(F.sum("weight"), F.count("*")).first()
+    total = total or 0
+    groups = durable(rows.groupBy("link").agg(F.count("*").alias("n")).filter("n > 1"), "groups", n).select("link")
     quotas = [total // shards + (k < total % shards) for k in range(shards)]
 
-    linked = durable(attach(rows.select("uid", "link", "key", "weight"), groups, ["link"], "uid"), "linked")
-    held = linked.agg(F.sum("weight")).first()[0] or 0
+    linked = durable(attach(rows.select("uid", "link", "key", "weight"), groups, ["link"], "uid"), "linked", n)
+    held, n_linked = linked.agg(F.sum("weight"), F.count("*")).first()
+    held = held or 0
     widths = [q * held / total if total else 0.0 for q in quotas]
     state = prefix_sums(linked, [], [F.col("key"), F.col("uid")], "key", "weight", "at")
-    state = durable(state.select("uid", "link", "key", "weight", _stretch(F.col("at"), widths).cast("int").alias("shard")), "state")
+    state = durable(state.select("uid", "link", "key", "weight", _stretch(F.col("at"), widths).cast("int").alias("shard")), "state", n_linked)
     start = state.select("uid", F.col("shard").alias("start_shard"))
-    state = propagate(state, quotas, rounds)
+    state = propagate(state, quotas, rounds, n_linked)
 
     # what stands past a shard's quota leaves it, and fills gaps with the rows without links
-    state = durable(prefix_sums(state, ["shard"], [F.col("key"), F.col("uid")], "key", "weight", "before"), "state")
+    state = durable(prefix_sums(state, ["shard"], [F.col("key"), F.col("uid")], "key", "weight", "before"), "state", n_linked)
     stays = state.filter(F.col("before") + F.col("weight") <= _pick(quotas, F.col("shard"))).select("uid", "shard", "weight")
     gaps = [max(0, q - n) for q, n in zip(quotas, _loads(stays, shards), strict=True)]
-    rest = durable(rows.join(stays.select("uid"), "uid", "left_anti").select("uid", "key", "weight"), "rest")
+    rest = durable(rows.join(stays.select("uid"), "uid", "left_anti").select("uid", "key", "weight"), "rest", n)
     rest = prefix_sums(rest, [], [F.col("key"), F.col("uid")], "key", "weight", "before")
     rest = rest.select("uid", _stretch(F.col("before"), gaps).cast("int").alias("shard"))
     placed = rows.drop("weight", "link").join(stays.select("uid", "shard").unionByName(rest), "uid").join(start, "uid", "left")
-    placed = durable(placed.withColumn("one", F.lit(1)), "placed")
+    placed = durable(placed.withColumn("one", F.lit(1)), "placed", n)
     slots = prefix_sums(placed, ["shard"], [F.col("key"), F.col("uid")], "key", "one", "slot")
     return slots.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], F.lit(law).alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "start_shard")
 

@@ -142,3 +142,26 @@ def test_a_group_over_ten_shards_comes_together(spark, law):
     least = -(-2700 * (1 if law == "rows" else 19) // max(load.values()))
     assert least > 10 and len(held["hot"]) <= least + 1
     assert sum(len(g) > 1 for t, g in held.items() if t != "hot") <= 2
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Whatever the number of shuffle partitions, each table of the propagation is as many files as its rows need."""
+    found, own = [], sharding.durable
+
+    def counted(df, name, *rows):
+        out = own(df, name, *rows)
+        found.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(sharding, "durable", counted)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame([(k, "same" if k % 2 else f"text {k // 3}") for k in range(300)], "doc_id long, text string")
+        assert sharding.shard_documents(df, shards=5).count() == 300
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert {"wishes", "movers", "moves", "state", "placed"} <= {name for name, _ in found}
+    assert all(files == 1 for name, files in found if name != "rows"), found
