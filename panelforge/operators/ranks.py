@@ -24,11 +24,11 @@ def rank_map(df: DataFrame, column: str, group: Sequence[str], out: str, demean:
     return rows.withColumn(out, F.col(out) - F.avg(out).over(Window.partitionBy(*group))) if demean else rows
 
 
-def quantile_group(value: str, entity: str, groups: int, within: Sequence[str]) -> Column:
+def quantile_group(value: str, entity: str, groups: int, within: Sequence[str], rows: Column | None = None) -> Column:
     """Group 0 to groups - 1 of each row: floor((rank - 1) * groups / rows), ranks by (value, entity).  This isn't
-    ntile, which deals the rows that are left over to the first groups."""
+    ntile, which deals the rows that are left over to the first groups.  ``rows``: their number, if it is known."""
     place = F.row_number().over(Window.partitionBy(*within).orderBy(value, entity)) - 1
-    return F.floor(place * groups / F.count("*").over(Window.partitionBy(*within))).cast("int")
+    return F.floor(place * groups / (F.count("*").over(Window.partitionBy(*within)) if rows is None else rows)).cast("int")
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

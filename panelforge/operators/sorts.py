@@ -78,14 +78,16 @@ def grouped(panel: DataFrame, book: Rulebook) -> DataFrame:
     before and after the trim.  Groups are independent: each axis is cut over the whole month."""
     rows = lagged_panel(panel, book.entity, book.date, book.ret, book.score, book.lag)
     book = resolve_trim(rows, book)
-    count = F.count("*").over(Window.partitionBy(book.date))
-    rows = rows.filter(_eligible(book)).withColumn("__n__", count).filter(F.col("__n__") >= book.min_rows)
-    if book.trim != "none":
-        rows = rows.withColumn("next_ret", _trimmed(F.col("next_ret"), book)).filter("next_ret is not null")
-        rows = rows.withColumn("__n__", count).filter(F.col("__n__") >= book.min_rows)
-    rows = rows.withColumn("score_group", quantile_group("ranking_score", book.entity, book.groups, [book.date]))
-    control = quantile_group(book.control, book.entity, book.control_groups, [book.date]) if book.control else F.lit(0)
-    return rows.withColumn("control_group", control).drop("__n__")
+    month = Window.partitionBy(book.date)
+    rows = rows.filter(_eligible(book)).withColumn("__t__", _trimmed(F.col("next_ret"), book))
+    # Whole months stay or go, so both counts come from one pass, which keeps a month's rows once.
+    rows = rows.withColumns({"__n__": F.count("*").over(month), "__left__": F.count("__t__").over(month)})
+    rows = rows.filter((F.col("__n__") >= book.min_rows) & (F.col("__left__") >= book.min_rows) & F.col("__t__").isNotNull())
+    rows = rows.withColumn("next_ret", F.col("__t__")).drop("__t__", "__n__")
+    left = F.col("__left__")
+    rows = rows.withColumn("score_group", quantile_group("ranking_score", book.entity, book.groups, [book.date], left))
+    control = quantile_group(book.control, book.entity, book.control_groups, [book.date], left) if book.control else F.lit(0)
+    return rows.withColumn("control_group", control).drop("__left__")
 
 
 def _legs(rows: DataFrame, keys: Sequence[str], value: str, weight: str | None, long: Column, short: Column) -> DataFrame:
@@ -105,14 +107,15 @@ def characteristic_sort(panel: DataFrame, book: Rulebook) -> DataFrame:
     """(date, strategy_ret, long_ret, short_ret, n_rows, n_stripes) by the month in which returns are realised.
 
     Each control group is a stripe with a long and a short leg; a stripe without one of them doesn't count, and the
-    month is the mean of the others.  One pass over the panel, without a loop over months.
+    month is the mean of the others.  One pass over the panel, without a loop over months; its few rows are one part, as
+    a file for each month's task would be written by executors that still have the memory of the ranks.
     """
     rows = grouped(panel, book)
     legs = _legs(rows, [book.date, "control_group"], "next_ret", book.size if book.by_size else None, F.col("score_group") == book.long_group, F.col("score_group") == book.short_group)
     out = legs.groupBy(book.date).agg(
         F.avg(F.col("long_ret") - F.col("short_ret")).alias("strategy_ret"), F.avg("long_ret").alias("long_ret"), F.avg("short_ret").alias("short_ret"), F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_stripes")
     )
-    return out.withColumn(book.date, dates.shift_month_end(F.col(book.date), 1))
+    return out.withColumn(book.date, dates.shift_month_end(F.col(book.date), 1)).repartition(1)
 
 
 def grid(panel: DataFrame, book: Rulebook) -> DataFrame:

@@ -23,8 +23,9 @@ def daily(spark: SparkSession, sf_dir: str, entity: str, least: float | None = N
 
 
 def months(spark: SparkSession, sf_dir: str, entity: str) -> DataFrame:
-    """(entity, month, price, volume, n_trades, last_day, ret)."""
-    rows = rollup.monthly(daily(spark, sf_dir, entity), entity, "day").withColumn("price", r(F.col("price")))
+    """(entity, month, price, volume, n_trades, last_day, ret).  Days are dealt by entity, so that months and all that
+    looks along an entity's months need no other shuffle."""
+    rows = rollup.monthly(daily(spark, sf_dir, entity).repartition(entity), entity, "day").withColumn("price", r(F.col("price")))
     return signals.adjacent_return(rows, entity, "month", "price")
 
 

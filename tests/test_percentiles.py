@@ -58,3 +58,14 @@ def test_queries_hold_no_map_of_all_values(spark, sf, monkeypatch, name):
     monkeypatch.setattr(F, "percentile", refused)
     monkeypatch.setattr(percentiles, "FEW", 40)
     assert sorted(map(str, registry.QUERIES[name](spark, sf).collect())) == want and want
+
+
+def test_trimmed_sort_deals_rows_thrice_and_keeps_a_month_twice(spark, sf):
+    """Days by entity and day, then all months by entity, then cross-sections by month; of a cross-section only its
+    counts and its ranks keep rows, and the months' few rows are written as one file."""
+    rows = registry.QUERIES["trimmed_sort_ls"](spark, sf)
+    plan = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+    steps = lambda kind: [x for x in plan if f" {kind} " in f" {x.lstrip(' +-:')}"]
+    assert len([x for x in steps("Exchange") if "hashpartitioning" in x]) == 3
+    assert len([x for x in steps("Window") if "l_partkey" not in x and "[date#" in x]) == 2
+    assert rows.rdd.getNumPartitions() == 1 and rows.count()
